@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, mixing, packing, quality, topk, urls
+from . import chunks, licenses, mixing, ngramjoin, packing, quality, suffixes, topk, urls
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -29,6 +29,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def held_out(key: F.Column) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
@@ -51,11 +55,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op5_quality, op6_chunks, op7_licenses, op8_topk, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes, op10_urls)}
 
 ORACLE = {
     "op3_mixing": """
@@ -75,6 +84,22 @@ r AS (
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)))::BIGINT AS taken FROM r
+""",
+    "op4_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 OR ws IS NULL THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, b.b FROM r JOIN both_ways b ON r.c = b.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n
 """,
     "op8_topk": """
 WITH v AS (
@@ -84,5 +109,19 @@ s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op9_suffixes": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM h)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM w),
+m AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS jump FROM f WHERE r > 1),
+i AS (SELECT doc_id, s, sum(jump) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM m),
+p AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, island),
+k AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM p
+  UNION ALL SELECT h.doc_id, n, coalesce(max(b), 0), n FROM h LEFT JOIN p ON h.doc_id = p.doc_id GROUP BY h.doc_id, n),
+t AS (SELECT k.doc_id, string_agg(substr(x, 2 * start + 1, 2 * (stop - start)), '' ORDER BY a) AS kept FROM k JOIN h ON k.doc_id = h.doc_id GROUP BY k.doc_id)
+SELECT h.doc_id, n AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, sha256(unhex(any_value(kept))) AS kept_sha256
+FROM h JOIN t ON h.doc_id = t.doc_id LEFT JOIN p ON h.doc_id = p.doc_id GROUP BY h.doc_id, n
 """,
 }

@@ -24,7 +24,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back: a lost executor costs no recomputation."""
@@ -32,8 +31,8 @@ class Scratch:
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch = path
+        self.spark._jvm.System.gc()  # the shuffle files of the finished plan go as soon as it is unreachable
         return out
 
     def drop(self, df: DataFrame) -> None:

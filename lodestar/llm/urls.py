@@ -106,7 +106,7 @@ def fit_boosted(labelled: DataFrame, features: list[str], trees: int = 8, depth:
     model = Boosted()
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or not ones or ones == n:
-        model.base = 0.0 if not n else (8.0 if ones else -8.0)
+        model.base = -1.0 if not n else (8.0 if ones else -8.0)
         model.suffix_rate = {"": 0.5}
         model.edges = {f: [] for f in (*features, "suffix_rate")}
         return model
