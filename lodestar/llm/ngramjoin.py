@@ -261,7 +261,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component; of rows that repeat one key, one stays."""
+    """One row of ``docs`` of each component: that with its smallest key; of rows that repeat this key, one."""
+    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_KEY))
     parts = jaccard_components(docs, key=key, text=text, **how)
-    kept = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").dropDuplicates([key])
+    kept = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(id_of(key).alias("_k")).distinct()
+    rows = docs.withColumn("_k", id_of(key)).join(kept, "_k")
+    one = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(text)))
+    return rows.withColumn("_n", one).where("_n = 1").select(*docs.columns)

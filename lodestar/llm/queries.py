@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, mixing, ngramjoin, packing, quality, suffixes, topk, urls
+from . import chunks, hnsw, licenses, mixing, ngramjoin, packing, quality, suffixes, topk, urls
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024)
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -64,9 +68,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hnsw, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes, op10_urls)}
 
 ORACLE = {
+    "op2_hnsw": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(c) AS component_id, min(c) = r.vec_id AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
+""",
     "op3_mixing": """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
