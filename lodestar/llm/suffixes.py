@@ -22,7 +22,7 @@ from .scratch import Scratch, bound_batches
 from .textbytes import RangeHash, batch_bytes, mix, slices
 
 NULL_KEY = (1 << 63) - 1
-#: Segments of a collection, and of one gram in one collection.
+#: Segments of a collection, at least, and of one gram in one collection, at most about twice.
 COLLECTION, BLOCK = 1000, 4000
 
 
@@ -85,6 +85,27 @@ def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return names[m:] >> 16, names[m:] & 0xFFFF, common[m:-1]
 
 
+def may_repeat(segments: list[bytes], grams: list, distances: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Segments that can share a window with another of their gram.
+
+    Of the bytes that a window adds to its gram at least half stand on one side of it, so such a segment shares that
+    many bytes before or after the gram with another one.
+    """
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(x) for x in segments])
+    base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    h, side = RangeHash(data), (length - gram + 1) // 2
+    group = np.unique(np.array(grams), return_inverse=True)[1].astype(np.uint64)
+    out = np.zeros(len(segments), bool)
+    at = base + distances
+    for a, b in ((at - side, at + gram), (at, at + gram + side)):
+        have = np.flatnonzero((a >= base) & (b <= base + sizes))
+        code = mix(h(a[have], b[have]) ^ mix(group[have]))
+        _, where, count = np.unique(code, return_inverse=True, return_counts=True)
+        out[have] |= count[where] > 1
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Segments of a buffer under 16 MB: document, first and last window, distance of the anchor, gram and segment digests."""
     n = len(data)
@@ -250,41 +271,52 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
     found = texts.mapInArrow(segments, FOUND)
     sorted_in = found.repartition(F.col("p")).sortWithinPartitions("gram", "seg", "k", "u", "a")
     table = scratch.write(sorted_in.mapInArrow(firsts, FOUND))
-    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", F.col("p").alias("block"), "a", "b", "kind")).alias("wanted"))
+    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", F.col("p").alias("block"), "a", "b", "kind", "off")).alias("wanted"))
 
     def extract(batches):
         for batch in batches:
-            out = {c: [] for c in ("gram", "block", "k", "u", "a", "kind", "x")}
+            out = {c: [] for c in ("gram", "block", "k", "u", "a", "kind", "off", "x")}
             data, offsets = batch_bytes(batch.column(2))
             raw = data.tobytes()
             for i, (k, u, want) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 o = int(offsets[i])
                 for w in want:
-                    for c, v in zip(out, (w["gram"], w["block"], k, u, w["a"], w["kind"], raw[o + w["a"] : o + w["b"] + length])):
+                    for c, v in zip(out, (w["gram"], w["block"], k, u, w["a"], w["kind"], w["off"], raw[o + w["a"] : o + w["b"] + length])):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()])], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()])], names=list(out))
 
     def compare(batches):
-        held: list[tuple] = []
+        held, ready = [], []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if held and held[-1][:5] == row[:5]:  # a row of the input listed twice
                     continue
-                if len(held) >= COLLECTION and held[-1][:2] != row[:2]:
-                    yield from equal(held)
+                if len(held) >= 4 * COLLECTION and held[-1][:2] != row[:2]:
+                    ready += pruned(held)
                     held = []
+                    if len(ready) >= COLLECTION:
+                        yield from equal(ready)
+                        ready = []
                 held.append(row)
-        if held:
-            yield from equal(held)
+        ready += pruned(held)
+        if ready:
+            yield from equal(ready)
+
+    def pruned(rows):
+        if not rows:
+            return []
+        blocked = np.array([r[5] == 3 for r in rows])
+        keep = blocked | may_repeat([r[7] for r in rows], [r[0] for r in rows], np.array([r[6] for r in rows]), length, gram)
+        return [r for r, ok in zip(rows, keep.tolist()) if ok]
 
     def equal(rows):
         """Flags windows that another row of the collection has earlier; windows of grams in blocks also get a digest."""
-        seg, left, common = collection([r[6] for r in rows])
+        seg, left, common = collection([r[7] for r in rows])
         k, u, a = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
         o = np.lexsort((u, k))
         rank = np.zeros(len(rows), np.int64)
         rank[o] = np.cumsum(np.concatenate(([0], ((np.diff(k[o]) != 0) | (np.diff(u[o]) != 0)).astype(np.int64))))
-        sizes = np.array([len(r[6]) for r in rows])
+        sizes = np.array([len(r[7]) for r in rows])
         long = left >= length
         start = a[seg] + sizes[seg] - left
         place = (rank[seg] << 32) | start
@@ -300,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         blocked = np.array([r[5] == 3 for r in rows])
         keep = np.flatnonzero(long & ~flag & blocked[seg])
         if len(keep):
-            data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+            data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
             base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             s = base[seg[keep]] + sizes[seg[keep]] - left[keep]
             one, two = RangeHash(data)(s, s + length), RangeHash(data[::-1])(len(data) - s - length, len(data) - s)
@@ -309,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
     def _windows(k, u, a, b, one, two, kind):
         return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (k, u, one, two)), *(pa.array(x.astype(np.int32)) for x in (a, b, np.full(len(k), kind)))], names=["k", "u", "one", "two", "a", "b", "kind"])
 
-    pieces = texts.join(wanted, ["k", "u"]).mapInArrow(extract, "gram long, block long, k long, u long, a int, kind int, x binary")
+    pieces = texts.join(wanted, ["k", "u"]).mapInArrow(extract, "gram long, block long, k long, u long, a int, kind int, off int, x binary")
     pieces = pieces.repartition(F.col("gram"), F.col("block")).sortWithinPartitions("gram", "block", "k", "u", "a")
     windows = scratch.write(pieces.mapInArrow(compare, "k long, u long, one long, two long, a int, b int, kind int"))
     order = Window.partitionBy("one", "two").orderBy("k", "u", "a")
