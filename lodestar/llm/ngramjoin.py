@@ -6,9 +6,10 @@ such a pair some segment of allocation 1 is equal, or some of allocation 2 diffe
 segment's own signature and those of its one-deletion neighbourhood find. The allocation is the cheapest by a cost
 model of entries and false candidates. Candidates are verified exactly on whole sets.
 
-Copies of a set are one node (a 128-bit digest). Members of a signature are compared with its first node only; where
-that leaves more than one component in a signature, the members outside its largest component are compared with all
-others, so every link between components is found while a group of near copies never makes all its pairs.
+Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
+whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A group is
+compared in tiles of bounded size by products of incidence matrices, which give all intersections exactly, and a tile
+returns one row for each linked node, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .components import components
 from .scratch import Scratch, bound_batches
 from .textbytes import batch_bytes, mix, shingle_hashes, slices
 
-RATIO, SPARE, FAN = 1.25, 1, 400
+RATIO, SPARE = 1.25, 1
+#: Most nodes and elements of a block; a tile compares two blocks.
+BLOCK_NODES, BLOCK_ELEMENTS = 1000, 400_000
 NULL_KEY = (1 << 63) - 1
 
 
@@ -101,22 +104,50 @@ def _digests(sets: list[np.ndarray]) -> list[bytes]:
     for x in sets:
         a, b = mix(x ^ np.uint64(0x1234567)), mix(x + np.uint64(0x7654321))
         n = np.array([len(x)], np.uint64)
-        out.append(np.concatenate((mix(a.sum(dtype=np.uint64, keepdims=True) + n), mix(b.sum(dtype=np.uint64, keepdims=True) ^ n))).tobytes())
+        out.append(np.concatenate((mix(a.sum(dtype=np.uint64, keepdims=True) + n), mix(b.sum(dtype=np.uint64, keepdims=True) ^ n))).tobytes()[:12])
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Jaccard of two sorted arrays of distinct elements >= num / den, exactly."""
-    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-        return False
-    z = np.concatenate((x, y))
-    z.sort(kind="stable")
-    both = int(np.count_nonzero(z[1:] == z[:-1]))
-    return den * both >= num * (len(z) - both)
+def links_of(sets: list[np.ndarray], num: int, den: int, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of all pairs of sets with Jaccard >= num / den, exactly, from intersections by matrix products."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # other elements are in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, code = row[keep], number[code[keep]]
+    o = np.argsort(code, kind="stable")
+    row, code = row[o], code[o]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), columns):
+        x, y = np.searchsorted(code, (a, a + columns))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[x:y], code[x:y] - a] = 1
+        both += m @ m.T
+    both = np.rint(both).astype(np.int64)
+    return np.nonzero(np.triu(den * both >= num * (sizes[:, None] + sizes[None, :] - both), 1))
+
+
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n reaches by the links i-j."""
+    low = np.arange(n)
+    while True:
+        m = low.copy()
+        np.minimum.at(m, i, low[j])
+        np.minimum.at(m, j, low[i])
+        m = m[m]
+        if (m == low).all():
+            return low
+        low = m
 
 
 def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """One pass over the texts: rows of documents (kind 2) and, by signature, pairs with its first node (kind 1)."""
+    """One pass over the texts: rows of documents (kind 2), and nodes (kind 0 and 1) of signatures that others may share.
+
+    A map task forwards a signature once under its own key, where a reducer sees whether other tasks have it, and all
+    nodes that share it inside the task under keys of their own: no key gathers more than one row a task.
+    """
 
     def sign(batches):
         seen: set[bytes] = set()
@@ -127,14 +158,13 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
             for a, b in slices(offsets):
                 sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 nodes = _digests(sets)
-                size = np.array([len(x) for x in sets], np.int32)
                 key = mix(ids[a:b].astype(np.uint64) ^ np.uint64(77)).astype(np.int64)
-                yield _rows(2, key, key, nodes, None, size, None, ids[a:b])
+                yield _rows(2, key, nodes, k=ids[a:b], n=np.array([len(x) for x in sets], np.int32))
                 for x, node in zip(sets, nodes):
                     if len(x) and node not in seen:
                         seen.add(node)
                         s = scheme.signatures(x)
-                        held.append((s, node, len(x)))
+                        held.append((s, node))
                         n += len(s)
             if n > 2_000_000:
                 yield from first_of_each(held)
@@ -144,61 +174,68 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     def first_of_each(held):
         if not held:
             return
-        sig = np.concatenate([s for s, _, _ in held])
-        doc = np.repeat(np.arange(len(held)), [len(s) for s, _, _ in held])
+        sig = np.concatenate([s for s, _ in held])
+        doc = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
         o = np.argsort(sig, kind="stable")
         sig, doc = sig[o], doc[o]
         head = np.ones(len(sig), bool)
         head[1:] = sig[1:] != sig[:-1]
-        lead = doc[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-        start = np.frombuffer(b"".join(x[:8] for _, x, _ in held), np.uint64)
-        nodes, sizes = [x for _, x, _ in held], np.array([x for _, _, x in held], np.int32)
-        pick = np.flatnonzero(head)
-        for a in range(0, len(pick), 50_000):
-            z = pick[a : a + 50_000]
-            yield _rows(0, sig[z].astype(np.int64), sig[z].astype(np.int64), [nodes[d] for d in doc[z].tolist()], None, sizes[doc[z]], None, None)
-        pick = np.flatnonzero(~head)
-        for a in range(0, len(pick), 50_000):
-            z = pick[a : a + 50_000]
-            spread = mix(sig[z] ^ start[doc[z]]).astype(np.int64)
-            yield _rows(1, spread, sig[z].astype(np.int64), [nodes[d] for d in doc[z].tolist()], [nodes[d] for d in lead[z].tolist()], sizes[doc[z]], sizes[lead[z]], None)
-
-    def _rows(kind, p, sig, node, lead, n, lead_n, k):
-        m = len(p)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(m, kind, np.int8)), pa.array(p), pa.array(sig), pa.array(node, pa.binary()), pa.array(lead, pa.binary()) if lead is not None else pa.nulls(m, pa.binary()),
-                pa.array(n), pa.array(lead_n) if lead_n is not None else pa.nulls(m, pa.int32()), pa.array(k) if k is not None else pa.nulls(m, pa.int64()),
-            ],
-            names=["kind", "p", "sig", "node", "lead", "n", "lead_n", "k"],
-        )
-
-    found = docs.mapInArrow(sign, "kind byte, p long, sig long, node binary, lead binary, n int, lead_n int, k long")
-    first = F.first(F.when(F.col("kind") == 0, F.struct("node", "n"))).over(Window.partitionBy("p", "kind").orderBy("node"))
-    led = found.withColumn("first", first).select("kind", "sig", "node", F.coalesce("lead", "first.node").alias("lead"), "n", F.coalesce("lead_n", "first.n").alias("lead_n"), "k")
-    return led.where((F.col("kind") == 2) | (F.col("node") != F.col("lead")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (lead, node) that are links. A lead with many nodes is dealt to tasks of about FAN pairs each."""
-    fans = pairs.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    dealt = pairs.join(fans, "lead").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int"))
-    members = dealt.join(sets, "node").select("lead", "salt", "node", "x")
-    leads = fans.join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(None).cast("binary").alias("node"), "x")
+        several = ~head
+        several[:-1] |= ~head[1:]
+        start = np.frombuffer(b"".join(x[:8] for _, x in held), np.uint64)
+        nodes = [x for _, x in held]
+        for pick, kind in ((np.flatnonzero(head), 0), (np.flatnonzero(several), 1)):
+            for a in range(0, len(pick), 50_000):
+                z = pick[a : a + 50_000]
+                mine = [nodes[d] for d in doc[z].tolist()]
+                if kind:  # known to share its signature: travels under a key of its own
+                    yield _rows(1, mix(sig[z] ^ start[doc[z]]).astype(np.int64), mine, sig=sig[z].astype(np.int64))
+                else:
+                    yield _rows(0, sig[z].astype(np.int64), mine)
+
+    def _rows(kind, p, node, sig=None, k=None, n=None):
+        column = lambda x, t: pa.nulls(len(p), t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(node, pa.binary()), column(sig, pa.int64()), column(k, pa.int64()), column(n, pa.int32())], names=["kind", "p", "node", "sig", "k", "n"])
+
+    found = docs.mapInArrow(sign, "kind byte, p long, node binary, sig long, k long, n int")
+    nodes_here = F.count(F.when(F.col("kind") == 0, 1)).over(Window.partitionBy("p"))
+    shared = found.withColumn("here", nodes_here).where((F.col("kind") > 0) | (F.col("here") > 1))
+    return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "node", "k", "n")
+
+
+def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): for every node linked in a tile of its group, the smallest node of the tile that it reaches."""
+    members = groups.join(sets, "node")
+    size = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum(F.length("x") / 8).alias("e"))
+    blocks = size.where("m > 1").select("lead", F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(blocks, "lead").select("lead", "node", "x", mine.alias("mine"), other.alias("other"))
+    tiles = dealt.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "x")
 
     def compare(batches):
-        at, base = None, None
+        at, nodes, held = None, [], []
         for batch in batches:
             out = []
-            for lead, salt, node, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                x = np.frombuffer(x, np.uint64)
-                if node is None:
-                    at, base = (lead, salt), x
-                elif at == (lead, salt) and linked(base, x, num, den):
-                    out.append((lead, node))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-    rows = members.unionByName(leads).repartition(F.col("lead"), F.col("salt")).sortWithinPartitions("lead", "salt", F.col("node").asc_nulls_first())
+            for lead, i, j, node, x in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if at != (lead, i, j):
+                    out += tile(nodes, held)
+                    at, nodes, held = (lead, i, j), [], []
+                nodes.append(node)
+                held.append(np.frombuffer(x, np.uint64))
+            yield _pairs(out)
+        yield _pairs(tile(nodes, held))
+
+    def tile(nodes, held):
+        if len(nodes) < 2:
+            return []
+        low = lowest(len(nodes), *links_of(held, num, den))
+        return [(nodes[a], nodes[b]) for a, b in enumerate(low.tolist()) if a != b]
+
+    def _pairs(out):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    rows = tiles.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j", "node")
     return rows.mapInArrow(compare, "a binary, b binary")
 
 
@@ -216,10 +253,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     scheme = Scheme(num, den, docs.count() if rows is None else rows)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.col(text).cast("string").alias("t"))
     table = scratch.write(_candidates(texts, words, scheme))
-    ids = table.where("kind < 2").select("sig", "node", "lead", "n", "lead_n")
-    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    pairs = scratch.write(ids.where(fits(F.col("n"), F.col("lead_n"))).select("lead", "node").distinct())
-    nodes = ids.select("node").union(ids.select("lead")).distinct()
+    sharing = table.where("kind < 2").select("sig", "node").distinct()
+    counted = scratch.write(sharing.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"))
+    central = counted.groupBy("node").agg(F.sum("c").alias("weight"))
+    leads = counted.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
+    groups = scratch.write(counted.join(leads, "sig").select("lead", "node").distinct())
+    nodes = groups.select("node").distinct()
     wanted = table.where("kind = 2").groupBy("node").agg(F.min("k").alias("k")).join(nodes, "node").select("k", "node")
 
     def build(batches):
@@ -231,30 +270,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in real], pa.binary()) for i in (0, 1)], names=["node", "x"])
 
     sets = scratch.write(texts.join(wanted, "k").select("k", "t", "node").mapInArrow(build, "node binary, x binary").dropDuplicates(["node"]))
-    links = scratch.write(_verified(pairs, sets, num, den))
+    links = scratch.write(_linked(groups, sets, num, den))
     parts = components(links, scratch)
-
-    def with_part(df: DataFrame, column: str, parts: DataFrame) -> DataFrame:
-        return df.join(parts.select(F.col("node").alias(column), F.col("component").alias(column + "_c")), column, "left").withColumn(column + "_c", F.coalesce(column + "_c", column))
-
-    marked = with_part(with_part(ids, "node", parts), "lead", parts)
-    torn = marked.where("node_c <> lead_c").select("sig").distinct()
-    members = marked.join(torn, "sig", "left_semi")
-    members = members.select("sig", "node", "n", F.col("node_c").alias("c")).union(members.select("sig", F.col("lead").alias("node"), F.col("lead_n").alias("n"), F.col("lead_c").alias("c"))).distinct()
-    members = scratch.write(members)
-    sizes = members.groupBy("sig", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("m", "c")).getField("c").alias("main"))
-    outside = members.join(main, "sig").where("c <> main").select("sig", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
-    more = outside.join(members, "sig").where((F.col("a_c") != F.col("c")) & fits(F.col("n"), F.col("a_n")))
-    more = more.select(F.least("a", "node").alias("lead"), F.greatest("a", "node").alias("node")).distinct()
-    tried = pairs.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node"))
-    more = scratch.write(more.join(tried, ["lead", "node"], "left_anti"))
-    if not more.isEmpty():
-        links = scratch.write(links.union(_verified(more, sets, num, den)))
-        parts = components(links, scratch)
-    rows_of = with_part(table.where("kind = 2").select("k", "n", "node"), "node", parts)
-    least = rows_of.where("n > 0").groupBy("node_c").agg(F.min("k").alias("component_id"))
-    out = rows_of.join(least, "node_c", "left")
+    rows_of = table.where("kind = 2").select("k", "n", "node").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = rows_of.where("n > 0").groupBy("c").agg(F.min("k").alias("component_id"))
+    out = rows_of.join(least, "c", "left")
     plain = lambda c: F.when(c == NULL_KEY, F.lit(None)).otherwise(c)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k"))
     return out.select(plain(F.col("k")).alias(key), F.col("n").cast("long").alias("n_shingles"), plain(component).alias("component_id"))
