@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, bound_batches
+from .ngramjoin import lowest
 from .textbytes import mix
 
 SHARD = 8192
@@ -94,7 +95,7 @@ class Graph:
     def search(self, queries: np.ndarray, ef: int, layers=None, known=None, radius: float = 2.0):
         """Beams of ``ef`` nodes of the lowest layer, their similarities, and all (query, node) seen at ``radius`` or above.
 
-        Nodes within the radius are opened even if the beam has closer ones.
+        A beam that has ``ef`` nodes within the radius is full: its query stops, for a wider beam to take up.
         """
         layers = layers or self.layers
         entry = layers[-1][0][:1] if known is None or len(layers) > 1 else known[:1]
@@ -117,6 +118,7 @@ class Graph:
         beam, bs = np.where(ok, e, -1), np.where(ok, s, -np.inf).astype(np.float32)
         live = np.arange(b)
         hq, hn = [np.broadcast_to(row, e.shape)[ok & (s >= radius)]], [e[ok & (s >= radius)]]
+        within = np.bincount(hq[0], minlength=b)
         while len(live):
             bl, sl = beam[live], bs[live]
             open_ = (bl >= 0) & ~closed[live[:, None], np.maximum(bl, 0)]
@@ -143,6 +145,7 @@ class Graph:
             hit = s >= radius
             hq.append(q[hit])
             hn.append(v[hit])
+            within += np.bincount(q[hit], minlength=b)
             # merge the new ones into the beams
             where = np.searchsorted(live, q)
             count = np.bincount(where, minlength=len(live))
@@ -159,12 +162,13 @@ class Graph:
                     pad = allb.shape[1] - beam.shape[1]
                     beam, bs = np.pad(beam, ((0, 0), (0, pad)), constant_values=-1), np.pad(bs, ((0, 0), (0, pad)), constant_values=-np.inf)
                 beam[live, : allb.shape[1]], bs[live, : allb.shape[1]] = allb, alls
+            live = live[within[live] < ef]
         return beam, bs, (np.concatenate(hq), np.concatenate(hn))
 
 
 def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float = 0.99, ef: int = 32, step: int = 512, audit: int = 16):
-    """(query, node) with float similarity >= radius. Beams double until audits pass; saturated beams and beams of a
-    quarter of the shard give way to an exact scan."""
+    """(query, node) with float similarity >= radius. The beams of a block double until its audited queries reach the
+    recall; full beams double by themselves. Beams of a sixteenth of the shard cost as much as its scan, which is exact."""
     n, out_q, out_n = len(graph.unit), [], []
 
     def scan(rows):
@@ -178,17 +182,19 @@ def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float =
         sample = todo[:: max(1, len(todo) // audit)]
         truth = queries[sample] @ graph.unit.T >= radius
         while len(todo):
-            if width * 4 > n:
+            if width * 16 > n:
                 scan(todo)
                 break
             _, _, (q, v) = graph.search(queries[todo], width, radius=radius)
             count = np.bincount(q, minlength=len(todo))
             checked = np.isin(sample, todo)
+            full = count >= width
+            # a full beam is searched again in any case, so it isn't audited yet
+            checked &= ~np.isin(sample, todo[full])
             want, got = int(truth[checked].sum()), int(np.isin(todo[q], sample[checked]).sum())
             width *= 2
             if got < recall * want:
                 continue  # the audit failed: the whole block again with wider beams
-            full = count >= width // 2
             keep = ~full[q]
             out_q.append(todo[q[keep]])
             out_n.append(v[keep])
@@ -197,19 +203,6 @@ def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float =
     return cat(out_q), cat(out_n)
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest number reachable by the links i-j, of each of n."""
-    low = np.arange(n)
-    while True:
-        m = low.copy()
-        np.minimum.at(m, i, low[j])
-        np.minimum.at(m, j, low[i])
-        m = m[m]
-        if (m == low).all():
-            return low
-        low = m
-
-
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, shard: int = SHARD, recall: float = 0.99, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Rows of one label linked at cosine >= threshold: ``key``, n_links, component_id, kept.
 
@@ -270,7 +263,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, shard: int =
                 q_links = np.bincount(q, copies[v], len(q_ids)).astype(np.int64)
                 links = np.bincount(v, q_copies[q], len(ids)).astype(np.int64)
                 everyone = q_ids if own else np.concatenate((q_ids, ids))
-                low = _labels(len(everyone), q, v if own else v + len(q_ids))
+                low = lowest(len(everyone), q, v if own else v + len(q_ids))
                 counts = q_links + links if own else np.concatenate((q_links, links))
                 m = counts > 0
                 yield pa.RecordBatch.from_arrays([pa.array(everyone[m]), pa.array(counts[m]), pa.array(everyone[low][m])], names=["node", "links", "low"])
