@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
-from .textbytes import RangeHash, batch_bytes, mix, slices
+from .textbytes import OTHER_CODES, RangeHash, batch_bytes, mix, slices
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 NULL_KEY = (1 << 63) - 1
@@ -65,8 +65,7 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
     """Remove runs of chunks, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before).
 
     Returns ``key``, n_bytes, n_chunks, n_removed, n_spans, text (what is left); with ``columns`` the rows of ``docs``
-    with the text replaced instead. A chunk is known by a 64-bit digest of its bytes and length; a removal takes
-    several in a row. Each map task forwards a digest once (its other chunks are known to be later), so a passage in
+    with the text replaced instead. A chunk is known by a 96-bit digest of its bytes and length. Each map task forwards a digest once (its other chunks are known to be later), so a passage in
     a third of all rows reaches a reducer once a task. Rows equal in key and text are one document and get the same
     result; null keys come last; null text stays null and counts as empty; an empty table gives an empty result.
     """
@@ -86,7 +85,8 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
                     starts = np.concatenate(([0], ends[:-1]))
                     digest = mix(RangeHash(part)(starts, ends) + (ends - starts).astype(np.uint64))
                     doc = np.repeat(np.arange(a, b), np.diff(first))
-                    held.append((digest.astype(np.int64), ids[doc], us[doc], (np.arange(len(ends)) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)))
+                    other = (RangeHash(part, OTHER_CODES)(starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    held.append((digest.astype(np.int64), other, ids[doc], us[doc], (np.arange(len(ends)) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)))
                     n += len(ends)
             if n > 1_500_000:
                 yield from once(held)
@@ -96,13 +96,14 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
     def once(held):
         if not held:
             return
-        d, k, u, i = (np.concatenate(x) for x in zip(*held))
-        o = np.lexsort((i, u, k, d))
-        d, k, u, i = d[o], k[o], u[o], i[o]
+        d, e, k, u, i = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((i, u, k, e, d))
+        d, e, k, u, i = d[o], e[o], k[o], u[o], i[o]
         again = np.zeros(len(d), bool)
-        again[1:] = (d[1:] == d[:-1]) & ~((k[1:] == k[:-1]) & (u[1:] == u[:-1]) & (i[1:] == i[:-1]))
+        equal = (d[1:] == d[:-1]) & (e[1:] == e[:-1])
+        again[1:] = equal & ~((k[1:] == k[:-1]) & (u[1:] == u[:-1]) & (i[1:] == i[:-1]))
         same = np.zeros(len(d), bool)
-        same[1:] = (d[1:] == d[:-1]) & ~again[1:]
+        same[1:] = equal & ~again[1:]
         # one row of a repeated document stands for all; a known repeat travels under a digest of its own
         run = np.maximum.accumulate(np.where(again | ~same, np.arange(len(d)), 0))
         keep = ~same
@@ -111,10 +112,10 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
         for a in range(0, len(d), 100_000):
             z = slice(a, a + 100_000)
             m = keep[z]
-            yield pa.RecordBatch.from_arrays([pa.array(x[z][m]) for x in (d, k, u, i, again)], names=["d", "k", "u", "i", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[z][m]) for x in (d, e, k, u, i, again)], names=["d", "e", "k", "u", "i", "again"])
 
-    found = rows.mapInArrow(chunks, "d long, k long, u long, i int, again boolean")
-    order = Window.partitionBy("d").orderBy("k", "u", "i")
+    found = rows.mapInArrow(chunks, "d long, e int, k long, u long, i int, again boolean")
+    order = Window.partitionBy("d", "e").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
     later = found.withColumn("first", F.first(place).over(order)).where(F.col("again") | (place != F.col("first")))
     marks = later.groupBy("k", "u").agg(F.collect_set("i").alias("marks"))

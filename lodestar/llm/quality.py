@@ -19,6 +19,8 @@ from .textbytes import NOT_SPACE, RangeHash, batch_bytes, slices, word_bounds
 
 FEATURES = ["words", "word_length", "upper", "digits", "symbols", "bars", "wide", "distinct", "repeats", "top_word", "pairs", "stops", "lines", "marked"]
 _class = lambda s: np.isin(np.arange(256), list(s))
+#: Words' worth of the usual statistics that every document is given.
+PRIOR_WORDS = 20.0
 UPPER, DIGIT, STOP, WIDE = _class(range(65, 91)), _class(b"0123456789"), _class(b".?!"), np.arange(256) >= 128
 BAR, SYMBOL = _class(b"|"), _class(b"#$%&*+/<=>@[\\]^_`{}~!")
 LETTER = _class(range(65, 91)) | _class(range(97, 123)) | WIDE
@@ -67,8 +69,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors of the shrunk covariances and log prior of two classes; ``constant`` if one is missing."""
+    """Means, Cholesky factors of the shrunk covariances and log prior of two classes; ``constant`` if one is missing.
 
+    Statistics of few words say little: all but the word count are drawn to their ``center`` as if a document had
+    PRIOR_WORDS more words of the usual kind.
+    """
+
+    center: np.ndarray
     means: list
     factors: list
     log_dets: list
@@ -78,18 +85,26 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
+        words = np.expm1(x[:, :1])
+        x = np.concatenate((x[:, :1], self.center[1:] + (x[:, 1:] - self.center[1:]) * words / (words + PRIOR_WORDS)), axis=1)
         density = [-0.5 * np.square(np.linalg.solve(f, (x - m).T)).sum(axis=0) - d for m, f, d in zip(self.means, self.factors, self.log_dets)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -30, 30)))
 
 
 def fit(labelled: DataFrame, columns: list[str], shrink: float = 0.15, ridge: float = 0.1) -> Discriminant:
-    """Fit on all rows of (y, columns): y 0 or 1. Without rows of a class, the score is constant (0.5 without any)."""
+    """Fit on all rows of (y, columns): y 0 or 1, the first column log(1 + words). Without rows of a class, the score is
+    constant (0.5 without any)."""
     d = len(columns)
+    labelled = labelled.where("y in (0, 1)")
+    center = labelled.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    words = F.expm1(columns[0])
+    drawn = lambda c: F.lit(center[c]) + (F.col(c) - F.lit(center[c])) * words / (words + PRIOR_WORDS)
+    labelled = labelled.select("y", columns[0], *[drawn(c).alias(c) for c in columns[1:]])
     cross = [(i, j) for i in range(d) for j in range(i, d)]
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)] + [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in cross]
-    got = {r["y"]: r for r in labelled.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n"), *sums).collect()}
+    got = {r["y"]: r for r in labelled.groupBy("y").agg(F.count("*").alias("n"), *sums).collect()}
     if len(got) < 2:
-        return Discriminant([], [], [], 0.0, {(): 0.5, (0,): 0.0, (1,): 1.0}[tuple(got)])
+        return Discriminant(np.zeros(d), [], [], [], 0.0, {(): 0.5, (0,): 0.0, (1,): 1.0}[tuple(got)])
     n, means, scatter = {}, {}, {}
     for y, r in got.items():
         n[y], means[y] = r["n"], np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
@@ -105,7 +120,7 @@ def fit(labelled: DataFrame, columns: list[str], shrink: float = 0.15, ridge: fl
         c = (1 - ridge) * c + ridge * np.diag(np.maximum(np.diag(c), 1e-4)) + 1e-6 * np.eye(d)
         factors.append(np.linalg.cholesky(c))
         dets.append(float(np.log(np.diag(factors[-1])).sum()))
-    return Discriminant([means[0], means[1]], factors, dets, float(np.log(n[1] / n[0])))
+    return Discriminant(np.array([center[c] for c in columns]), [means[0], means[1]], factors, dets, float(np.log(n[1] / n[0])))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, keep: bool = False, **regular) -> DataFrame:

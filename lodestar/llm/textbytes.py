@@ -13,6 +13,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_CODES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {"n": 0}
 
 
@@ -65,10 +66,10 @@ def slices(offsets: np.ndarray, limit: int = 4 << 20):
 class RangeHash:
     """Hashes of byte ranges [s, e) of one buffer."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODES):
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(codes[data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mix((self.sums[e] - self.sums[s]) * self.down[s])
