@@ -1,10 +1,11 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
 Sets are grouped by size band. A band fixes a partition of the hashed universe into segments and an allocation of 1 or
-2 to each, with sum H + 1 + SPARE, where H bounds the symmetric difference of any pair that the band must find. Of
+2 to each, with sum H + 1 + spare, where H bounds the symmetric difference of any pair that the band must find. Of
 such a pair some segment of allocation 1 is equal, or some of allocation 2 differs by one element at most, which the
-segment's own signature and those of its one-deletion neighbourhood find. The allocation is the cheapest by a cost
-model of entries and false candidates. Candidates are verified exactly on whole sets.
+segment's own signature and those of its one-deletion neighbourhood find. Up to ``spare`` empty segments of allocation 1
+can be left out, as those that are equal are empty in both sets. The allocation is the cheapest by a cost model of entries
+and false candidates. Candidates are verified exactly on whole sets.
 
 Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
 whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A group is
@@ -25,7 +26,7 @@ from .components import components
 from .scratch import Scratch, bound_batches
 from .textbytes import batch_bytes, mix, shingle_hashes, slices
 
-RATIO, SPARE = 1.25, 1
+RATIO = 1.25
 #: Most nodes and elements of a block; a tile compares two blocks.
 BLOCK_NODES, BLOCK_ELEMENTS = 1000, 400_000
 NULL_KEY = (1 << 63) - 1
@@ -34,12 +35,12 @@ NULL_KEY = (1 << 63) - 1
 class Scheme:
     """Bands, segments and allocations for Jaccard >= num / den over about ``rows`` sets."""
 
-    def __init__(self, num: int, den: int, rows: int, share: float = 1e-4, verify: float = 20.0):
+    def __init__(self, num: int, den: int, rows: int, share: float = 1e-5, verify: float = 20.0):
         self.num, self.den, self.rows, self.share, self.verify = num, den, rows, share, verify
         self.low = [1]
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * RATIO)))
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
 
     def top(self, band: int) -> int:
         """The largest size that a set of this band can be linked with."""
@@ -54,29 +55,37 @@ class Scheme:
             out.append(b)
         return out
 
-    def part(self, band: int) -> tuple[int, int]:
-        """Numbers of segments of allocation 1 and 2 (these of double width), by least cost.
+    def part(self, band: int) -> tuple[int, int, int]:
+        """Numbers of segments of allocation 1 and 2 (these of double width) and of empty ones to spare, by least cost.
 
-        Cost of a segment: its entries, plus ``verify`` times the false candidates expected of the band's rows (an
-        eighth of all), of which two share an element with probability ``share``; element counts are Poisson.
+        Cost of a set: its entries, and ``verify`` times the false candidates among the band's rows (an eighth of all):
+        sets with more empty segments than there are to spare meet in these, and two sets share an element with
+        probability ``share``. Element counts of segments are Poisson.
         """
         x, y = self.low[band + 1] - 1, self.top(band)
         need = (x + y) * (self.den - self.num) // (self.den + self.num) + 1
         if need == 1:
-            return 1, 0
-        need += SPARE
-        n = (self.low[band] + x) / 2
-        z = n / need
-        false = lambda z: self.verify * self.rows / 8 * (math.exp(-(1 - self.share) * z) - math.exp(-z))
-        cost = lambda twos: (need - 2 * twos) * (1 + false(z)) + twos * (1 + 2 * z + false(2 * z))
-        twos = min(range(need // 2 + 1), key=cost)
-        return need - 2 * twos, twos
+            return 1, 0, 0
+
+        def cost(choice: tuple[int, int]) -> float:
+            spare, twos = choice
+            ones = need + spare - 2 * twos
+            z = self.low[band] / (need + spare)
+            mean = ones * math.exp(-z)
+            over = max(0.0, 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1))) if mean > 0 else 0.0
+            equal = lambda z: math.exp(-(1 - self.share) * z) - math.exp(-z)
+            false = over**2 + ones * equal(z) + twos * (equal(2 * z) * (1 + 2 * z) + math.exp(-4 * z))
+            return ones + twos * (1 + 2 * z) + self.verify * self.rows / 8 * false
+
+        spares = sorted({k for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64) if k <= need} | {need // 8, need // 4})
+        spare, twos = min(((e, t) for e in spares for t in sorted({(need + e) // 2 * k // 8 for k in range(9)})), key=cost)
+        return need + spare - 2 * twos, twos, spare
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
         """All signatures of a set of distinct 64-bit elements."""
         out = []
         for band in self.bands(len(x)):
-            ones, twos = self.parts.get(band) or self.parts.setdefault(band, self.part(band))
+            ones, twos, spare = self.parts.get(band) or self.parts.setdefault(band, self.part(band))
             salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
             y = mix(x ^ salt)
             seg = ((y >> np.uint64(32)) * np.uint64(ones + 2 * twos) >> np.uint64(32)).astype(np.int64)
@@ -90,7 +99,7 @@ class Scheme:
             name = lambda s, t, c, salt=salt: mix(t + mix(s.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + salt + (c << np.uint64(40))))
             full = name(np.arange(m), total, count)
             empty = np.flatnonzero(count[:ones] == 0)
-            if 0 < len(empty) <= SPARE:
+            if 0 < len(empty) <= spare:
                 full = np.delete(full, empty)
             out.append(full)
             if twos:

@@ -77,6 +77,9 @@ def test_allocation_prefers_deletions_only_where_they_pay():
     few, many = ngramjoin.Scheme(90, 100, 1000), ngramjoin.Scheme(90, 100, 10**13)
     band = few.bands(300)[0]
     assert few.part(band)[1] == 0 and many.part(band)[1] > 0
+    for scheme in (few, many):
+        ones, twos, spare = scheme.part(band)
+        assert ones + 2 * twos > spare + (scheme.low[band + 1] - 1 + scheme.top(band)) * 10 // 190
 
 
 def test_keep_one_each(docs_of):
