@@ -5,7 +5,8 @@ Sets are grouped by size band. A band fixes a partition of the hashed universe i
 such a pair some segment of allocation 1 is equal, or some of allocation 2 differs by one element at most, which the
 segment's own signature and those of its one-deletion neighbourhood find. Up to ``spare`` empty segments of allocation 1
 can be left out, as those that are equal are empty in both sets. The allocation is the cheapest by a cost model of entries
-and false candidates. Candidates are verified exactly on whole sets.
+and false candidates. More than one segment of a linked pair must agree if fewer are empty than were spared; sets that
+share less than that are no candidates. Candidates are verified exactly on whole sets.
 
 Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
 whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A group is
@@ -28,7 +29,7 @@ from .textbytes import batch_bytes, mix, shingle_hashes, slices
 
 RATIO = 1.25
 #: Most nodes and elements of a block; a tile compares two blocks.
-BLOCK_NODES, BLOCK_ELEMENTS = 1000, 400_000
+BLOCK_NODES, BLOCK_ELEMENTS = 1000, 1_000_000
 NULL_KEY = (1 << 63) - 1
 
 
@@ -81,9 +82,10 @@ class Scheme:
         spare, twos = min(((e, t) for e in spares for t in sorted({(need + e) // 2 * k // 8 for k in range(9)})), key=cost)
         return need + spare - 2 * twos, twos, spare
 
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """All signatures of a set of distinct 64-bit elements."""
-        out = []
+    def signatures(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures of a set of distinct 64-bit elements, and for each (band << 16) + how many of that band's the
+        set shares with any set that it is linked with there: at least that many, or one."""
+        out, needs = [], []
         for band in self.bands(len(x)):
             ones, twos, spare = self.parts.get(band) or self.parts.setdefault(band, self.part(band))
             salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -99,13 +101,17 @@ class Scheme:
             name = lambda s, t, c, salt=salt: mix(t + mix(s.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + salt + (c << np.uint64(40))))
             full = name(np.arange(m), total, count)
             empty = np.flatnonzero(count[:ones] == 0)
+            least = 1 + spare - len(empty) if len(empty) <= spare else 1
+            least = -(-least // 2) if twos else least
             if 0 < len(empty) <= spare:
                 full = np.delete(full, empty)
             out.append(full)
             if twos:
                 s = seg[seg >= ones]
                 out.append(name(s, total[s] - y[seg >= ones], count[s] - np.uint64(1)))
-        return np.unique(np.concatenate(out))
+            needs.append(np.full(sum(map(len, out)) - sum(map(len, needs)), band << 16 | min(least, 0xFFFF), np.int32))
+        sig, first = np.unique(np.concatenate(out), return_index=True)
+        return sig, np.concatenate(needs)[first]
 
 
 def _digests(sets: list[np.ndarray]) -> list[bytes]:
@@ -128,8 +134,19 @@ def links_of(sets: list[np.ndarray], num: int, den: int, columns: int = 4096) ->
     row, code = row[keep], number[code[keep]]
     o = np.argsort(code, kind="stable")
     row, code = row[o], code[o]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for a in range(0, int(shared.sum()), columns):
+    m = len(sets)
+    both = np.zeros((m, m), np.float32)
+    times = np.bincount(code, minlength=1)
+    starts = np.concatenate(([0], np.cumsum(times)))[:-1]
+    for c in range(2, 9):  # elements of few sets: their pairs
+        at = starts[times == c]
+        for i in range(c if len(at) else 0):
+            for j in range(i + 1, c):
+                pairs = np.bincount(row[at + i] * m + row[at + j], minlength=m * m).reshape(m, m)
+                both += pairs + pairs.T
+    often = times[code] > 8
+    row, code = row[often], (np.cumsum(times > 8) - 1)[code[often]]
+    for a in range(0, int((times > 8).sum()), columns):
         x, y = np.searchsorted(code, (a, a + columns))
         m = np.zeros((len(sets), columns), np.float32)
         m[row[x:y], code[x:y] - a] = 1
@@ -168,13 +185,12 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 nodes = _digests(sets)
                 key = mix(ids[a:b].astype(np.uint64) ^ np.uint64(77)).astype(np.int64)
-                yield _rows(2, key, nodes, k=ids[a:b], n=np.array([len(x) for x in sets], np.int32))
-                for x, node in zip(sets, nodes):
+                yield _rows(2, key, ids[a:b], node=nodes, n=np.array([len(x) for x in sets], np.int32))
+                for x, node, k in zip(sets, nodes, ids[a:b].tolist()):
                     if len(x) and node not in seen:
                         seen.add(node)
-                        s = scheme.signatures(x)
-                        held.append((s, node))
-                        n += len(s)
+                        held.append((*scheme.signatures(x), k))
+                        n += len(held[-1][0])
             if n > 2_000_000:
                 yield from first_of_each(held)
                 held, n, seen = [], 0, set()
@@ -183,33 +199,31 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     def first_of_each(held):
         if not held:
             return
-        sig = np.concatenate([s for s, _ in held])
-        doc = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+        sig, need = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        k = np.repeat(np.array([x[2] for x in held]), [len(x[0]) for x in held])
         o = np.argsort(sig, kind="stable")
-        sig, doc = sig[o], doc[o]
+        sig, need, k = sig[o], need[o], k[o]
         head = np.ones(len(sig), bool)
         head[1:] = sig[1:] != sig[:-1]
         several = ~head
         several[:-1] |= ~head[1:]
-        start = np.frombuffer(b"".join(x[:8] for _, x in held), np.uint64)
-        nodes = [x for _, x in held]
         for pick, kind in ((np.flatnonzero(head), 0), (np.flatnonzero(several), 1)):
-            for a in range(0, len(pick), 50_000):
-                z = pick[a : a + 50_000]
-                mine = [nodes[d] for d in doc[z].tolist()]
+            for a in range(0, len(pick), 100_000):
+                z = pick[a : a + 100_000]
+                name = sig[z].astype(np.int64)
                 if kind:  # known to share its signature: travels under a key of its own
-                    yield _rows(1, mix(sig[z] ^ start[doc[z]]).astype(np.int64), mine, sig=sig[z].astype(np.int64))
+                    yield _rows(1, mix(sig[z] ^ mix(k[z].astype(np.uint64))).astype(np.int64), k[z], sig=name, need=need[z])
                 else:
-                    yield _rows(0, sig[z].astype(np.int64), mine)
+                    yield _rows(0, name, k[z], need=need[z])
 
-    def _rows(kind, p, node, sig=None, k=None, n=None):
+    def _rows(kind, p, k, sig=None, need=None, node=None, n=None):
         column = lambda x, t: pa.nulls(len(p), t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(node, pa.binary()), column(sig, pa.int64()), column(k, pa.int64()), column(n, pa.int32())], names=["kind", "p", "node", "sig", "k", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(k), column(sig, pa.int64()), column(need, pa.int32()), column(node, pa.binary()), column(n, pa.int32())], names=["kind", "p", "k", "sig", "need", "node", "n"])
 
-    found = docs.mapInArrow(sign, "kind byte, p long, node binary, sig long, k long, n int")
+    found = docs.mapInArrow(sign, "kind byte, p long, k long, sig long, need int, node binary, n int")
     nodes_here = F.count(F.when(F.col("kind") == 0, 1)).over(Window.partitionBy("p"))
     shared = found.withColumn("here", nodes_here).where((F.col("kind") > 0) | (F.col("here") > 1))
-    return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "node", "k", "n")
+    return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "k", "need", "node", "n")
 
 
 def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,8 +276,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     scheme = Scheme(num, den, docs.count() if rows is None else rows)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.col(text).cast("string").alias("t"))
     table = scratch.write(_candidates(texts, words, scheme))
-    sharing = table.where("kind < 2").select("sig", "node").distinct()
+    enough = lambda rows, who: rows.groupBy(who, "need").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need").bitwiseAND(0xFFFF)).select(who, "need")
+    sharing = table.where("kind < 2").select("sig", "k", "need")
+    sharing = sharing.join(enough(sharing, "k"), ["k", "need"])
+    sharing = sharing.join(table.where("kind = 2").select("k", "node").distinct(), "k").select("sig", "node", "need").distinct()
     counted = scratch.write(sharing.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"))
+    counted = counted.join(enough(counted, "node"), ["node", "need"]).select("sig", "node", "c")
     central = counted.groupBy("node").agg(F.sum("c").alias("weight"))
     leads = counted.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
     groups = scratch.write(counted.join(leads, "sig").select("lead", "node").distinct())
