@@ -1,0 +1 @@
+"""Evaluation analytics for text-generation systems on Spark DataFrames."""
