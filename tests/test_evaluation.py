@@ -189,7 +189,7 @@ def test_json_cache(spark, tmp_path):
 def flaky():
     class Flaky:
         def infer(self, prompt, temperature):
-            if "refuse" in prompt:
+            if "refuse this" in prompt:
                 return "483"
             if "bad" in prompt:
                 raise RuntimeError("no")
