@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now: it does so when the driver finds them unreachable, in the
+    second of two collections, and would else wait for its own."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
+
+
 class Scratch:
     """Writes tables into a folder of its own and drops them when they are no longer read."""
 
@@ -32,7 +43,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
-        self.spark._jvm.System.gc()  # the shuffle files of the finished plan go as soon as it is unreachable
+        release(self.spark)
         return out
 
     def drop(self, df: DataFrame) -> None:
