@@ -76,6 +76,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with each row as often as the mix takes it whole; a row of which a part is taken counts as one more."""
-    times = mixed.groupBy(key).agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("_times"))
-    rows = docs.join(times.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mixed.groupBy(F.col(key).alias("k")).agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("times"))
+    rows = docs.select(F.col(key).alias("id"), F.struct(*docs.columns).alias("row")).join(times, F.col("id").eqNullSafe(F.col("k")))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

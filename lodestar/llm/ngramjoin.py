@@ -311,7 +311,7 @@ def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
     """One row of ``docs`` of each component: that with its smallest key; of rows that repeat this key, one."""
     id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_KEY))
     parts = jaccard_components(docs, key=key, text=text, **how)
-    kept = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(id_of(key).alias("_k")).distinct()
-    rows = docs.withColumn("_k", id_of(key)).join(kept, "_k")
-    one = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(text)))
-    return rows.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    kept = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(id_of(key).alias("k")).distinct()
+    rows = docs.select(id_of(key).alias("k"), F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("row")).join(kept, "k")
+    one = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+    return rows.withColumn("n", one).where("n = 1").select("row.*")
