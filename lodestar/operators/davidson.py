@@ -107,6 +107,17 @@ def probabilities(strengths: DataFrame, *by: str) -> DataFrame:
     return pairs.select(*by, "i", "j", (F.col("si") / d).alias("p_i"), (F.col("sj") / d).alias("p_j"), (t / d).alias("p_tie")).withColumn("entropy", h("p_i") + h("p_j") + h("p_tie"))
 
 
+def log_likelihood(counts: DataFrame, strengths: DataFrame, *by: str) -> DataFrame:
+    """Log likelihood of pair counts (i, j, w_ij, w_ji, t_ij) under ``strengths`` (i, strength, tie; few rows), per group."""
+    si = strengths.select("i", F.col("strength").alias("si"), "tie")
+    sj = strengths.select(F.col("i").alias("j"), F.col("strength").alias("sj"))
+    rows = counts.join(F.broadcast(si), "i").join(F.broadcast(sj), "j")
+    t = F.col("tie") * F.sqrt(F.col("si") * F.col("sj"))
+    d = F.col("si") + F.col("sj") + t
+    value = F.col("w_ij") * F.ln(F.col("si") / d) + F.col("w_ji") * F.ln(F.col("sj") / d) + F.col("t_ij") * F.ln(t / d)
+    return rows.groupBy(*by).agg(F.round(F.sum(value), 4).alias("log_likelihood"))
+
+
 def next_pair(pairs: DataFrame, threshold: float = 1.09054, *by: str) -> DataFrame:
     """The most uncertain pair of each group, if its entropy reaches the threshold (ln 3 is the most there can be)."""
     first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("entropy"), "i", "j"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.stats import normal_cdf
 from .functions.text import coin_flip, json_scores, seeded_order, tail_score, verdict
+from . import part_queries
 from .operators import coherence as coh
 from .operators import davidson as dv
 from .operators import pairing, pairwise, scores
@@ -328,3 +329,6 @@ SELECT j.judge, coalesce(decisions, 0) AS decisions, coalesce(agreements, 0) AS
     "pair_entropy": f"WITH {_ENT} SELECT i, j, round(p_i, 6) AS p_i, round(p_j, 6) AS p_j, round(p_tie, 6) AS p_tie, round(entropy, 6) AS entropy FROM en",
     "pair_entropy_top1": f"WITH {_ENT} SELECT language, i, j, round(entropy, 6) AS entropy FROM (SELECT *, i % 2 AS language, row_number() OVER (PARTITION BY i % 2 ORDER BY entropy DESC, i, j) AS k FROM en WHERE entropy >= 0.9) WHERE k = 1",
 }
+
+QUERIES |= part_queries.QUERIES
+ORACLE |= part_queries.oracle(_RANK, _COH, _TR, _COMP, _PHI)

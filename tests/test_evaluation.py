@@ -244,3 +244,17 @@ def test_latency_stream(spark, tmp_path):
     q.stop()
     assert sorted((r.n, r.total) for r in spark.table("lat").collect()) == [(1, 1.0), (2, 4.0)]
     assert latency.summary(latency.read(spark, path)).first().total == 5.0
+
+
+def test_active_learning_query_compares_three_more_pairs(spark):
+    from lodestar.part_queries import active_learning
+
+    got = {(r.a_id, r.b_id): r.n for r in active_learning(spark, "").collect()}
+    assert got.pop((0, 1)) == 3 and len(got) == 3 and set(got.values()) == {1} and all(0 <= a < b < 4 for a, b in got)
+
+
+def test_log_likelihood_is_the_one_that_the_fit_reports(spark):
+    counts = spark.createDataFrame([("x", 0, 1, 5, 3, 2), ("x", 0, 2, 1, 4, 0), ("x", 1, 2, 2, 2, 2)], "g string, i int, j int, w_ij long, w_ji long, t_ij long")
+    fitted = davidson.fit(counts, 3, "g").collect()
+    strengths = spark.createDataFrame([(r.i, r.strength, r.tie) for r in fitted], "i int, strength double, tie double")
+    assert davidson.log_likelihood(counts, strengths, "g").first().log_likelihood == pytest.approx(fitted[0].log_likelihood, abs=1e-4)
