@@ -1,4 +1,9 @@
-"""Substring deduplication by content-defined chunks: a gear rolling hash cuts, digests find chunks seen before."""
+"""Substring deduplication by content-defined chunks: a gear rolling hash cuts, digests find chunks seen before.
+
+Chunks alone miss the ends of a passage, and short passages whole. So windows of ``SEED`` bytes, the least by gear hash of
+each ``SPREAD`` consecutive ones, are looked up too: any repeat of SEED + SPREAD - 1 bytes holds one. A window found is
+extended byte by byte against the text where it occurs first.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import Scratch, bound_batches
 from .textbytes import OTHER_CODES, RangeHash, batch_bytes, mix, slices
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 NULL_KEY = (1 << 63) - 1
+SEED, SPREAD = 64, 64
+#: Bytes beside a window that are compared (more than SPREAD, the most to a border or the next window), and the most bytes between windows of a slice.
+CONTEXT, SLICE = 128, 4096
+#: Windows are numbered from here by their place, chunks from 0 by their order.
+AT = 1 << 30
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -61,8 +71,35 @@ def cut(data: np.ndarray, offsets: np.ndarray, bits: int, least: int, most: int)
     return np.array(ends, np.int64), np.array(first, np.int64)
 
 
+def seeds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the windows that are looked up: for each SPREAD consecutive windows of a document that with the least hash."""
+    n = len(data) - SEED - SPREAD + 2
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least = (gear_hashes(data)[SEED - 1 :].astype(np.uint64) << np.uint64(32)) + np.arange(len(data) - SEED + 1, dtype=np.uint64)
+    w = 1
+    while w < SPREAD:
+        least = np.minimum(least[:-w], least[w:])
+        w *= 2
+    inside = np.zeros(n + 1, np.int64)
+    for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - SEED - SPREAD + 2).tolist()):
+        if b > a:
+            inside[a] += 1
+            inside[b] -= 1
+    at = (least[np.cumsum(inside)[:n] > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1]))]
+
+
+def equal_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal ranges of SEED bytes or more in which x and y agree."""
+    n = min(len(x), len(y))
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], x[:n] == y[:n], [False])).astype(np.int8)))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= SEED]
+
+
 def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False) -> DataFrame:
-    """Remove runs of chunks, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before).
+    """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in chunks
+    or in equal ranges of SEED bytes or more; a repeat of SEED + SPREAD bytes is found whatever surrounds it.
 
     Returns ``key``, n_bytes, n_chunks, n_removed, n_spans, text (what is left); with ``columns`` the rows of ``docs``
     with the text replaced instead. A chunk is known by a 96-bit digest of its bytes and length. Each map task forwards a digest once (its other chunks are known to be later), so a passage in
@@ -71,6 +108,7 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    scratch = Scratch(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("u"), F.col(text).cast("string").alias("t"))
 
     def chunks(batches):
@@ -82,12 +120,19 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 ends, first = cut(part, o, bits, least, most)
                 if len(ends):
-                    starts = np.concatenate(([0], ends[:-1]))
-                    digest = mix(RangeHash(part)(starts, ends) + (ends - starts).astype(np.uint64))
-                    doc = np.repeat(np.arange(a, b), np.diff(first))
-                    other = (RangeHash(part, OTHER_CODES)(starts, ends) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    held.append((digest.astype(np.int64), other, ids[doc], us[doc], (np.arange(len(ends)) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)))
-                    n += len(ends)
+                    starts, at = np.concatenate(([0], ends[:-1])), seeds(part, o)
+                    one, two = RangeHash(part), RangeHash(part, OTHER_CODES)
+                    of = np.searchsorted(o, at, "right") - 1
+                    seed = mix((one(at, at + SEED) + np.uint64(SEED)) ^ np.uint64(0x5EED5EED))
+                    inner = np.zeros(len(at), bool)  # of windows that recur within SPREAD bytes, the first and last say all
+                    inner[1:-1] = (seed[1:-1] == seed[:-2]) & (seed[1:-1] == seed[2:]) & (of[:-2] == of[2:]) & (at[2:] - at[1:-1] < SPREAD) & (at[1:-1] - at[:-2] < SPREAD)
+                    at, of, seed = at[~inner], of[~inner], seed[~inner]
+                    digest = np.concatenate((mix(one(starts, ends) + (ends - starts).astype(np.uint64)), seed))
+                    doc = a + np.concatenate((np.repeat(np.arange(b - a), np.diff(first)), of))
+                    other = (np.concatenate((two(starts, ends), two(at, at + SEED))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    number = np.concatenate((np.arange(len(ends)) - np.repeat(first[:-1], np.diff(first)), AT + at - o[of]))
+                    held.append((digest.astype(np.int64), other, ids[doc], us[doc], number.astype(np.int32)))
+                    n += len(digest)
             if n > 1_500_000:
                 yield from once(held)
                 held, n = [], 0
@@ -108,17 +153,39 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
         run = np.maximum.accumulate(np.where(again | ~same, np.arange(len(d)), 0))
         keep = ~same
         again = again[run]
+        head = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(len(d)), 0))
+        source, sure = [x[head] for x in (k, u, i)], again & (i >= AT)
         d = np.where(again, mix(d.astype(np.uint64) ^ mix(k.astype(np.uint64) * np.uint64(31) + i.astype(np.uint64))).astype(np.int64), d)
         for a in range(0, len(d), 100_000):
             z = slice(a, a + 100_000)
             m = keep[z]
-            yield pa.RecordBatch.from_arrays([pa.array(x[z][m]) for x in (d, e, k, u, i, again)], names=["d", "e", "k", "u", "i", "again"])
+            places = [pa.array(x[z][m], mask=~sure[z][m]) for x in source]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, e, k, u, i, again)), *places], names=["d", "e", "k", "u", "i", "again", "k0", "u0", "i0"])
 
-    found = rows.mapInArrow(chunks, "d long, e int, k long, u long, i int, again boolean")
+    found = rows.mapInArrow(chunks, "d long, e int, k long, u long, i int, again boolean, k0 long, u0 long, i0 int")
     order = Window.partitionBy("d", "e").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
     later = found.withColumn("first", F.first(place).over(order)).where(F.col("again") | (place != F.col("first")))
-    marks = later.groupBy("k", "u").agg(F.collect_set("i").alias("marks"))
+    source = [F.when(F.col("again"), F.col(f"{c}0")).otherwise(F.col("first")[c]).alias(f"{c}0") for c in ("k", "u", "i")]
+    later = scratch.write(later.select("k", "u", "i", *source))
+    marks = later.where(F.col("i") < AT).groupBy("k", "u").agg(F.collect_set("i").alias("marks"))
+    # windows of one document and source at one distance are compared in one slice of the source
+    distance = (F.col("i") - F.col("i0")).alias("distance")
+    spans = later.where(F.col("i") >= AT).select("k", "u", "k0", "u0", distance, (F.col("i") - AT).alias("at")).groupBy("k", "u", "k0", "u0", "distance", F.floor(F.col("at") / SLICE)).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    spans = scratch.write(spans.select("k", "u", "k0", "u0", "distance", "lo", "hi"))
+    sources = rows.select(F.col("k").alias("k0"), F.col("u").alias("u0"), "t").join(spans.select("k0", "u0").distinct(), ["k0", "u0"], "left_semi").dropDuplicates(["k0", "u0"])
+
+    def slices_of(batches):
+        for batch in batches:
+            data, offsets = batch_bytes(batch.column(5))
+            away, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+            a = offsets[:-1] + np.maximum(np.maximum(lo - away - CONTEXT, 0), -away)
+            b = np.minimum(offsets[:-1] + hi - away + SEED + CONTEXT, offsets[1:])
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a - offsets[:-1] + away), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())], names=["k", "u", "start", "piece"])
+
+    pieces = scratch.write(spans.join(sources, ["k0", "u0"]).select("k", "u", "distance", "lo", "hi", "t").mapInArrow(slices_of, "k long, u long, start long, piece binary"))
+    pieces = pieces.groupBy("k", "u").agg(F.collect_list(F.struct("start", "piece")).alias("pieces"))
     schema = docs.schema if columns else f"`{key}` long, n_bytes long, n_chunks long, n_removed long, n_spans long, text string"
     carry = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("u")) if columns else rows
 
@@ -128,7 +195,7 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
             source = pa.RecordBatch.from_struct_array(batch.column("row")) if columns else batch
             texts = source.column(text if columns else "t")
             data, offsets = batch_bytes(texts)
-            flags = batch.column(names.index("marks")).to_pylist()
+            flags, pieces = (batch.column(names.index(c)).to_pylist() for c in ("marks", "pieces"))
             out, facts = [], []
             for a, b in slices(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -136,14 +203,23 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
                 raw = part.tobytes()
                 for j in range(b - a):
                     bounds = [int(o[j]), *ends[first[j] : first[j + 1]].tolist()]
-                    marked, spans, start = set(flags[a + j] or ()), [], None
-                    for c in range(len(bounds)):
-                        if c < len(bounds) - 1 and c in marked:
-                            start = bounds[c] if start is None else start
-                        elif start is not None:
-                            if bounds[c] - start >= min_bytes:
-                                spans.append((start, bounds[c]))
-                            start = None
+                    known = [(bounds[c], bounds[c + 1]) for c in flags[a + j] or ()]
+                    for x in pieces[a + j] or ():
+                        s = int(o[j]) + x["start"]
+                        known += [(s + c, s + e) for c, e in equal_runs(np.frombuffer(x["piece"], np.uint8), part[s : o[j + 1]])]
+                    spans, runs = [], []
+                    for s, e in sorted(known):
+                        if runs and s <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], e)
+                        else:
+                            runs.append([s, e])
+                    for s, e in runs:  # whole characters
+                        while s < e and raw[s] & 0xC0 == 0x80:
+                            s += 1
+                        while s < e < int(o[j + 1]) and raw[e] & 0xC0 == 0x80:
+                            e -= 1
+                        if e - s >= min_bytes:
+                            spans.append((s, e))
                     at, keep = int(o[j]), []
                     for s, e in spans:
                         keep.append(raw[at:s])
@@ -159,4 +235,4 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
                 k = pa.array([None if x == NULL_KEY else x for x in k.to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([k, *(pa.array([f[q] for f in facts], pa.int64()) for q in range(4)), left_over], names=[key, "n_bytes", "n_chunks", "n_removed", "n_spans", "text"])
 
-    return carry.join(marks, ["k", "u"], "left").mapInArrow(left, schema)
+    return carry.join(marks, ["k", "u"], "left").join(pieces, ["k", "u"], "left").mapInArrow(left, schema)

@@ -234,3 +234,20 @@ def test_quality_learns_and_handles_odd_rows(spark, docs_of):
 def test_quality_with_one_class(docs_of, spark, y):
     labels = spark.createDataFrame([(1, y)], "doc_id long, quality int")
     assert [r.score for r in quality.score_quality(docs_of([(1, "a b"), (2, "c")]), labels).collect()] == [float(y)] * 2
+
+
+def test_chunks_remove_short_passages_to_their_borders(docs_of):
+    """Passages of 51 to 60 words that stand in two documents with other surroundings, many of them."""
+    rng = random.Random(51)
+    rows, passages = [], []
+    for n in range(300):
+        passage = _prose(rng, 51 + n % 10)
+        texts = [(_prose(rng, rng.randrange(20, 60)), _prose(rng, rng.randrange(20, 60))) for _ in range(2)]
+        rows += [(2 * n + i, f"{a} {passage} {b}") for i, (a, b) in enumerate(texts)]
+        passages.append((passage, texts[1]))
+    got = {r.doc_id: r for r in chunks.dedup_chunks(docs_of(rows)).collect()}
+    for n, (passage, (before, after)) in enumerate(passages):
+        assert got[2 * n].text == rows[2 * n][1]
+        left = got[2 * n + 1]
+        assert left.n_spans == 1 and left.n_removed >= len(passage.encode()) + 2
+        assert len(before + after) - 8 <= len(left.text) <= len(before + after)
