@@ -179,13 +179,13 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
         seen: set[bytes] = set()
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, offsets = batch_bytes(batch.column(1))
             for a, b in slices(offsets):
                 sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 nodes = _digests(sets)
                 key = mix(ids[a:b].astype(np.uint64) ^ np.uint64(77)).astype(np.int64)
-                yield _rows(2, key, ids[a:b], node=nodes, n=np.array([len(x) for x in sets], np.int32))
+                yield _rows(2, key, ids[a:b], id=keys[a:b], node=nodes, n=np.array([len(x) for x in sets], np.int32))
                 for x, node, k in zip(sets, nodes, ids[a:b].tolist()):
                     if len(x) and node not in seen:
                         seen.add(node)
@@ -216,14 +216,14 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 else:
                     yield _rows(0, name, k[z], need=need[z])
 
-    def _rows(kind, p, k, sig=None, need=None, node=None, n=None):
+    def _rows(kind, p, k, sig=None, need=None, id=None, node=None, n=None):
         column = lambda x, t: pa.nulls(len(p), t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(k), column(sig, pa.int64()), column(need, pa.int32()), column(node, pa.binary()), column(n, pa.int32())], names=["kind", "p", "k", "sig", "need", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(k), column(sig, pa.int64()), column(need, pa.int32()), column(id, pa.int64()), column(node, pa.binary()), column(n, pa.int32())], names=["kind", "p", "k", "sig", "need", "id", "node", "n"])
 
-    found = docs.mapInArrow(sign, "kind byte, p long, k long, sig long, need int, node binary, n int")
+    found = docs.mapInArrow(sign, "kind byte, p long, k long, sig long, need int, id long, node binary, n int")
     nodes_here = F.count(F.when(F.col("kind") == 0, 1)).over(Window.partitionBy("p"))
     shared = found.withColumn("here", nodes_here).where((F.col("kind") > 0) | (F.col("here") > 1))
-    return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "k", "need", "node", "n")
+    return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "k", "need", "id", "node", "n")
 
 
 def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,19 +262,18 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.mapInArrow(compare, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
-    """Components of rows linked at Jaccard >= num / den of distinct ``words``-word shingles: ``key``, n_shingles, component_id.
+def _row_id(key: str, text: str) -> F.Column:
+    """What stands for a row: a hash of its key and text, so rows of one key, or without, stay apart if their texts differ."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
 
-    Words are runs of bytes other than space and 0x09 to 0x0D, A-Z in lower case. A text with fewer words is one shingle
-    of all its words; null texts and such without words have no shingle and are linked with nothing. ``component_id`` is
-    the smallest key reachable. Rows with equal sets are linked, repeated rows too; rows without words keep their own
-    key; null keys come last. ``rows`` (else the table's count) only steers the allocation's cost model.
-    """
+
+def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, key: str, text: str, rows: int | None) -> DataFrame:
+    """Of each row: k (see ``_row_id``), its key as id (NULL_KEY for null), n shingles, and c, the component of its own set."""
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
     scheme = Scheme(num, den, docs.count() if rows is None else rows)
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.col(text).cast("string").alias("t"))
+    texts = docs.select(_row_id(key, text).alias("k"), F.col(text).cast("string").alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("id"))
     table = scratch.write(_candidates(texts, words, scheme))
     enough = lambda rows, who: rows.groupBy(who, "need").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need").bitwiseAND(0xFFFF)).select(who, "need")
     sharing = table.where("kind < 2").select("sig", "k", "need")
@@ -296,22 +295,38 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
                 real = [(d, x.tobytes()) for d, x, w in zip(_digests(sets), sets, batch.column(2).slice(a, b - a).to_pylist()) if d == w]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in real], pa.binary()) for i in (0, 1)], names=["node", "x"])
 
-    sets = scratch.write(texts.join(wanted, "k").select("k", "t", "node").mapInArrow(build, "node binary, x binary").dropDuplicates(["node"]))
+    sets = scratch.write(texts.select("k", "t").join(wanted, "k").select("k", "t", "node").mapInArrow(build, "node binary, x binary").dropDuplicates(["node"]))
     links = scratch.write(_linked(groups, sets, num, den))
     parts = components(links, scratch)
-    rows_of = table.where("kind = 2").select("k", "n", "node").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = rows_of.where("n > 0").groupBy("c").agg(F.min("k").alias("component_id"))
+    return table.where("kind = 2").select("k", "id", "n", "node").join(parts, "node", "left").select("k", "id", "n", F.coalesce("component", "node").alias("c"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
+    """Components of rows linked at Jaccard >= num / den of distinct ``words``-word shingles: ``key``, n_shingles, component_id.
+
+    Words are runs of bytes other than space and 0x09 to 0x0D, A-Z in lower case. A text with fewer words is one shingle
+    of all its words; null texts and such without words have no shingle and are linked with nothing. ``component_id`` is
+    the smallest key reachable. Rows with equal sets are linked, repeated rows too; rows without words keep their own
+    key; null keys come last. ``rows`` (else the table's count) only steers the allocation's cost model.
+    """
+    rows_of = _components_of_rows(docs, words, num, den, key, text, rows)
+    least = rows_of.where("n > 0").groupBy("c").agg(F.min("id").alias("component_id"))
     out = rows_of.join(least, "c", "left")
     plain = lambda c: F.when(c == NULL_KEY, F.lit(None)).otherwise(c)
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k"))
-    return out.select(plain(F.col("k")).alias(key), F.col("n").cast("long").alias("n_shingles"), plain(component).alias("component_id"))
-
-
-def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` of each component: that with its smallest key; of rows that repeat this key, one."""
-    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_KEY))
-    parts = jaccard_components(docs, key=key, text=text, **how)
-    kept = parts.where(F.col(key).eqNullSafe(F.col("component_id"))).select(id_of(key).alias("k")).distinct()
-    rows = docs.select(id_of(key).alias("k"), F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("row")).join(kept, "k")
-    one = F.row_number().over(Window.partitionBy("k").orderBy("h"))
-    return rows.withColumn("n", one).where("n = 1").select("row.*")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(plain(F.col("id")).alias(key), F.col("n").cast("long").alias("n_shingles"), plain(component).alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
+    """One row of ``docs`` of each component, one with its smallest key (null keys last); all rows without words.
+
+    Components are of the rows' own sets: rows that share a key, or have none, count as separate documents.
+    """
+    parts = _components_of_rows(docs, words, num, den, key, text, rows)
+    chosen = parts.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "k")).getField("k").alias("k")).select("k", F.lit(False).alias("all"))
+    kept = chosen.union(parts.where("n = 0").select("k", F.lit(True)).distinct())
+    found = docs.select(_row_id(key, text).alias("k"), F.struct(*docs.columns).alias("row")).join(kept, "k")
+    # rows equal in key and text: one with words, all without
+    copy = F.when(F.col("all"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    one = F.row_number().over(Window.partitionBy("k", "copy").orderBy("all"))
+    return found.withColumn("copy", copy).withColumn("n", one).where("n = 1").select("row.*")

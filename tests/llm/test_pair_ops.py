@@ -197,3 +197,15 @@ def test_remove_repeats_against_all_windows(docs_of, monkeypatch, block):
 
 def test_remove_repeats_empty(docs_of):
     assert suffixes.remove_repeats(docs_of([])).count() == 0
+
+
+def test_keep_one_each_judges_rows_by_their_own_text(docs_of):
+    """Null ids are separate rows, and of rows that repeat an id each stays or goes by its own text."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    base, alone, other = text(), text(), text()
+    near = " ".join(base.split()[:-1] + ["changed"])
+    nulls = [(None, text()) for _ in range(8)]
+    rows = [(3, base), (7, near), (7, alone), (8, other), (8, text()), (None, near), *nulls, (None, nulls[0][1]), (None, None), (None, ""), (9, ""), (9, " ")]
+    got = ngramjoin.keep_one_each(docs_of(rows), words=5, num=8, den=10)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, base), (7, alone), *rows[3:5], *nulls, *rows[-4:]]))
