@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunks: a gear rolling hash cuts, digests find chunks seen before.
 
 Chunks alone miss the ends of a passage, and short passages whole. So windows of ``SEED`` bytes, the least by gear hash of
-each ``SPREAD`` consecutive ones, are looked up too: any repeat of SEED + SPREAD - 1 bytes holds one. A window found is
-extended byte by byte against the text where it occurs first.
+each ``SPREAD`` consecutive ones, are looked up too: any repeat of SEED + SPREAD - 1 bytes holds one. A digest only says
+where to look: chunks and windows found are compared byte by byte with the text where they occur first, and extended to
+the borders of what is equal.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches
-from .textbytes import OTHER_CODES, RangeHash, batch_bytes, mix, slices
+from .scratch import Scratch
+from .skew import Identified, join_split
+from .textbytes import RangeHash, batch_bytes, mix, slices
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-NULL_KEY = (1 << 63) - 1
 SEED, SPREAD = 64, 64
-#: Bytes beside a window that are compared (more than SPREAD, the most to a border or the next window), and the most bytes between windows of a slice.
+#: The least range of equal bytes that counts.
+EQUAL = 32
+#: Bytes compared beside what a digest found (more than SPREAD, the most to a border or the next window), and the most
+#: bytes between finds of a slice.
 CONTEXT, SLICE = 128, 4096
-#: Windows are numbered from here by their place, chunks from 0 by their order.
-AT = 1 << 30
+#: A place is its byte times 2**LENGTH, plus the bytes of its chunk or window.
+LENGTH = 20
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -91,48 +95,62 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal ranges of SEED bytes or more in which x and y agree."""
+    """Maximal ranges of EQUAL bytes or more in which x and y agree."""
     n = min(len(x), len(y))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], x[:n] == y[:n], [False])).astype(np.int8)))
-    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= SEED]
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= EQUAL]
 
 
-def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False) -> DataFrame:
-    """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in chunks
-    or in equal ranges of SEED bytes or more; a repeat of SEED + SPREAD bytes is found whatever surrounds it.
+def places_of(part: np.ndarray, o: np.ndarray, bits: int, least: int, most: int):
+    """Chunks and windows of a buffer: document, place, and a 64-bit and a 32-bit digest of the bytes."""
+    ends, first = cut(part, o, bits, least, most)
+    if not len(ends):
+        return None
+    starts, at, h = np.concatenate(([0], ends[:-1])), seeds(part, o), RangeHash(part)
+    of = np.searchsorted(o, at, "right") - 1
+    seed = mix(h(at, at + SEED) ^ np.uint64(0x5EED5EED))
+    # of windows that recur within SPREAD bytes, the first and last say all
+    inner = np.zeros(len(at), bool)
+    inner[1:-1] = (seed[1:-1] == seed[:-2]) & (seed[1:-1] == seed[2:]) & (of[:-2] == of[2:])
+    inner[1:-1] &= (at[2:] - at[1:-1] < SPREAD) & (at[1:-1] - at[:-2] < SPREAD)
+    at, of, seed = at[~inner], of[~inner], seed[~inner]
+    doc = np.concatenate((np.repeat(np.arange(len(o) - 1), np.diff(first)), of))
+    s, e = np.concatenate((starts, at)), np.concatenate((ends, at + SEED))
+    one = np.concatenate((h(starts, ends), seed)).view(np.int64)
+    two = (h(s, e, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return doc, (s - o[doc] << LENGTH) + e - s, one, two
+
+
+def dedup_chunks(
+    docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
+) -> DataFrame:
+    """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in
+    equal ranges of EQUAL bytes or more around a chunk or window; a repeat of SEED + SPREAD bytes is found whatever
+    surrounds it.
 
     Returns ``key``, n_bytes, n_chunks, n_removed, n_spans, text (what is left); with ``columns`` the rows of ``docs``
-    with the text replaced instead. A chunk is known by a 96-bit digest of its bytes and length. Each map task forwards a digest once (its other chunks are known to be later), so a passage in
-    a third of all rows reaches a reducer once a task. Rows equal in key and text are one document and get the same
-    result; null keys come last; null text stays null and counts as empty; an empty table gives an empty result.
+    with the text replaced instead. Each map task forwards a digest once (its other places are known to be later), so a
+    passage in a third of all rows reaches a reducer once a task; its source is a block of bounded size that is
+    broadcast to the rows that repeat it. Rows equal in key and text are one document and get the same result; null keys
+    come last; null text stays null and counts as empty; an empty table gives an empty result; keys may be of any type
+    that sorts.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     scratch = Scratch(spark)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("u"), F.col(text).cast("string").alias("t"))
+    carry = Identified(docs, key, text, scratch).rows
+    rows = carry.select("k", "u", "t")
 
-    def chunks(batches):
+    def find(batches):
         held, n = [], 0
         for batch in batches:
             ids, us = (batch.column(i).to_numpy() for i in (0, 1))
             data, offsets = batch_bytes(batch.column(2))
             for a, b in slices(offsets):
-                part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ends, first = cut(part, o, bits, least, most)
-                if len(ends):
-                    starts, at = np.concatenate(([0], ends[:-1])), seeds(part, o)
-                    one, two = RangeHash(part), RangeHash(part, OTHER_CODES)
-                    of = np.searchsorted(o, at, "right") - 1
-                    seed = mix((one(at, at + SEED) + np.uint64(SEED)) ^ np.uint64(0x5EED5EED))
-                    inner = np.zeros(len(at), bool)  # of windows that recur within SPREAD bytes, the first and last say all
-                    inner[1:-1] = (seed[1:-1] == seed[:-2]) & (seed[1:-1] == seed[2:]) & (of[:-2] == of[2:]) & (at[2:] - at[1:-1] < SPREAD) & (at[1:-1] - at[:-2] < SPREAD)
-                    at, of, seed = at[~inner], of[~inner], seed[~inner]
-                    digest = np.concatenate((mix(one(starts, ends) + (ends - starts).astype(np.uint64)), seed))
-                    doc = a + np.concatenate((np.repeat(np.arange(b - a), np.diff(first)), of))
-                    other = (np.concatenate((two(starts, ends), two(at, at + SEED))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    number = np.concatenate((np.arange(len(ends)) - np.repeat(first[:-1], np.diff(first)), AT + at - o[of]))
-                    held.append((digest.astype(np.int64), other, ids[doc], us[doc], number.astype(np.int32)))
-                    n += len(digest)
+                got = places_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits, least, most)
+                if got:
+                    doc, place, one, two = got
+                    held.append((one, two, ids[a + doc], us[a + doc], place))
+                    n += len(doc)
             if n > 1_500_000:
                 yield from once(held)
                 held, n = [], 0
@@ -151,88 +169,95 @@ def dedup_chunks(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 10
         same[1:] = equal & ~again[1:]
         # one row of a repeated document stands for all; a known repeat travels under a digest of its own
         run = np.maximum.accumulate(np.where(again | ~same, np.arange(len(d)), 0))
-        keep = ~same
-        again = again[run]
+        keep, again = ~same, again[run]
         head = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(len(d)), 0))
-        source, sure = [x[head] for x in (k, u, i)], again & (i >= AT)
-        d = np.where(again, mix(d.astype(np.uint64) ^ mix(k.astype(np.uint64) * np.uint64(31) + i.astype(np.uint64))).astype(np.int64), d)
+        source = [x[head] for x in (k, u, i)]
+        own = mix(d.view(np.uint64) ^ mix(k.view(np.uint64) * np.uint64(31) + i.view(np.uint64)))
+        d = np.where(again, own.view(np.int64), d)
         for a in range(0, len(d), 100_000):
             z = slice(a, a + 100_000)
             m = keep[z]
-            places = [pa.array(x[z][m], mask=~sure[z][m]) for x in source]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, e, k, u, i, again)), *places], names=["d", "e", "k", "u", "i", "again", "k0", "u0", "i0"])
+            places = [pa.array(x[z][m], mask=~again[z][m]) for x in source]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, e, k, u, i)), *places], names=["d", "e", "k", "u", "i", "k0", "u0", "i0"])
 
-    found = rows.mapInArrow(chunks, "d long, e int, k long, u long, i int, again boolean, k0 long, u0 long, i0 int")
+    found = rows.mapInArrow(find, "d long, e int, k long, u long, i long, k0 long, u0 long, i0 long")
     order = Window.partitionBy("d", "e").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
-    later = found.withColumn("first", F.first(place).over(order)).where(F.col("again") | (place != F.col("first")))
-    source = [F.when(F.col("again"), F.col(f"{c}0")).otherwise(F.col("first")[c]).alias(f"{c}0") for c in ("k", "u", "i")]
-    later = scratch.write(later.select("k", "u", "i", *source))
-    marks = later.where(F.col("i") < AT).groupBy("k", "u").agg(F.collect_set("i").alias("marks"))
-    # windows of one document and source at one distance are compared in one slice of the source
-    distance = (F.col("i") - F.col("i0")).alias("distance")
-    spans = later.where(F.col("i") >= AT).select("k", "u", "k0", "u0", distance, (F.col("i") - AT).alias("at")).groupBy("k", "u", "k0", "u0", "distance", F.floor(F.col("at") / SLICE)).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    spans = scratch.write(spans.select("k", "u", "k0", "u0", "distance", "lo", "hi"))
-    sources = rows.select(F.col("k").alias("k0"), F.col("u").alias("u0"), "t").join(spans.select("k0", "u0").distinct(), ["k0", "u0"], "left_semi").dropDuplicates(["k0", "u0"])
-
-    def slices_of(batches):
-        for batch in batches:
-            data, offsets = batch_bytes(batch.column(5))
-            away, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
-            a = offsets[:-1] + np.maximum(np.maximum(lo - away - CONTEXT, 0), -away)
-            b = np.minimum(offsets[:-1] + hi - away + SEED + CONTEXT, offsets[1:])
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a - offsets[:-1] + away), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())], names=["k", "u", "start", "piece"])
-
-    pieces = scratch.write(spans.join(sources, ["k0", "u0"]).select("k", "u", "distance", "lo", "hi", "t").mapInArrow(slices_of, "k long, u long, start long, piece binary"))
+    later = found.withColumn("first", F.first(place).over(order)).where(F.col("k0").isNotNull() | (place != F.col("first")))
+    at, at0 = F.shiftright("i", LENGTH), F.shiftright(F.coalesce("i0", F.col("first.i")), LENGTH)
+    n = F.col("i").bitwiseAND((1 << LENGTH) - 1)
+    later = later.select("k", "u", *[F.coalesce(f"{c}0", F.col(f"first.{c}")).alias(f"{c}0") for c in "ku"], (at - at0).alias("away"), at.alias("at"), (at + n).alias("to"))
+    # what one document shares with one source at one distance is compared in slices
+    spans = later.groupBy("k", "u", "k0", "u0", "away", F.floor(F.col("at") / SLICE)).agg(F.min("at").alias("lo"), F.max("to").alias("hi"))
+    block = F.floor((F.col("lo") - F.col("away")) / SLICE).alias("block")
+    spans = scratch.write(spans.select("k", "u", "k0", "u0", "away", "lo", "hi", block))
+    begin, stop = F.greatest(F.col("lo") - F.col("away") - CONTEXT, F.lit(0)), F.col("hi") - F.col("away") + CONTEXT
+    blocks = spans.groupBy("k0", "u0", "block").agg(F.min(begin).alias("begin"), F.max(stop).alias("stop"), F.count("*").alias("weight"))
+    wanted = blocks.groupBy("k0", "u0").agg(F.collect_list(F.struct("block", "begin", "stop", "weight")).alias("blocks"))
+    sources = rows.select(F.col("k").alias("k0"), F.col("u").alias("u0"), F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("t")).join(wanted, ["k0", "u0"]).dropDuplicates(["k0", "u0"])
+    sources = sources.select("k0", "u0", "t", F.explode("blocks").alias("b")).select("k0", "u0", "b.*", F.expr("substring(t, cast(b.begin as int) + 1, cast(b.stop - b.begin as int))").alias("bytes"))
+    sources = scratch.write(sources.drop("stop"))
+    # slices of the source, from their place in the document
+    start = F.greatest(F.greatest(F.col("lo") - CONTEXT, F.lit(0)), F.col("away"))
+    joined = join_split(spans, sources, ["k0", "u0", "block"], "weight", spans.count()).withColumn("start", start)
+    pieces = joined.select("k", "u", "start", F.expr(f"substring(bytes, cast(start - away - begin as int) + 1, cast(hi + {CONTEXT} - start as int))").alias("piece"))
+    pieces = scratch.write(pieces)
+    scratch.drop(spans, sources)
     pieces = pieces.groupBy("k", "u").agg(F.collect_list(F.struct("start", "piece")).alias("pieces"))
-    schema = docs.schema if columns else f"`{key}` long, n_bytes long, n_chunks long, n_removed long, n_spans long, text string"
-    carry = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("u")) if columns else rows
+    schema = docs.schema if columns else f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_chunks long, n_removed long, n_spans long, text string"
 
     def left(batches):
         for batch in batches:
             names = batch.schema.names
-            source = pa.RecordBatch.from_struct_array(batch.column("row")) if columns else batch
-            texts = source.column(text if columns else "t")
+            source = pa.RecordBatch.from_struct_array(batch.column(names.index("row")))
+            texts = batch.column(names.index("t"))
             data, offsets = batch_bytes(texts)
-            flags, pieces = (batch.column(names.index(c)).to_pylist() for c in ("marks", "pieces"))
+            pieces = batch.column(names.index("pieces")).to_pylist()
             out, facts = [], []
             for a, b in slices(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ends, first = cut(part, o, bits, least, most)
+                chunks = np.diff(cut(part, o, bits, least, most)[1]).tolist() if not columns else [0] * (b - a)
                 raw = part.tobytes()
                 for j in range(b - a):
-                    bounds = [int(o[j]), *ends[first[j] : first[j + 1]].tolist()]
-                    known = [(bounds[c], bounds[c + 1]) for c in flags[a + j] or ()]
-                    for x in pieces[a + j] or ():
-                        s = int(o[j]) + x["start"]
-                        known += [(s + c, s + e) for c, e in equal_runs(np.frombuffer(x["piece"], np.uint8), part[s : o[j + 1]])]
-                    spans, runs = [], []
-                    for s, e in sorted(known):
-                        if runs and s <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], e)
-                        else:
-                            runs.append([s, e])
-                    for s, e in runs:  # whole characters
-                        while s < e and raw[s] & 0xC0 == 0x80:
-                            s += 1
-                        while s < e < int(o[j + 1]) and raw[e] & 0xC0 == 0x80:
-                            e -= 1
-                        if e - s >= min_bytes:
-                            spans.append((s, e))
+                    spans = repeats(part, raw, int(o[j]), int(o[j + 1]), pieces[a + j] or (), min_bytes)
                     at, keep = int(o[j]), []
                     for s, e in spans:
                         keep.append(raw[at:s])
                         at = e
                     keep.append(raw[at : int(o[j + 1])])
                     out.append(b"".join(keep))
-                    facts.append((int(o[j + 1] - o[j]), len(bounds) - 1, sum(e - s for s, e in spans), len(spans)))
+                    facts.append((int(o[j + 1] - o[j]), chunks[j], sum(e - s for s, e in spans), len(spans)))
             left_over = pa.array([x.decode("utf-8", "replace") if ok else None for x, ok in zip(out, texts.is_valid().to_pylist())], pa.string())
             if columns:
                 yield pa.RecordBatch.from_arrays([left_over if n == text else source.column(n) for n in source.schema.names], names=source.schema.names)
             else:
-                k = batch.column(names.index("k"))
-                k = pa.array([None if x == NULL_KEY else x for x in k.to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([k, *(pa.array([f[q] for f in facts], pa.int64()) for q in range(4)), left_over], names=[key, "n_bytes", "n_chunks", "n_removed", "n_spans", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [source.column(key), *(pa.array([f[q] for f in facts], pa.int64()) for q in range(4)), left_over],
+                    names=[key, "n_bytes", "n_chunks", "n_removed", "n_spans", "text"],
+                )
+
+    if not columns:
+        carry = carry.withColumn("row", F.struct(F.col(f"row.`{key}`").alias(key)))
+    return carry.join(pieces, ["k", "u"], "left").mapInArrow(left, schema)
+
 
-    return carry.join(marks, ["k", "u"], "left").join(pieces, ["k", "u"], "left").mapInArrow(left, schema)
+def repeats(part: np.ndarray, raw: bytes, start: int, stop: int, pieces, min_bytes: int) -> list[tuple[int, int]]:
+    """Runs of whole characters of a document, at least ``min_bytes`` long, that its slices of earlier texts equal."""
+    known = []
+    for x in pieces:
+        s = start + x["start"]
+        known += [(s + c, s + e) for c, e in equal_runs(np.frombuffer(x["piece"], np.uint8), part[s:stop])]
+    runs, spans = [], []
+    for s, e in sorted(known):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    for s, e in runs:
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while s < e < stop and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        if e - s >= min_bytes:
+            spans.append((s, e))
+    return spans

@@ -1,8 +1,9 @@
 """Embedding near-duplicates with a hierarchical navigable small-world graph per shard.
 
-Shards are parts of one label of bounded size. Every shard queries every shard of its label; a block's beams double
-until audited queries reach the recall asked for, or until scanning the shard costs less than the beam, which is exact.
-Found pairs are verified by cosine in double precision and joined to components.
+Shards are parts of one label of bounded size. Every shard queries every shard of its label, in tiles of a few shards,
+so that a hot label is spread like any other; a block's beams double until audited queries reach the recall asked for.
+Where audits keep failing until a beam costs as much as the shard's scan, the block is scanned, which is exact. Found
+pairs are verified by cosine in double precision and joined to components.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch
 from .ngramjoin import lowest
+from .skew import Keys, join_split
 from .textbytes import mix
 
-SHARD = 8192
+#: Vectors of a shard, and shards on each side of a tile.
+SHARD, SIDE = 8192, 4
+#: A node is known by its smallest key's number and a hash of its label and vector.
+NODE = "struct<id:long,h:long>"
 
 
 def _spread(candidates: np.ndarray, sims: np.ndarray, unit: np.ndarray, m: int) -> np.ndarray:
@@ -166,10 +171,14 @@ class Graph:
         return beam, bs, (np.concatenate(hq), np.concatenate(hn))
 
 
-def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float = 0.99, ef: int = 32, step: int = 512, audit: int = 16):
-    """(query, node) with float similarity >= radius. The beams of a block double until its audited queries reach the
-    recall; full beams double by themselves. Beams of a sixteenth of the shard cost as much as its scan, which is exact."""
-    n, out_q, out_n = len(graph.unit), [], []
+def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float = 0.99, ef: int = 32, step: int = 512, audit: int = 16, links: int = 32):
+    """(query, node) with float similarity >= radius, and [audited links, those the beams met, queries scanned].
+
+    The beams of a block double until its audited queries reach the recall; full beams double by themselves. Audited are
+    ``audit`` queries of a block, then more, up to an eighth, until they have ``links`` links. Only after a beam failed,
+    and the next would be a sixteenth of the shard and cost as much as its scan, is the block scanned.
+    """
+    n, out_q, out_n, facts = len(graph.unit), [], [], [0, 0, 0]
 
     def scan(rows):
         for a in range(0, len(rows), step):
@@ -179,104 +188,143 @@ def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float =
 
     for a in range(0, len(queries), step):
         todo, width = np.arange(a, min(a + step, len(queries))), ef
-        sample = todo[:: max(1, len(todo) // audit)]
-        truth = queries[sample] @ graph.unit.T >= radius
+        count = min(audit, len(todo))
+        while True:
+            sample = todo[:: max(1, len(todo) // count)]
+            truth = queries[sample] @ graph.unit.T >= radius
+            if truth.sum() >= links or 8 * count >= len(todo):
+                break
+            count *= 2
         while len(todo):
-            if width * 16 > n:
+            if width > ef and width * 16 > n:
                 scan(todo)
+                facts[2] += len(todo)
                 break
             _, _, (q, v) = graph.search(queries[todo], width, radius=radius)
-            count = np.bincount(q, minlength=len(todo))
+            met = np.bincount(q, minlength=len(todo))
             checked = np.isin(sample, todo)
-            full = count >= width
+            full = met >= width
             # a full beam is searched again in any case, so it isn't audited yet
             checked &= ~np.isin(sample, todo[full])
             want, got = int(truth[checked].sum()), int(np.isin(todo[q], sample[checked]).sum())
             width *= 2
             if got < recall * want:
                 continue  # the audit failed: the whole block again with wider beams
+            facts[0], facts[1] = facts[0] + want, facts[1] + got
             keep = ~full[q]
             out_q.append(todo[q[keep]])
             out_n.append(v[keep])
             todo = todo[full]
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return cat(out_q), cat(out_n)
+    return cat(out_q), cat(out_n), facts
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, shard: int = SHARD, recall: float = 0.99, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(
+    embeddings: DataFrame, threshold: float = 0.98, shard: int = SHARD, recall: float = 0.99, key: str = "vec_id", vector: str = "embedding", label: str = "label", audits: list | None = None
+) -> DataFrame:
     """Rows of one label linked at cosine >= threshold: ``key``, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components, null labels and null keys are linked with nothing;
     nor are vectors of other dimensions. Equal vectors of a label are one node: a row's links are the other keys of its
-    node and those of linked nodes, so groups of copies cost one row. Rows equal in all are one vector; an empty table
-    gives an empty result. ``component_id`` is the smallest key reachable, ``kept`` whether it is the row's own.
+    node and those of linked nodes, so groups of copies cost one row. Rows equal in all are one vector; a key with
+    several vectors is one node for each, and its rows' links are those of their own. An empty table gives an empty
+    result. ``component_id`` is the smallest key reachable, ``kept`` whether it is the row's own. Keys and labels may be
+    of any type that sorts. ``audits`` receives a table (audited, met, scanned) with a row for each pair of shards.
     """
-    spark = embeddings.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark)
+    scratch = Scratch(embeddings.sparkSession)
+    keys = Keys(embeddings, key, scratch)
     x = F.col("v")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("g"))
-    valid = rows.where(x.isNotNull() & F.col("g").isNotNull() & F.col("id").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda e: e != 0))
-    nodes = scratch.write(valid.groupBy("g", "v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies")))
-    of_label = nodes.groupBy("g", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = nodes.withColumn("dim", F.size("v")).join(of_label, ["g", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    rows = embeddings.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.col(f"`{label}`").cast("string").alias("g"))
+    usable = x.isNotNull() & F.col("g").isNotNull() & F.col("key").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda e: e != 0)
+    rows = keys.numbered(rows).withColumnRenamed("k", "id").withColumn("usable", F.coalesce(usable, F.lit(False)))
+    nodes = rows.where("usable").groupBy("g", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.count("*").alias("rows"))
+    nodes = scratch.write(nodes.withColumn("h", F.xxhash64("g", "v")).withColumn("dim", F.size("v")))
+    of_label = nodes.groupBy("g", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.count("*").alias("weight"))
+    dealt = join_split(nodes, of_label, ["g", "dim"], "weight", nodes.count()).withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.col("shards")).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
-        o = np.argsort(t.column("node").to_numpy())
+        ids, hs, copies = (t.column(c).to_numpy() for c in ("id", "h", "copies"))
+        o = np.lexsort((hs, ids))
         dim = t.column("dim")[0].as_py()
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)[o]
-        unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(v).max(axis=1, keepdims=True)
+        top = np.abs(v).max(axis=1, keepdims=True)
+        unit = v / np.linalg.norm(v / top, axis=1, keepdims=True) / top
         layers = Graph.build(unit.astype(np.float32)).layers
         return pa.table({
-            "g": t.column("g")[:1], "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "ids": [t.column("node").to_numpy()[o].tobytes()], "copies": [t.column("copies").to_numpy()[o].tobytes()],
+            **{c: t.column(c)[:1] for c in ("g", "dim", "shard", "shards")},
+            "ids": [ids[o].tobytes()], "hs": [hs[o].tobytes()], "copies": [copies[o].tobytes()],
             "unit": [unit.tobytes()], "nodes": [[a.astype(np.int64).tobytes() for a, _ in layers]], "links": [[b[a].tobytes() for a, b in layers]],
         })
 
-    shards = scratch.write(dealt.groupBy("g", "dim", "shard").applyInArrow(build, "g long, dim int, shard int, ids binary, copies binary, unit binary, nodes array<binary>, links array<binary>"))
-    queries = shards.select("g", "dim", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("unit").alias("q_unit"))
-    meets = queries.join(shards, ["g", "dim"]).where("q_shard <= shard")
+    shards = dealt.select("g", "dim", "shard", "shards", "id", "h", "copies", "v").groupBy("g", "dim", "shard").applyInArrow(
+        build, "g string, dim int, shard int, shards int, ids binary, hs binary, copies binary, unit binary, nodes array<binary>, links array<binary>"
+    )
+    shards = scratch.write(shards)
+    # tiles of a few shards on either side; a shard goes to the tiles of its row and of its column
+    side, last = F.floor(F.col("shard") / SIDE).cast("int"), F.floor((F.col("shards") - 1) / SIDE).cast("int")
+    queries = shards.select("g", "dim", side.alias("i"), F.explode(F.sequence(side, last)).alias("j"), *[F.col(c).alias(f"q_{c}") for c in ("shard", "ids", "hs", "copies", "unit")])
+    others = shards.withColumn("j", side).withColumn("i", F.explode(F.sequence(F.lit(0), side)))
+    meets = queries.join(others, ["g", "dim", "i", "j"]).where("q_shard <= shard")
 
     def meet(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                unit = np.frombuffer(r["unit"]).reshape(-1, r["dim"])
-                q_unit = np.frombuffer(r["q_unit"]).reshape(-1, r["dim"])
-                ids, copies, q_ids, q_copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "copies", "q_ids", "q_copies"))
-                layers = []
-                for a, b in zip(r["nodes"], r["links"]):
-                    a = np.frombuffer(a, np.int64)
-                    full = np.full((len(ids), 24), -1, np.int32)
-                    full[a] = np.frombuffer(b, np.int32).reshape(len(a), -1)
-                    layers.append((a, full))
-                q, v = near_pairs(Graph(unit.astype(np.float32), layers), q_unit.astype(np.float32), threshold - 1e-5, recall)
-                own = r["q_shard"] == r["shard"]
-                if own:
-                    q, v = np.minimum(q, v), np.maximum(q, v)
-                    q, v = q[q != v], v[q != v]
-                code = np.unique(q * len(ids) + v)
-                q, v = code // max(1, len(ids)), code % max(1, len(ids))
-                good = np.zeros(len(q), bool)
-                for a in range(0, len(q), 50_000):
-                    good[a : a + 50_000] = np.einsum("ij,ij->i", q_unit[q[a : a + 50_000]], unit[v[a : a + 50_000]]) >= threshold
-                q, v = q[good], v[good]
-                q_links = np.bincount(q, copies[v], len(q_ids)).astype(np.int64)
-                links = np.bincount(v, q_copies[q], len(ids)).astype(np.int64)
-                everyone = q_ids if own else np.concatenate((q_ids, ids))
-                low = lowest(len(everyone), q, v if own else v + len(q_ids))
-                counts = q_links + links if own else np.concatenate((q_links, links))
-                m = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(everyone[m]), pa.array(counts[m]), pa.array(everyone[low][m])], names=["node", "links", "low"])
+            for z in range(batch.num_rows):
+                (r,) = batch.slice(z, 1).to_pylist()
+                yield one(r)
+
+    def one(r):
+        unit = np.frombuffer(r["unit"]).reshape(-1, r["dim"])
+        q_unit = np.frombuffer(r["q_unit"]).reshape(-1, r["dim"])
+        ids, hs, copies, q_ids, q_hs, q_copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "hs", "copies", "q_ids", "q_hs", "q_copies"))
+        layers = []
+        for a, b in zip(r["nodes"], r["links"]):
+            a = np.frombuffer(a, np.int64)
+            full = np.full((len(ids), 24), -1, np.int32)
+            full[a] = np.frombuffer(b, np.int32).reshape(len(a), -1)
+            layers.append((a, full))
+        q, v, facts = near_pairs(Graph(unit.astype(np.float32), layers), q_unit.astype(np.float32), threshold - 1e-5, recall)
+        own = r["q_shard"] == r["shard"]
+        if own:
+            q, v = np.minimum(q, v), np.maximum(q, v)
+            q, v = q[q != v], v[q != v]
+        code = np.unique(q * len(ids) + v)
+        q, v = code // max(1, len(ids)), code % max(1, len(ids))
+        good = np.zeros(len(q), bool)
+        for a in range(0, len(q), 50_000):
+            good[a : a + 50_000] = np.einsum("ij,ij->i", q_unit[q[a : a + 50_000]], unit[v[a : a + 50_000]]) >= threshold
+        q, v = q[good], v[good]
+        q_links = np.bincount(q, copies[v], len(q_ids)).astype(np.int64)
+        links = np.bincount(v, q_copies[q], len(ids)).astype(np.int64)
+        first = np.arange(0 if own else len(q_ids))
+        both = lambda x, y: y if own else np.concatenate((x, y))
+        id_of, h_of, counts = both(q_ids, ids), both(q_hs, hs), q_links + links if own else np.concatenate((q_links, links))
+        i, j = (q, v) if own else (q, v + len(first))
+        # the smallest node of a component of this pair of shards
+        o = np.lexsort((h_of, id_of))
+        rank = np.empty(len(o), np.int64)
+        rank[o] = np.arange(len(o))
+        low = o[lowest(len(o), rank[i], rank[j])[rank]]
+        m = np.flatnonzero(counts > 0)
+        name = lambda z: pa.StructArray.from_arrays([pa.array(id_of[z]), pa.array(h_of[z])], names=["id", "h"])
+        some = len(m) > 0  # the audit's facts ride on the first row
+        node, low_of = (m, low[m]) if some else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        told = [pa.array([f] + [None] * (len(node) - 1), pa.int64()) for f in facts]
+        return pa.RecordBatch.from_arrays([name(node), pa.array(counts[node]), name(low_of), *told], names=["node", "links", "low", "audited", "met", "scanned"])
 
-    found = scratch.write(meets.mapInArrow(meet, "node long, links long, low long"))
+    found = scratch.write(meets.mapInArrow(meet, f"node {NODE}, links long, low {NODE}, audited long, met long, scanned long"))
+    scratch.drop(shards)
+    if audits is not None:
+        audits.append(found.where("audited is not null").select("audited", "met", "scanned"))
+    found = found.where("links > 0")
     parts = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), scratch)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = nodes.join(linked, "node", "left").join(parts, "node", "left").select("g", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(facts, ["g", "v"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(key),
-        F.when(F.col("id").isNotNull(), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
-    )
+    facts = nodes.withColumn("node", F.struct("id", "h")).join(linked, "node", "left").join(parts, "node", "left")
+    facts = facts.select("g", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component.id", "id").alias("component"), F.col("rows").alias("weight"))
+    # a group of copies may be a third of all rows
+    valid = rows.where("usable")
+    out = join_split(valid, scratch.write(facts), ["g", "v"], "weight", valid.count()).select("id", (F.col("copies") - 1 + F.col("links")).alias("_links"), "component")
+    out = out.unionByName(rows.where("not usable").select("id", F.lit(0).cast("long").alias("_links"), F.col("id").alias("component")))
+    out = out.withColumn("_kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    out = keys.named(keys.named(out, "id", "_own"), "component", "_component")
+    return out.select(F.col("_own").alias(key), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,17 +12,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 from .textbytes import LOWER, batch_bytes, slices, word_bounds
 
 #: Phrase: label (fixed values of the query's contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Further notices of the fuzzy search: notice, label, most edits.
+#: Notices of the fuzzy search: notice, label, most edits. What stands before ``~`` must be exact: an edit of a short word
+#: is another word ("emit", "kit").
 NOTICES = [
     ("gnu general public license", "gpl", 3),
     ("gnu lesser general public license", "lgpl", 3),
     ("apache license", "apache", 1),
-    ("mit license", "mit", 1),
+    ("mit~ license", "mit", 1),
     ("mozilla public license", "mpl", 2),
     ("creative commons attribution", "cc-by", 2),
     ("permission is hereby granted, free of charge", "mit", 4),
@@ -31,6 +32,9 @@ NOTICES = [
 IN_WORD = np.ones(256, bool)
 IN_WORD[0x00:0x30] = IN_WORD[0x3A:0x61] = IN_WORD[0x7B:0x80] = False
 GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+EDGES = b"(?<![0-9a-z\\x80-\\xff])%s(?![0-9a-z\\x80-\\xff])"
+#: Most that a document without an exact place scores.
+FUZZY = 0.99
 
 
 def pieces(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
@@ -45,8 +49,11 @@ class Scanner:
         self.phrases = [(re.compile(GAP.join(words(p))), label) for p, label in phrases.items()]
         self.seeds = []
         for notice, label, edits in notices:
-            n = notice.encode()
-            self.seeds.append((n, label, edits, pieces(n, edits), regex.compile(b"(?b)(?:%s){e<=%d}" % (regex.escape(n, literal_spaces=True), edits))))
+            exact, _, loose = notice.rpartition("~")
+            n = (exact + loose).encode()
+            literal = lambda t: regex.escape(t.encode(), literal_spaces=True)
+            pattern = EDGES % (b"%s(?:%s){e<=%d}" % (literal(exact), literal(loose), edits))
+            self.seeds.append((n, label, edits, pieces(n, edits), regex.compile(b"(?b)" + pattern)))
 
     def places(self, low: bytes, ends: np.ndarray):
         """(start, end, document, label) of every place where a phrase's words stand consecutively."""
@@ -61,22 +68,26 @@ class Scanner:
                 at = s + 1
 
     def fuzzy(self, low: bytes, ends: np.ndarray):
-        """(start, end, document, label, edits) of the best match around each seed."""
+        """(start, end, document, label, edits) of the best matches of whole words around seeds, none overlapping another
+        of its notice."""
         for notice, label, edits, parts, pattern in self.seeds:
-            done = -1
-            hits = sorted({(p - off) for off, piece in parts for p in _all(low, piece)})
-            for guess in hits:
+            found = set()
+            for guess in sorted({(p - off) for off, piece in parts for p in _all(low, piece)}):
                 near = min(max(guess, 0), len(low) - 1)
                 doc = int(np.searchsorted(ends, near, "right"))
                 for d in {doc, min(doc + 1, len(ends) - 1)}:
                     a, b = (int(ends[d - 1]) if d else 0), int(ends[d])
-                    s, e = max(a, guess - edits), min(b, guess + len(notice) + edits)
-                    if e - s < len(notice) - edits or s < done:
-                        continue
-                    m = pattern.search(low, s, e)
-                    if m:
-                        done = m.end()
-                        yield m.start(), m.end(), d, label, sum(m.fuzzy_counts)
+                    # a byte more on either side shows whether a word goes on there
+                    s, e = max(a, guess - edits - 1), min(b, guess + len(notice) + edits + 1)
+                    m = pattern.search(low[s:e]) if e - s >= len(notice) - edits else None
+                    if m and (m.start() or s == a) and (m.end() < e - s or e == b):
+                        found.add((sum(m.fuzzy_counts), s + m.start(), s + m.end(), d))
+            taken: list[tuple[int, int]] = []
+            for n, s, e, d in sorted(found):
+                at = bisect_left(taken, (s, e))
+                if (not at or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
+                    taken.insert(at, (s, e))
+                    yield s, e, d, label, n
 
 
 def _all(low: bytes, piece: bytes):
@@ -89,11 +100,12 @@ def _all(low: bytes, piece: bytes):
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, int]] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
-    ``spans`` lists (start, end, label, edits) in bytes of the lower-cased text, exact places first. ``score`` is 1 with
-    an exact place, else the share of the best notice's bytes that match, else 0. A map over rows: no shuffle, and
-    memory bounded by a batch of bytes. Null and empty texts have no words and empty labels.
+    ``spans`` lists (start, end, label, edits) in bytes of the lower-cased text, exact places first. Notices match whole
+    words; of matches of a notice that overlap the one with the fewest edits counts. ``score`` is 1 with an exact place of
+    a phrase, else FUZZY times the share of the best notice's bytes that match, else 0. A map over rows: no shuffle, and
+    memory bounded by a batch of bytes. Null and empty texts have no words and empty labels; repeated rows are scanned
+    each; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
     schema = "k %s, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<s:long,e:long,label:string,edits:int>>" % docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
@@ -117,7 +129,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
         for s, e, d, label, edits in scanner.fuzzy(raw, ends):
             x = found.setdefault(d, {"at": [], "base": set(), "all": set(), "score": 0.0, "spans": []})
             x["all"].add(label)
-            x["score"] = max(x["score"], 1.0 - edits / max(1, e - s))
+            x["score"] = max(x["score"], FUZZY * (1.0 - edits / max(1, e - s)))
             x["spans"].append({"s": s - int(offsets[d]), "e": e - int(offsets[d]), "label": label, "edits": edits})
         get = lambda f, none: [f(found[d]) if d in found else none for d in range(n)]
         return pa.RecordBatch.from_arrays(

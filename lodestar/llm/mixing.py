@@ -41,41 +41,45 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
     return capped.select("source", "source_size", target.alias("target"))
 
 
+def _mixed(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: str, key: str, text: str, source: str, keep: dict[str, F.Column]) -> DataFrame:
+    """The columns ``keep`` of each row, with size, source_size, target and taken."""
+    scratch = Scratch(docs.sparkSession)
+    own = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    sized = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{source}`").cast("string").alias("_source"), word_count(f"`{text}`").alias("_size"), F.md5(own).alias("_h"))
+    sized = scratch.write(sized)
+    sized = sized.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).withColumn("_b", F.substring("_h", 1, 3))
+    buckets = sized.groupBy("_s", "_source", "_b").agg(F.sum("_size").alias("size"))
+    targets = source_targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("size")), weights, max_epochs)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), "source_size", "target")
+    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select("_s", "_b", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start")).join(targets, "_s")
+    inside = Window.partitionBy("_s", "_b").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    before = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    extra = F.round("target").cast("long") - F.col("_whole") * F.col("source_size")
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), extra - F.col("_before")))
+    found = sized.join(starts, ["_s", "_b"]).withColumn("_before", before).withColumn("_whole", whole.cast("long"))
+    return found.select(*keep, F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") * F.col("_size") + part).cast("long").alias("taken"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many words of each row a mix takes: ``key``, size, source_size, target, taken.
 
     A row is repeated whole ``floor(target / source_size)`` times; the fraction that remains is taken whole from the
-    rows that come first in the seeded order of their source, and the row at its end gives a part. The sum of
-    ``taken`` in a source is its rounded target, no row exceeds ``max_epochs`` times its size, and reruns agree.
+    rows that come first in the seeded order of their source (by md5 of seed, key and text), and the row at its end gives
+    a part. The sum of ``taken`` in a source is its rounded target, no row exceeds ``max_epochs`` times its size, and
+    reruns agree.
 
     Null text has size 0; null sources are one source; a source without words has target 0. Rows that repeat a key
     are rows of their own; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    h = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    sized = scratch.write(docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), h.alias("h")))
-    sized = sized.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("b", F.substring("h", 1, 3))
-    buckets = sized.groupBy("s", "source", "b").agg(F.sum("size").alias("size"))
-    targets = source_targets(buckets.groupBy("source").agg(F.sum("size").alias("size")), weights, max_epochs)
-    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("s"), "source_size", "target")
-    earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("s", "b", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start")).join(targets, "s")
-    inside = Window.partitionBy("s", "b").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    extra = F.round("target").cast("long") - F.col("whole") * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), extra - F.col("before")))
-    return (
-        sized.join(starts, ["s", "b"])
-        .withColumn("before", before)
-        .withColumn("whole", whole.cast("long"))
-        .select(F.col("k").alias(key), "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
-    )
-
-
-def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it whole; a row of which a part is taken counts as one more."""
-    times = mixed.groupBy(F.col(key).alias("k")).agg(F.max(F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("times"))
-    rows = docs.select(F.col(key).alias("id"), F.struct(*docs.columns).alias("row")).join(times, F.col("id").eqNullSafe(F.col("k")))
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
+    mixed = _mixed(docs, weights, max_epochs, seed, key, text, source, {"_key": F.col(f"`{key}`")})
+    return mixed.select(F.col("_key").alias(key), "size", "source_size", "target", "taken")
+
+
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it whole; a row of which a part is taken counts as one more, a
+    row without words is kept once. Each row has its own count, rows that repeat a key too."""
+    mixed = _mixed(docs, weights, max_epochs, seed, key, text, source, {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")

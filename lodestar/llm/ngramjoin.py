@@ -9,9 +9,10 @@ and false candidates. More than one segment of a linked pair must agree if fewer
 share less than that are no candidates. Candidates are verified exactly on whole sets.
 
 Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
-whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A group is
-compared in tiles of bounded size by products of incidence matrices, which give all intersections exactly, and a tile
-returns one row for each linked node, never its pairs.
+whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A small
+group is one tile. Of a large one every node meets the centre first: nodes linked with it are in its component, so only
+nodes that aren't have to meet the others. Tiles have bounded size and compare by products of incidence matrices, which
+give all intersections exactly; a tile returns one row for each linked node, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, bound_batches
+from .mixing import WORD
+from .scratch import Scratch
+from .skew import Identified, join_split
 from .textbytes import batch_bytes, mix, shingle_hashes, slices
 
 RATIO = 1.25
 #: Most nodes and elements of a block; a tile compares two blocks.
 BLOCK_NODES, BLOCK_ELEMENTS = 1000, 1_000_000
-NULL_KEY = (1 << 63) - 1
+#: Type of a node's label: the key and text hash of its first row (see ``Identified``).
+LABEL = "struct<k:long,u:long>"
 
 
 class Scheme:
@@ -179,14 +183,15 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
         seen: set[bytes] = set()
         held, n = [], 0
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            rids, ids, us = (batch.column(i).to_numpy() for i in (0, 2, 3))
             data, offsets = batch_bytes(batch.column(1))
             for a, b in slices(offsets):
                 sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 nodes = _digests(sets)
-                key = mix(ids[a:b].astype(np.uint64) ^ np.uint64(77)).astype(np.int64)
-                yield _rows(2, key, ids[a:b], id=keys[a:b], node=nodes, n=np.array([len(x) for x in sets], np.int32))
-                for x, node, k in zip(sets, nodes, ids[a:b].tolist()):
+                key = mix(rids[a:b].astype(np.uint64) ^ np.uint64(77)).astype(np.int64)
+                sizes = np.array([len(x) for x in sets], np.int32)
+                yield _rows(2, key, rids[a:b], sig=us[a:b], id=ids[a:b], node=nodes, n=sizes)
+                for x, node, k in zip(sets, nodes, rids[a:b].tolist()):
                     if len(x) and node not in seen:
                         seen.add(node)
                         held.append((*scheme.signatures(x), k))
@@ -226,79 +231,145 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "k", "need", "id", "node", "n")
 
 
-def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): for every node linked in a tile of its group, the smallest node of the tile that it reaches."""
-    members = groups.join(sets, "node")
+def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b), labels: for every node linked in a tile of its group, the first node of the tile that it reaches."""
+    members = scratch.write(groups.join(sets, "node").select("lead", "node", "label", "x"))
     size = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum(F.length("x") / 8).alias("e"))
-    blocks = size.where("m > 1").select("lead", F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(blocks, "lead").select("lead", "node", "x", mine.alias("mine"), other.alias("other"))
-    tiles = dealt.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "x")
-
-    def compare(batches):
-        at, nodes, held = None, [], []
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    size = scratch.write(size.where("m > 1").select("lead", "m", blocks))
+    total = members.count()
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+
+    def tiles(rows: DataFrame, compare) -> DataFrame:
+        dealt = rows.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j", "label")
+        return dealt.select("lead", "i", "j", "label", "x", "first").mapInArrow(_by_tile(compare), f"a {LABEL}, b {LABEL}")
+
+    def all_pairs(labels, held, first):
+        return [(labels[a], labels[b]) for a, b in enumerate(lowest(len(labels), *links_of(held, num, den)).tolist()) if a != b]
+
+    def with_first(labels, held, first):
+        """Links (node, centre) of the centre, which is in every tile of its group."""
+        c = first.index(True)
+        return [(labels[x], labels[c]) for x in linked_with(held, c, num, den).tolist()]
+
+    def across(labels, held, first):
+        """All links of nodes that aren't linked with the centre."""
+        i, j = links_of(held, num, den)
+        pick = np.array(first, bool)
+        pick = pick[i] | pick[j]
+        low = lowest(len(labels), i[pick], j[pick]).tolist()
+        return [(labels[a], labels[b]) for a, b in enumerate(low) if a != b]
+
+    dealt = join_split(members, size, ["lead"], "m", total).withColumn("i", block)
+    small = dealt.where("blocks = 1").withColumns({"j": F.lit(0), "first": F.lit(False)})
+    small = scratch.write(tiles(small, all_pairs))
+    many = members.where("lead = node").join(size.where("blocks > 1"), "lead")
+    many = scratch.write(many.select("lead", "node", "label", "x", "m", "blocks", F.col("label").alias("centre")))
+    if many.isEmpty():
+        scratch.drop(members, size, many)
+        return small
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    large = join_split(members.where("lead <> node"), many.select("lead", "m", "blocks", "centre"), ["lead"], "m", total).withColumn("i", block)
+    tile = [F.col(c) for c in ("lead", "label", "x")]
+    star = large.select(*tile, "i", F.lit(False).alias("first")).unionByName(many.select(*tile, each.alias("i"), F.lit(True).alias("first")))
+    star = scratch.write(tiles(star.withColumn("j", F.lit(0)), with_first))
+    near, one = star.select(F.col("a").alias("label"), F.col("b").alias("centre")), ["label", "centre"]
+    apart = large.join(near, one, "left_anti")
+    apart = scratch.write(apart.select("lead", "node", "label", "x", "blocks", "i").withColumn("first", F.lit(True)))
+    per = apart.groupBy("lead").agg(F.count("*").alias("few")).join(many.select("lead", "m"), "lead")
+    per = scratch.write(per.select("lead", "m", "few", F.ceil(F.col("few") / BLOCK_NODES).cast("int").alias("rest")))
+    # blocks of the nodes apart meet each other and the blocks of the others
+    copies = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
+    others = large.join(near, one, "left_semi").select("lead", "label", "x", "i").withColumn("first", F.lit(False))
+    others = join_split(others, per.select("lead", "m", "rest"), ["lead"], "m", total).select(*tile, "first", "i", copies.alias("j"))
+    deal = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int")
+    apart = join_split(apart, per.select("lead", "rest", "few"), ["lead"], "few", total).withColumn("mine", deal)
+    among = apart.withColumn("other", copies).select(*tile, "first", (-1 - F.greatest("mine", "other")).alias("i"), F.least("mine", "other").alias("j"))
+    facing = apart.select(*tile, "first", each.alias("i"), F.col("mine").alias("j"))
+    out = scratch.write(tiles(others.unionByName(among).unionByName(facing), across))
+    scratch.drop(members, size, many)
+    return small.union(star).union(out)
+
+
+def linked_with(sets: list[np.ndarray], c: int, num: int, den: int) -> np.ndarray:
+    """Numbers of the other sets that set ``c`` is linked with."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.searchsorted(sets[c], flat)
+    inside = np.concatenate(([0], np.cumsum(sets[c][np.minimum(at, len(sets[c]) - 1)] == flat)))
+    ends = np.cumsum(sizes)
+    both = inside[ends] - inside[ends - sizes]
+    found = den * both >= num * (sizes + sizes[c] - both)
+    found[c] = False
+    return np.flatnonzero(found)
+
+
+def _by_tile(compare):
+    """A map over rows sorted by (lead, i, j, label): ``compare`` on the labels, sets and marks of each tile."""
+
+    def run(batches):
+        at, labels, held, marks = None, [], [], []
         for batch in batches:
             out = []
-            for lead, i, j, node, x in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            ks, us = (batch.column(3).field(i).to_pylist() for i in (0, 1))
+            for lead, i, j, k, u, x, first in zip(*(batch.column(c).to_pylist() for c in range(3)), ks, us, *(batch.column(c).to_pylist() for c in (4, 5))):
                 if at != (lead, i, j):
-                    out += tile(nodes, held)
-                    at, nodes, held = (lead, i, j), [], []
-                nodes.append(node)
+                    out += compare(labels, held, marks) if len(labels) > 1 else []
+                    at, labels, held, marks = (lead, i, j), [], [], []
+                labels.append((k, u))
                 held.append(np.frombuffer(x, np.uint64))
-            yield _pairs(out)
-        yield _pairs(tile(nodes, held))
-
-    def tile(nodes, held):
-        if len(nodes) < 2:
-            return []
-        low = lowest(len(nodes), *links_of(held, num, den))
-        return [(nodes[a], nodes[b]) for a, b in enumerate(low.tolist()) if a != b]
+                marks.append(first)
+            yield pairs(out)
+        yield pairs(compare(labels, held, marks) if len(labels) > 1 else [])
 
-    def _pairs(out):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    def pairs(out):
+        half = lambda q: pa.StructArray.from_arrays([pa.array([p[q][i] for p in out], pa.int64()) for i in (0, 1)], names=["k", "u"])
+        return pa.RecordBatch.from_arrays([half(0), half(1)], names=["a", "b"])
 
-    rows = tiles.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j", "node")
-    return rows.mapInArrow(compare, "a binary, b binary")
+    return run
 
 
-def _row_id(key: str, text: str) -> F.Column:
-    """What stands for a row: a hash of its key and text, so rows of one key, or without, stay apart if their texts differ."""
-    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
-
-
-def _components_of_rows(docs: DataFrame, words: int, num: int, den: int, key: str, text: str, rows: int | None) -> DataFrame:
-    """Of each row: k (see ``_row_id``), its key as id (NULL_KEY for null), n shingles, and c, the component of its own set."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark)
-    scheme = Scheme(num, den, docs.count() if rows is None else rows)
-    texts = docs.select(_row_id(key, text).alias("k"), F.col(text).cast("string").alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("id"))
+def _components_of_rows(rows: DataFrame, scratch: Scratch, words: int, num: int, den: int, count: int) -> DataFrame:
+    """Of each of ``rows`` (k, u, t): k, u, n shingles, and for n > 0 c, the label of its component."""
+    scheme = Scheme(num, den, count)
+    texts = rows.select(F.xxhash64("k", "u").alias("r"), "t", "k", "u")
     table = scratch.write(_candidates(texts, words, scheme))
     enough = lambda rows, who: rows.groupBy(who, "need").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need").bitwiseAND(0xFFFF)).select(who, "need")
+    own = table.where("kind = 2").select("k", F.col("id"), F.col("sig").alias("u"), "node", "n")
+    # a node's label is its first row; exact copies are one node
+    labels = own.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").alias("k"), "u")).alias("label"), F.min(F.struct("id", "u", "k")).getField("k").alias("r"), F.count("*").alias("copies"))
+    labels = scratch.write(labels)
     sharing = table.where("kind < 2").select("sig", "k", "need")
     sharing = sharing.join(enough(sharing, "k"), ["k", "need"])
-    sharing = sharing.join(table.where("kind = 2").select("k", "node").distinct(), "k").select("sig", "node", "need").distinct()
-    counted = scratch.write(sharing.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"))
+    sharing = scratch.write(sharing.join(own.select("k", "node").distinct(), "k").select("sig", "node", "need").distinct())
+    times = sharing.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").withColumn("weight", F.col("c"))
+    counted = scratch.write(join_split(sharing, times, ["sig"], "weight", sharing.count()))
+    scratch.drop(sharing)
     counted = counted.join(enough(counted, "node"), ["node", "need"]).select("sig", "node", "c")
     central = counted.groupBy("node").agg(F.sum("c").alias("weight"))
-    leads = counted.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"))
-    groups = scratch.write(counted.join(leads, "sig").select("lead", "node").distinct())
-    nodes = groups.select("node").distinct()
-    wanted = table.where("kind = 2").groupBy("node").agg(F.min("k").alias("k")).join(nodes, "node").select("k", "node")
+    leads = counted.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"), F.count("*").alias("weight"))
+    groups = scratch.write(join_split(counted, scratch.write(leads), ["sig"], "weight", counted.count()).select("lead", "node").distinct())
+    wanted = labels.join(groups.select("node").distinct(), "node").select("r", "node", "label")
 
     def build(batches):
         for batch in batches:
-            data, offsets = batch_bytes(batch.column(1))
+            data, offsets = batch_bytes(batch.column(0))
             for a, b in slices(offsets):
                 sets = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                real = [(d, x.tobytes()) for d, x, w in zip(_digests(sets), sets, batch.column(2).slice(a, b - a).to_pylist()) if d == w]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in real], pa.binary()) for i in (0, 1)], names=["node", "x"])
-
-    sets = scratch.write(texts.select("k", "t").join(wanted, "k").select("k", "t", "node").mapInArrow(build, "node binary, x binary").dropDuplicates(["node"]))
-    links = scratch.write(_linked(groups, sets, num, den))
-    parts = components(links, scratch)
-    return table.where("kind = 2").select("k", "id", "n", "node").join(parts, "node", "left").select("k", "id", "n", F.coalesce("component", "node").alias("c"))
+                nodes = batch.column(1).slice(a, b - a).to_pylist()
+                real = np.flatnonzero([d == w for d, w in zip(_digests(sets), nodes)])
+                part = batch.slice(a, b - a).take(pa.array(real))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([sets[i].tobytes() for i in real], pa.binary())], names=["node", "label", "x"])
+
+    sets = texts.select("r", "t").join(wanted, "r").select("t", "node", "label").mapInArrow(build, f"node binary, label {LABEL}, x binary")
+    sets = scratch.write(sets.dropDuplicates(["node"]))
+    links = _linked(groups, sets, num, den, scratch)
+    scratch.drop(sets)
+    parts = components(links, scratch).select(F.col("node").alias("label"), "component")
+    facts = labels.join(parts, "label", "left").select("node", F.coalesce("component", "label").alias("c"), "copies")
+    # copies of a text may be a third of all rows
+    with_words = join_split(own.where("n > 0"), scratch.write(facts), ["node"], "copies", own.count()).select(F.col("id").alias("k"), "u", "n", "c")
+    return with_words.unionByName(own.where("n = 0").select(F.col("id").alias("k"), "u", "n", F.lit(None).cast(LABEL).alias("c")))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
@@ -307,26 +378,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     Words are runs of bytes other than space and 0x09 to 0x0D, A-Z in lower case. A text with fewer words is one shingle
     of all its words; null texts and such without words have no shingle and are linked with nothing. ``component_id`` is
     the smallest key reachable. Rows with equal sets are linked, repeated rows too; rows without words keep their own
-    key; null keys come last. ``rows`` (else the table's count) only steers the allocation's cost model.
+    key; null keys come last; keys may be of any type that sorts. ``rows`` (else the table's count) only steers the
+    allocation's cost model.
     """
-    rows_of = _components_of_rows(docs, words, num, den, key, text, rows)
-    least = rows_of.where("n > 0").groupBy("c").agg(F.min("id").alias("component_id"))
-    out = rows_of.join(least, "c", "left")
-    plain = lambda c: F.when(c == NULL_KEY, F.lit(None)).otherwise(c)
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(plain(F.col("id")).alias(key), F.col("n").cast("long").alias("n_shingles"), plain(component).alias("component_id"))
+    scratch = Scratch(docs.sparkSession)
+    known = Identified(docs, key, text, scratch)
+    out = _components_of_rows(known.rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows)
+    out = out.select("k", "u", F.col("n").cast("long").alias("_n"), F.coalesce("c.k", "k").alias("_ck"), F.coalesce("c.u", "u").alias("_cu"))
+    out = known.named(known.named(out, "k", "u", "_own"), "_ck", "_cu", "_component")
+    return out.select(F.col("_own").alias(key), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
-    """One row of ``docs`` of each component, one with its smallest key (null keys last); all rows without words.
+    """One row of ``docs`` of each component, the first by key (null keys last); all rows without words.
 
-    Components are of the rows' own sets: rows that share a key, or have none, count as separate documents.
+    Every row is judged by its own text: rows that share a key, or have none, are separate documents unless their texts
+    are linked too. Of rows equal in key and text one stays, the least by a hash of its columns.
     """
-    parts = _components_of_rows(docs, words, num, den, key, text, rows)
-    chosen = parts.where("n > 0").groupBy("c").agg(F.min(F.struct("id", "k")).getField("k").alias("k")).select("k", F.lit(False).alias("all"))
-    kept = chosen.union(parts.where("n = 0").select("k", F.lit(True)).distinct())
-    found = docs.select(_row_id(key, text).alias("k"), F.struct(*docs.columns).alias("row")).join(kept, "k")
-    # rows equal in key and text: one with words, all without
-    copy = F.when(F.col("all"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    one = F.row_number().over(Window.partitionBy("k", "copy").orderBy("all"))
-    return found.withColumn("copy", copy).withColumn("n", one).where("n = 1").select("row.*")
+    scratch = Scratch(docs.sparkSession)
+    all_rows = Identified(docs, key, text, scratch).rows
+    worded = F.coalesce(F.col("t").rlike(WORD), F.lit(False))
+    parts = _components_of_rows(all_rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows)
+    first = parts.where((F.col("n") > 0) & (F.struct("k", "u") == F.col("c"))).select("k", "u").distinct()
+    columns = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    one = all_rows.where(worded).groupBy("k", "u").agg(F.min_by("row", F.xxhash64(*columns)).alias("row"))
+    return one.join(first, ["k", "u"]).select("row.*").union(all_rows.where(~worded).select("row.*"))

@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Class sums and cross products are one aggregate; the driver sees two d x d matrices whatever the corpus. Covariances
-shrink towards the pooled one and its diagonal, their Cholesky factors are cached in the model, and the score is the
-logistic of the difference of Mahalanobis log densities.
+shrink towards the pooled one and its diagonal, the inverses of their Cholesky factors are cached in the model, and the
+score is the logistic of the difference of Mahalanobis log densities.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch
 from .textbytes import NOT_SPACE, RangeHash, batch_bytes, slices, word_bounds
 
 FEATURES = ["words", "word_length", "upper", "digits", "symbols", "bars", "wide", "distinct", "repeats", "top_word", "pairs", "stops", "lines", "marked"]
@@ -69,7 +69,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors of the shrunk covariances and log prior of two classes; ``constant`` if one is missing.
+    """Means, inverse Cholesky factors of the shrunk covariances and log prior of two classes; ``constant`` if one is missing.
 
     Statistics of few words say little: all but the word count are drawn to their ``center`` as if a document had
     PRIOR_WORDS more words of the usual kind.
@@ -87,7 +87,7 @@ class Discriminant:
             return np.full(len(x), self.constant)
         words = np.expm1(x[:, :1])
         x = np.concatenate((x[:, :1], self.center[1:] + (x[:, 1:] - self.center[1:]) * words / (words + PRIOR_WORDS)), axis=1)
-        density = [-0.5 * np.square(np.linalg.solve(f, (x - m).T)).sum(axis=0) - d for m, f, d in zip(self.means, self.factors, self.log_dets)]
+        density = [-0.5 * np.square((x - m) @ f.T).sum(axis=1) - d for m, f, d in zip(self.means, self.factors, self.log_dets)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -30, 30)))
 
 
@@ -118,50 +118,59 @@ def fit(labelled: DataFrame, columns: list[str], shrink: float = 0.15, ridge: fl
         w = shrink + (1 - shrink) * d / (d + n[y])
         c = (1 - w) * scatter[y] + w * pooled
         c = (1 - ridge) * c + ridge * np.diag(np.maximum(np.diag(c), 1e-4)) + 1e-6 * np.eye(d)
-        factors.append(np.linalg.cholesky(c))
-        dets.append(float(np.log(np.diag(factors[-1])).sum()))
+        lower = np.linalg.cholesky(c)
+        factors.append(np.linalg.inv(lower))
+        dets.append(float(np.log(np.diag(lower)).sum()))
     return Discriminant(np.array([center[c] for c in columns]), [means[0], means[1]], factors, dets, float(np.log(n[1] / n[0])))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, keep: bool = False, **regular) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, train: F.Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, keep: bool = False,
+    sample_rows: int = 50_000, **regular,
+) -> DataFrame:
     """Score of every row: ``key``, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold).
 
-    ``train``: condition on the key that labelled rows must meet to be learned from; with no labels all scores are
-    0.5. Rows of labels with null keys or labels other than 0 and 1 aren't used; a key labelled twice counts twice.
-    Null and empty texts have the statistics of zero counts. With ``keep``, returns the rows of ``docs`` that are
-    predicted 1, with all their columns, instead.
+    ``train``: condition on the label's key (column k) that it must meet to be learned from. The model learns from the
+    rows of at most ``sample_rows`` labels, the first by md5 of the key; with no labels all scores are 0.5. Labels with
+    null keys or other than 0 and 1 aren't used; a key labelled twice counts twice. Null and empty texts have the
+    statistics of zero counts. With ``keep``, returns the rows of ``docs`` that are predicted 1, with all their columns,
+    instead. One pass over all texts: only labelled rows are measured for the fit.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
+    cols = ["f_" + f for f in FEATURES]
+
+    def features(column):
+        data, offsets = batch_bytes(column)
+        for a, b in slices(offsets):
+            yield a, b, statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
     def measure(batches):
         for batch in batches:
-            data, offsets = batch_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                x = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["k", *("f_" + f for f in FEATURES)])
-
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    cols = ["f_" + f for f in FEATURES]
-    measured = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(measure, f"k {kind}, " + ", ".join(f"{c} double" for c in cols))
-    table = scratch.write(measured)
-    marks = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null")
-    known = table.where(train if train is not None else F.lit(True)).join(marks, "k")
+            for a, b, x in features(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["y", *cols])
+
+    marks = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    marks = marks.where(train if train is not None else F.lit(True)).orderBy(F.md5(F.col("k").cast("string")), "k", "y").limit(sample_rows)
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    # bounded by sample_rows
+    known = rows.join(F.broadcast(scratch.write(marks)), "k").select("y", "t")
+    known = scratch.write(known.mapInArrow(measure, "y int, " + ", ".join(f"{c} double" for c in cols)))
     model = fit(known, cols, **regular)
+    scratch.drop(known)
+
+    at = docs.columns.index(text)
+
+    def accepted(batches):
+        for batch in batches:
+            scores = [model.score(x) for _, _, x in features(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
 
     def scores(batches):
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in cols], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["k", "score"])
+            for a, b, x in features(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(x))], names=["k", "score"])
 
     if keep:
-        def accepted(batches):
-            for batch in batches:
-                data, offsets = batch_bytes(batch.column(batch.schema.names.index(text)))
-                good = [model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets)]
-                yield batch.filter(pa.array(np.concatenate(good) >= threshold)) if good else batch
-
         return docs.mapInArrow(accepted, docs.schema)
-    out = table.mapInArrow(scores, f"k {kind}, score double")
+    out = rows.mapInArrow(scores, f"k {docs.select(f'`{key}`').schema[0].dataType.simpleString()}, score double")
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -38,12 +38,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: F.Column) -> F.Column:
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = quality.score_quality(docs, labels, train=~F.coalesce(held_out(F.col("k")), F.lit(True)))
+    scored = quality.score_quality(docs, labels, train=~held_out(F.col("k")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -82,7 +82,7 @@ SELECT r.vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(c) AS compone
 """,
     "op3_mixing": """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
   FROM sized GROUP BY source),
@@ -94,7 +94,7 @@ t AS (
     / sum(CASE WHEN capped THEN 0.0::DOUBLE ELSE w END) OVER () END AS target FROM f),
 r AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)))::BIGINT AS taken FROM r
 """,

@@ -2,58 +2,72 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings while a table is written. An Arrow batch of whole texts is bounded, so that Python memory doesn't follow the
+#: longest texts, and shuffle files go when their query ends.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. A temporary one is made only where the setting is absent (tests)."""
+    """The folder every executor can reach. Only in local mode is one made where the setting is absent."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now: it does so when the driver finds them unreachable, in the
-    second of two collections, and would else wait for its own."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.1)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while; the former ones come back."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
-    """Writes tables into a folder of its own and drops them when they are no longer read."""
+    """Writes tables into a folder of its own; what isn't dropped before goes when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
 
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back: a lost executor costs no recomputation."""
         path = f"{self.root}/{self.n}"
+        with settings(self.spark, WRITING):
+            df.write.option("compression", "zstd").parquet(path)
+        if not self.n:
+            files, root = self._files(self.root)
+            files.deleteOnExit(root)
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
-        release(self.spark)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made by ``write``; nothing that is still to run may read it."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bound what one Arrow batch of whole texts holds, so that Python memory doesn't follow the longest texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables made by ``write``; nothing that is still to run may read them."""
+        for df in tables:
+            files, path = self._files(df._scratch)
+            files.delete(path, True)

@@ -5,7 +5,7 @@ tied), so equal windows belong to equal grams at equal distances. The windows of
 2 * ``length`` bytes. Grams that occur in two different segments or more send these segments to ``collection``: it
 inserts one symbol of every segment a round, from the back, updates the collection's Burrows-Wheeler transform and
 common prefixes in one sequential pass each, and so sorts all suffixes; windows are equal where the common prefix is
-``length`` or more. Copies of a segment are known by a digest and only their first goes on.
+``length`` or more. Copies of a segment are known by two independent digests of 64 bits and only their first goes on.
 
 Inserting symbols of whole documents would take as many passes over the corpus as its longest text has bytes;
 segments bound that number and the size of a collection, and collections are independent tasks.
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch
+from .skew import Identified
 from .textbytes import RangeHash, batch_bytes, mix, slices
 
-NULL_KEY = (1 << 63) - 1
 #: Segments of a collection, at least, and of one gram in one collection, at most about twice.
-COLLECTION, BLOCK = 1000, 4000
+COLLECTION, BLOCK = 1000, 1000
+#: Bytes of the parts that longer texts are read in.
+LONG = 1 << 24
 
 
 def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,14 +109,15 @@ def may_repeat(segments: list[bytes], grams: list, distances: np.ndarray, length
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Segments of a buffer under 16 MB: document, first and last window, distance of the anchor, gram and segment digests."""
+    """Segments of a buffer of LONG bytes at most: document, first and last window, distance of the anchor, digests of
+    its gram and two of the segment."""
     n = len(data)
-    none = np.zeros(0, np.int64)
+    none, codes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, codes, codes, codes
     h = RangeHash(data)
     i = np.arange(n - gram + 1)
-    g = h(i, i + gram)
+    g = h.fixed(gram) if gram % 8 == 0 else h(i, i + gram)
     low = (g & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)
     w, have = length - gram + 1, 1
     while have * 2 <= w:
@@ -125,13 +128,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     end = np.repeat(offsets[1:], np.diff(offsets))
     s = np.flatnonzero(np.arange(n - length + 1) + length <= end[: n - length + 1])
     if not len(s):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, codes, codes, codes
     p = (low[s] & np.uint64(0xFFFFFF)).astype(np.int64)
     cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(s) != 1)) + 1
     a, b, p = s[np.concatenate(([0], cut))], s[np.concatenate((cut - 1, [len(s) - 1]))], p[np.concatenate(([0], cut))]
     doc = np.searchsorted(offsets, a, "right") - 1
-    digest = mix(h(a, b + length) + ((p - a) << 20 | (b - a)).astype(np.uint64))
-    return doc, a - offsets[doc], b - offsets[doc], p - a, g[p] >> np.uint64(16), digest
+    shape = ((p - a) << 20 | (b - a)).astype(np.uint64)
+    return doc, a - offsets[doc], b - offsets[doc], p - a, g[p] >> np.uint64(16), mix(h(a, b + length) + shape), h(a, b + length, 1)
 
 
 def _ranges(k, u, a, b):
@@ -144,24 +147,25 @@ def _ranges(k, u, a, b):
     return k[cut], u[cut], a[cut], np.maximum.reduceat(b, cut) if len(cut) else b[cut]
 
 
-FOUND = "p long, gram long, seg long, k long, u long, a int, b int, off int, kind int"
+FOUND = "gram long, seg long, more long, k long, u long, a int, b int, off int, kind int"
 
 
 def _found(**c):
     n = len(c["k"])
-    full = {"p": c["p"], "gram": c.get("gram"), "seg": c.get("seg"), "k": c["k"], "u": c["u"], "a": c["a"], "b": c["b"], "off": c.get("off"), "kind": np.full(n, c["kind"])}
+    names = ["gram", "seg", "more", "k", "u", "a", "b", "off", "kind"]
+    full = c | {"kind": np.full(n, c["kind"])}
     types = [pa.int64()] * 5 + [pa.int32()] * 4
-    return pa.RecordBatch.from_arrays([pa.array((np.zeros(n, np.int64) if v is None else v).astype(t.to_pandas_dtype())) for v, t in zip(full.values(), types)], names=list(full))
+    return pa.RecordBatch.from_arrays([pa.array(full.get(x, np.zeros(n, np.int64)).astype(t.to_pandas_dtype())) for x, t in zip(names, types)], names=names)
 
 
 def _first_of_each(rows: dict) -> tuple[dict, np.ndarray]:
     """Rows by gram, segment and place, each place once; which are the first of their segment."""
-    o = np.lexsort(tuple(rows[x] for x in ("a", "u", "k", "seg", "gram")))
+    o = np.lexsort(tuple(rows[x] for x in ("a", "u", "k", "more", "seg", "gram")))
     rows = {x: v[o] for x, v in rows.items()}
     equal = lambda *names: np.logical_and.reduce([rows[x][1:] == rows[x][:-1] for x in names])
     lead, once = np.ones(len(o), bool), np.ones(len(o), bool)
-    lead[1:] = ~equal("gram", "seg")
-    once[1:] = ~equal("gram", "seg", "k", "u", "a")
+    lead[1:] = ~equal("gram", "seg", "more")
+    once[1:] = ~equal("gram", "seg", "more", "k", "u", "a")
     return {x: v[once] for x, v in rows.items()}, lead[once]
 
 
@@ -169,25 +173,27 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
     """Remove every byte covered by a ``length``-byte string that also starts earlier (smaller key, or same row before).
 
     Returns ``key``, n_bytes, n_removed, n_spans, kept (the bytes that are left). Strings never cross rows and are
-    judged on the input. Rows equal in key and text are one document and get the same result; null keys come last; null text is empty; texts
-    shorter than ``length`` stay whole; an empty table gives an empty result.
+    judged on the input. Rows equal in key and text are one document and get the same result; null keys come last; keys
+    may be of any type that sorts; null text is empty; texts shorter than ``length`` stay whole; an empty table gives an
+    empty result. Copies of a segment are taken as equal by 128 bits of digest, other windows by the order of suffixes,
+    except where a gram has over 2 * BLOCK segments: its blocks are settled by 128 bits of digest of each window.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = Scratch(spark)
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("u"), F.col(text).cast("string").alias("t"))
+    scratch = Scratch(docs.sparkSession)
+    whole = Identified(docs, key, text, scratch).rows.select(F.col(f"row.`{key}`").alias("key"), "k", "u", "t")
+    texts = whole.select("k", "u", "t")
 
     def segments(batches):
         held, n = [], 0
         for batch in batches:
             ids, us = (batch.column(i).to_numpy() for i in (0, 1))
             data, offsets = batch_bytes(batch.column(2))
-            for x, y in slices(offsets, 2 << 20):
-                for c, d in [(offsets[x], offsets[y])] if offsets[y] - offsets[x] < 1 << 24 else _long(offsets[x], offsets[y], length):
+            for x, y in slices(offsets, min(2 << 20, LONG // 8)):
+                for c, d in [(offsets[x], offsets[y])] if offsets[y] - offsets[x] < LONG else _long(offsets[x], offsets[y], length):
                     o = np.clip(offsets[x : y + 1] - c, 0, d - c)
-                    doc, a, b, off, g, seg = anchors(data[c:d], o, length, gram)
+                    doc, a, b, off, *codes = anchors(data[c:d], o, length, gram)
+                    g, seg, more = (v.view(np.int64) for v in codes)
                     shift = int(c - offsets[x])
-                    held.append({"gram": g.astype(np.int64), "seg": seg.astype(np.int64), "k": ids[x:y][doc], "u": us[x:y][doc], "a": a + shift, "b": b + shift, "off": off})
+                    held.append({"gram": g, "seg": seg, "more": more, "k": ids[x:y][doc], "u": us[x:y][doc], "a": a + shift, "b": b + shift, "off": off})
                     n += len(doc)
             if n > 1_000_000:
                 yield from once(held)
@@ -195,8 +201,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         yield from once(held)
 
     def _long(start, stop, length):
-        """Overlapping parts of a text of 16 MB or more; every window lies in one of them."""
-        step = (1 << 24) - 2 * length
+        """Overlapping parts of a text of LONG bytes or more; every window lies in one of them."""
+        step = LONG - 2 * length
         at = start
         while at < stop:
             yield at, min(stop, at + step + length - 1)
@@ -206,7 +212,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         if not sum(len(x["k"]) for x in held):
             return
         rows = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-        both = mix(rows["gram"].astype(np.uint64) ^ mix(rows["seg"].astype(np.uint64)))
+        both = mix(rows["gram"].view(np.uint64) ^ mix(rows["seg"].view(np.uint64)))
         o = np.argsort(both)
         near = np.zeros(len(o), bool)
         near[1:] = both[o][1:] == both[o][:-1]
@@ -217,10 +223,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
             got = {c: v[m] for c, v in part.items()}
             for z in range(0, len(got["k"]), 100_000):
                 sub = {c: v[z : z + 100_000] for c, v in got.items()}
-                yield _found(p=sub["gram"], kind=0, **sub)
+                yield _found(kind=0, **sub)
         k, u, a, b = _ranges(*(again[c][~lead] for c in ("k", "u", "a", "b")))
         if len(k):
-            yield _found(p=mix(k.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)).astype(np.int64), kind=1, k=k, u=u, a=a, b=b)
+            spread = mix(k.view(np.uint64) * np.uint64(31) + a.astype(np.uint64)).view(np.int64)
+            yield _found(gram=spread, kind=1, k=k, u=u, a=a, b=b)
 
     def firsts(batches):
         """Per gram: repeats of a segment are flagged (1); if it has several segments, their firsts go on (2, 3 in blocks)."""
@@ -229,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
             rows = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
             passed = rows["kind"] == 1
             if passed.any():
-                yield _found(p=rows["p"][passed], kind=1, **{c: rows[c][passed] for c in ("k", "u", "a", "b")})
+                yield _found(kind=1, **{c: rows[c][passed] for c in ("k", "u", "a", "b")})
             rows = {c: v[~passed] for c, v in rows.items()}
             if tail is not None:
                 rows = {c: np.concatenate((tail[c], v)) for c, v in rows.items()}
@@ -242,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                 block = 0
             while len(tail["k"]) > 2 * BLOCK:  # one gram with very many segments goes on in blocks
                 stop = BLOCK
-                while stop < len(tail["k"]) and tail["seg"][stop] == tail["seg"][stop - 1]:
+                while stop < len(tail["k"]) and tail["seg"][stop] == tail["seg"][stop - 1] and tail["more"][stop] == tail["more"][stop - 1]:
                     stop += 1
                 if stop == len(tail["k"]):
                     break
@@ -256,7 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         rows, lead = _first_of_each(rows)
         if not lead.all():
             k, u, a, b = _ranges(*(rows[c][~lead] for c in ("k", "u", "a", "b")))
-            yield _found(p=k, kind=1, k=k, u=u, a=a, b=b)
+            yield _found(kind=1, k=k, u=u, a=a, b=b)
         heads = {c: v[lead] for c, v in rows.items()}
         g = heads["gram"]
         new = np.ones(len(g), bool)
@@ -266,12 +273,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         for pick, kind in ((several & ~in_blocks, 2), (in_blocks, 3)):
             if pick.any():
                 part = {c: v[pick] for c, v in heads.items() if c in ("gram", "k", "u", "a", "b", "off")}
-                yield _found(p=np.full(int(pick.sum()), block), kind=kind, **part)
+                yield _found(seg=np.full(int(pick.sum()), block), kind=kind, **part)
 
     found = texts.mapInArrow(segments, FOUND)
-    sorted_in = found.repartition(F.col("p")).sortWithinPartitions("gram", "seg", "k", "u", "a")
+    sorted_in = found.repartition(F.col("gram")).sortWithinPartitions("gram", "seg", "more", "k", "u", "a")
     table = scratch.write(sorted_in.mapInArrow(firsts, FOUND))
-    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", F.col("p").alias("block"), "a", "b", "kind", "off")).alias("wanted"))
+    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", F.col("seg").alias("block"), "a", "b", "kind", "off")).alias("wanted"))
 
     def extract(batches):
         for batch in batches:
@@ -335,7 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
             data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
             base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             s = base[seg[keep]] + sizes[seg[keep]] - left[keep]
-            one, two = RangeHash(data)(s, s + length), RangeHash(data[::-1])(len(data) - s - length, len(data) - s)
+            h = RangeHash(data)
+            one, two = h(s, s + length), h(s, s + length, 1)
             yield _windows(k[seg[keep]], u[seg[keep]], start[keep], start[keep], one.astype(np.int64), two.astype(np.int64), 3)
 
     def _windows(k, u, a, b, one, two, kind):
@@ -351,9 +359,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
 
     def strip(batches):
         for batch in batches:
-            data, offsets = batch_bytes(batch.column(2))
+            data, offsets = batch_bytes(batch.column(1))
             raw, kept, facts = data.tobytes(), [], []
-            for i, marks in enumerate(batch.column(3).to_pylist()):
+            for i, marks in enumerate(batch.column(2).to_pylist()):
                 o, at, out, spans, removed = int(offsets[i]), 0, [], 0, 0
                 n, stop = int(offsets[i + 1]) - o, -1
                 for a, b in sorted((m["a"], m["b"] + length) for m in marks or ()):
@@ -365,7 +373,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                 out.append(raw[o + at : o + n])
                 kept.append(b"".join(out))
                 facts.append((n, removed, spans))
-            ids = pa.array([None if k == NULL_KEY else k for k in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[q] for f in facts], pa.int64()) for q in range(3)), pa.array(kept, pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([f[q] for f in facts], pa.int64()) for q in range(3)), pa.array(kept, pa.binary())],
+                names=[key, "n_bytes", "n_removed", "n_spans", "kept"],
+            )
 
-    return texts.join(flags, ["k", "u"], "left").mapInArrow(strip, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = whole.join(flags, ["k", "u"], "left").select("key", "t", "flags")
+    return out.mapInArrow(strip, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -1,20 +1,20 @@
 """Vectorised work on the UTF-8 bytes of a whole Arrow batch of texts.
 
-A batch is one byte array with document offsets. Words, shingles and windows of any document are then ranges of
-that array, and a prefix sum of ``f(byte) * B**i`` (mod 2**64) gives the hash of any range in constant time.
+A batch is one byte array with document offsets. Words, shingles and windows of any document are then ranges of that
+array. The hash of a range is a sum over its 8-byte words, each mixed to 64 bits and multiplied by an odd constant of
+its place: no power series, so no string family collides by its algebra.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-#: An odd multiplier and its inverse mod 2**64, for the polynomial hash of byte ranges.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OTHER_CODES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {"n": 0}
+#: Odd constants of the places of a range, and of a second, independent hash; ranges of more words are digested whole.
+PLACES = 64
+_MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PLACES + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,18 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n; kept for the next batch of the worker."""
-    if _powers["n"] < n:
-        m = max(n, 1 << 20)
-        for key, base in (("up", BASE), ("down", INVERSE)):
-            out = np.full(m, base, dtype=np.uint64)
-            out[0] = 1
-            _powers[key] = np.multiply.accumulate(out)
-        _powers["n"] = m
-    return _powers["up"], _powers["down"]
-
-
 def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets, starting at 0. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -63,16 +51,49 @@ def slices(offsets: np.ndarray, limit: int = 4 << 20):
         a = min(b, n)
 
 
-class RangeHash:
-    """Hashes of byte ranges [s, e) of one buffer."""
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number (little-endian), zeros beyond the end."""
+    x = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        x[:-width] |= x[width:] << np.uint64(8 * width)
+    return x
 
-    def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODES):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes[data] * up[: len(data)], out=self.sums[1:])
 
-    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((self.sums[e] - self.sums[s]) * self.down[s])
+class RangeHash:
+    """64-bit hashes of byte ranges [s, e) of one buffer; ``salt`` 0 or 1 picks one of two independent ones."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.raw = eight_bytes(data) if len(data) else np.zeros(1, np.uint64)
+        self.words = mix(self.raw)
+
+    def fixed(self, length: int) -> np.ndarray:
+        """Hashes of every range of ``length`` bytes, a multiple of 8."""
+        n = len(self.data) - length + 1
+        out = np.full(max(n, 0), length, np.uint64) * _MULTIPLIERS[0, PLACES]
+        for j in range(length // 8 if n > 0 else 0):
+            out += self.words[8 * j : 8 * j + n] * _MULTIPLIERS[0, j]
+        return mix(out)
+
+    def __call__(self, s: np.ndarray, e: np.ndarray, salt: int = 0) -> np.ndarray:
+        size = e - s
+        by = _MULTIPLIERS[salt]
+        out = size.astype(np.uint64) * by[PLACES]
+        live = np.flatnonzero((size >= 8) & (size <= 8 * PLACES))
+        for j in range(PLACES):
+            live = live[size[live] >= 8 * j + 8]
+            if not len(live):
+                break
+            out[live] += self.words[s[live] + 8 * j] * by[j]
+        last = np.flatnonzero((size & 7 > 0) & (size <= 8 * PLACES))
+        if len(last):  # the last 8 bytes, or all of a shorter range
+            r = np.minimum(size[last], 8)
+            w = mix(self.raw[e[last] - r] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - r) * 8).astype(np.uint64)))
+            out[last] += w * by[PLACES + 1]
+        out = mix(out)
+        for i in np.flatnonzero(size > 8 * PLACES).tolist():
+            out[i] = np.frombuffer(hashlib.blake2b(self.data[s[i] : e[i]], digest_size=8, salt=bytes([salt])).digest(), np.uint64)[0]
+        return out
 
 
 def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +111,8 @@ def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+#: An odd multiplier between the words of a short text.
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that separate words: space and 0x09 to 0x0D (fixed values).
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -115,7 +138,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.
         elif b > a:
             x = np.array([b - a], np.uint64)
             for k in range(a, b):
-                x = mix(x * BASE + h[k : k + 1])
+                x = mix(x * PAIR + h[k : k + 1])
             out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
 
 TILE, BLOCK = 512, 4096
 
@@ -71,7 +70,6 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_i
     to the smaller key. Rows of other dimensions take no part in a query; queries that repeat a key are one query
     (the smallest vector), candidates that repeat count each time. An empty table gives no rows.
     """
-    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     groups = max(1, -(-vectors.count() // (2 * block)))
     queries = _pack(vectors.where(is_query).select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")), TILE)

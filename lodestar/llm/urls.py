@@ -1,8 +1,8 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features, all in DataFrame functions.
 
-Training sees at most ``sample_rows`` labelled URLs, binned; each level of a tree is one aggregate of gradient sums by
-(leaf, feature, bin), so the driver only receives leaves x features x bins rows. Sums are of scaled integers, hence
-the same in every run. The model is a sum of CASE expressions over the bins.
+Training sees at most ``sample_rows`` labelled URLs, binned and counted by distinct feature bins in one aggregate; the
+driver grows the trees on these rows, bounded by the sample. The model is a sum of CASE expressions over the bins, and
+suffix statistics are a lookup in a literal map.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SCALE = 1_000_000
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -62,19 +62,13 @@ class Boosted:
 
     edges: dict[str, list[float]] = field(default_factory=dict)
     suffix_rate: dict[str, float] = field(default_factory=dict)
+    other: float = 0.5
     base: float = 0.0
     trees: list[tuple[dict[int, tuple[str, int]], dict[int, float]]] = field(default_factory=list)
 
     def binned(self, values: dict[str, F.Column]) -> dict[str, F.Column]:
         return {f: reduce(lambda a, e: a + (values[f] > F.lit(e)).cast("int"), es, F.lit(0)) for f, es in self.edges.items()}
 
-    @staticmethod
-    def leaf(splits: dict[int, tuple[str, int]], at: int = 1) -> F.Column:
-        if at not in splits:
-            return F.lit(at)
-        f, b = splits[at]
-        return F.when(F.col("b_" + f) <= b, Boosted.leaf(splits, 2 * at)).otherwise(Boosted.leaf(splits, 2 * at + 1))
-
     @staticmethod
     def value(tree, at: int = 1) -> F.Column:
         splits, leaves = tree
@@ -91,12 +85,18 @@ def _suffix(host: F.Column) -> F.Column:
     return F.regexp_extract(host, r"([^.]*)$", 1)
 
 
-def _rate(host: F.Column, rates: dict[str, float], other: float) -> F.Column:
-    return reduce(lambda a, kv: F.when(_suffix(host) == kv[0], F.lit(kv[1])).otherwise(a), sorted(rates.items()), F.lit(other))
+def _rate(suffix: F.Column, rates: dict[str, float], other: float) -> F.Column:
+    """The statistics of a suffix, from a literal map of at most ``suffixes`` entries."""
+    if not rates:
+        return F.lit(other)
+    pairs = [F.lit(x) for kv in sorted(rates.items()) for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), suffix), F.lit(other))
 
 
-def fit_boosted(labelled: DataFrame, features: list[str], trees: int = 8, depth: int = 3, rate: float = 0.4, bins: int = 16, l2: float = 1.0, sample_rows: int = 20_000, suffixes: int = 64) -> Boosted:
-    """Fit on (url_key, host, label 0/1 and the feature columns) of at most ``sample_rows`` rows, the first by md5.
+def fit_boosted(
+    labelled: DataFrame, features: list[str], trees: int = 8, depth: int = 3, rate: float = 0.4, bins: int = 16, l2: float = 1.0, sample_rows: int = 20_000, suffixes: int = 64
+) -> Boosted:
+    """Fit on (url_key, suffix, label 0/1 and the feature columns) of at most ``sample_rows`` rows, the first by md5.
 
     Suffix statistics are the smoothed block rate of the ``suffixes`` most frequent host suffixes of that sample.
     Without labels, or with one class, the model is a constant.
@@ -107,50 +107,60 @@ def fit_boosted(labelled: DataFrame, features: list[str], trees: int = 8, depth:
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or not ones or ones == n:
         model.base = -1.0 if not n else (8.0 if ones else -8.0)
-        model.suffix_rate = {"": 0.5}
         model.edges = {f: [] for f in (*features, "suffix_rate")}
         return model
     p0 = ones / n
-    by = sample.groupBy(_suffix(F.col("host")).alias("s")).agg(F.count("*").alias("c"), F.sum("label").alias("y")).orderBy(F.desc("c"), "s").limit(suffixes).collect()
-    model.suffix_rate = {r["s"]: (r["y"] + 10 * p0) / (r["c"] + 10) for r in by} | {"*": p0}
-    values = {f: F.col(f) for f in features} | {"suffix_rate": _rate(F.col("host"), {k: v for k, v in model.suffix_rate.items() if k != "*"}, p0)}
+    model.base, model.other = math.log(p0 / (1 - p0)), p0
+    by = sample.groupBy("suffix").agg(F.count("*").alias("c"), F.sum("label").alias("y")).orderBy(F.desc("c"), "suffix").limit(suffixes).collect()
+    model.suffix_rate = {r["suffix"]: (r["y"] + 10 * p0) / (r["c"] + 10) for r in by}
+    values = {f: F.col(f) for f in features} | {"suffix_rate": _rate(F.col("suffix"), model.suffix_rate, p0)}
     quantiles = sample.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(f) for f, c in values.items()]).first()
     model.edges = {f: sorted(set(quantiles[f])) for f in values}
-    table = scratch.write(sample.select("label", *[c.alias("b_" + f) for f, c in model.binned(values).items()]))
-    model.base = math.log(p0 / (1 - p0))
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col("b_" + f).alias("b")) for f in model.edges])).alias("cell")
-    p = 1 / (1 + F.exp(-F.col("m")))
+    binned = sample.select("label", *[c.alias(f) for f, c in values.items()]).select("label", *[c.alias(f"b_{f}") for f, c in model.binned({f: F.col(f) for f in values}).items()])
+    counted = binned.groupBy(*binned.columns).agg(F.count("*").alias("n")).orderBy(*binned.columns).collect()  # at most sample_rows rows
+    scratch.drop(sample)
+    table = np.array([list(r) for r in counted])
+    label, times, x = table[:, 0].astype(float), table[:, -1].astype(float), table[:, 1:-1].astype(np.int64)
+    margin = np.full(len(label), model.base)
     for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = times * (label - p), times * p * (1 - p)
         splits: dict[int, tuple[str, int]] = {}
-        sums: dict[int, tuple[float, float]] = {}
+        leaf = np.ones(len(label), np.int64)
         for level in range(depth):
-            rows = table.withColumn("m", model.margin()).withColumn("leaf", Boosted.leaf(splits))
-            rows = rows.select("leaf", F.round((F.col("label") - p) * SCALE).cast("long").alias("g"), F.round(p * (1 - p) * SCALE).cast("long").alias("h"), cells)
-            got: dict[int, dict[str, dict[int, tuple[float, float]]]] = {}
-            for r in rows.groupBy("leaf", "cell.f", "cell.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                got.setdefault(r["leaf"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"] / SCALE, r["h"] / SCALE)
-            for leaf, by_f in got.items():
-                g, h = (sum(x[i] for x in next(iter(by_f.values())).values()) for i in (0, 1))
-                sums[leaf] = (g, h)
-                if leaf < 2**level:
-                    continue
-                best = (1e-9, "", 0, (0.0, 0.0))
-                for f in sorted(by_f):
-                    lg = lh = 0.0
-                    for b in sorted(by_f[f])[:-1]:
-                        lg, lh = lg + by_f[f][b][0], lh + by_f[f][b][1]
-                        gain = lg * lg / (lh + l2) + (g - lg) ** 2 / (h - lh + l2) - g * g / (h + l2)
-                        if gain > best[0]:
-                            best = (gain, f, b, (lg, lh))
-                if best[1]:
-                    splits[leaf] = (best[1], best[2])
-                    sums[2 * leaf], sums[2 * leaf + 1] = best[3], (g - best[3][0], h - best[3][1])
+            for node in range(2**level, 2 ** (level + 1)):
+                here = np.flatnonzero(leaf == node)
+                found = best_split(x[here], g[here], h[here], l2) if len(here) else None
+                if found:
+                    f, b = found
+                    splits[node] = (list(values)[f], b)
+                    leaf[here] = 2 * node + (x[here, f] > b)
         if not splits:
             break
-        model.trees.append((splits, {k: rate * g / (h + l2) for k, (g, h) in sums.items() if k not in splits}))
+        leaves = {k: float(rate * g[leaf == k].sum() / (h[leaf == k].sum() + l2)) for k in np.unique(leaf).tolist()}
+        model.trees.append((splits, leaves))
+        margin += np.array([leaves[k] for k in leaf.tolist()])
     return model
 
 
+def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, l2: float) -> tuple[int, int] | None:
+    """Feature and last bin of the left side that gain most, if any; ties to the first."""
+    best = (1e-9, None)
+    all_g, all_h = g.sum(), h.sum()
+    for f in range(x.shape[1]):
+        bins = x[:, f].max() + 1
+        left_g, left_h = (np.cumsum(np.bincount(x[:, f], v, bins))[:-1] for v in (g, h))
+        seen = np.cumsum(np.bincount(x[:, f], minlength=bins))[:-1]
+        if not len(left_g):
+            continue
+        gain = left_g**2 / (left_h + l2) + (all_g - left_g) ** 2 / (all_h - left_h + l2) - all_g**2 / (all_h + l2)
+        gain[(seen == 0) | (seen == len(x))] = 0
+        b = int(np.argmax(gain))
+        if gain[b] > best[0] * (1 + 1e-12):
+            best = (gain[b], (f, b))
+    return best[1]
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", threshold: float = 0.5, **fit) -> DataFrame:
     """Verdict of every row: ``key``, host, path, rule, verdict (allow or block), score (the trees' block probability).
 
@@ -163,10 +173,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
     values = lexical_features(F.col("u"), F.col("host"), F.col("path"))
-    rows = ruled.withColumns(values)
-    labelled = rows.where("rule is not null").select(F.coalesce("u", F.lit("")).alias("url_key"), "host", (F.col("ruled") == "block").cast("int").alias("label"), *values)
+    rows = ruled.withColumns(values).withColumn("suffix", _suffix(F.col("host")))
+    labelled = rows.where("rule is not null").select(F.coalesce("u", F.lit("")).alias("url_key"), "suffix", (F.col("ruled") == "block").cast("int").alias("label"), *values)
     model = fit_boosted(labelled, list(values), **fit)
-    cols = {f: F.col(f) for f in values} | {"suffix_rate": _rate(F.col("host"), {k: v for k, v in model.suffix_rate.items() if k != "*"}, model.suffix_rate.get("*", 0.5))}
-    scored = rows.withColumns({"b_" + f: c for f, c in model.binned(cols).items()}).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    rated = rows.withColumn("suffix_rate", _rate(F.col("suffix"), model.suffix_rate, model.other))
+    cols = {f: F.col(f) for f in (*values, "suffix_rate")}
+    scored = rated.withColumns({"b_" + f: c for f, c in model.binned(cols).items()}).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     tree = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("ruled", tree).alias("verdict"), "score")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestar.llm import components, hnsw, ngramjoin, suffixes
+from lodestar.llm import chunks, components, hnsw, ngramjoin, suffixes
 from lodestar.llm.scratch import Scratch
 
 
@@ -44,8 +44,9 @@ def near_rows(rng, bases, copies, vocabulary, edits):
     return rows + [(9000, None), (9001, ""), (9002, " \t"), (3, rows[3][1]), (9003, "x " * 4000), (9004, "x " * 4001)]
 
 
-@pytest.mark.parametrize("words,num,den,rows", [(3, 90, 100, None), (5, 8, 10, None), (3, 8, 10, 10**12), (2, 6, 10, 10**12), (3, 95, 100, 10**12)])
-def test_jaccard_against_all_pairs(docs_of, words, num, den, rows):
+@pytest.mark.parametrize("words,num,den,rows,block", [(3, 90, 100, None, 1000), (5, 8, 10, None, 3), (3, 8, 10, 10**12, 1000), (2, 6, 10, 10**12, 2), (3, 95, 100, 10**12, 1000)])
+def test_jaccard_against_all_pairs(docs_of, monkeypatch, words, num, den, rows, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK_NODES", block)
     rng = random.Random(words * num)
     data = near_rows(rng, 25, 14, [f"w{i}" for i in range(400)], 8)
     sets = {i: shingles(t, words) for i, t in data}
@@ -173,9 +174,10 @@ def removed(rows, length):
     return marks
 
 
-@pytest.mark.parametrize("block", [4000, 5])
-def test_remove_repeats_against_all_windows(docs_of, monkeypatch, block):
+@pytest.mark.parametrize("block,long", [(1000, 1 << 24), (5, 1000)])
+def test_remove_repeats_against_all_windows(docs_of, monkeypatch, block, long):
     monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "LONG", long)
     rng = random.Random(9)
     prose = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     shared = [prose(n) for n in (30, 60, 100, 101, 150, 400)]
@@ -209,3 +211,89 @@ def test_keep_one_each_judges_rows_by_their_own_text(docs_of):
     rows = [(3, base), (7, near), (7, alone), (8, other), (8, text()), (None, near), *nulls, (None, nulls[0][1]), (None, None), (None, ""), (9, ""), (9, " ")]
     got = ngramjoin.keep_one_each(docs_of(rows), words=5, num=8, den=10)
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, base), (7, alone), *rows[3:5], *nulls, *rows[-4:]]))
+
+
+def test_jaccard_groups_whose_centre_links_few(docs_of, monkeypatch):
+    """Rings of texts: neighbours are linked, others only share a signature; tiles are small, so most nodes stand apart."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_NODES", 4)
+    rng = random.Random(6)
+    ring = [f"r{i}" for i in range(400)]
+    rows = [(i, " ".join((ring + ring)[4 * i : 4 * i + 60 + rng.randrange(3)])) for i in range(100)]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])]
+    extra = [(200 + i, " ".join(ring[4 * i : 4 * i + 59])) for i in range(0, 80, 9)]
+    sets |= {i: shingles(t, 3) for i, t in extra}
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs_of(rows + extra), words=3, num=8, den=10).collect()}
+    assert got == groups_of(sets, links)
+
+
+THUE = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+
+
+def test_texts_made_to_collide_in_power_sums_stay_apart(docs_of):
+    """A Thue-Morse string and its opposite collide in every polynomial hash modulo 2**64."""
+    flip = THUE.translate(str.maketrans("ab", "ba"))
+    rows = [(1, THUE), (2, flip), (3, THUE[:1024]), (4, flip[:1024]), (5, THUE[:1024])]
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs_of(rows), words=3, num=90, den=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    marks = removed(rows, 100)
+    for r in suffixes.remove_repeats(docs_of(rows), length=100).collect():
+        assert r.n_removed == sum(marks[r.doc_id, dict(rows)[r.doc_id]])
+    for r in chunks.dedup_chunks(docs_of(rows)).collect():
+        seen = b"\0".join(t.encode() for i, t in rows if i < r.doc_id)
+        text = dict(rows)[r.doc_id].encode()
+        assert r.n_removed <= sum(any(text[max(0, i - j) : i - j + 32] in seen or text[max(0, i - j) : i - j + 32] in text[: i] for j in range(32)) for i in range(len(text)))
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_keys_of_any_kind_and_the_largest_number(spark, kind):
+    """String keys order as strings; the largest number isn't taken for a null key."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    ids = ["doc-1", "doc-10", "doc-2", "x"] if kind == "string" else [1, 10, 20, 2**63 - 1]
+    rows = [(ids[1], a), (ids[0], b), (ids[2], a), (ids[3], c), (None, c), (None, b), (ids[3], b)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    key = lambda x: (x is None, x or 0)
+    want = sorted(((i, min((j for j, u in rows if u == t), key=key)) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(df, words=3, num=90, den=100).collect()), key=str) == want
+    kept = sorted(((r.doc_id, r.text) for r in ngramjoin.keep_one_each(df).collect()), key=str)
+    assert kept == sorted([(ids[1], a), (ids[0], b), (ids[3], c)], key=str)
+    for out in (chunks.dedup_chunks(df), suffixes.remove_repeats(df)):
+        n = {(r.doc_id, r.n_bytes - r.n_removed) for r in out.collect()}
+        assert {i for i, left in n if left} == {ids[1], ids[0], ids[3]} and (None, 0) in n and len(n) == 6
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.0])
+def test_near_pairs_of_large_shards_by_audited_beams(spread):
+    """Shards of 6000: the beams are audited and meet nearly all links, without scans where links are few."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12000, 32)).astype(np.float32)
+    v[6000:] = v[:6000] + rng.normal(size=(6000, 32)).astype(np.float32) * 0.05
+    if not spread:  # links of few vectors only
+        v[6200:] = rng.normal(size=(5800, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = hnsw.Graph.build(v[:6000])
+    q, n, (audited, met, scanned) = hnsw.near_pairs(graph, v[6000:], 0.98)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(v[6000:] @ v[:6000].T >= 0.98))))
+    got = set(zip(q.tolist(), n.tolist()))
+    assert got <= want and len(want) >= 150 and len(got) >= 0.97 * len(want)
+    assert met >= 0.99 * audited > 0 and scanned < 1500
+
+
+def test_near_pairs_widen_full_beams_and_scan_where_audits_fail():
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(4, 16)), 300, axis=0).astype(np.float32) + 0.01 * rng.normal(size=(1200, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q, n, facts = hnsw.near_pairs(hnsw.Graph.build(v), v, 0.98)
+    assert set(zip(q.tolist(), n.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(v @ v.T >= 0.98)))) and facts[2] == 1200
+
+
+def test_near_duplicates_of_string_keys_repeated_keys_and_clashing_columns(spark):
+    rows = [("b", [1.0, 0.0], "en", 1, 2), ("b", [1.0, 0.01], "en", 1, 2), ("a", [0.0, 1.0], "en", 1, 2), ("c", [0.0, 2.0], "de", 1, 2), ("d", [0.001, 5.0], "en", 1, 2), ("d", [0.001, 5.0], "en", 1, 2), (None, [1.0, 0.0], "en", 1, 2)]
+    audits = []
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string, h int, rows int")
+    got = sorted(map(str, map(tuple, hnsw.near_duplicates(df, audits=audits).collect())))
+    assert got == sorted(map(str, [("b", 1, "b", True), ("b", 1, "b", True), ("a", 1, "a", True), ("c", 0, "c", True), ("d", 1, "a", False), ("d", 1, "a", False), (None, 0, None, False)]))
+    assert audits[0].count() == 2

@@ -105,7 +105,7 @@ def test_mix_totals_caps_and_reruns(docs_of):
 
 def test_repeat_rows_keeps_columns(docs_of):
     df = docs_of([(i, "a b c") for i in range(30)], ["a"] * 3 + ["b"] * 27)
-    out = mixing.repeat_rows(df, mixing.mix_sources(df))
+    out = mixing.repeat_rows(df)
     assert out.columns == df.columns and out.count() >= 30
 
 
@@ -186,10 +186,10 @@ def test_topk_against_brute_force(spark):
 
 def test_urls_rules_and_trees(spark):
     cases = ["http://a.example.com/en/7", "http://example.com/en/6?x", "HTTP://EXAMPLE.NET/de/8/x", "x://sub.b.net/de/1", "x://net/de/", "x://notnet.xnet/de/", "x://c.org/es/#", "x://c.org/fr/a.b", None, "", "no scheme", "://", "a://b?c://d/e", "a://É.com/en/é"]
-    rows = [(i, u, "h") for i, u in enumerate(cases)] + [(100 + i, f"http://h{i % 7}.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/{i}", "h") for i in range(300)]
+    rows = [(i, u, "h") for i, u in enumerate(cases)] + [(90, "http://" + "a." * 30000 + "com/en/x?" + "y=1&" * 20000, "h"), (91, cases[0], "h"), (91, cases[0], "h")] + [(100 + i, f"http://h{i % 7}.{'com' if i % 2 else 'net'}/{'en' if i % 2 else 'de'}/{i}", "h") for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
     got = {r.page_id: r for r in urls.judge_urls(df, URL_RULES, trees=2).collect()}
-    assert len(got) == len(rows)
+    assert urls.judge_urls(df, URL_RULES, trees=2).count() == len(rows)
     for i, u, _ in rows:
         host = path = ""
         if u and "://" in u:
@@ -200,7 +200,7 @@ def test_urls_rules_and_trees(spark):
         fits = [(r, v) for v, r in URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        assert got[i].verdict == (verdict or got[i].verdict) and got[i].verdict in ("allow", "block")
+        assert got[i].verdict == (verdict or ("block" if got[i].score >= 0.5 else "allow"))
     again = {r.page_id: r for r in urls.judge_urls(df, URL_RULES, trees=2).collect()}
     assert again == got
     assert urls.judge_urls(df.limit(0), URL_RULES).count() == 0
@@ -209,7 +209,7 @@ def test_urls_rules_and_trees(spark):
 
 def test_trees_learn_a_lexical_rule(spark):
     rows = [(f"u{i}", "h.com" if i % 3 else "h.net", int(i % 7 > 3), float(i % 7), float(i % 5)) for i in range(700)]
-    df = spark.createDataFrame(rows, "url_key string, host string, label int, a double, b double")
+    df = spark.createDataFrame(rows, "url_key string, suffix string, label int, a double, b double")
     model = urls.fit_boosted(df, ["a", "b"], trees=4)
     cols = {"a": F.col("a"), "b": F.col("b"), "suffix_rate": F.lit(0.5)}
     scored = df.withColumns({"b_" + f: c for f, c in model.binned(cols).items()}).withColumn("m", model.margin())
@@ -251,3 +251,74 @@ def test_chunks_remove_short_passages_to_their_borders(docs_of):
         left = got[2 * n + 1]
         assert left.n_spans == 1 and left.n_removed >= len(passage.encode()) + 2
         assert len(before + after) - 8 <= len(left.text) <= len(before + after)
+
+
+def test_trees_score_as_brute_force_says(spark):
+    """The scores of CASE expressions are those of boosting by the book on the same binned rows."""
+    rng = random.Random(7)
+    rows = [(f"u{i}", rng.choice(["com", "net", "org"]), int(rng.random() < 0.5), float(rng.randrange(9)), float(rng.randrange(5))) for i in range(900)]
+    df = spark.createDataFrame(rows, "url_key string, suffix string, label int, a double, b double")
+    model = urls.fit_boosted(df, ["a", "b"], trees=3, depth=2)
+    p0 = sum(r[2] for r in rows) / len(rows)
+    rates = {s: (sum(r[2] for r in rows if r[1] == s) + 10 * p0) / (sum(r[1] == s for r in rows) + 10) for s in ("com", "net", "org")}
+    x = [{"a": r[3], "b": r[4], "suffix_rate": rates[r[1]]} for r in rows]
+    binned = [{f: sum(v[f] > e for e in model.edges[f]) for f in v} for v in x]
+    margin = [np.log(p0 / (1 - p0))] * len(rows)
+    for _ in range(3):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        g, h = [r[2] - q for r, q in zip(rows, p)], [q * (1 - q) for q in p]
+        leaves = [list(range(len(rows)))]
+        for _ in range(2):
+            grown = []
+            for leaf in leaves:
+                total = lambda i: (sum(g[k] for k in i), sum(h[k] for k in i) + 1)
+                best = (1e-9, None)
+                for f in ("a", "b", "suffix_rate"):
+                    for b in range(16):
+                        left, right = [k for k in leaf if binned[k][f] <= b], [k for k in leaf if binned[k][f] > b]
+                        if left and right:
+                            gain = sum(a * a / c for a, c in (total(left), total(right))) - total(leaf)[0] ** 2 / total(leaf)[1]
+                            if gain > best[0] * (1 + 1e-9):
+                                best = (gain, (left, right))
+                grown += best[1] or (leaf,)
+            leaves = grown
+        for leaf in leaves:
+            for k in leaf:
+                margin[k] += 0.4 * total(leaf)[0] / total(leaf)[1]
+    cols = {"a": F.col("a"), "b": F.col("b"), "suffix_rate": urls._rate(F.col("suffix"), model.suffix_rate, 0.5)}
+    scored = df.withColumns({"b_" + f: c for f, c in model.binned(cols).items()}).withColumn("m", model.margin())
+    got = {r.url_key: r.m for r in scored.collect()}
+    assert max(abs(got[r[0]] - m) for r, m in zip(rows, margin)) < 1e-9
+
+
+def test_quality_scores_as_brute_force_says(spark, docs_of):
+    """Shrunk class covariances and log densities, by the book."""
+    rng = random.Random(21)
+    rows = [(i, _prose(rng, rng.randrange(5, 90)) if i % 2 else " ".join([_prose(rng, 2)] * 20) + " $$ ||") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    x = {i: quality.statistics(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for i, t in rows}
+    center = np.mean([x[i] for i in range(90)], axis=0)
+    words = lambda v: np.expm1(v[0]) / (np.expm1(v[0]) + quality.PRIOR_WORDS)
+    z = {i: np.append(v[:1], center[1:] + (v[1:] - center[1:]) * words(v)) for i, v in x.items()}
+    side = [np.array([z[i] for i in range(90) if i % 2 == y]) for y in (0, 1)]
+    scatter = [np.cov(s.T, bias=True) for s in side]
+    pooled, d = sum(len(s) * c for s, c in zip(side, scatter)) / 90, len(center)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs_of(rows), labels).collect()}
+    for i, v in z.items():
+        density = []
+        for s, c in zip(side, scatter):
+            w = 0.15 + 0.85 * d / (d + len(s))
+            c = (1 - w) * c + w * pooled
+            c = 0.9 * c + 0.1 * np.diag(np.maximum(np.diag(c), 1e-4)) + 1e-6 * np.eye(d)
+            density.append(np.log(len(s)) - np.linalg.slogdet(c)[1] / 2 - (v - s.mean(0)) @ np.linalg.solve(c, v - s.mean(0)) / 2)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(density[1] - density[0], -30, 30)))) < 1e-6
+
+
+def test_licenses_need_whole_words_and_take_the_best_match(docs_of):
+    texts = ["please submit license forms today", "a permit license", "the hermit license", "commit license", "emit license", "kit license", "mit licence", "the mit licenses", "apache licence apache license", "gnu general publik licensegnu general public licensing gnu general public licenses", "MOZILLA PUBLIC LICENCE", "mozila publc license"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(list(enumerate(texts)))).collect()}
+    assert [got[i].labels for i in range(12)] == ["", "", "", "", "", "", "mit", "mit", "apache", "gpl", "mpl", "mpl"]
+    assert got[8].score == 1 and got[8].n_base == 1 and sorted(s.edits for s in got[8].spans) == [0, 0, 1]
+    assert all(got[i].score < 1 for i in range(12) if not got[i].n_base) and len(got[9].spans) == 1
+    rows = docs_of([(1, texts[6]), (1, texts[6]), (None, texts[6]), (2, "mit licence " * 30000)])
+    assert sorted((str(r.doc_id), len(r.spans)) for r in licenses.scan_licenses(rows).collect()) == [("1", 1), ("1", 1), ("2", 30000), ("None", 1)]
