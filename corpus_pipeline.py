@@ -12,8 +12,7 @@ from lodestar.llm.scratch import Scratch
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from labelled rows that aren't held out."""
-    train = ~F.coalesce(held_out(F.col("k")), F.lit(True))
-    return quality.score_quality(docs, table(spark, sf_dir, "labels"), train=train, keep=True)
+    return quality.score_quality(docs, table(spark, sf_dir, "labels"), train=~held_out(F.col("k")), keep=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeat_rows(docs, mixing.mix_sources(docs))
+    return mixing.repeat_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
