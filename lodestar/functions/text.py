@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Refusal mark, refused score, judge names of rows made without a judge, verdict labels.
 REFUSAL, REFUSED_SCORE, SKIP_JUDGE, AMPLIFIED_JUDGE = "483", -483.0, "483-skip", "Synthetic Amplified"
+#: White space of ASCII (fixed value).
+WHITE = " \t\n\x0b\x0c\r"
 LABEL_A, LABEL_B, LABEL_TIE = "Translation A", "Translation B", "Identical"
 
 
@@ -21,18 +23,26 @@ def is_refusal(text: Column, short: int = 3) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of any kind at either end (``trim`` alone removes spaces only)."""
+    return F.btrim(text, F.lit(WHITE))
 
 
-def verdict(response: Column, swapped: Column) -> Column:
-    """'a', 'b' or 'tie' by the last line; null unless exactly one label is there. ``swapped``: A and B were exchanged."""
-    last = F.element_at(F.split(strip(response), "\n"), -1)
+def last_line(response: Column) -> Column:
+    return F.element_at(F.split(strip(response), "\n"), -1)
+
+
+def verdict_of_line(last: Column, swapped: Column) -> Column:
+    """'a', 'b' or 'tie'; null unless exactly one label is there. ``swapped``: A and B were exchanged."""
     has_a, has_b, tie = (F.contains(last, F.lit(x)) for x in (LABEL_A, LABEL_B, LABEL_TIE))
     one = has_a.cast("int") + has_b.cast("int") + tie.cast("int") == 1
     return F.when(one & tie, "tie").when(one & (has_a != swapped), "a").when(one, "b")
 
 
+def verdict(response: Column, swapped: Column) -> Column:
+    """The verdict of a response's last line."""
+    return verdict_of_line(last_line(response), swapped)
+
+
 def tail_score(response: Column) -> Column:
     """The last number of up to three digits in the last ten characters, if it lies in 0..100."""
     n = F.try_element_at(F.regexp_extract_all(F.substring(response, -10, 10), F.lit(r"\d{1,3}"), F.lit(0)), F.lit(-1)).cast("int")

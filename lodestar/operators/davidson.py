@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import two_sided_p
+from ..sources.shared import settle
 
 FIT = "i int, theta double, strength double, tie double, cov array<double>, log_likelihood double, converged boolean"
 
 
-def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100) -> dict:
+def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100, strengths=None, tie: float = 1.0) -> dict:
     """Log strengths (mean 0), log tie parameter and their covariance, the pseudo-inverse of the observed information.
 
+    ``strengths`` (all positive) and ``tie`` are where the search starts; the maximum doesn't depend on it.
+
     Outcomes of a pair have logits theta_i, theta_j and tau + (theta_i + theta_j) / 2: the likelihood is concave.
     Without a finite maximum (someone never loses, parts never meet) the steps are halved and bounded, and
     ``converged`` is false.
     """
-    x = np.zeros(n + 1)
+    x = np.append(np.zeros(n) if strengths is None else np.log(np.asarray(strengths, float)), np.log(tie))
     i, j = np.asarray(i, int), np.asarray(j, int)
     counts = np.stack([w_ij, w_ji, t_ij], axis=1).astype(float) if len(i) else np.zeros((0, 3))
     rows = np.zeros((len(i), 3, n + 1))
@@ -62,13 +65,13 @@ def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100) -> dict:
     return {"theta": x[:n], "strength": strength / strength.sum(), "tie": float(np.exp(x[n])), "cov": np.linalg.pinv(info, hermitian=True)[:n, :n], "value": float(value), "converged": done and np.abs(x).max() < 15}
 
 
-def fit(counts: DataFrame, n: int, *by: str) -> DataFrame:
+def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -> DataFrame:
     """One fit per group of pair counts (i, j, w_ij, w_ji, t_ij with 0 <= i < j < n): a row per system, see FIT."""
     keys = list(by)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = fit_counts(pdf["i"], pdf["j"], pdf["w_ij"], pdf["w_ji"], pdf["t_ij"], n)
+        f = fit_counts(pdf["i"], pdf["j"], pdf["w_ij"], pdf["w_ji"], pdf["t_ij"], n, strengths=strengths, tie=tie)
         out = pd.DataFrame({"i": np.arange(n, dtype=np.int32), "theta": f["theta"], "strength": f["strength"], "tie": f["tie"], "cov": list(f["cov"]), "log_likelihood": f["value"], "converged": f["converged"]})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
@@ -86,14 +89,36 @@ def intervals(fitted: DataFrame, conf_level: float = 0.95) -> DataFrame:
     return fitted.withColumns({"low": e(F.col("theta") - z * se), "mid": e(F.col("theta")), "high": e(F.col("theta") + z * se), "conf_level": F.lit(conf_level)}).drop("cov")
 
 
+def from_comparisons(rows: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -> DataFrame:
+    """A fit of single outcomes (i, j, result: win1, win2 or tie, the first system being i)."""
+    won = lambda what: F.count_if(F.col("result") == what)
+    first = F.col("i") < F.col("j")
+    rows = rows.withColumn("result", F.when(first | (F.col("result") == "tie"), F.col("result")).when(F.col("result") == "win1", "win2").otherwise("win1"))
+    counts = rows.groupBy(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return fit(counts.agg(won("win1").alias("w_ij"), won("win2").alias("w_ji"), won("tie").alias("t_ij")), n, *by, strengths=strengths, tie=tie)
+
+
+def moments(counts: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
+    """Per system: points won (a tie is half a point) and points that the fit expects. They agree at the maximum of the
+    likelihood and nowhere else; likewise ``ties`` and ``expected_ties`` of its group."""
+    s = lambda x: fitted.select(*by, F.col("i").alias(x), F.col("strength").alias(f"s_{x}"), "tie")
+    rows = counts.join(s("i"), [*by, "i"]).join(s("j").drop("tie"), [*by, "j"])
+    m, t = F.col("w_ij") + F.col("w_ji") + F.col("t_ij"), F.col("tie") * F.sqrt(F.col("s_i") * F.col("s_j"))
+    d = F.col("s_i") + F.col("s_j") + t
+    side = lambda x, won: rows.select(*by, F.col(x).alias("i"), (F.col(won) + F.col("t_ij") / 2).alias("points"), (m * (F.col(f"s_{x}") + t / 2) / d).alias("e"), "t_ij", (m * t / d).alias("et"))
+    both = side("i", "w_ij").unionByName(side("j", "w_ji"))
+    total = lambda c: F.round(F.sum(c), 3)
+    return both.groupBy(*by, "i").agg(F.sum("points").alias("points"), total("e").alias("expected"), F.sum("t_ij").alias("ties"))
+
+
 def p_values(fitted: DataFrame, *by: str) -> DataFrame:
-    """Wald p-values of theta_i = theta_j for all ordered pairs of a group."""
-    a = fitted.select(*by, "i", F.col("theta").alias("ti"), F.col("cov").alias("ci"))
+    """Wald p-values of theta_i = theta_j for all ordered pairs of a group, and whether its fit converged."""
+    a = fitted.select(*by, "i", F.col("theta").alias("ti"), F.col("cov").alias("ci"), "converged")
     b = fitted.select(*by, F.col("i").alias("j"), F.col("theta").alias("tj"), F.col("cov").alias("cj"))
     pairs = (a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))).where("i <> j")
     var = F.element_at("ci", F.col("i") + 1) + F.element_at("cj", F.col("j") + 1) - 2 * F.element_at("ci", F.col("j") + 1)
     p = F.when(var > 1e-12, two_sided_p((F.col("ti") - F.col("tj")) / F.sqrt(var))).otherwise(1.0)
-    return pairs.select(*by, "i", "j", F.round(p, 4).alias("p"))
+    return pairs.select(*by, "i", "j", F.round(p, 4).alias("p"), "converged")
 
 
 def probabilities(strengths: DataFrame, *by: str) -> DataFrame:
@@ -125,12 +150,33 @@ def next_pair(pairs: DataFrame, threshold: float = 1.09054, *by: str) -> DataFra
 
 
 def leaderboard(fitted: DataFrame, *by: str, conf_level: float = 0.95) -> DataFrame:
-    """Systems from best to worst with rank, interval and the p-values against the others as a map."""
+    """Systems from best to worst with rank, interval and the p-values against the others as a map.
+
+    ``fitted`` is written first: intervals, p-values and ranks read one fit.
+    """
+    fitted = settle(fitted)
     ps = p_values(fitted, *by).groupBy(*by, "i").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("j").cast("string"), "p")))).alias("p_vals"))
     rows = intervals(fitted, conf_level).join(ps, [*by, "i"], "left")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("theta"), "i")))
 
 
+def records(board: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
+    """A leaderboard with its systems' names, as records from weakest to strongest: ``entries`` has i and model (a struct).
+
+    position counts from 1 in that order; intervals hold low, mid, high and the level that they are for.
+    """
+    named = board.join(F.broadcast(entries.select("i", "model")), "i", "left")
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("theta", F.desc("i")))
+    interval = F.struct("low", "mid", "high", "conf_level").alias("intervals")
+    return named.select(*by, order.alias("position"), "model", F.col("i").alias("model_id"), interval, "p_vals", "rank", "converged")
+
+
+def strengths_by_rank(fitted: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
+    """Strengths with their systems, strongest first."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("strength"), "i"))
+    return fitted.join(F.broadcast(entries.select("i", "model")), "i", "left").select(*by, place.alias("rank"), "i", "model", "strength")
+
+
 def ordinal_ranks(fitted: DataFrame, *by: str) -> DataFrame:
     return fitted.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("strength"), "i")) - 1)
 
@@ -143,18 +189,46 @@ def correlations(overall: DataFrame, per_judge: DataFrame, by: str = "evaluating
     return both.groupBy(by).agg(F.round(guarded("strength", "s"), 6).alias("pearson"), F.round(guarded("place", "r"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
+def judge_analysis(comparisons: DataFrame, judges: DataFrame, n: int, least_comparisons: int = 10, least_systems: int = 2) -> DataFrame:
+    """Per judge of ``judges``: its votes and rates, whether a model could be fitted on its own comparisons, and that
+    model's correlations with the one of all judges; rank orders by agreement.
+
+    Models need ``least_comparisons`` outcomes and ``least_systems`` systems; without one of all judges none is fitted.
+    """
+    from .pairwise import judge_stats, pair_counts
+
+    by = "evaluating_model"
+    counts = settle(pair_counts(comparisons, by))
+    m = F.sum(F.col("w_ij") + F.col("w_ji") + F.col("t_ij"))
+    everyone = counts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")])
+    stats = judge_stats(comparisons, judges)
+    good = n >= least_systems and (counts.agg(m.alias("m")).first()["m"] or 0) >= least_comparisons
+    enough = counts.groupBy(by).agg(m.alias("m")).where((F.col("m") >= least_comparisons) & F.lit(good)).select(by)
+    fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
+    close = correlations(fit(everyone, n), fitted).withColumnRenamed(by, "judge").drop("n")
+    has = fitted.groupBy(F.col(by).alias("judge")).agg(F.every("converged").alias("converged"))
+    rows = stats.join(close, "judge", "left").join(has, "judge", "left").withColumn("model_fitted", F.col("converged").isNotNull())
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("agreement_rate"), "judge")))
+
+
 def category_signal(comparisons: DataFrame, n: int, least_systems: int = 3, least_comparisons: int = 10, p_limit: float = 0.05) -> DataFrame:
-    """How well each category tells systems apart: agreement, decisiveness, spread of strengths, interval width,
-    significant pairs and their weighted sum; categories with too little data get the first two only."""
+    """How well each category tells systems apart: agreement, decisiveness, spread of strengths, interval width, share of
+    significant pairs and their weighted sum, and the rank by it; categories with too little data get the first two only.
+
+    ``model_fitted`` and ``converged`` tell whether the model figures are there and can be relied on.
+    """
     from .pairwise import agreement, pair_counts
 
-    counts = pair_counts(comparisons, "sentence_category")
-    size = counts.groupBy("sentence_category").agg(F.sum(F.col("w_ij") + F.col("w_ji") + F.col("t_ij")).alias("m"), F.size(F.array_union(F.collect_set("i"), F.collect_set("j"))).alias("systems"))
-    enough = size.where((F.col("m") >= least_comparisons) & (F.col("systems") >= least_systems)).select("sentence_category")
-    fitted = fit(counts.join(F.broadcast(enough), "sentence_category"), n, "sentence_category")
-    spread = fitted.groupBy("sentence_category").agg(F.stddev_pop("strength").alias("spread"))
-    width = intervals(fitted).groupBy("sentence_category").agg(F.avg(F.col("high") - F.col("low")).alias("width"))
-    ratio = p_values(fitted, "sentence_category").where("i < j").groupBy("sentence_category").agg(F.avg((F.col("p") < p_limit).cast("int")).alias("significant"))
-    rows = agreement(comparisons).join(spread, "sentence_category", "left").join(width, "sentence_category", "left").join(ratio, "sentence_category", "left")
+    by = "sentence_category"
+    counts = settle(pair_counts(comparisons, by))
+    size = counts.groupBy(by).agg(F.sum(F.col("w_ij") + F.col("w_ji") + F.col("t_ij")).alias("m"), F.size(F.array_union(F.collect_set("i"), F.collect_set("j"))).alias("systems"))
+    enough = size.where((F.col("m") >= least_comparisons) & (F.col("systems") >= least_systems)).select(by)
+    fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
+    spread = fitted.groupBy(by).agg(F.stddev_pop("strength").alias("spread"), F.every("converged").alias("converged"))
+    width = intervals(fitted).groupBy(by).agg(F.avg(F.col("high") - F.col("low")).alias("width"))
+    ratio = p_values(fitted, by).where("i < j").groupBy(by).agg(F.avg((F.col("p") < p_limit).cast("int")).alias("significant"))
+    rows = agreement(comparisons).join(spread, by, "left").join(width, by, "left").join(ratio, by, "left")
     full = 0.3 * F.col("agreement") + 0.1 * F.col("decisiveness") + 0.25 * 10 * F.col("spread") + 0.15 / (F.col("width") + 1e-6) + 0.2 * F.col("significant")
-    return rows.withColumn("signal", F.round(F.coalesce(full, 0.6 * F.col("agreement") + 0.4 * F.col("decisiveness")), 6))
+    rows = rows.withColumn("model_fitted", F.col("spread").isNotNull())
+    rows = rows.withColumn("signal", F.round(F.coalesce(full, 0.6 * F.col("agreement") + 0.4 * F.col("decisiveness")), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("signal"), by)))

@@ -27,10 +27,14 @@ def all_pairs(entries: DataFrame, *by: str) -> DataFrame:
     return (a.join(b, on) if on else a.crossJoin(F.broadcast(b))).where("i < j")
 
 
-def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """``pairs`` (i, j) without those of ``tested`` (a_id, b_id), in whatever order and language they were tested."""
-    seen = tested.select(F.least("a_id", "b_id").alias("_i"), F.greatest("a_id", "b_id").alias("_j")).distinct()
-    return pairs.join(seen, (F.least("i", "j") == F.col("_i")) & (F.greatest("i", "j") == F.col("_j")), "left_anti")
+def tested(comparisons: DataFrame, *by: str) -> DataFrame:
+    """The pairs of ``comparisons`` (a_id, b_id), in whatever order they were compared: i < j, each once."""
+    return comparisons.select(*by, F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")).distinct()
+
+
+def untested(pairs: DataFrame, seen: DataFrame, *by: str) -> DataFrame:
+    """``pairs`` (i < j) without those of ``seen`` (see ``tested``); with ``by`` per group, else whatever their group."""
+    return pairs.join(seen.select(*by, "i", "j"), [*by, "i", "j"], "left_anti")
 
 
 def first_k(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:

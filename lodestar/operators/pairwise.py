@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import AMPLIFIED_JUDGE, SKIP_JUDGE, coin_flip, coin_flip_key, is_refusal, strip, verdict
+from ..functions.text import AMPLIFIED_JUDGE, SKIP_JUDGE, coin_flip, coin_flip_key, is_refusal, last_line, strip, verdict_of_line
 
 TRIPLET = ["sentence", "a_id", "b_id"]
 
@@ -15,22 +15,44 @@ def vote() -> Column:
     return F.when(F.col("a_success"), "win_a").when(F.col("b_success"), "win_b").when(F.col("identical"), "tie")
 
 
+def without_self_pairs(rows: DataFrame) -> DataFrame:
+    """A system is never compared with itself."""
+    return rows.where("a_id <> b_id")
+
+
+def flip_key() -> Column:
+    """Of columns language, sentence_category, sentence, judge, a_id and b_id: what decides the order of the texts."""
+    ids = [F.col(x).cast("string") for x in ("a_id", "b_id")]
+    return coin_flip_key(F.col("language"), F.col("sentence_category"), F.col("sentence"), F.col("judge"), *ids)
+
+
+def outcome_without_judge() -> Column:
+    """Of columns text_a and text_b: 'none', 'a' or 'b' where one or both are refusals (the mark alone loses, null is a
+    refusal), 'tie' where they are equal but for white space around them, else null."""
+    a_no, b_no = (F.coalesce(is_refusal(F.col(x), 0), F.lit(True)) for x in ("text_a", "text_b"))
+    same = strip(F.col("text_a")) == strip(F.col("text_b"))
+    return F.when(a_no & b_no, "none").when(a_no, "b").when(b_no, "a").when(same, "tie")
+
+
 def facts(pairs: DataFrame) -> DataFrame:
     """``pairs`` (language, sentence, sentence_category, a_id, b_id, text_a, text_b, judge, response) to comparisons.
 
-    A refusal (the mark alone) loses, two refusals are all false, and both are put down to the skip judge, one row a
-    judge; equal texts are a tie without a judge's word; else the verdict counts, A and B exchanged where the coin
-    flip says so. Rows without a readable verdict go.
+    A refusal loses, two refusals are all false, and both are put down to the skip judge, one row a judge; equal texts are
+    a tie without a judge's word; else the verdict counts, A and B exchanged where the coin flip says so. Rows without a
+    readable verdict go, and so do pairs of a system with itself.
     """
-    a_no, b_no = (F.coalesce(is_refusal(F.col(x), 0), F.lit(True)) for x in ("text_a", "text_b"))
-    same = strip(F.col("text_a")) == strip(F.col("text_b"))
-    flip = coin_flip(coin_flip_key(F.col("language"), F.col("sentence_category"), F.col("sentence"), F.col("judge"), F.col("a_id").cast("string"), F.col("b_id").cast("string")))
-    judged = F.when(a_no & b_no, "none").when(a_no, "b").when(b_no, "a").when(same, "tie").otherwise(verdict(F.col("response"), flip))
-    rows = pairs.withColumn("_v", judged).where("_v is not null and a_id <> b_id")
+    # one step each, so that no expression is computed twice
+    rows = without_self_pairs(pairs).withColumn("_o", outcome_without_judge())
+    rows = rows.withColumn("_last", F.when(F.col("_o").isNull(), last_line(F.col("response"))))
+    rows = rows.withColumn("_flip", F.when(F.col("_last").isNotNull(), coin_flip(flip_key())))
+    rows = rows.withColumn("_v", F.coalesce("_o", verdict_of_line(F.col("_last"), F.col("_flip"))))
+    rows = rows.withColumn("_v", F.when(F.col("_v").isNotNull(), F.struct("_v", F.col("_o").isin("none", "a", "b").alias("skip"), F.col("_o").isNotNull().alias("auto"))))
+    rows = rows.where("_v is not null")
+    skip = F.coalesce(F.col("_v.skip"), F.lit(False))
     return rows.select(
-        "language", "a_id", "b_id", "sentence", "sentence_category", F.when(a_no | b_no, SKIP_JUDGE).otherwise(F.col("judge")).alias("evaluating_model"),
-        (F.col("_v") == "a").alias("a_success"), (F.col("_v") == "b").alias("b_success"), (F.col("_v") == "tie").alias("identical"),
-        F.when(a_no | b_no, F.lit(None)).when(same, "Autoskipped").otherwise(F.col("response")).alias("evaluating_response"),
+        "language", "a_id", "b_id", "sentence", "sentence_category", F.when(skip, SKIP_JUDGE).otherwise(F.col("judge")).alias("evaluating_model"),
+        (F.col("_v._v") == "a").alias("a_success"), (F.col("_v._v") == "b").alias("b_success"), (F.col("_v._v") == "tie").alias("identical"),
+        F.when(~skip, F.when(F.col("_v.auto"), "Autoskipped").otherwise(F.col("response"))).alias("evaluating_response"),
     )
 
 
@@ -113,3 +135,33 @@ def subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
     base = pair_counts(comparisons, by)
     sets = subsets(comparisons.where(F.col(by) != SKIP_JUDGE).select(by).distinct(), by).select("mask", "size", F.explode("members").alias(by))
     return base.join(F.broadcast(sets), by).groupBy("mask", "size", "i", "j").agg(*[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")])
+
+
+def amplified_subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
+    """Amplified pair counts of every subset of judges or categories, the votes of a triplet being those of the subset.
+
+    Triplets gather the votes of each value once; every subset then weighs them in place, so facts never multiply.
+    """
+    known = comparisons.where(F.col(by) != SKIP_JUDGE)
+    names = [r[0] for r in known.select(by).distinct().orderBy(by).collect()]  # a few judges or categories
+    if not names:
+        return subset_counts(known, by)
+    votes = [F.count_if(F.col(won) & (F.col(by) == name)).alias(f"{won}_{k}") for k, name in enumerate(names) for won in ("a_success", "b_success", "identical")]
+    per = known.groupBy(*TRIPLET).agg(*votes)
+
+    def weighed(mask: int) -> Column:
+        of = [k for k in range(len(names)) if mask >> k & 1]
+        a, b, t = (sum((F.col(f"{won}_{k}") for k in of), F.lit(0)) for won in ("a_success", "b_success", "identical"))
+        return F.struct(F.lit(mask).alias("mask"), F.lit(len(of)).alias("size"), a.alias("a"), b.alias("b"), t.alias("t"))
+
+    rows = per.select(*TRIPLET, F.explode(F.array(*[weighed(m) for m in range(1, 1 << len(names))])).alias("x")).select(*TRIPLET, "x.*")
+    even, weight = F.col("a") == F.col("b"), F.abs(F.col("a") * F.col("a") - F.col("b") * F.col("b"))
+    outcome = F.when(even, "tie").when(F.col("a") > F.col("b"), "win_a").otherwise("win_b")
+    rows = rows.select("mask", "size", *TRIPLET, outcome.alias("outcome"), F.when(even, F.col("t") * F.col("t")).otherwise(weight).alias("weight"))
+    return amplified_counts(rows.where("weight > 0"), "mask", "size")
+
+
+def progress(comparisons: DataFrame, planned: int) -> DataFrame:
+    """How far a run has come: comparisons, ties, share of ties and percent of what was planned."""
+    n, ties = F.count("*"), F.count_if(vote() == "tie")
+    return comparisons.agg(n.alias("n"), ties.alias("ties"), F.round(F.try_divide(ties, n), 6).alias("tie_rate"), F.round(100 * n / planned, 2).alias("percent"))

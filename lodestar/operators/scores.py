@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import two_sided_p
+from ..functions.stats import exact_u_p, two_sided_p
 from ..functions.text import REFUSED_SCORE
 
+#: The largest sample that is tested exactly.
+EXACT = 8
 KEYS = ["language", "tested_entry", "sentence_category", "evaluating_model"]
 
 
@@ -22,13 +24,28 @@ def summary(items: DataFrame, judges: list[str] | None = None, categories: list[
         items = items.where(F.col("evaluating_model").isin(judges))
     if categories is not None:
         items = items.where(F.col("sentence_category").isin(categories))
-    refused = F.col("score") == REFUSED_SCORE
-    n, at = F.count("*").over(w := Window.partitionBy("tested_entry")), F.row_number().over(w.orderBy("score"))
-    ranked = items.withColumn("_n", n).withColumn("_at", at)
-    return ranked.groupBy("tested_entry").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col("score"))).alias("median"),
-        F.round(F.stddev_pop("score"), 6).alias("std"), F.count_if(refused).alias("refusals"), F.round(F.avg(F.when(~refused, F.col("score"))), 6).alias("mean_scored"),
+    # scores take about a hundred values: count these per system, then rank the counts
+    counts = items.where("score is not null").groupBy("tested_entry", "score").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("tested_entry")
+    upto = F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"n": F.sum("c").over(w), "upto": upto})
+    middle = (F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))
+    refused, total = F.col("score") == REFUSED_SCORE, lambda x, when=None: F.sum(F.when(when, x * F.col("c")) if when is not None else x * F.col("c"))
+    sums = ranked.groupBy("tested_entry").agg(
+        F.sum("c").alias("n"), total(F.col("score")).alias("s"), F.max(F.when(middle, F.col("score"))).alias("median"),
+        F.coalesce(F.sum(F.when(refused, F.col("c"))), F.lit(0)).alias("refusals"), total(F.col("score"), ~refused).alias("given"), F.collect_list(F.struct("score", "c")).alias("all"),
     )
+    mean = F.col("s") / F.col("n")
+    square = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["c"] * (x["score"] - mean) * (x["score"] - mean))
+    return sums.select(
+        "tested_entry", "n", F.round(mean, 6).alias("mean"), "median", F.round(F.sqrt(square / F.col("n")), 6).alias("std"), "refusals",
+        F.round(F.try_divide(F.col("given"), F.col("n") - F.col("refusals")), 6).alias("mean_scored"),
+    )
+
+
+def score_counts(items: DataFrame) -> DataFrame:
+    """Rows per score of each (language, system, category, judge): what summaries and rank tests need, of bounded size."""
+    return items.groupBy(*KEYS, "score").agg(F.count("*").alias("n"))
 
 
 def refusal_rates(items: DataFrame) -> DataFrame:
@@ -36,12 +53,15 @@ def refusal_rates(items: DataFrame) -> DataFrame:
     return items.groupBy("language", "tested_entry").agg(F.count("*").alias("n"), r.alias("refusals"), F.round(r / F.count("*"), 6).alias("rate"))
 
 
-def document(items: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per language: all systems of ``entries`` (tested_entry, model), each with its score groups, empty if none."""
+def document(items: DataFrame, entries: DataFrame, judges: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """One row per language: all systems of ``entries`` (tested_entry, model), each with its score groups, empty if none,
+    and with the names of all ``judges`` and ``categories`` where they are given."""
     groups = group_scores(items).groupBy("language", "tested_entry").agg(F.sort_array(F.collect_list(F.struct("sentence_category", "evaluating_model", "scores"))).alias("comparison_items"))
     every = items.select("language").distinct().crossJoin(F.broadcast(entries.withColumn("id", F.row_number().over(Window.orderBy("tested_entry")) - 1)))
     rows = every.join(groups, ["language", "tested_entry"], "left").withColumn("comparison_items", F.coalesce("comparison_items", F.array().cast(groups.schema["comparison_items"].dataType)))
-    return rows.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("id", "model", "comparison_items"))).alias("models"))
+    lists = {"compare_models": judges, "sentence_types": categories}
+    named = [F.array(*map(F.lit, v)).alias(k) for k, v in lists.items() if v is not None]
+    return rows.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("id", "model", "comparison_items", *named))).alias("models"))
 
 
 def parsed_scores(judged: DataFrame, blind: DataFrame) -> DataFrame:
@@ -64,10 +84,10 @@ def same_texts(translations: DataFrame) -> DataFrame:
 
 
 def mann_whitney(items: DataFrame, system: str = "tested_entry", value: str = "score") -> DataFrame:
-    """Two-sided U tests of all ordered pairs of systems: entry_a, entry_b, u, p (normal, tie-corrected, continuous).
+    """Two-sided U tests of all ordered pairs of systems: entry_a, entry_b, u, p.
 
-    Values are counted per system first, so pairs meet on value counts and not on rows; a system against itself
-    has p 1.
+    p is exact where a sample has ``EXACT`` values at most and none is tied, else normal, tie-corrected and continuous.
+    Values are counted per system first, so pairs meet on value counts and not on rows; a system against itself has p 1.
     """
     counts = items.groupBy(F.col(system).alias("e"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
     systems = counts.groupBy("e").agg(F.sum("c").alias("n"))
@@ -82,5 +102,8 @@ def mann_whitney(items: DataFrame, system: str = "tested_entry", value: str = "s
     n, u = na + nb, F.col("r") - na * (na + 1) / 2
     sigma = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sigma
-    p = F.when((F.col("entry_a") == F.col("entry_b")) | (sigma == 0), 1.0).otherwise(two_sided_p(F.greatest(z, F.lit(0.0))))
-    return sums.select("entry_a", "entry_b", u.alias("u"), F.round(p, 6).alias("p"))
+    small = (F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0)
+    normal = F.when(sigma == 0, 1.0).otherwise(two_sided_p(F.greatest(z, F.lit(0.0))))
+    found = sums.select("entry_a", "entry_b", "n_a", "n_b", u.alias("u"), F.when(F.col("entry_a") == F.col("entry_b"), 1.0).when(~small, normal).alias("p"))
+    exact = exact_u_p(F.when(F.col("p").isNull(), F.col("u")), F.col("n_a"), F.col("n_b"))
+    return found.withColumn("_x", exact).select("entry_a", "entry_b", "u", F.round(F.coalesce("p", "_x"), 6).alias("p"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.stats import normal_cdf
+from .functions.stats import normal_cdf, phi_sql
 from .functions.text import coin_flip, json_scores, seeded_order, tail_score, verdict
-from . import part_queries
+from . import part_queries, plan_queries
 from .operators import coherence as coh
 from .operators import davidson as dv
 from .operators import pairing, pairwise, scores
 from .sources import cache, fixtures, latency
+from .sources.shared import settle
+from .sources.sinks import as_json
 from .streaming.latency import windowed
 
 N = 8  # systems of the test facts
@@ -135,8 +139,11 @@ def strided_pairs(s, d):
 
 
 def untested_pairs(s, d):
-    every = pairing.all_pairs(s.range(N).select(F.col("id").cast("int").alias("id")))
-    return pairing.untested(every, fixtures.comparisons(s, d).where("sentence_category = '1-URGENT' and language = 'ASIA' and a_id + b_id < 7").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
+    """Of forty systems, the pairs that no line item has compared: its supplier's with that of its part, in either order."""
+    every = pairing.all_pairs(s.range(40).select(F.col("id").cast("int").alias("id")))
+    id_of = lambda c: (F.col(c) % 40).cast("int")
+    met = fixtures.table(s, d, "lineitem").select(id_of("l_suppkey").alias("a_id"), (F.col("l_suppkey") * F.col("l_linenumber") % 40).cast("int").alias("b_id"))
+    return pairing.untested(every, pairing.tested(met))
 
 
 def first_k_per_category(s, d):
@@ -164,8 +171,9 @@ def cache_probe(s, d):
 
 
 def cache_upsert(s, d):
-    rows = _kv(s, d)
-    return cache.upsert(cache.latest(rows.where("cast(value as int) % 2 = 0")), rows.where("cast(value as int) % 3 = 0")).select("key", "value")
+    """Odd events are the cache, even ones are written over it."""
+    rows, even = _kv(s, d), F.col("value").cast("long") % 2 == 0
+    return cache.upsert(cache.latest(rows.where(~even)), rows.where(even)).select("key", "value")
 
 
 def cache_delete(s, d):
@@ -186,17 +194,19 @@ def normal_probabilities(s, d):
     return fixtures.table(s, d, "lineitem").select("l_quantity", F.round(normal_cdf(z), 6).alias("phi")).distinct()
 
 
-def _fixed_strengths(s):
-    return s.range(N).select(F.col("id").cast("int").alias("i"), (F.col("id") + 1.0).alias("strength"), F.lit(0.75).alias("tie"))
+def _strengths(s, d):
+    """Made of the suppliers: each of eight systems is as strong as it has suppliers and the last of them says."""
+    k = F.col("s_suppkey")
+    return fixtures.table(s, d, "supplier").groupBy((k % N).cast("int").alias("i")).agg((F.count("*") + F.max(k) % 7 + F.col("i") + 0.5).alias("strength")).withColumn("tie", F.lit(0.75))
 
 
 def pair_entropy(s, d):
-    p = dv.probabilities(_fixed_strengths(s))
+    p = dv.probabilities(_strengths(s, d))
     return p.select("i", "j", *[F.round(c, 6).alias(c) for c in ("p_i", "p_j", "p_tie", "entropy")])
 
 
 def pair_entropy_top1(s, d):
-    return dv.next_pair(dv.probabilities(_fixed_strengths(s)).withColumn("language", (F.col("i") % 2)), 0.9, "language").select("language", "i", "j", F.round("entropy", 6).alias("entropy"))
+    return dv.next_pair(dv.probabilities(_strengths(s, d)).withColumn("language", (F.col("i") % 2)), 0.9, "language").select("language", "i", "j", F.round("entropy", 6).alias("entropy"))
 
 
 def _fit(s, d, *by):
@@ -215,6 +225,36 @@ def leaderboard(s, d):
     return dv.leaderboard(_fit(s, d, "language"), "language").drop("cov")
 
 
+def _moments(counts, *by):
+    counts = settle(counts)
+    return dv.moments(counts, dv.fit(counts, N, *by), *by).where("points > 0 or expected > 0")
+
+
+def davidson_moments(s, d):
+    """Points won and expected of every system and language: equal at the maximum of the likelihood."""
+    return _moments(pairwise.pair_counts(fixtures.comparisons(s, d), "language"), "language")
+
+
+def judge_subset_fits(s, d):
+    return _moments(judge_subsets(s, d), "mask", "size")
+
+
+def category_subset_fits(s, d):
+    return _moments(category_subsets(s, d), "mask", "size")
+
+
+def amplified_fits(s, d):
+    return _moments(amplify_counts(s, d), "language")
+
+
+def amplified_judge_subset_fits(s, d):
+    return _moments(pairwise.amplified_subset_counts(fixtures.comparisons(s, d), "evaluating_model"), "mask", "size")
+
+
+def amplified_category_subset_fits(s, d):
+    return _moments(pairwise.amplified_subset_counts(fixtures.comparisons(s, d), "sentence_category"), "mask", "size")
+
+
 def leaderboard_subsets(s, d):
     return dv.intervals(dv.fit(judge_subsets(s, d), N, "mask"))
 
@@ -235,14 +275,16 @@ def judge_correlation(s, d):
 def scored_document(s, d):
     items = fixtures.rank_items(s, d)
     entries = items.select("tested_entry").distinct().withColumn("model", F.struct(F.col("tested_entry").alias("name")))
-    return scores.document(items, entries).select("language", F.size("models").alias("n_models"), F.sha2(F.to_json("models"), 256).alias("models_sha256"))
+    document = as_json(scores.document(items, entries, ["A", "N"], ["short"]), "models")
+    return document.select("language", F.length("models").alias("size"), F.sha2("models", 256).alias("models_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
     rank_group_scores, rank_summary_stats, rank_refusal_rates, rank_mannwhitney, translation_dedup, blind_order, coin_flips, score_tail_parse, verdict_parse, json_score_rows, comparison_facts, pair_counts, triplet_votes,
     amplify_counts, amplify_rows, consensus_by_category, judge_agreement, majority_vote, judge_stats, judge_subsets, category_subsets, chain_pairs, strided_pairs, untested_pairs, first_k_per_category, coherence_by_depth,
     coherence_by_category, cache_probe, cache_upsert, cache_delete, latency_summary, latency_windows, normal_probabilities, pair_entropy, pair_entropy_top1, davidson_strengths, davidson_pvalues, leaderboard, leaderboard_subsets,
-    leaderboard_amplified, category_signal, judge_correlation, scored_document,
+    leaderboard_amplified, category_signal, judge_correlation, scored_document, davidson_moments, judge_subset_fits,
+    category_subset_fits, amplified_fits, amplified_judge_subset_fits, amplified_category_subset_fits,
 )}
 
 _RANK = """rank_items AS (
@@ -268,11 +310,13 @@ maj AS (
 _COH = "coh AS (SELECT 'm' || (l_suppkey % 8)::VARCHAR AS tested_entry, l_returnflag AS sentence_cat, l_orderkey AS sentence, l_linenumber AS depth, greatest(0, 100 - 3 * l_linenumber - l_quantity)::INT AS score FROM lineitem), it AS (SELECT tested_entry, sentence_cat, sentence, depth, avg(score) AS m FROM coh GROUP BY ALL)"
 _TR = "tr AS (SELECT doc_id, lang AS language, source AS tested_entry, (doc_id % 50)::INT AS sentence_id, text AS translation, (length(text) < 3 OR contains(text, '483')) AS refused FROM documents)"
 _KV = "kv AS (SELECT event_type || '|' || (user_id % 50)::VARCHAR AS key, event_id::VARCHAR AS value, event_id AS seen FROM events), latest AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen DESC, value DESC) AS k FROM kv) WHERE k = 1)"
-_PHI = "t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * (abs(z) / 1.4142135623730951::DOUBLE)) AS t FROM zs), phi AS (SELECT *, CASE WHEN z >= 0 THEN 1 - e / 2 ELSE e / 2 END AS phi FROM (SELECT *, ((((1.061405429::DOUBLE * t + -1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t + -0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-(abs(z) / 1.4142135623730951::DOUBLE) * (abs(z) / 1.4142135623730951::DOUBLE)) AS e FROM t))"
+_PHI = phi_sql()
 _SUB = """, vals AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INT AS k, count(*) OVER () AS m FROM (SELECT DISTINCT {0} AS v FROM comp WHERE {0} <> '483-skip')),
 sets AS (SELECT s.mask::INT AS mask, v, (count(*) OVER (PARTITION BY s.mask))::INT AS size FROM (SELECT unnest(range(1, (SELECT (1 << max(m))::BIGINT FROM vals))) AS mask) s JOIN vals ON (s.mask >> k) & 1 = 1)
 SELECT mask, size, a_id AS i, b_id AS j, count_if(vote = 'win_a')::BIGINT AS w_ij, count_if(vote = 'win_b')::BIGINT AS w_ji, count_if(vote = 'tie')::BIGINT AS t_ij FROM votes JOIN sets ON {0} = v WHERE vote IS NOT NULL GROUP BY mask, size, a_id, b_id"""
-_ENT = """st AS (SELECT i::INT AS i, (i + 1)::DOUBLE AS s FROM range(8) x(i)),
+#: Probabilities that the oracle compares with: the C library's error function, not the operator's formula.
+_KNOWN = ", ".join(f"({q}::DOUBLE, {round(math.erfc(-(q - 25) / 8 / math.sqrt(2)) / 2, 6)!r}::DOUBLE)" for q in range(1, 51))
+_ENT = """st AS (SELECT (s_suppkey % 8)::INT AS i, (count(*) + max(s_suppkey) % 7 + any_value(s_suppkey % 8))::DOUBLE + 0.5::DOUBLE AS s FROM supplier GROUP BY 1),
 pr AS (SELECT a.i, b.i AS j, a.s AS si, b.s AS sj, 0.75::DOUBLE * sqrt(a.s * b.s) AS t, a.s + b.s + 0.75::DOUBLE * sqrt(a.s * b.s) AS d FROM st a JOIN st b ON a.i < b.i),
 en AS (SELECT i, j, si / d AS p_i, sj / d AS p_j, t / d AS p_tie, -(si / d) * ln(si / d + 1e-12) - (sj / d) * ln(sj / d + 1e-12) - (t / d) * ln(t / d + 1e-12) AS entropy FROM pr)"""
 
@@ -287,7 +331,7 @@ m AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY entry_a, entry_b ORDER BY x R
 s AS (SELECT entry_a, entry_b, na, nb, sum(a::DOUBLE * mid) AS r, sum(t::DOUBLE * t::DOUBLE * t::DOUBLE - t::DOUBLE) AS ties FROM m GROUP BY ALL),
 u AS (SELECT *, r - na * (na + 1) / 2 AS u, sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))) AS sigma FROM s),
 zs AS (SELECT *, greatest(0, (greatest(u, na * nb - u) - na * nb / 2 - 0.5::DOUBLE) / sigma) AS z FROM u), {_PHI}
-SELECT entry_a, entry_b, u, round(CASE WHEN entry_a = entry_b THEN 1 ELSE least(1, 2 * (1 - phi)) END, 6) AS p FROM phi""",
+SELECT entry_a, entry_b, u, round(CASE WHEN entry_a = entry_b THEN 1 ELSE least(1, 2 * tail) END, 6) AS p FROM phi""",
     "translation_dedup": f"WITH {_TR} SELECT language, sentence_id, md5(translation) AS text_md5, string_agg(tested_entry, ',' ORDER BY tested_entry) AS entries, count(*) AS n FROM tr WHERE NOT refused GROUP BY language, sentence_id, translation",
     "blind_order": f"WITH {_TR} SELECT sentence_id, doc_id, (row_number() OVER (PARTITION BY sentence_id ORDER BY sha256('s' || sentence_id::VARCHAR || '-jA' || chr(1) || md5(translation)), doc_id) - 1)::INT AS id FROM tr WHERE NOT refused",
     "coin_flips": f"WITH {_COMP} SELECT language, evaluating_model, count(*) AS n, count_if(substr(sha256(sentence || '|' || a_id::VARCHAR || '|' || b_id::VARCHAR || '|' || evaluating_model), 2, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f'))::BIGINT AS heads FROM comp GROUP BY ALL",
@@ -316,19 +360,49 @@ SELECT j.judge, coalesce(decisions, 0) AS decisions, coalesce(agreements, 0) AS
     "category_subsets": f"WITH {_COMP}" + _SUB.format("sentence_category"),
     "chain_pairs": "SELECT * FROM (SELECT s_suppkey % 5 AS grp, s_name AS entry_a, lead(s_name) OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS entry_b FROM supplier) WHERE entry_b IS NOT NULL",
     "strided_pairs": "WITH x AS (SELECT s_suppkey % 5 AS grp, s_suppkey AS pos, s_name AS entry, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) - 1 AS i FROM supplier), y AS (SELECT grp, pos, lag(entry) OVER (PARTITION BY grp ORDER BY pos) AS entry_a, entry AS entry_b FROM x WHERE i >= 1 AND (i - 1) % 3 = 0), z AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos)::INT AS n FROM y WHERE entry_a IS NOT NULL) SELECT grp, entry_a, entry_b, n FROM z WHERE n <= 4",
-    "untested_pairs": f"WITH {_COMP} SELECT x.i::INT AS i, y.j::INT AS j FROM range(8) x(i) JOIN range(8) y(j) ON x.i < y.j WHERE NOT EXISTS (SELECT 1 FROM comp WHERE sentence_category = '1-URGENT' AND language = 'ASIA' AND a_id + b_id < 7 AND a_id = x.i AND b_id = y.j)",
+    "untested_pairs": "SELECT x.i::INT AS i, y.j::INT AS j FROM range(40) x(i) JOIN range(40) y(j) ON x.i < y.j WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_suppkey % 40 AS a, l_suppkey * l_linenumber % 40 AS b FROM lineitem) WHERE (a = x.i AND b = y.j) OR (a = y.j AND b = x.i))",
     "first_k_per_category": "SELECT * FROM (SELECT o_orderpriority AS category, o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_custkey)::INT AS n FROM orders) WHERE n <= 24",
     "coherence_by_depth": f"WITH {_COH} SELECT tested_entry, depth, round(avg(m), 6) AS coherence FROM it GROUP BY ALL UNION ALL SELECT DISTINCT tested_entry, 0, 100.0::DOUBLE FROM coh",
     "coherence_by_category": f"WITH {_COH}, a AS (SELECT * FROM it WHERE depth = 2) SELECT s.tested_entry, c.sentence_cat, round(coalesce(avg(m), 0), 6) AS coherence FROM (SELECT DISTINCT tested_entry FROM a) s CROSS JOIN (SELECT DISTINCT sentence_cat FROM a) c LEFT JOIN a ON a.tested_entry = s.tested_entry AND a.sentence_cat = c.sentence_cat GROUP BY ALL",
     "cache_probe": f"WITH {_KV}, q AS (SELECT event_type || '|' || (user_id % 60)::VARCHAR AS key FROM events), c AS (SELECT * FROM latest WHERE key NOT LIKE '%7') SELECT c.key IS NOT NULL AS hit, count(*) AS n, count(DISTINCT q.key) AS keys FROM q LEFT JOIN c ON q.key = c.key GROUP BY 1",
-    "cache_upsert": "WITH kv AS (SELECT event_type || '|' || (user_id % 50)::VARCHAR AS key, event_id AS seen FROM events), b AS (SELECT key, max(seen) AS seen FROM kv WHERE seen % 2 = 0 GROUP BY key UNION ALL SELECT key, max(seen) FROM kv WHERE seen % 3 = 0 GROUP BY key) SELECT key, max(seen)::VARCHAR AS value FROM b GROUP BY key",
+    "cache_upsert": "SELECT event_type || '|' || (user_id % 50)::VARCHAR AS key, max(event_id)::VARCHAR AS value FROM events GROUP BY ALL",
     "cache_delete": f"WITH {_KV} SELECT key, value FROM latest WHERE key NOT LIKE '%|1%'",
     "latency_summary": "SELECT 'm' || (user_id % 8)::VARCHAR AS model_id, event_type AS sentence_cat, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS longest FROM events GROUP BY ALL",
     "latency_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, 'm' || (user_id % 8)::VARCHAR AS model_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "normal_probabilities": f"WITH zs AS (SELECT DISTINCT l_quantity, (l_quantity - 25) / 8 AS z FROM lineitem), {_PHI} SELECT l_quantity, round(phi, 6) AS phi FROM phi",
+    "normal_probabilities": f"SELECT l_quantity, phi FROM (SELECT DISTINCT l_quantity FROM lineitem) JOIN (VALUES {_KNOWN}) k(q, phi) ON l_quantity = q",
     "pair_entropy": f"WITH {_ENT} SELECT i, j, round(p_i, 6) AS p_i, round(p_j, 6) AS p_j, round(p_tie, 6) AS p_tie, round(entropy, 6) AS entropy FROM en",
     "pair_entropy_top1": f"WITH {_ENT} SELECT language, i, j, round(entropy, 6) AS entropy FROM (SELECT *, i % 2 AS language, row_number() OVER (PARTITION BY i % 2 ORDER BY entropy DESC, i, j) AS k FROM en WHERE entropy >= 0.9) WHERE k = 1",
 }
 
-QUERIES |= part_queries.QUERIES
-ORACLE |= part_queries.oracle(_RANK, _COH, _TR, _COMP, _PHI)
+_POINTS = """ SELECT {0}, i, sum(points)::DOUBLE AS points, sum(points)::DOUBLE AS expected, sum(t)::BIGINT AS ties FROM (
+  SELECT {0}, i, w_ij + t_ij / 2 AS points, t_ij AS t FROM counts UNION ALL SELECT {0}, j, w_ji + t_ij / 2, t_ij FROM counts) GROUP BY ALL HAVING sum(points) > 0"""
+_AMPLIFIED_SUBSETS = """, vals AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::INT AS k, count(*) OVER () AS m FROM (SELECT DISTINCT {0} AS v FROM comp WHERE {0} <> '483-skip')),
+sets AS (SELECT s.mask::INT AS mask, v, (count(*) OVER (PARTITION BY s.mask))::INT AS size FROM (SELECT unnest(range(1, (SELECT (1 << max(m))::BIGINT FROM vals))) AS mask) s JOIN vals ON (s.mask >> k) & 1 = 1),
+got AS (SELECT mask, size, sentence, a_id, b_id, count_if(a_success)::BIGINT AS a, count_if(b_success)::BIGINT AS b, count_if(identical)::BIGINT AS t FROM comp JOIN sets ON {0} = v GROUP BY ALL),
+counts AS (SELECT mask, size, a_id AS i, b_id AS j, sum(CASE WHEN a > b THEN a * a - b * b ELSE 0 END) AS w_ij, sum(CASE WHEN b > a THEN b * b - a * a ELSE 0 END) AS w_ji, sum(CASE WHEN a = b THEN t * t ELSE 0 END) AS t_ij FROM got GROUP BY ALL)"""
+
+
+def _counts(sql: str) -> str:
+    """A query of pair counts as the table ``counts`` of the same query."""
+    head, _, tail = sql.rpartition("\n" if "\nSELECT mask" in sql else "SELECT language, a_id")
+    tail = tail if "\nSELECT mask" in sql else "SELECT language, a_id" + tail
+    return f"{head.rstrip()}, counts AS ({tail})"
+
+
+ORACLE |= {
+    "davidson_moments": _counts(ORACLE["pair_counts"]) + _POINTS.format("language"),
+    "amplified_fits": _counts(ORACLE["amplify_counts"]) + _POINTS.format("language"),
+    "judge_subset_fits": _counts(ORACLE["judge_subsets"]) + _POINTS.format("mask, size"),
+    "category_subset_fits": _counts(ORACLE["category_subsets"]) + _POINTS.format("mask, size"),
+    "amplified_judge_subset_fits": f"WITH {_COMP}" + _AMPLIFIED_SUBSETS.format("evaluating_model") + _POINTS.format("mask, size"),
+    "amplified_category_subset_fits": f"WITH {_COMP}" + _AMPLIFIED_SUBSETS.format("sentence_category") + _POINTS.format("mask, size"),
+    "scored_document": f"""WITH {_RANK},
+g AS (SELECT language, tested_entry, sentence_category, evaluating_model, string_agg(score::VARCHAR, ',' ORDER BY score) AS scores FROM rank_items GROUP BY ALL),
+e AS (SELECT tested_entry, row_number() OVER (ORDER BY tested_entry) - 1 AS id FROM (SELECT DISTINCT tested_entry FROM rank_items)),
+c AS (SELECT l.language, e.id, e.tested_entry, coalesce(string_agg('{{"sentence_category":"' || sentence_category || '","evaluating_model":"' || evaluating_model || '","scores":[' || scores || ']}}', ',' ORDER BY sentence_category, evaluating_model), '') AS items
+  FROM (SELECT DISTINCT language FROM rank_items) l CROSS JOIN e LEFT JOIN g ON g.language = l.language AND g.tested_entry = e.tested_entry GROUP BY ALL),
+m AS (SELECT language, '[' || string_agg('{{"id":' || id::VARCHAR || ',"model":{{"name":"' || tested_entry || '"}},"comparison_items":[' || items || '],"compare_models":["A","N"],"sentence_types":["short"]}}', ',' ORDER BY id) || ']' AS models FROM c GROUP BY language)
+SELECT language, length(models)::INT AS size, sha256(models) AS models_sha256 FROM m""",
+}
+QUERIES |= part_queries.QUERIES | plan_queries.QUERIES
+ORACLE |= part_queries.oracle(_RANK, _COH, _TR, _COMP, _PHI) | plan_queries.oracle(_COMP, _PHI)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KV_SCHEMA = "key string, value string, updated_at timestamp"
+KV_SCHEMA = "key string, value string, updated_at timestamp, seq long"
 JSON_SCHEMA = "entry_id string, source_lang string, target_lang string, text string, temperature double, response string"
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The current state of an append-only log of (key, value, updated_at); a null value deletes its key."""
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("updated_at"), F.desc_nulls_last("value")))
+    """The current state of an append-only log of (key, value, updated_at and, if there, seq): the last entry of a key
+    counts, by time, then by seq; a null value deletes its key."""
+    order = ["updated_at", "seq"] if "seq" in log.columns else ["updated_at"]
+    last = F.row_number().over(Window.partitionBy("key").orderBy(*[F.desc_nulls_last(c) for c in order], F.desc_nulls_last("value")))
     return log.withColumn("_n", last).where("_n = 1 and value is not null").drop("_n")
 
 
@@ -54,20 +58,47 @@ def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JSON_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
+def upsert_json(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """JSON_SCHEMA: an entry has one record, the last that was written for it; ``rows`` has a column seq for its order."""
+    both = cache.withColumn("seq", F.lit(-1).cast("long")).unionByName(rows.where("entry_id is not null").withColumn("seq", F.col("seq").cast("long")))
+    record = F.struct(*[c.split()[0] for c in JSON_SCHEMA.split(", ")[1:]])
+    return both.groupBy("entry_id").agg(F.max_by(record, "seq").alias("x")).select("entry_id", "x.*")
+
+
+def write_json_cache(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Read, change and write the whole cache; a missing or corrupt one is replaced. The new one is complete beside the
+    old before it takes its place."""
+    upsert_json(read_json_cache(spark, path), rows).write.mode("overwrite").json(path + ".new")
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new")]
+    files = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(paths[0], True)
+    files.rename(paths[1], paths[0])
+
+
 class KVTable:
-    """A cache in a folder of Parquet files: appends are log entries, reads give the latest values."""
+    """A cache in a folder of Parquet files: appends are log entries, reads give the latest values.
+
+    Entries of one append have one time; ``seq`` counts appends and rows, so the last of repeated keys wins.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.last = 0
 
     def append(self, rows: DataFrame) -> None:
-        rows.select("key", "value", F.coalesce("updated_at", F.current_timestamp()).alias("updated_at")).write.mode("append").parquet(self.path)
+        """Log entries (key, value, updated_at, seq), each of the last two null where it isn't known."""
+        self.last = max(self.last + 1, time.time_ns() // 1000)
+        own, place = F.timestamp_micros(F.lit(self.last)), F.monotonically_increasing_id()
+        at = F.coalesce("updated_at", own) if "updated_at" in rows.columns else own
+        place = F.coalesce("seq", place) if "seq" in rows.columns else place
+        rows.select("key", "value", at.alias("updated_at"), place.cast("long").alias("seq")).write.mode("append").parquet(self.path)
 
     def set(self, rows: DataFrame) -> None:
-        self.append(rows.where("key is not null and value is not null").withColumn("updated_at", F.current_timestamp()))
+        """Of rows that repeat a key the last counts: by ``seq`` if there is one, else in the order of the table."""
+        self.append(rows.where("key is not null and value is not null").drop("updated_at"))
 
     def delete(self, keys: DataFrame) -> None:
-        self.append(keys.select("key", F.lit(None).cast("string").alias("value"), F.current_timestamp().alias("updated_at")))
+        self.append(keys.select("key", F.lit(None).cast("string").alias("value")))
 
     def read(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Languages with the codes of two services; no code means the service lacks the language.
 LANGUAGES = [
     ("English", "EN", "en_US"), ("German", "DE", "de_DE"), ("Chinese", "ZH", "zh-Hans_CN"), ("Hungarian", "HU", "hu_HU"), ("French", "FR", "fr_FR"), ("Japanese", "JA", "ja_JP"), ("Italian", "IT", "it_IT"),
@@ -30,48 +33,75 @@ def supported(requests: DataFrame, codes: DataFrame, code: str) -> DataFrame:
 
 
 class Provider(Protocol):
+    """What a plan needs of a service: answers to prompts, translations, and which languages it takes."""
+
     def infer(self, prompt: str, temperature: float | None) -> str: ...
 
+    def translate(self, source: str, target: str, text: str, temperature: float | None) -> str: ...
+
+    def is_tl_valid(self, target: str) -> bool: ...
+
 
 class OfflineProvider:
-    """Answers that only depend on prompt and temperature: for tests and dry runs."""
+    """Answers that only depend on what is asked: for tests and dry runs."""
+
+    def __init__(self, name: str = "offline", languages: set[str] | None = None):
+        self.name, self.languages = name, languages
 
-    def __init__(self, name: str = "offline"):
-        self.name = name
+    def _digest(self, asked: str) -> str:
+        return f"{self.name}:{hashlib.sha256(asked.encode()).hexdigest()[:16]}"
 
     def infer(self, prompt: str, temperature: float | None) -> str:
-        return f"{self.name}:{hashlib.sha256(f'{temperature}|{prompt}'.encode()).hexdigest()[:16]}"
+        return self._digest(f"{temperature}|{prompt}")
+
+    def translate(self, source: str, target: str, text: str, temperature: float | None) -> str:
+        if not self.is_tl_valid(target):
+            raise ValueError(f"no {target}")
+        return self._digest(f"{source}>{target}|{text}")
+
+    def is_tl_valid(self, target: str) -> bool:
+        return self.languages is None or target in self.languages
+
+
+ANSWER = "key string, value string, seconds double, attempts int, error string"
 
 
-def call(requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0) -> DataFrame:
-    """(key, prompt, temperature) with ``value``, ``seconds`` and ``error``: one client a task, retries bounded.
+def call(requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0, jitter: float = 0.0) -> DataFrame:
+    """ANSWER for rows (key, prompt, temperature), or (key, source, target, text, temperature) to translate.
 
-    The number of partitions is the number of parallel calls.
+    One client a task; a call that fails is tried again after a wait that grows with each attempt, ``jitter`` is the
+    longest random wait before a first one. The number of partitions is the number of parallel calls.
     """
+    translates = "prompt" not in requests.columns
+    asked = ["source", "target", "text", "temperature"] if translates else ["prompt", "temperature"]
 
     def run(batches):
         client = make()
+        ask = client.translate if translates else client.infer
         for batch in batches:
             out = []
-            for prompt, temperature in zip(batch.column("prompt").to_pylist(), batch.column("temperature").to_pylist()):
-                value, error, began = None, None, time.time()
+            for row in zip(*(batch.column(c).to_pylist() for c in asked)):
+                value, error, began, i = None, None, time.time(), 0
+                time.sleep(random.uniform(0, jitter))
                 for i in range(attempts):
                     try:
                         began = time.time()
-                        value, error = client.infer(prompt, temperature), None
+                        value, error = ask(*row), None
                         break
                     except Exception as e:  # a provider may raise anything
                         error = f"{type(e).__name__}: {e}"
-                        time.sleep(wait * (i + 1))
-                out.append((value, time.time() - began, error))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.string())], names=["key", "value", "seconds", "error"])
+                        if i + 1 < attempts:
+                            time.sleep(wait * (i + 1))
+                out.append((value, time.time() - began, i + 1, error))
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "value", "seconds", "attempts", "error"])
 
-    return requests.select("key", "prompt", "temperature").mapInArrow(run, "key string, value string, seconds double, error string")
+    return requests.select("key", *asked).mapInArrow(run, ANSWER)
 
 
 def through_cache(requests: DataFrame, cache: DataFrame, make: Callable[[], Provider], **how) -> tuple[DataFrame, DataFrame]:
-    """(all requests with value, the new rows for the cache): each missing key is asked once."""
-    asked = call(requests.join(cache, "key", "left_anti").dropDuplicates(["key"]), make, **how)
-    new = asked.where("value is not null").select("key", "value")
-    known = cache.select("key", "value").unionByName(new)
-    return requests.join(known, "key", "left"), new
+    """(all requests with value, the calls as ANSWER): each missing key is asked once, and the answers are written before
+    anything reads them, so no later plan or lost executor asks again. New cache rows are the calls with a value."""
+    asked = settle(call(requests.join(cache, "key", "left_anti").dropDuplicates(["key"]), make, **how))
+    known = cache.select("key", "value").unionByName(asked.where("value is not null").select("key", "value"))
+    return requests.join(known, "key", "left"), asked

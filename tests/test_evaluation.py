@@ -1,17 +1,21 @@
 """Edge cases of parsers, models, caches, pairing, providers and the stream."""
 
+import itertools
+import json
 import math
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.functions.stats import normal_cdf
-from lodestar.operators import coherence, davidson, pairing, pairwise, scores
-from lodestar.plans import active, scoring
-from lodestar.sources import cache, latency, providers
+from lodestar.functions.stats import normal_cdf, two_sided_p, u_distribution
+from lodestar.operators import charts, coherence, davidson, pairing, pairwise, reports, scores
+from lodestar.plans import active, coherence as trips_of, pairwise as pairwise_plan, scoring
+from lodestar.sources import cache, latency, lists, providers, services, sinks
 from lodestar.streaming.latency import read_stream, windowed
 
 
@@ -58,9 +62,19 @@ def test_keys_and_prompts(spark):
     assert row.k == "TRANSLATION From Language:English To Language: German|Model: e|Sentence md5:5d41402abc4b2a76b9719d911017c592"
 
 
-def test_normal_cdf(spark):
-    got = column(spark, [-2.0, 0.0, 1.96], normal_cdf, "double")
-    assert np.allclose(got, [0.0227501, 0.5, 0.9750021], atol=2e-7)
+def test_normal_probabilities_to_the_last_digits(spark):
+    zs = [-8.0, -2.0, -0.3, 0.0, 1.96, 4.0, 7.0, 7.5, 12.0, 30.0]
+    got = column(spark, zs, normal_cdf, "double")
+    assert np.allclose(got, [math.erfc(-z / math.sqrt(2)) / 2 for z in zs], rtol=1e-8, atol=0)
+    assert np.allclose(column(spark, zs, two_sided_p, "double"), [math.erfc(abs(z) / math.sqrt(2)) for z in zs], rtol=1e-8, atol=0)
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (2, 3), (5, 3), (4, 7)])
+def test_exact_distribution_of_u(n, m):
+    want = [0] * (n * m + 1)
+    for ranks in itertools.combinations(range(n + m), n):
+        want[sum(ranks) - n * (n - 1) // 2] += 1
+    assert list(u_distribution(n, m)) == want
 
 
 COMP = "language string, a_id int, b_id int, sentence string, sentence_category string, evaluating_model string, a_success boolean, b_success boolean, identical boolean"
@@ -173,7 +187,7 @@ def test_kv_table(spark, tmp_path):
     assert kv.read().count() == 0
     rows = lambda *x: spark.createDataFrame(x, "key string, value string")
     kv.set(rows(("a", "1"), ("b", ""), ("c", None)))
-    kv.set(rows(("a", "2")))
+    kv.set(rows(("a", "9"), ("a", "2")))
     kv.delete(rows(("b", None)).select("key"))
     assert [(r.key, r.value) for r in kv.read().collect()] == [("a", "2")]
     assert {(r.key, r.hit) for r in cache.probe(rows(("a", ""), ("z", "")).select("key"), kv.read()).collect()} == {("a", True), ("z", False)}
@@ -195,14 +209,19 @@ def flaky():
                 raise RuntimeError("no")
             return "t:" + prompt[-20:]
 
+        def translate(self, source, target, text, temperature):
+            return self.infer(text, temperature)
+
     return Flaky
 
 
 def test_provider_retries_and_cache(spark):
     q = spark.createDataFrame([("1", "fine", 0.0), ("1", "fine", 0.0), ("2", "bad", None)], "key string, prompt string, temperature double")
     known = spark.createDataFrame([("9", "x")], "key string, value string")
-    done, new = providers.through_cache(q, known, flaky())
-    assert new.count() == 1 and {(r.key, r.value) for r in done.collect()} == {("1", "t:fine"), ("2", None)}
+    done, calls = providers.through_cache(q, known, flaky())
+    assert {(r.key, r.value) for r in done.collect()} == {("1", "t:fine"), ("2", None)}
+    assert {(r.key, r.attempts, r.error) for r in calls.collect()} == {("1", 1, None), ("2", 3, "RuntimeError: no")}
+    assert [r.key for r in scoring.failures(calls).collect()] == ["2"]
     assert providers.languages(spark, True).count() == 14
 
 
@@ -211,17 +230,162 @@ def test_scoring_plan(spark):
     sentences = spark.createDataFrame([("short", "hello there"), ("short", "refuse this")], "sentence_category string, sentence string")
     empty = spark.createDataFrame([], "key string, value string")
     work = scoring.workload(providers.languages(spark, True).limit(2), sentences, entries)
-    done, new = scoring.translate(work, empty, flaky())
-    assert work.count() == 8 == new.count() and done.where("refused").count() == 4
+    done, calls = scoring.translate(work, empty, flaky())
+    assert work.count() == 8 == calls.count() and done.where("refused").count() == 4
 
     class Judge:
         def infer(self, prompt, temperature):
             return '```[{"id": 0, "score": 70}, {"id": 5, "score": 1}]```'
 
-    blind = scoring.blind_lists(done, spark.createDataFrame([("j1",), ("j2",)], "judge string"))
+    judges = spark.createDataFrame([("j1",), ("j2",)], "judge string")
+    blind = scoring.blind_lists(done, judges)
     judged, _ = scoring.judge(blind, empty, Judge)
-    facts = scoring.score_facts(done, blind, judged)
-    assert facts.where("score = 70").count() == 8 and facts.where("score = -483").count() == 0
+    facts = scoring.score_facts(done, blind, judged, judges)
+    # every system refused the second sentence: nothing was judged, and each judge gets its refusals
+    assert facts.where("score = 70").count() == 8 and facts.where("score = -483").count() == 8
+    assert facts.where("score = -483 and translation is null and sentence = 'refuse this'").count() == 8
+    log = scoring.latency_log(done.select("key", F.col("tested_entry").alias("model_id"), F.col("sentence_category").alias("sentence_cat"), "sentence"), calls)
+    assert log.count() == 4 and log.where("duration < 0").count() == 0
+
+
+def test_pairwise_plan_asks_only_what_is_open(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Judge:
+        def infer(self, prompt, temperature):
+            asked.add(1)
+            return "I say\nTranslation A"
+
+    texts = [(0, "x"), (1, " x\n"), (2, "y"), (3, "483"), (4, None)]
+    rows = spark.createDataFrame([("L", "s", "c", i, t) for i, t in texts], "language string, sentence string, sentence_category string, id int, text string")
+    chosen = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (3, 4), (2, 2)], "a_id int, b_id int")
+    judges = spark.createDataFrame([("j1",), ("j2",)], "judge string")
+    f, calls = pairwise_plan.compare(pairwise_plan.pairs(rows, chosen), judges, spark.createDataFrame([], "key string, value string"), Judge)
+    got = sorted((r.a_id, r.b_id, r.evaluating_model, r.a_success or r.b_success, r.identical, r.evaluating_response) for r in f.collect())
+    assert asked.value == 2 == calls.count()  # only (0, 2) is open; the system with itself gives no fact
+    assert got == [(0, 1, "j1", False, True, "Autoskipped"), (0, 1, "j2", False, True, "Autoskipped"), *[(0, 2, j, True, False, "I say\nTranslation A") for j in ("j1", "j2")],
+                   *[(0, 3, "483-skip", True, False, None)] * 2, *[(3, 4, "483-skip", False, False, None)] * 2]
+    shown = {r.judge: (r.flipped, r.prompt) for r in pairwise_plan.prompts(pairwise_plan.pairs(rows, chosen).where("a_id = 0 and b_id = 2").crossJoin(judges)).collect()}
+    assert all(("A: ```y```" in p) == flipped for flipped, p in shown.values())
+
+
+def test_coherence_plan_keeps_depths_before_a_refusal(spark):
+    class There:
+        def translate(self, source, target, text, temperature):
+            return "483" if text == "aaa''" else text + "'"
+
+        def infer(self, prompt, temperature):
+            return "90" if "```aaa''```" in prompt else "many words, 1000"
+
+    work = trips_of.tasks(spark.createDataFrame([("m", 0.0)], "tested_entry string, temperature double"), spark.createDataFrame([("c", 0, "aaa"), ("c", 1, "bbb"), ("c", 2, "ccc")], "sentence_category string, sentence_pos int, sentence string"), 2)
+    none = spark.createDataFrame([], "key string, value string")
+    rows, calls = trips_of.batch(work, spark.createDataFrame([("e",)], "judge string"), "German", 2, none, There, There)
+    got = sorted((r.sentence, r.depth, r.staged_text, r.score) for r in rows.collect())
+    assert got == [("aaa", 1, "aaa''", 90), ("bbb", 1, "bbb''", 0), ("bbb", 2, "bbb" + "'" * 4, 0)]
+    assert trips_of.nested(rows).count() == 3 and calls.where("value = '483'").count() == 1
+
+
+def recorded():
+    import json
+
+    def transport(url, headers, body, timeout):
+        if "fail" in body:
+            raise OSError("down")
+        if "busy" in body:
+            return 429, "later"
+        return 200, json.dumps({"choices": [{"message": {"content": headers["Authorization"] + " " + json.loads(body)["messages"][0]["content"]}}]})
+
+    return transport
+
+
+def test_services_over_a_recorded_transport(spark):
+    rows = spark.createDataFrame([(k, "m", k, k, 0.5, False) for k in ("fine", "fail", "busy")], "key string, model string, prompt string, text string, temperature double, thinking boolean")
+    rows = rows.withColumns({"source_code": F.lit("a"), "target_code": F.lit("b")})
+    got = {r.key: r for r in services.ask(rows, services.JUDGES["openrouter"], lambda: "sec", "So: ", wait=0, jitter=0, transport=recorded()).collect()}
+    assert got["fine"].value == "Bearer sec So: fine" and got["fine"].error is None
+    assert got["fail"].value is None and "OSError" in got["fail"].error and got["busy"].error == "openrouter: status 429"
+    lacking = rows.withColumn("target_code", F.lit(None).cast("string"))
+    got = services.ask(lacking, services.TRANSLATORS["deepl"], lambda: "sec", jitter=0, transport=recorded()).collect()
+    assert {(r.value, r.error) for r in got} == {(None, "not supported")}
+
+
+def test_services_over_http(spark):
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Content-Type"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"translations": [{"combined": False, "text": "no"}, {"combined": True, "text": "yes"}]}).encode()
+            self.send_response(200 if len(seen) > 1 else 500)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([("k", "English", "EuropeanSpanish", "hi", f"http://127.0.0.1:{server.server_port}/x")], "key string, source string, target string, text string, model string")
+    rows = rows.withColumns({"prompt": F.lit("-"), "temperature": F.lit(0.0), "thinking": F.lit(False)})
+    rows = services.with_codes(rows, providers.languages(spark), services.TRANSLATORS["hybrid"])
+    got = services.ask(rows, services.TRANSLATORS["hybrid"], lambda: 't"o', wait=0, jitter=0).collect()
+    server.shutdown()
+    assert [(r.key, r.value, r.error) for r in got] == [("k", "yes", None)] and len(seen) == 2
+    assert seen[1] == ("application/json", {"source_lang": "English", "target_lang": "Spanish", "text": "hi", "formality": "NormalFormality", "token": 't"o'})
+
+
+def test_lists_from_files(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"short": ["a", "b"], "long": ["c"]}))
+    got = [tuple(r) for r in lists.read_sentences(spark, f"file://{tmp_path}/s.json").orderBy("category_pos", "sentence_pos").collect()]
+    assert got == [("short", 0, 0, "a"), ("short", 0, 1, "b"), ("long", 1, 0, "c")]
+    (tmp_path / "e.json").write_text("\n".join(json.dumps(x) for x in [{"list_name": "x", "pos": 0, "model_name": "m", "model_company": "c", "service": "s", "model": "z", "temp": "0.33"}, {"list_name": "y", "pos": 0}]))
+    (r,) = lists.read_entries(spark, f"file://{tmp_path}/e.json", "x").collect()
+    assert (r.tested_entry, r.temperature) == ("mcs0.33None", 0.33)
+    (tmp_path / "j.json").write_text("\n".join(json.dumps(x) for x in [{"pos": 1, "judge": "j", "model": "late"}, {"pos": 0, "judge": "j", "model": "first"}]))
+    (r,) = lists.read_judges(spark, f"file://{tmp_path}/j.json").collect()
+    assert (r.judge, r.model, r.prefix) == ("j", "first", "")
+
+
+def test_sinks_and_charts(spark, tmp_path):
+    doc = spark.createDataFrame([("L", [(0, "m")])], "language string, models array<struct<id:int,name:string>>")
+    for kind in ("json", "parquet"):
+        sinks.write_document(doc, f"file://{tmp_path}/{kind}", kind)
+        assert spark.read.format(kind).load(f"file://{tmp_path}/{kind}").select("language").first()[0] == "L"
+    lines = spark.createDataFrame([(2, "b"), (1, "a")], "rank int, line string")
+    sinks.write_lines(lines, f"file://{tmp_path}/report")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/report").collect()] == ["a", "b"]
+    means = spark.createDataFrame([("m", 0, 100.0), ("m", 1, 50.0)], "tested_entry string, depth int, coherence double")
+    sinks.write_text(spark, charts.by_depth(means), f"file://{tmp_path}/c.svg")
+    assert 'points="60.00,60.00 730.00,240.00"' in (tmp_path / "c.svg").read_text()
+    bars = charts.by_category(spark.createDataFrame([("m", "c", 50.0), ("n", "c", 0.0)], "tested_entry string, sentence_cat string, coherence double"))
+    assert bars.count("<rect") == 4 and 'height="180.0"' in bars
+
+
+def test_json_cache_is_rewritten(spark, tmp_path):
+    path = f"file://{tmp_path}/j"
+    row = lambda r, seq: spark.createDataFrame([("e", "a", "b", "t", None, r, seq)], cache.JSON_SCHEMA + ", seq long")
+    cache.write_json_cache(spark, path, row("1", 0))
+    cache.write_json_cache(spark, path, row("2", 1))
+    assert [r.response for r in cache.read_json_cache(spark, path).collect()] == ["2"]
+
+
+def test_reports_without_figures(spark):
+    rows = spark.createDataFrame([("j", 0, 0, 0, 0, 0, 0.0, 0.0, None, None, None, False, 1)], "judge string, decisions int, agreements int, ties int, a_wins int, b_wins int, agreement_rate double, tie_rate double, pearson double, spearman double, converged boolean, model_fitted boolean, rank int")
+    assert reports.judges(rows).first().line.split(" | ")[1:] == ["   0.00%", "        0", " 0.00%", "        N/A", "       N/A", "False "]
+
+
+def test_amplified_subsets_by_hand(spark):
+    rows = [("L", 0, 1, "s", "c", f"j{k}", x == "a", x == "b", x == "t") for k, x in enumerate("aab")]
+    got = {r["mask"]: (r.w_ij, r.w_ji, r.t_ij) for r in pairwise.amplified_subset_counts(spark.createDataFrame(rows, COMP), "evaluating_model").collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 3: (4, 0, 0), 4: (0, 1, 0), 7: (3, 0, 0)}
+
+
+def test_models_start_anywhere_and_tell_when_they_did_not_converge(spark):
+    a = davidson.fit_counts([0], [1], [8], [2], [4], 2)
+    b = davidson.fit_counts([0], [1], [8], [2], [4], 2, strengths=[0.01, 0.99], tie=5.0)
+    assert np.allclose(a["theta"], b["theta"]) and math.isclose(a["tie"], b["tie"])
+    lost = spark.createDataFrame([("c", 0, 1, 20, 0, 0)], "sentence_category string, i int, j int, w_ij long, w_ji long, t_ij long")
+    assert not any(r.converged for r in davidson.p_values(davidson.fit(lost, 2, "sentence_category"), "sentence_category").collect())
 
 
 def test_active_learning_ends(spark):
@@ -246,13 +410,6 @@ def test_latency_stream(spark, tmp_path):
     assert latency.summary(latency.read(spark, path)).first().total == 5.0
 
 
-def test_active_learning_query_compares_three_more_pairs(spark):
-    from lodestar.part_queries import active_learning
-
-    got = {(r.a_id, r.b_id): r.n for r in active_learning(spark, "").collect()}
-    assert got.pop((0, 1)) == 3 and len(got) == 3 and set(got.values()) == {1} and all(0 <= a < b < 4 for a, b in got)
-
-
 def test_log_likelihood_is_the_one_that_the_fit_reports(spark):
     counts = spark.createDataFrame([("x", 0, 1, 5, 3, 2), ("x", 0, 2, 1, 4, 0), ("x", 1, 2, 2, 2, 2)], "g string, i int, j int, w_ij long, w_ji long, t_ij long")
     fitted = davidson.fit(counts, 3, "g").collect()
