@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .skew import Identified, join_split
-from .textbytes import RangeHash, batch_bytes, mix, slices
+from .textbytes import RangeHash, batch_bytes, blocks, mix, slices
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 SEED, SPREAD = 64, 64
@@ -38,16 +38,24 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def gear_blocks(data: np.ndarray, more: int = 0):
+    """(start, gear hashes from there on) of parts of the buffer, each with ``more`` hashes beyond its end."""
+    for a, b in blocks(len(data)):
+        before = min(a, 31)
+        yield a, b, gear_hashes(data[a - before : b + more])[before:]
+
+
 def cut(data: np.ndarray, offsets: np.ndarray, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends in the buffer and each document's number of the first; every non-empty document ends a chunk.
 
     A chunk ends where the top ``bits`` bits of the gear hash are 0 and a character ends, at least ``least`` (32 or
     more: the hash then sees this document only) and about ``most`` bytes after the last.
     """
-    h = gear_hashes(data)
     whole = np.ones(len(data), bool)
     whole[:-1] = (data[1:] & 0xC0) != 0x80
-    at = (np.flatnonzero((h >> np.uint32(32 - bits) == 0) & whole) + 1).tolist()
+    zero = [a + np.flatnonzero(h >> np.uint32(32 - bits) == 0) for a, _, h in gear_blocks(data)]
+    at = np.concatenate(zero) if zero else np.zeros(0, np.int64)
+    at = (at[whole[at]] + 1).tolist()
     ends, first, i = [], [0], 0
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         last = a
@@ -80,17 +88,24 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data) - SEED - SPREAD + 2
     if n <= 0:
         return np.zeros(0, np.int64)
-    least = (gear_hashes(data)[SEED - 1 :].astype(np.uint64) << np.uint64(32)) + np.arange(len(data) - SEED + 1, dtype=np.uint64)
-    w = 1
-    while w < SPREAD:
-        least = np.minimum(least[:-w], least[w:])
-        w *= 2
-    inside = np.zeros(n + 1, np.int64)
+    inside = np.zeros(n + 1, np.int8)  # documents don't overlap, so a place is inside one at most
     for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - SEED - SPREAD + 2).tolist()):
         if b > a:
             inside[a] += 1
             inside[b] -= 1
-    at = (least[np.cumsum(inside)[:n] > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.cumsum(inside[:n], dtype=np.int8) > 0
+    found = []
+    for a, b, h in gear_blocks(data, SEED + SPREAD - 2):
+        h = h[SEED - 1 :]  # of the windows that start at a and after it
+        least = (h.astype(np.uint64) << np.uint64(32)) + np.arange(a, a + len(h), dtype=np.uint64)
+        w = 1
+        while w < SPREAD and len(least):
+            least = np.minimum(least[:-w], least[w:])
+            w *= 2
+        m = min(b, n) - a
+        if m > 0:
+            found.append((least[:m][inside[a : a + m]] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    at = np.concatenate(found)
     return at[np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1]))]
 
 

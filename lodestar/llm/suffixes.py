@@ -24,8 +24,8 @@ from .textbytes import RangeHash, batch_bytes, mix, slices
 
 #: Segments of a collection, at least, and of one gram in one collection, at most about twice.
 COLLECTION, BLOCK = 1000, 1000
-#: Bytes of the parts that longer texts are read in.
-LONG = 1 << 24
+#: Bytes of the parts that longer texts are read in (at most 2**24, the room for a place).
+LONG = 1 << 21
 
 
 def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         for batch in batches:
             ids, us = (batch.column(i).to_numpy() for i in (0, 1))
             data, offsets = batch_bytes(batch.column(2))
-            for x, y in slices(offsets, min(2 << 20, LONG // 8)):
+            for x, y in slices(offsets, LONG // 2):
                 for c, d in [(offsets[x], offsets[y])] if offsets[y] - offsets[x] < LONG else _long(offsets[x], offsets[y], length):
                     o = np.clip(offsets[x : y + 1] - c, 0, d - c)
                     doc, a, b, off, *codes = anchors(data[c:d], o, length, gram)

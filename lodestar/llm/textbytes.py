@@ -51,6 +51,16 @@ def slices(offsets: np.ndarray, limit: int = 4 << 20):
         a = min(b, n)
 
 
+#: Bytes worked on at a time: temporaries stay small and in the processor's cache, however long a text is.
+AT_ONCE = 1 << 17
+
+
+def blocks(n: int):
+    """Ranges of AT_ONCE places."""
+    for a in range(0, n, AT_ONCE):
+        yield a, min(n, a + AT_ONCE)
+
+
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from every place on as one number (little-endian), zeros beyond the end."""
     x = data.astype(np.uint64)
@@ -64,16 +74,19 @@ class RangeHash:
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        self.raw = eight_bytes(data) if len(data) else np.zeros(1, np.uint64)
-        self.words = mix(self.raw)
+        self.words = np.empty(len(data), np.uint64)
+        for a, b in blocks(len(data)):
+            self.words[a:b] = mix(eight_bytes(data[a : b + 7])[: b - a])
 
     def fixed(self, length: int) -> np.ndarray:
         """Hashes of every range of ``length`` bytes, a multiple of 8."""
-        n = len(self.data) - length + 1
-        out = np.full(max(n, 0), length, np.uint64) * _MULTIPLIERS[0, PLACES]
-        for j in range(length // 8 if n > 0 else 0):
-            out += self.words[8 * j : 8 * j + n] * _MULTIPLIERS[0, j]
-        return mix(out)
+        out = np.empty(max(len(self.data) - length + 1, 0), np.uint64)
+        for a, b in blocks(len(out)):
+            x = np.full(b - a, length, np.uint64) * _MULTIPLIERS[0, PLACES]
+            for j in range(length // 8):
+                x += self.words[a + 8 * j : b + 8 * j] * _MULTIPLIERS[0, j]
+            out[a:b] = mix(x)
+        return out
 
     def __call__(self, s: np.ndarray, e: np.ndarray, salt: int = 0) -> np.ndarray:
         size = e - s
@@ -87,12 +100,15 @@ class RangeHash:
             out[live] += self.words[s[live] + 8 * j] * by[j]
         last = np.flatnonzero((size & 7 > 0) & (size <= 8 * PLACES))
         if len(last):  # the last 8 bytes, or all of a shorter range
-            r = np.minimum(size[last], 8)
-            w = mix(self.raw[e[last] - r] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - r) * 8).astype(np.uint64)))
-            out[last] += w * by[PLACES + 1]
+            r, stop = np.minimum(size[last], 8), e[last]
+            w = np.zeros(len(last), np.uint64)
+            for k in range(1, 9):
+                w = (w << np.uint64(8)) | np.where(r >= k, self.data[np.maximum(stop - k, 0)], 0).astype(np.uint64)
+            out[last] += mix(w) * by[PLACES + 1]
         out = mix(out)
         for i in np.flatnonzero(size > 8 * PLACES).tolist():
-            out[i] = np.frombuffer(hashlib.blake2b(self.data[s[i] : e[i]], digest_size=8, salt=bytes([salt])).digest(), np.uint64)[0]
+            digest = hashlib.blake2b(self.data[s[i] : e[i]], digest_size=8, salt=bytes([salt])).digest()
+            out[i] = np.frombuffer(digest, np.uint64)[0]
         return out
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import chunks, licenses, mixing, packing, quality, topk, urls
+from lodestar.llm import chunks, licenses, mixing, packing, quality, textbytes, topk, urls
 from lodestar.llm.queries import URL_RULES, tokenizer_path
 
 TEXTS = [None, "", " \n ", "word", "It's  a\ttest <|endoftext|> of 483 things. " * 40, "é ñ ü 漢字 " * 600, "x" * 5000, "same text", "same text", " " * 3000]
@@ -133,6 +133,23 @@ def test_chunks_remove_repeats_and_leave_the_rest(docs_of):
     assert chunks.dedup_chunks(docs_of([])).count() == 0
 
 
+def test_blocks_change_nothing(monkeypatch):
+    """Hashes, cuts and windows are the same whatever the size of the blocks that they are computed in."""
+    rng = random.Random(3)
+    texts = [_prose(rng, n).encode() for n in (0, 3, 200, 1, 90, 60, 0)]
+    data, o = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    s = np.array([rng.randrange(len(data)) for _ in range(200)])
+    e = np.minimum(s + np.array([rng.randrange(700) for _ in range(200)]), len(data))
+    of = lambda: (*chunks.cut(data, o, 3, 32, 100), chunks.seeds(data, o), textbytes.RangeHash(data).fixed(24), textbytes.RangeHash(data)(s, e), textbytes.RangeHash(data)(s, e, 1))
+    whole = of()
+    low = [(int(h) << 32) + i for i, h in enumerate(chunks.gear_hashes(data)[63:])]
+    want = {min(low[i : i + 64]) & 0xFFFFFFFF for a, b in zip(o[:-1], o[1:]) for i in range(a, b - 126)}
+    assert sorted(want) == whole[2].tolist()
+    assert textbytes.RangeHash(data)(np.arange(50), np.arange(50) + 24).tolist() == whole[3][:50].tolist()
+    monkeypatch.setattr(textbytes, "AT_ONCE", 50)
+    assert all((x == y).all() for x, y in zip(whole, of()))
+
+
 def test_gear_hash_is_the_rolling_one():
     data = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
     h, want = 0, []
