@@ -20,6 +20,7 @@ from .operators import davidson as dv
 from .plans import active, coherence, scoring
 from .plans import pairwise as pairwise_plan_of
 from .sources import cache, fixtures, lists, providers, services
+from .sources.shared import settle
 from .streaming.latency import windowed
 
 table = fixtures.table
@@ -307,7 +308,7 @@ def active_learning(s, d):
     until none is left."""
     side = lambda x: F.floor(F.col(f"{x}_id") / 2).cast("int").alias(f"{x}_id")
     known = fixtures.comparisons(s, d)
-    known = pairwise.without_self_pairs(known.select("language", side("a"), side("b"), *known.columns[3:]))
+    known = settle(pairwise.without_self_pairs(known.select("language", side("a"), side("b"), *known.columns[3:])))
     compare = lambda chosen: known.join(F.broadcast(chosen.select("language", F.col("i").alias("a_id"), F.col("j").alias("b_id"))), ["language", "a_id", "b_id"])
     out, _ = active.learn(known.where("b_id - a_id = 1"), 4, compare, threshold=0.0)
     return out.groupBy("language", "a_id", "b_id").agg(F.count("*").alias("n"))
