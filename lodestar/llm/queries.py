@@ -68,9 +68,44 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_hnsw, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes, op10_urls)}
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can say: exact places of the phrases."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def urls_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can say: hosts, paths and what the rules decide."""
+    judged = op10_urls(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_hnsw, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes, op10_urls, licenses_base, urls_rules)}
+
+def _places(phrase: str) -> str:
+    words = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+    return f"list_filter(range(len(ws)), lambda i: {words})"
+
+
+def _rules_sql() -> str:
+    """CASE branches of the rules, longest first."""
+    fits = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    longest = sorted(URL_RULES, key=lambda x: -len(x[1]))
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(v, r)}'" for v, r in longest) + " END"
+    return f"{case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS ruled"
+
 
 ORACLE = {
+    "licenses_base": f"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []::VARCHAR[]) AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n, {", ".join(f"{_places(p)} AS l{k}" for k, p in enumerate(licenses.PHRASES))} FROM w),
+a AS (SELECT *, {" || ".join(f"l{k}" for k in range(len(licenses.PHRASES)))} AS found FROM p)
+SELECT doc_id, n AS n_words, len(found) AS n_base, list_min(found) AS first_word, list_max(found) AS last_word,
+  array_to_string(list_sort(list_distinct({" || ".join(f"CASE WHEN len(l{k}) > 0 THEN ['{v}'] ELSE []::VARCHAR[] END" for k, v in enumerate(licenses.PHRASES.values()))})), ',') AS base_labels FROM a
+""",
+    "urls_rules": f"""
+WITH x AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, {_rules_sql()} FROM x
+""",
     "op2_hnsw": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
