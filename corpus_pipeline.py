@@ -21,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the runs of chunks that occur earlier."""
+    """Texts without the passages that occur earlier."""
     return chunks.dedup_chunks(docs, columns=True)
 
 
@@ -35,15 +35,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), window=1024)
 
 
-STAGES = [("quality classifier", accept_quality), ("n-gram Jaccard join", drop_near_duplicates), ("substring dedup", drop_repeated_passages), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing", mix),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each on the written rows of the one before."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
