@@ -19,8 +19,8 @@ from .operators import charts, pairwise, reports, scores
 from .operators import davidson as dv
 from .plans import active, coherence, scoring
 from .plans import pairwise as pairwise_plan_of
-from .sources import cache, fixtures, lists, providers, services
-from .sources.shared import settle
+from .sources import cache, fixtures, latency, lists, providers, services, sinks
+from .sources.shared import settle, shared_dir
 from .streaming.latency import windowed
 
 table = fixtures.table
@@ -266,6 +266,13 @@ def scoring_plan(s, d):
     return scoring.score_facts(done, blind, judged, judges).select("language", "sentence", "judge", "tested_entry", "translation", "score")
 
 
+def scoring_prompts(s, d):
+    """The prompts of the scoring plan, whole, by their digests."""
+    done, _ = scoring.translate(_scoring_work(s, d), _no_cache(s), DigestProvider)
+    blind = scoring.blind_lists(done, s.createDataFrame([("j1",), ("j2",)], "judge string"))
+    return scoring.prompts(blind).select("language", "sentence", "judge", F.length("prompt").alias("length"), F.sha2("prompt", 256).alias("prompt_sha256"), "key")
+
+
 def translation_log(s, d):
     """Per system and category: calls that gave a text, and calls that never did."""
     work = _scoring_work(s, d)
@@ -324,8 +331,77 @@ def latency_stream(s, d):
     return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "model_id", "n", "total")
 
 
+# round trips through files
+
+
+def _path(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def latency_file(s, d):
+    """The log appended to in two goes, read back and summed up."""
+    path, rows = _path(s, "latency"), fixtures.latency(s, d).withColumn("logged_at", F.unix_micros(F.col("logged_at").cast("timestamp")) / 1e6)
+    for part in (F.col("duration") < 50, F.col("duration") >= 50):
+        latency.append(rows.where(part), path)
+    return latency.summary(latency.read(s, path))
+
+
+def kv_table(s, d):
+    """A cache on disk: set twice, keys deleted, read back; of repeated keys the last event counts."""
+    table_of = cache.KVTable(s, _path(s, "kv"))
+    e = table(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 70).cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    table_of.set(e.where("value <> 'click'"))
+    table_of.set(e.where("value = 'click'"))
+    table_of.delete(e.select("key").where("key like '%7'").distinct())
+    return table_of.read().select("key", "value")
+
+
+def json_cache_file(s, d):
+    """The JSON cache written twice and read back."""
+    path = _path(s, "json")
+    e = table(s, d, "events").select(
+        F.concat(F.lit("m"), (F.col("user_id") % 90).cast("string")).alias("entry_id"), F.lit("English").alias("source_lang"), F.col("event_type").alias("target_lang"), F.col("props").alias("text"),
+        F.when(F.col("event_id") % 3 > 0, 0.5).alias("temperature"), F.col("event_id").cast("string").alias("response"), F.col("event_id").alias("seq"),
+    )
+    cache.write_json_cache(s, path, e.where("seq % 2 = 1"))
+    cache.write_json_cache(s, path, e.where("seq % 2 = 0"))
+    return cache.read_json_cache(s, path)
+
+
+def document_file(s, d):
+    """The nested document written as JSON and read back, counted by system."""
+    path, items = _path(s, "document"), fixtures.rank_items(s, d)
+    document = scores.document(items, items.select("tested_entry").distinct().withColumn("model", F.struct(F.col("tested_entry").alias("name"))))
+    sinks.write_document(document, path)
+    rows = s.read.schema(document.schema).json(path).select("language", F.explode("models").alias("m")).select("language", "m.model.name", F.explode("m.comparison_items").alias("c"))
+    return rows.groupBy("language", "name").agg(F.count("*").alias("groups"), F.sum(F.size("c.scores")).alias("scores"), F.round(F.sum(F.aggregate("c.scores", F.lit(0.0), lambda a, x: a + x)), 2).alias("total"))
+
+
+def list_files(s, d):
+    """Systems and sentences written as files and loaded by their readers."""
+    path = _path(s, "entries")
+    table(s, d, "supplier").select(
+        F.lit("all").alias("list_name"), F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("model_name"), F.lit("Co").alias("model_company"), F.lit("svc").alias("service"),
+        F.lit("m").alias("model"), F.when(F.col("s_suppkey") % 2 == 0, "0.5").alias("temp"),
+    ).write.json(path)
+    corpus = _path(s, "sentences")
+    by = table(s, d, "region").join(table(s, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    whole = by.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("r_name", "names"))))).alias("value"))
+    whole.coalesce(1).write.text(corpus)
+    work = lists.read_sentences(s, corpus).crossJoin(F.broadcast(lists.read_entries(s, path, "all")))
+    return work.groupBy("tested_entry", "sentence_category", "category_pos").agg(F.count("*").alias("n"), F.max_by("sentence", "sentence_pos").alias("last"))
+
+
+def report_file(s, d):
+    """A leaderboard's lines written as text and read back in the order of the file."""
+    path = _path(s, "report")
+    one = reports.leaderboard(_duel_records(s, d), "language").where("language = 'ASIA'")
+    sinks.write_lines(one, path)
+    return s.read.text(path).select((F.monotonically_increasing_id() + 1).cast("int").alias("rank"), F.rtrim("value").alias("line"))
+
+
 QUERIES = {f.__name__: f for f in (
-    connector_requests, connector_replies, entry_lists, judge_registry, sentence_corpus, json_cache_write, duel_fit, duel_from_outcomes, duel_leaderboard, leaderboard_report, strengths_ranked, duel_categories,
+    latency_file, kv_table, json_cache_file, document_file, list_files, report_file, scoring_prompts, connector_requests, connector_replies, entry_lists, judge_registry, sentence_corpus, json_cache_write, duel_fit, duel_from_outcomes, duel_leaderboard, leaderboard_report, strengths_ranked, duel_categories,
     category_report, duel_judges, judge_report, comparison_progress, score_counts, mannwhitney_exact, pairwise_plan, pairwise_cache, scoring_plan, translation_log, coherence_plan, coherence_nested, coherence_chart,
     active_learning, latency_stream,
 )}
@@ -420,7 +496,7 @@ t AS (SELECT *, substr(h, 1, 1) = '1' AS failed, substr(h, 1, 1) = '0' OR contai
         ("judge", "openrouter"): ("'https://openrouter.ai/api/v1/chat/completions'", chat_of("',\"max_tokens\":9000'", "'Be terse. ' || prompt")),
         ("judge", "google"): ("'https://generativelanguage.googleapis.com/v1beta/models/' || model || ':generateContent'", gemini.replace("PROMPT", "'Be terse. ' || prompt")),
     }
-    return {
+    sql = {
         "connector_requests": asked + " UNION ALL ".join(f" SELECT '{k}' AS kind, '{n}' AS service, key, {url} AS url, {body} AS body FROM x" for (k, n), (url, body) in sent.items()),
         "connector_replies": "WITH n AS (SELECT * FROM nation CROSS JOIN (VALUES " + ", ".join(f"('{n}')" for n in REPLIES) + """) s(service)),
 e AS (SELECT service, n_name AS key, CASE WHEN n_nationkey % 4 = 0 THEN service || ': status 500' WHEN n_nationkey % 5 = 0 THEN service || ': no text in the reply' WHEN service = 'lingvanex' AND n_nationkey % 7 = 0 THEN 'quota' END AS error FROM n)
@@ -460,6 +536,21 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON
 s AS (SELECT language, sentence, string_agg(text, '|' ORDER BY text) AS seed FROM g GROUP BY ALL), j AS (SELECT * FROM (VALUES ('j1'), ('j2')) j(judge)),
 b AS (SELECT g.*, judge, row_number() OVER (PARTITION BY g.language, g.sentence, judge ORDER BY sha256(seed || '-' || judge || chr(1) || text)) - 1 AS id FROM g JOIN s ON g.language = s.language AND g.sentence = s.sentence CROSS JOIN j)
 SELECT language, sentence, judge, unnest(es) AS tested_entry, text AS translation, ((17 * id + 3) % 101)::DOUBLE AS score FROM b UNION ALL SELECT language, sentence, judge, e, NULL, -483 FROM t CROSS JOIN j WHERE refused AND NOT failed""",
+        "scoring_prompts": work + f""", g AS (SELECT DISTINCT language, sentence, text FROM t WHERE NOT failed AND NOT refused),
+s AS (SELECT language, sentence, string_agg(text, '|' ORDER BY text) AS seed FROM g GROUP BY ALL),
+b AS (SELECT g.*, judge, row_number() OVER (PARTITION BY g.language, g.sentence, judge ORDER BY sha256(seed || '-' || judge || chr(1) || text)) - 1 AS id FROM g JOIN s ON g.language = s.language AND g.sentence = s.sentence CROSS JOIN (VALUES ('j1'), ('j2')) j(judge)),
+l AS (SELECT language, sentence, judge, string_agg('Translation ID ' || id::VARCHAR || ':' || chr(10) || '```' || text || '```' || chr(10), '' ORDER BY id) AS list FROM b GROUP BY ALL),
+p AS (SELECT language, sentence, judge, {_prompt(scoring.SCORE, target="language", text="sentence", list="list")} AS prompt FROM l)
+SELECT language, sentence, judge, length(prompt)::INT AS length, sha256(prompt) AS prompt_sha256, 'COMPARISON hash:' || md5(prompt) || ' Model:' || judge AS key FROM p""",
+        "latency_file": "SELECT 'm' || (user_id % 8)::VARCHAR AS model_id, event_type AS sentence_cat, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS longest FROM events GROUP BY ALL",
+        "kv_table": """WITH e AS (SELECT 'u' || (user_id % 70)::VARCHAR AS key, event_type AS value, event_id FROM events),
+l AS (SELECT key, max(CASE WHEN value = 'click' THEN 1 ELSE 0 END) AS clicked, arg_max(value, event_id) FILTER (value <> 'click') AS other FROM e GROUP BY key) SELECT key, CASE WHEN clicked = 1 THEN 'click' ELSE other END AS value FROM l WHERE key NOT LIKE '%7'""",
+        "document_file": """SELECT r.r_name AS language, 'm' || (l.l_suppkey % 8)::VARCHAR AS name, count(DISTINCT o.o_orderpriority || l.l_returnflag) AS groups, count(*) AS scores, round(sum(CASE WHEN l.l_discount = 0 THEN -483::DOUBLE ELSE l.l_quantity * 2 END), 2) AS total
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY ALL""",
+        "list_files": """WITH c AS (SELECT r_name, (dense_rank() OVER (ORDER BY r_name) - 1)::INT AS category_pos, n_name FROM region JOIN nation ON n_regionkey = r_regionkey)
+SELECT s_name || 'Cosvc' || CASE WHEN s_suppkey % 2 = 0 THEN '0.5' ELSE 'None' END || 'None' AS tested_entry, r_name AS sentence_category, category_pos, count(*) AS n, max(n_name) AS last FROM supplier CROSS JOIN c GROUP BY ALL""",
+        "report_file": ranked + """ SELECT rank, rtrim(rpad(rank::VARCHAR, 5, ' ') || ' ' || rpad('side ' || i::VARCHAR, 35, ' ') || ' ' || rpad(CASE WHEN i = 1 THEN '0.5' ELSE 'None' END, 6, ' ') || ' ' || lpad(printf('%.2f', round(mid, 2)), 10, ' ') || ' '
+  || '[' || printf('%.2f', round(low, 2)) || ' - ' || printf('%.2f', round(high, 2)) || ']') AS line FROM board WHERE language = 'ASIA'""",
         "translation_log": work + """ SELECT e AS model_id, cat AS sentence_cat, count_if(NOT failed AND NOT refused)::BIGINT AS logged, count_if(NOT failed AND NOT refused)::BIGINT AS timed, count_if(failed)::BIGINT AS failed, coalesce(max(CASE WHEN failed THEN 3 END), 0)::INT AS attempts FROM t GROUP BY ALL
 HAVING count_if(failed) > 0 OR count_if(NOT failed AND NOT refused) > 0""",
         "coherence_plan": trips + " SELECT * FROM rated",
@@ -468,3 +559,4 @@ HAVING count_if(failed) > 0 OR count_if(NOT failed AND NOT refused) > 0""",
         "active_learning": f"WITH {comparisons} SELECT language, (a_id // 2)::INT AS a_id, (b_id // 2)::INT AS b_id, count(*) AS n FROM comp WHERE a_id // 2 <> b_id // 2 GROUP BY ALL",
         "latency_stream": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, 'm' || (user_id % 8)::VARCHAR AS model_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }
+    return sql | {"json_cache_file": sql["json_cache_write"]}

@@ -54,12 +54,17 @@ def blind_lists(translated: DataFrame, judges: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(whole.orderBy("_o")) - 1).drop("_o")
 
 
-def judge(blind: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = SCORE) -> tuple[DataFrame, DataFrame]:
-    """(language, sentence, judge, scores; the calls made). A response that can't be read voids that judge's row only."""
+def prompts(blind: DataFrame, template: str = SCORE) -> DataFrame:
+    """(language, sentence, judge, prompt, key): one prompt for each judge of a sentence, with the whole blind list."""
     lists = blind.groupBy("language", "sentence", "judge").agg(F.sort_array(F.collect_list(F.struct("id", "translation"))).alias("l"))
     prompt = fill_prompt(template, target=F.col("language"), text=F.col("sentence"), list=numbered_blocks(F.col("l.translation")))
-    asked = lists.withColumn("prompt", prompt).withColumn("key", comparison_key(F.col("prompt"), F.col("judge"))).withColumn("temperature", F.lit(0.0))
-    done, calls = through_cache(asked, cache, make)
+    rows = lists.select("language", "sentence", "judge", prompt.alias("prompt"))
+    return rows.withColumn("key", comparison_key(F.col("prompt"), F.col("judge")))
+
+
+def judge(blind: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = SCORE) -> tuple[DataFrame, DataFrame]:
+    """(language, sentence, judge, scores; the calls made). A response that can't be read voids that judge's row only."""
+    done, calls = through_cache(prompts(blind, template).withColumn("temperature", F.lit(0.0)), cache, make)
     return done.select("language", "sentence", "judge", json_scores("value").alias("scores")), calls
 
 
