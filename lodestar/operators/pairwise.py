@@ -41,18 +41,17 @@ def facts(pairs: DataFrame) -> DataFrame:
     a tie without a judge's word; else the verdict counts, A and B exchanged where the coin flip says so. Rows without a
     readable verdict go, and so do pairs of a system with itself.
     """
-    # one step each, so that no expression is computed twice
+    # one step each; the last makes no row where there is no outcome, so no filter repeats the steps below a join
     rows = without_self_pairs(pairs).withColumn("_o", outcome_without_judge())
     rows = rows.withColumn("_last", F.when(F.col("_o").isNull(), last_line(F.col("response"))))
     rows = rows.withColumn("_flip", F.when(F.col("_last").isNotNull(), coin_flip(flip_key())))
     rows = rows.withColumn("_v", F.coalesce("_o", verdict_of_line(F.col("_last"), F.col("_flip"))))
-    rows = rows.withColumn("_v", F.when(F.col("_v").isNotNull(), F.struct("_v", F.col("_o").isin("none", "a", "b").alias("skip"), F.col("_o").isNotNull().alias("auto"))))
-    rows = rows.where("_v is not null")
-    skip = F.coalesce(F.col("_v.skip"), F.lit(False))
+    rows = rows.withColumn("_won", F.explode(F.split("_v", " ")))  # one word, or null
+    skip, auto = F.coalesce(F.col("_o").isin("none", "a", "b"), F.lit(False)), F.col("_o").isNotNull()
     return rows.select(
         "language", "a_id", "b_id", "sentence", "sentence_category", F.when(skip, SKIP_JUDGE).otherwise(F.col("judge")).alias("evaluating_model"),
-        (F.col("_v._v") == "a").alias("a_success"), (F.col("_v._v") == "b").alias("b_success"), (F.col("_v._v") == "tie").alias("identical"),
-        F.when(~skip, F.when(F.col("_v.auto"), "Autoskipped").otherwise(F.col("response"))).alias("evaluating_response"),
+        (F.col("_won") == "a").alias("a_success"), (F.col("_won") == "b").alias("b_success"), (F.col("_won") == "tie").alias("identical"),
+        F.when(~skip, F.when(auto, "Autoskipped").otherwise(F.col("response"))).alias("evaluating_response"),
     )
 
 
