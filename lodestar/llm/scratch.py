@@ -31,14 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for a while; the former ones come back."""
-    before = {k: spark.conf.get(k) for k in values}
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
         for k, v in values.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For a lazy result whose last step maps whole texts: bounds the batches of the session where they are Spark's own.
+
+    A lazy plan reads these settings when it runs, so they can't be put back here; values that the caller has set stay.
+    """
+    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, WRITING[k])
 
 
 class Scratch:

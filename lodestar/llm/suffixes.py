@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 from .skew import Identified
 from .textbytes import RangeHash, batch_bytes, mix, slices
 
@@ -147,15 +147,22 @@ def _ranges(k, u, a, b):
     return k[cut], u[cut], a[cut], np.maximum.reduceat(b, cut) if len(cut) else b[cut]
 
 
-FOUND = "gram long, seg long, more long, k long, u long, a int, b int, off int, kind int"
+#: A row of segments; place is the first window times 2**32, plus the last; shape the anchor's distance times 4, plus the kind.
+FOUND = "gram long, seg long, more long, k long, u long, place long, shape int"
 
 
 def _found(**c):
     n = len(c["k"])
-    names = ["gram", "seg", "more", "k", "u", "a", "b", "off", "kind"]
-    full = c | {"kind": np.full(n, c["kind"])}
-    types = [pa.int64()] * 5 + [pa.int32()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(full.get(x, np.zeros(n, np.int64)).astype(t.to_pandas_dtype())) for x, t in zip(names, types)], names=names)
+    names = ["gram", "seg", "more", "k", "u"]
+    columns = [pa.array(c[x] if x in c else np.zeros(n, np.int64), pa.int64()) for x in names]
+    place, shape = (c["a"].astype(np.int64) << 32) + c["b"], (c["off"] * 4 if "off" in c else np.zeros(n, np.int64)) + c["kind"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int64()), pa.array(shape.astype(np.int32))], names=[*names, "place", "shape"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> dict:
+    rows = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
+    place, shape = rows.pop("place"), rows.pop("shape").astype(np.int64)
+    return rows | {"a": place >> 32, "b": place & 0xFFFFFFFF, "off": shape >> 2, "kind": shape & 3}
 
 
 def _first_of_each(rows: dict) -> tuple[dict, np.ndarray]:
@@ -178,6 +185,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
     empty result. Copies of a segment are taken as equal by 128 bits of digest, other windows by the order of suffixes,
     except where a gram has over 2 * BLOCK segments: its blocks are settled by 128 bits of digest of each window.
     """
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     whole = Identified(docs, key, text, scratch).rows.select(F.col(f"row.`{key}`").alias("key"), "k", "u", "t")
     texts = whole.select("k", "u", "t")
@@ -221,8 +229,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         again, lead = _first_of_each({c: v[multi] for c, v in rows.items()})
         for m, part in ((np.ones(len(alone), bool), {c: v[alone] for c, v in rows.items()}), (lead, again)):
             got = {c: v[m] for c, v in part.items()}
-            for z in range(0, len(got["k"]), 100_000):
-                sub = {c: v[z : z + 100_000] for c, v in got.items()}
+            for z in range(0, len(got["k"]), 50_000):
+                sub = {c: v[z : z + 50_000] for c, v in got.items()}
                 yield _found(kind=0, **sub)
         k, u, a, b = _ranges(*(again[c][~lead] for c in ("k", "u", "a", "b")))
         if len(k):
@@ -233,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         """Per gram: repeats of a segment are flagged (1); if it has several segments, their firsts go on (2, 3 in blocks)."""
         tail, block = None, 0
         for batch in batches:
-            rows = {c: batch.column(i).to_numpy() for i, c in enumerate(batch.schema.names)}
+            rows = _unpacked(batch)
             passed = rows["kind"] == 1
             if passed.any():
                 yield _found(kind=1, **{c: rows[c][passed] for c in ("k", "u", "a", "b")})
@@ -276,9 +284,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                 yield _found(seg=np.full(int(pick.sum()), block), kind=kind, **part)
 
     found = texts.mapInArrow(segments, FOUND)
-    sorted_in = found.repartition(F.col("gram")).sortWithinPartitions("gram", "seg", "more", "k", "u", "a")
+    sorted_in = found.repartition(F.col("gram")).sortWithinPartitions("gram", "seg", "more", "k", "u", "place")
     table = scratch.write(sorted_in.mapInArrow(firsts, FOUND))
-    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", F.col("seg").alias("block"), "a", "b", "kind", "off")).alias("wanted"))
+    a, b = F.shiftright("place", 32).cast("int").alias("a"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("b")
+    kind, off = F.col("shape").bitwiseAND(3).alias("kind"), F.shiftright("shape", 2).alias("off")
+    table = table.select("gram", F.col("seg").alias("block"), "k", "u", a, b, kind, off)
+    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", "block", "a", "b", "kind", "off")).alias("wanted"))
 
     def extract(batches):
         for batch in batches:
