@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, bound_batches
 from .skew import Identified, join_split
 from .textbytes import RangeHash, batch_bytes, blocks, mix, slices
 
@@ -117,7 +117,7 @@ def equal_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
 
 
 def places_of(part: np.ndarray, o: np.ndarray, bits: int, least: int, most: int):
-    """Chunks and windows of a buffer: document, place, and a 64-bit and a 32-bit digest of the bytes."""
+    """Chunks and windows of a buffer: document, place and digest."""
     ends, first = cut(part, o, bits, least, most)
     if not len(ends):
         return None
@@ -131,13 +131,11 @@ def places_of(part: np.ndarray, o: np.ndarray, bits: int, least: int, most: int)
     at, of, seed = at[~inner], of[~inner], seed[~inner]
     doc = np.concatenate((np.repeat(np.arange(len(o) - 1), np.diff(first)), of))
     s, e = np.concatenate((starts, at)), np.concatenate((ends, at + SEED))
-    one = np.concatenate((h(starts, ends), seed)).view(np.int64)
-    two = (h(s, e, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return doc, (s - o[doc] << LENGTH) + e - s, one, two
+    return doc, (s - o[doc] << LENGTH) + e - s, np.concatenate((h(starts, ends), seed)).view(np.int64)
 
 
 def dedup_chunks(
-    docs: DataFrame, bits: int = 5, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
+    docs: DataFrame, bits: int = 6, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
 ) -> DataFrame:
     """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in
     equal ranges of EQUAL bytes or more around a chunk or window; a repeat of SEED + SPREAD bytes is found whatever
@@ -150,8 +148,8 @@ def dedup_chunks(
     come last; null text stays null and counts as empty; an empty table gives an empty result; keys may be of any type
     that sorts.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     carry = Identified(docs, key, text, scratch).rows
     rows = carry.select("k", "u", "t")
 
@@ -163,8 +161,8 @@ def dedup_chunks(
             for a, b in slices(offsets):
                 got = places_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits, least, most)
                 if got:
-                    doc, place, one, two = got
-                    held.append((one, two, ids[a + doc], us[a + doc], place))
+                    doc, place, digest = got
+                    held.append((digest, ids[a + doc], us[a + doc], place))
                     n += len(doc)
             if n > 1_500_000:
                 yield from once(held)
@@ -174,11 +172,11 @@ def dedup_chunks(
     def once(held):
         if not held:
             return
-        d, e, k, u, i = (np.concatenate(x) for x in zip(*held))
-        o = np.lexsort((i, u, k, e, d))
-        d, e, k, u, i = d[o], e[o], k[o], u[o], i[o]
+        d, k, u, i = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((i, u, k, d))
+        d, k, u, i = d[o], k[o], u[o], i[o]
         again = np.zeros(len(d), bool)
-        equal = (d[1:] == d[:-1]) & (e[1:] == e[:-1])
+        equal = d[1:] == d[:-1]
         again[1:] = equal & ~((k[1:] == k[:-1]) & (u[1:] == u[:-1]) & (i[1:] == i[:-1]))
         same = np.zeros(len(d), bool)
         same[1:] = equal & ~again[1:]
@@ -193,10 +191,10 @@ def dedup_chunks(
             z = slice(a, a + 100_000)
             m = keep[z]
             places = [pa.array(x[z][m], mask=~again[z][m]) for x in source]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, e, k, u, i)), *places], names=["d", "e", "k", "u", "i", "k0", "u0", "i0"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, k, u, i)), *places], names=["d", "k", "u", "i", "k0", "u0", "i0"])
 
-    found = rows.mapInArrow(find, "d long, e int, k long, u long, i long, k0 long, u0 long, i0 long")
-    order = Window.partitionBy("d", "e").orderBy("k", "u", "i")
+    found = rows.mapInArrow(find, "d long, k long, u long, i long, k0 long, u0 long, i0 long")
+    order = Window.partitionBy("d").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
     later = found.withColumn("first", F.first(place).over(order)).where(F.col("k0").isNotNull() | (place != F.col("first")))
     at, at0 = F.shiftright("i", LENGTH), F.shiftright(F.coalesce("i0", F.col("first.i")), LENGTH)
