@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import chunks, licenses, mixing, packing, quality, textbytes, topk, urls
+from lodestar.llm import chunks, licenses, mixing, packing, quality, scratch, skew, textbytes, topk, urls
 from lodestar.llm.queries import URL_RULES, tokenizer_path
 
 TEXTS = [None, "", " \n ", "word", "It's  a\ttest <|endoftext|> of 483 things. " * 40, "é ñ ü 漢字 " * 600, "x" * 5000, "same text", "same text", " " * 3000]
@@ -339,3 +339,47 @@ def test_licenses_need_whole_words_and_take_the_best_match(docs_of):
     assert all(got[i].score < 1 for i in range(12) if not got[i].n_base) and len(got[9].spans) == 1
     rows = docs_of([(1, texts[6]), (1, texts[6]), (None, texts[6]), (2, "mit licence " * 30000)])
     assert sorted((str(r.doc_id), len(r.spans)) for r in licenses.scan_licenses(rows).collect()) == [("1", 1), ("1", 1), ("2", 30000), ("None", 1)]
+
+
+def test_scratch_tables_restore_settings_and_go(spark):
+    before = {k: spark.conf.get(k, None) for k in scratch.WRITING}
+    s = scratch.Scratch(spark)
+    table = s.write(spark.range(5))
+    assert {k: spark.conf.get(k, None) for k in scratch.WRITING} == before and table.count() == 5
+    s.drop(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table._scratch).count()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+
+
+def test_joins_split_at_frequent_keys_lose_nothing(spark):
+    rng = random.Random(4)
+    keys = [0] * 3000 + [rng.randrange(1, 4000) for _ in range(2500)] + [None] * 5
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    facts = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("w"), F.min("i").alias("first"))
+    got = skew.join_split(rows, facts, ["k"], "w", len(keys))
+    assert got.columns == ["k", "i", "first"]
+    first = {k: keys.index(k) for k in set(keys) if k is not None}
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, first[k]) for i, k in enumerate(keys) if k is not None)
+
+
+def test_topk_ignores_other_columns_and_urls_nulls(spark):
+    rows = [(i, [float(i % 3), 1.0], i, "x") for i in range(120)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, g int, rank string"))
+    plain = topk.quantised(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(map(tuple, topk.top_k(plain, F.col("vec_id") % 100 == 0).collect()))
+    pages = spark.createDataFrame([(None, "http://a.com/en/x", "s", 1.0), (2, None, None, None)], "page_id long, url string, suffix string, score double")
+    assert sorted(str(r.page_id) for r in urls.judge_urls(pages, URL_RULES).collect()) == ["2", "None"]
