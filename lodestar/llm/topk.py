@@ -43,11 +43,15 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
 def _best(q_ids, q, c_ids, c, k):
     """Row and column numbers and scores of each query's k best candidates of a block, ties to the smaller id."""
     n = len(c_ids)
-    bound = (int(np.abs(q).max(initial=0)) or 1) * (int(np.abs(c).max(initial=0)) or 1) * max(1, q.shape[1]) * (n + 1)
+    largest = lambda x: max(1, *(abs(int(v)) for v in (x.max(initial=0), x.min(initial=0))))
+    score = largest(q) * largest(c) * max(1, q.shape[1])
+    bound = score * (n + 1)
     if bound < 1 << 52:
         keys = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    else:
+    elif score < 1 << 63:
         keys = q @ c.T
+    else:
+        keys = np.clip(q.astype(object) @ c.astype(object).T, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
     own = q_ids[:, None] == c_ids[None, :]
     if bound < 1 << 62:
         ranked = keys * n + (n - 1 - np.arange(n))
@@ -68,7 +72,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_i
     ``vector`` is an array of longs without nulls. Query tiles meet every candidate block exactly once, dealt by
     groups of blocks; each tile keeps k rows a query, and lists merge per group before they merge per query. Ties go
     to the smaller key. Rows of other dimensions take no part in a query; queries that repeat a key are one query
-    (the smallest vector), candidates that repeat count each time. An empty table gives no rows.
+    (the smallest vector), candidates that repeat count each time. Scores beyond 64 bits count as the largest or smallest
+    number of 64 bits. An empty table gives no rows.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     groups = max(1, -(-vectors.count() // (2 * block)))

@@ -383,3 +383,10 @@ def test_topk_ignores_other_columns_and_urls_nulls(spark):
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(map(tuple, topk.top_k(plain, F.col("vec_id") % 100 == 0).collect()))
     pages = spark.createDataFrame([(None, "http://a.com/en/x", "s", 1.0), (2, None, None, None)], "page_id long, url string, suffix string, score double")
     assert sorted(str(r.page_id) for r in urls.judge_urls(pages, URL_RULES).collect()) == ["2", "None"]
+
+
+def test_topk_scores_beyond_64_bits_saturate(spark):
+    big = 2**62
+    rows = [(0, [big, big]), (1, [big, big]), (2, [-big, -big]), (3, [1, 0]), (4, [big, 0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (4, 2**63 - 1), (3, big), (2, 1 - 2**63)]
