@@ -10,12 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hart's rational approximation 5666 of the normal tail, highest power first, good to 15 digits up to FAR.
+  #: Hart's rational approximation 5666 of the normal tail, highest power first, good to 15 digits up to FAR.
 NUMERATOR = (
-    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376,
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931,
+    220.206867912376,
 )
 DENOMINATOR = (
-    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948,
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+    793.826512519948,
     440.413735824752,
 )
 FAR, ROOT_TWO_PI = 7.07106781186547, 2.506628274631

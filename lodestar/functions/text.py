@@ -45,7 +45,9 @@ def verdict(response: Column, swapped: Column) -> Column:
 
 def tail_score(response: Column) -> Column:
     """The last number of up to three digits in the last ten characters, if it lies in 0..100."""
-    n = F.try_element_at(F.regexp_extract_all(F.substring(response, -10, 10), F.lit(r"\d{1,3}"), F.lit(0)), F.lit(-1)).cast("int")
+    n = F.try_element_at(
+        F.regexp_extract_all(F.substring(response, -10, 10), F.lit(r"\d{1,3}"), F.lit(0)), F.lit(-1),
+    ).cast("int")
     return F.when(n.between(0, 100), n)
 
 
@@ -88,11 +90,17 @@ def json_scores(responses: pd.Series) -> pd.Series:
 
 def entry_id(name: Column, company: Column, service: Column, temperature: Column, thinking: Column) -> Column:
     """A system's identity, its parts joined without separator; absent parts read 'None'."""
-    return F.concat(name, company, service, F.coalesce(temperature.cast("string"), F.lit("None")), F.coalesce(thinking, F.lit("None")))
+    return F.concat(
+        name, company, service, F.coalesce(temperature.cast("string"), F.lit("None")),
+        F.coalesce(thinking, F.lit("None")),
+    )
 
 
 def translation_key(source: Column, target: Column, entry: Column, sentence: Column) -> Column:
-    return F.concat(F.lit("TRANSLATION From Language:"), source, F.lit(" To Language: "), target, F.lit("|Model: "), entry, F.lit("|Sentence md5:"), F.md5(sentence))
+    return F.concat(
+        F.lit("TRANSLATION From Language:"), source, F.lit(" To Language: "), target, F.lit("|Model: "), entry,
+        F.lit("|Sentence md5:"), F.md5(sentence),
+    )
 
 
 def comparison_key(prompt: Column, judge: Column) -> Column:
@@ -100,7 +108,10 @@ def comparison_key(prompt: Column, judge: Column) -> Column:
 
 
 def coin_flip_key(language: Column, category: Column, sentence: Column, judge: Column, a: Column, b: Column) -> Column:
-    return F.concat(F.lit("COIN FLIP Language:"), language, F.lit("|Sentence cat:"), category, F.lit("|Sentence md5:"), F.md5(sentence), F.lit("|"), judge, F.lit("|"), a, F.lit("|"), b)
+    return F.concat(
+        F.lit("COIN FLIP Language:"), language, F.lit("|Sentence cat:"), category, F.lit("|Sentence md5:"),
+        F.md5(sentence), F.lit("|"), judge, F.lit("|"), a, F.lit("|"), b,
+    )
 
 
 def coherence_key(prompt: Column, judge: Column, temperature: Column) -> Column:
@@ -119,4 +130,10 @@ def fill_prompt(template: str, **values: Column) -> Column:
 
 def numbered_blocks(texts: Column) -> Column:
     """The blind list of a scoring prompt: texts numbered from 0, each in a fence."""
-    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("Translation ID "), i.cast("string"), F.lit(":\n```"), t, F.lit("```\n"))), "")
+    return F.array_join(
+        F.transform(
+            texts, lambda t,
+            i: F.concat(F.lit("Translation ID "), i.cast("string"), F.lit(":\n```"), t, F.lit("```\n")),
+        ),
+        "",
+    )

@@ -15,7 +15,9 @@ def by_depth(rows: DataFrame, categories: list[str] | None = None) -> DataFrame:
     if categories is not None:
         rows = rows.where(F.col("sentence_cat").isin(categories))
     means = _iterations(rows).groupBy("tested_entry", "depth").agg(F.round(F.avg("m"), 6).alias("coherence"))
-    return means.unionByName(rows.select("tested_entry", F.lit(0).alias("depth"), F.lit(100.0).alias("coherence")).distinct())
+    return means.unionByName(
+        rows.select("tested_entry", F.lit(0).alias("depth"), F.lit(100.0).alias("coherence")).distinct()
+    )
 
 
 def by_category(rows: DataFrame, depth: int = 1, systems: DataFrame | None = None) -> DataFrame:
@@ -25,7 +27,9 @@ def by_category(rows: DataFrame, depth: int = 1, systems: DataFrame | None = Non
     at = at.join(systems, "tested_entry", "left_semi")
     means = _iterations(at).groupBy("tested_entry", "sentence_cat").agg(F.avg("m").alias("m"))
     every = systems.crossJoin(F.broadcast(at.select("sentence_cat").distinct()))
-    return every.join(means, ["tested_entry", "sentence_cat"], "left").select("tested_entry", "sentence_cat", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("coherence"))
+    return every.join(means, ["tested_entry", "sentence_cat"], "left").select(
+        "tested_entry", "sentence_cat", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("coherence"),
+    )
 
 
 def max_depth(rows: DataFrame) -> DataFrame:

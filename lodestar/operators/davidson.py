@@ -62,7 +62,11 @@ def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100, strengths=None
     mean = np.einsum("pk,pkd->pd", p, rows)
     info = np.einsum("p,pk,pkd,pke->de", total, p, rows, rows) - np.einsum("p,pd,pe->de", total, mean, mean)
     strength = np.exp(x[:n])
-    return {"theta": x[:n], "strength": strength / strength.sum(), "tie": float(np.exp(x[n])), "cov": np.linalg.pinv(info, hermitian=True)[:n, :n], "value": float(value), "converged": done and np.abs(x).max() < 15}
+    return {
+        "theta": x[:n], "strength": strength / strength.sum(), "tie": float(np.exp(x[n])),
+        "cov": np.linalg.pinv(info, hermitian=True)[:n, :n], "value": float(value),
+        "converged": done and np.abs(x).max() < 15,
+    }
 
 
 def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -> DataFrame:
@@ -72,7 +76,12 @@ def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = fit_counts(pdf["i"], pdf["j"], pdf["w_ij"], pdf["w_ji"], pdf["t_ij"], n, strengths=strengths, tie=tie)
-        out = pd.DataFrame({"i": np.arange(n, dtype=np.int32), "theta": f["theta"], "strength": f["strength"], "tie": f["tie"], "cov": list(f["cov"]), "log_likelihood": f["value"], "converged": f["converged"]})
+        out = pd.DataFrame(
+            {
+                "i": np.arange(n, dtype=np.int32), "theta": f["theta"], "strength": f["strength"], "tie": f["tie"],
+                "cov": list(f["cov"]), "log_likelihood": f["value"], "converged": f["converged"],
+            }
+        )
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
@@ -86,16 +95,29 @@ def intervals(fitted: DataFrame, conf_level: float = 0.95) -> DataFrame:
     se = F.sqrt(F.element_at("cov", F.col("i") + 1))
     z = NormalDist().inv_cdf((1 + conf_level) / 2)
     e = lambda x: F.round(F.exp(x), 4)
-    return fitted.withColumns({"low": e(F.col("theta") - z * se), "mid": e(F.col("theta")), "high": e(F.col("theta") + z * se), "conf_level": F.lit(conf_level)}).drop("cov")
+    return fitted.withColumns(
+        {
+            "low": e(F.col("theta") - z * se), "mid": e(F.col("theta")), "high": e(F.col("theta") + z * se),
+            "conf_level": F.lit(conf_level),
+        }
+    ).drop("cov")
 
 
 def from_comparisons(rows: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -> DataFrame:
     """A fit of single outcomes (i, j, result: win1, win2 or tie, the first system being i)."""
     won = lambda what: F.count_if(F.col("result") == what)
     first = F.col("i") < F.col("j")
-    rows = rows.withColumn("result", F.when(first | (F.col("result") == "tie"), F.col("result")).when(F.col("result") == "win1", "win2").otherwise("win1"))
+    rows = rows.withColumn(
+        "result",
+        F.when(
+            first | (F.col("result") == "tie"), F.col("result"),
+        ).when(F.col("result") == "win1", "win2").otherwise("win1"),
+    )
     counts = rows.groupBy(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    return fit(counts.agg(won("win1").alias("w_ij"), won("win2").alias("w_ji"), won("tie").alias("t_ij")), n, *by, strengths=strengths, tie=tie)
+    return fit(
+        counts.agg(won("win1").alias("w_ij"), won("win2").alias("w_ji"), won("tie").alias("t_ij")), n, *by,
+        strengths=strengths, tie=tie,
+    )
 
 
 def moments(counts: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
@@ -105,10 +127,15 @@ def moments(counts: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
     rows = counts.join(s("i"), [*by, "i"]).join(s("j").drop("tie"), [*by, "j"])
     m, t = F.col("w_ij") + F.col("w_ji") + F.col("t_ij"), F.col("tie") * F.sqrt(F.col("s_i") * F.col("s_j"))
     d = F.col("s_i") + F.col("s_j") + t
-    side = lambda x, won: rows.select(*by, F.col(x).alias("i"), (F.col(won) + F.col("t_ij") / 2).alias("points"), (m * (F.col(f"s_{x}") + t / 2) / d).alias("e"), "t_ij", (m * t / d).alias("et"))
+    side = lambda x, won: rows.select(
+        *by, F.col(x).alias("i"), (F.col(won) + F.col("t_ij") / 2).alias("points"),
+        (m * (F.col(f"s_{x}") + t / 2) / d).alias("e"), "t_ij", (m * t / d).alias("et"),
+    )
     both = side("i", "w_ij").unionByName(side("j", "w_ji"))
     total = lambda c: F.round(F.sum(c), 3)
-    return both.groupBy(*by, "i").agg(F.sum("points").alias("points"), total("e").alias("expected"), F.sum("t_ij").alias("ties"))
+    return both.groupBy(*by, "i").agg(
+        F.sum("points").alias("points"), total("e").alias("expected"), F.sum("t_ij").alias("ties"),
+    )
 
 
 def p_values(fitted: DataFrame, *by: str) -> DataFrame:
@@ -129,7 +156,9 @@ def probabilities(strengths: DataFrame, *by: str) -> DataFrame:
     t = F.col("tie") * F.sqrt(F.col("si") * F.col("sj"))
     d = F.col("si") + F.col("sj") + t
     h = lambda c: -F.col(c) * F.ln(F.col(c) + 1e-12)
-    return pairs.select(*by, "i", "j", (F.col("si") / d).alias("p_i"), (F.col("sj") / d).alias("p_j"), (t / d).alias("p_tie")).withColumn("entropy", h("p_i") + h("p_j") + h("p_tie"))
+    return pairs.select(
+        *by, "i", "j", (F.col("si") / d).alias("p_i"), (F.col("sj") / d).alias("p_j"), (t / d).alias("p_tie"),
+    ).withColumn("entropy", h("p_i") + h("p_j") + h("p_tie"))
 
 
 def log_likelihood(counts: DataFrame, strengths: DataFrame, *by: str) -> DataFrame:
@@ -155,7 +184,9 @@ def leaderboard(fitted: DataFrame, *by: str, conf_level: float = 0.95) -> DataFr
     ``fitted`` is written first: intervals, p-values and ranks read one fit.
     """
     fitted = settle(fitted)
-    ps = p_values(fitted, *by).groupBy(*by, "i").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("j").cast("string"), "p")))).alias("p_vals"))
+    ps = p_values(fitted, *by).groupBy(*by, "i").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("j").cast("string"), "p")))).alias("p_vals")
+    )
     rows = intervals(fitted, conf_level).join(ps, [*by, "i"], "left")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("theta"), "i")))
 
@@ -168,13 +199,17 @@ def records(board: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
     named = board.join(F.broadcast(entries.select("i", "model")), "i", "left")
     order = F.row_number().over(Window.partitionBy(*by).orderBy("theta", F.desc("i")))
     interval = F.struct("low", "mid", "high", "conf_level").alias("intervals")
-    return named.select(*by, order.alias("position"), "model", F.col("i").alias("model_id"), interval, "p_vals", "rank", "converged")
+    return named.select(
+        *by, order.alias("position"), "model", F.col("i").alias("model_id"), interval, "p_vals", "rank", "converged",
+    )
 
 
 def strengths_by_rank(fitted: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
     """Strengths with their systems, strongest first."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("strength"), "i"))
-    return fitted.join(F.broadcast(entries.select("i", "model")), "i", "left").select(*by, place.alias("rank"), "i", "model", "strength")
+    return fitted.join(
+        F.broadcast(entries.select("i", "model")), "i", "left",
+    ).select(*by, place.alias("rank"), "i", "model", "strength")
 
 
 def ordinal_ranks(fitted: DataFrame, *by: str) -> DataFrame:
@@ -186,10 +221,15 @@ def correlations(overall: DataFrame, per_judge: DataFrame, by: str = "evaluating
     o = ordinal_ranks(overall).select("i", F.col("strength").alias("s"), F.col("place").alias("r"))
     both = ordinal_ranks(per_judge, by).join(F.broadcast(o), "i")
     guarded = lambda x, y: F.when((F.count_distinct(x) > 1) & (F.count_distinct(y) > 1), F.corr(x, y))
-    return both.groupBy(by).agg(F.round(guarded("strength", "s"), 6).alias("pearson"), F.round(guarded("place", "r"), 6).alias("spearman"), F.count("*").alias("n"))
+    return both.groupBy(by).agg(
+        F.round(guarded("strength", "s"), 6).alias("pearson"), F.round(guarded("place", "r"), 6).alias("spearman"),
+        F.count("*").alias("n"),
+    )
 
 
-def judge_analysis(comparisons: DataFrame, judges: DataFrame, n: int, least_comparisons: int = 10, least_systems: int = 2) -> DataFrame:
+def judge_analysis(
+    comparisons: DataFrame, judges: DataFrame, n: int, least_comparisons: int = 10, least_systems: int = 2,
+) -> DataFrame:
     """Per judge of ``judges``: its votes and rates, whether a model could be fitted on its own comparisons, and that
     model's correlations with the one of all judges; rank orders by agreement.
 
@@ -207,11 +247,15 @@ def judge_analysis(comparisons: DataFrame, judges: DataFrame, n: int, least_comp
     fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
     close = correlations(fit(everyone, n), fitted).withColumnRenamed(by, "judge").drop("n")
     has = fitted.groupBy(F.col(by).alias("judge")).agg(F.every("converged").alias("converged"))
-    rows = stats.join(close, "judge", "left").join(has, "judge", "left").withColumn("model_fitted", F.col("converged").isNotNull())
+    rows = stats.join(close, "judge", "left").join(has, "judge", "left").withColumn(
+        "model_fitted", F.col("converged").isNotNull(),
+    )
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("agreement_rate"), "judge")))
 
 
-def category_signal(comparisons: DataFrame, n: int, least_systems: int = 3, least_comparisons: int = 10, p_limit: float = 0.05) -> DataFrame:
+def category_signal(
+    comparisons: DataFrame, n: int, least_systems: int = 3, least_comparisons: int = 10, p_limit: float = 0.05,
+) -> DataFrame:
     """How well each category tells systems apart: agreement, decisiveness, spread of strengths, interval width, share of
     significant pairs and their weighted sum, and the rank by it; categories with too little data get the first two only.
 
@@ -221,14 +265,21 @@ def category_signal(comparisons: DataFrame, n: int, least_systems: int = 3, leas
 
     by = "sentence_category"
     counts = settle(pair_counts(comparisons, by))
-    size = counts.groupBy(by).agg(F.sum(F.col("w_ij") + F.col("w_ji") + F.col("t_ij")).alias("m"), F.size(F.array_union(F.collect_set("i"), F.collect_set("j"))).alias("systems"))
+    size = counts.groupBy(by).agg(
+        F.sum(F.col("w_ij") + F.col("w_ji") + F.col("t_ij")).alias("m"),
+        F.size(F.array_union(F.collect_set("i"), F.collect_set("j"))).alias("systems"),
+    )
     enough = size.where((F.col("m") >= least_comparisons) & (F.col("systems") >= least_systems)).select(by)
     fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
     spread = fitted.groupBy(by).agg(F.stddev_pop("strength").alias("spread"), F.every("converged").alias("converged"))
     width = intervals(fitted).groupBy(by).agg(F.avg(F.col("high") - F.col("low")).alias("width"))
-    ratio = p_values(fitted, by).where("i < j").groupBy(by).agg(F.avg((F.col("p") < p_limit).cast("int")).alias("significant"))
+    ratio = p_values(fitted, by).where("i < j").groupBy(by).agg(
+        F.avg((F.col("p") < p_limit).cast("int")).alias("significant")
+    )
     rows = agreement(comparisons).join(spread, by, "left").join(width, by, "left").join(ratio, by, "left")
     full = 0.3 * F.col("agreement") + 0.1 * F.col("decisiveness") + 0.25 * 10 * F.col("spread") + 0.15 / (F.col("width") + 1e-6) + 0.2 * F.col("significant")
     rows = rows.withColumn("model_fitted", F.col("spread").isNotNull())
-    rows = rows.withColumn("signal", F.round(F.coalesce(full, 0.6 * F.col("agreement") + 0.4 * F.col("decisiveness")), 6))
+    rows = rows.withColumn(
+        "signal", F.round(F.coalesce(full, 0.6 * F.col("agreement") + 0.4 * F.col("decisiveness")), 6),
+    )
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("signal"), by)))

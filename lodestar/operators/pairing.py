@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 def chain(entries: DataFrame, *by: str) -> DataFrame:
     """Neighbours in the order of ``pos``, each pair once: entry_a, entry_b."""
     nxt = F.lead("entry").over(Window.partitionBy(*by).orderBy("pos"))
-    return entries.select(*by, F.col("entry").alias("entry_a"), nxt.alias("entry_b")).where("entry_b is not null").dropDuplicates()
+    return entries.select(
+        *by, F.col("entry").alias("entry_a"), nxt.alias("entry_b"),
+    ).where("entry_b is not null").dropDuplicates()
 
 
 def strided(entries: DataFrame, start: int, interval: int, limit: int, *by: str) -> DataFrame:
     """From the ``start``-th on, every ``interval``-th entry with the one visited before, ``limit`` pairs at most."""
     w = Window.partitionBy(*by).orderBy("pos")
-    at = entries.withColumn("_i", F.row_number().over(w) - 1).where((F.col("_i") >= start) & (F.pmod(F.col("_i") - start, F.lit(interval)) == 0))
-    pairs = at.select(*by, "pos", F.lag("entry").over(w).alias("entry_a"), F.col("entry").alias("entry_b")).where("entry_a is not null and entry_a <> entry_b")
+    at = entries.withColumn("_i", F.row_number().over(w) - 1).where(
+        (F.col("_i") >= start) & (F.pmod(F.col("_i") - start, F.lit(interval)) == 0)
+    )
+    pairs = at.select(
+        *by, "pos", F.lag("entry").over(w).alias("entry_a"), F.col("entry").alias("entry_b"),
+    ).where("entry_a is not null and entry_a <> entry_b")
     return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("pos")
 
 
@@ -43,5 +49,9 @@ def first_k(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
 
 def dense_ids(pairs: DataFrame) -> DataFrame:
     """(entry, id) by first appearance in ``pairs`` (pos, entry_a, entry_b), a before b."""
-    seen = pairs.select(F.col("entry_a").alias("entry"), (F.col("pos") * 2).alias("p")).union(pairs.select("entry_b", F.col("pos") * 2 + 1))
-    return seen.groupBy("entry").agg(F.min("p").alias("p")).select("entry", (F.row_number().over(Window.orderBy("p")) - 1).alias("id"))
+    seen = pairs.select(
+        F.col("entry_a").alias("entry"), (F.col("pos") * 2).alias("p"),
+    ).union(pairs.select("entry_b", F.col("pos") * 2 + 1))
+    return seen.groupBy("entry").agg(F.min("p").alias("p")).select(
+        "entry", (F.row_number().over(Window.orderBy("p")) - 1).alias("id"),
+    )

@@ -49,8 +49,10 @@ def facts(pairs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_won", F.explode(F.split("_v", " ")))  # one word, or null
     skip, auto = F.coalesce(F.col("_o").isin("none", "a", "b"), F.lit(False)), F.col("_o").isNotNull()
     return rows.select(
-        "language", "a_id", "b_id", "sentence", "sentence_category", F.when(skip, SKIP_JUDGE).otherwise(F.col("judge")).alias("evaluating_model"),
-        (F.col("_won") == "a").alias("a_success"), (F.col("_won") == "b").alias("b_success"), (F.col("_won") == "tie").alias("identical"),
+        "language", "a_id", "b_id", "sentence", "sentence_category",
+        F.when(skip, SKIP_JUDGE).otherwise(F.col("judge")).alias("evaluating_model"),
+        (F.col("_won") == "a").alias("a_success"), (F.col("_won") == "b").alias("b_success"),
+        (F.col("_won") == "tie").alias("identical"),
         F.when(~skip, F.when(auto, "Autoskipped").otherwise(F.col("response"))).alias("evaluating_response"),
     )
 
@@ -62,12 +64,17 @@ def pair_counts(comparisons: DataFrame, *by: str) -> DataFrame:
     low, high = F.when(first, F.col("a_success")).otherwise(F.col("b_success")), F.when(first, F.col("b_success")).otherwise(F.col("a_success"))
     one = vote()
     won = lambda c: F.count_if(c & (one != "tie"))
-    return comparisons.where(one.isNotNull()).groupBy(*by, i.alias("i"), j.alias("j")).agg(won(low).alias("w_ij"), won(high).alias("w_ji"), F.count_if(one == "tie").alias("t_ij"))
+    return comparisons.where(one.isNotNull()).groupBy(*by, i.alias("i"), j.alias("j")).agg(
+        won(low).alias("w_ij"), won(high).alias("w_ji"), F.count_if(one == "tie").alias("t_ij"),
+    )
 
 
 def triplets(comparisons: DataFrame, *by: str) -> DataFrame:
     """Votes on each (sentence, a, b): n rows, a, b and t of the three outcomes."""
-    return comparisons.groupBy(*by, *TRIPLET).agg(F.count("*").alias("n"), F.count_if("a_success").alias("a"), F.count_if("b_success").alias("b"), F.count_if("identical").alias("t"))
+    return comparisons.groupBy(*by, *TRIPLET).agg(
+        F.count("*").alias("n"), F.count_if("a_success").alias("a"), F.count_if("b_success").alias("b"),
+        F.count_if("identical").alias("t"),
+    )
 
 
 def amplify(comparisons: DataFrame, *by: str) -> DataFrame:
@@ -81,8 +88,13 @@ def amplify(comparisons: DataFrame, *by: str) -> DataFrame:
 
 def amplified_rows(amplified: DataFrame) -> DataFrame:
     """The same as comparison rows, ``weight`` times each."""
-    out = amplified.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))).drop("_one", "weight")
-    return out.select("*", F.lit(AMPLIFIED_JUDGE).alias("evaluating_model"), (F.col("outcome") == "win_a").alias("a_success"), (F.col("outcome") == "win_b").alias("b_success"), (F.col("outcome") == "tie").alias("identical")).drop("outcome")
+    out = amplified.withColumn(
+        "_one", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int"))),
+    ).drop("_one", "weight")
+    return out.select(
+        "*", F.lit(AMPLIFIED_JUDGE).alias("evaluating_model"), (F.col("outcome") == "win_a").alias("a_success"),
+        (F.col("outcome") == "win_b").alias("b_success"), (F.col("outcome") == "tie").alias("identical"),
+    ).drop("outcome")
 
 
 def amplified_counts(amplified: DataFrame, *by: str) -> DataFrame:
@@ -91,40 +103,62 @@ def amplified_counts(amplified: DataFrame, *by: str) -> DataFrame:
     low = F.when(first, "win_a").otherwise("win_b")
     w = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0))
     o = F.col("outcome")
-    return amplified.groupBy(*by, F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")).agg(w(o == low).alias("w_ij"), w((o != low) & (o != "tie")).alias("w_ji"), w(o == "tie").alias("t_ij"))
+    return amplified.groupBy(*by, F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j")).agg(
+        w(o == low).alias("w_ij"), w((o != low) & (o != "tie")).alias("w_ji"), w(o == "tie").alias("t_ij"),
+    )
 
 
 def consensus(comparisons: DataFrame) -> DataFrame:
     """Per category: mean over triplets of |a - b| - t / 2, times 100."""
-    return triplets(comparisons, "sentence_category").groupBy("sentence_category").agg(F.round(F.avg(F.abs(F.col("a") - F.col("b")) - 0.5 * F.col("t")) * 100, 6).alias("consensus"), F.count("*").alias("n"))
+    return triplets(comparisons, "sentence_category").groupBy("sentence_category").agg(
+        F.round(F.avg(F.abs(F.col("a") - F.col("b")) - 0.5 * F.col("t")) * 100, 6).alias("consensus"),
+        F.count("*").alias("n"),
+    )
 
 
 def agreement(comparisons: DataFrame, by: str = "sentence_category") -> DataFrame:
     """Mean share of the most frequent outcome, and mean share of decided votes, over triplets."""
-    return triplets(comparisons, by).groupBy(by).agg(F.round(F.avg(F.greatest("a", "b", "t") / F.col("n")), 6).alias("agreement"), F.round(F.avg((F.col("a") + F.col("b")) / F.col("n")), 6).alias("decisiveness"), F.count("*").alias("n"))
+    return triplets(comparisons, by).groupBy(by).agg(
+        F.round(F.avg(F.greatest("a", "b", "t") / F.col("n")), 6).alias("agreement"),
+        F.round(F.avg((F.col("a") + F.col("b")) / F.col("n")), 6).alias("decisiveness"), F.count("*").alias("n"),
+    )
 
 
 def majority(comparisons: DataFrame) -> DataFrame:
     """The most frequent vote of each triplet; equal counts go to win_a, then win_b, then tie."""
     votes = comparisons.withColumn("vote", vote()).where("vote is not null").groupBy(*TRIPLET, "vote").agg(F.count("*").alias("c"))
-    first = F.row_number().over(Window.partitionBy(*TRIPLET).orderBy(F.desc("c"), F.when(F.col("vote") == "win_a", 0).when(F.col("vote") == "win_b", 1).otherwise(2)))
-    return votes.withColumn("_n", first).where("_n = 1").select(*TRIPLET, F.col("vote").alias("majority"), F.col("c").alias("votes"))
+    first = F.row_number().over(
+        Window.partitionBy(*TRIPLET).orderBy(
+            F.desc("c"), F.when(F.col("vote") == "win_a", 0).when(F.col("vote") == "win_b", 1).otherwise(2),
+        )
+    )
+    return votes.withColumn("_n", first).where("_n = 1").select(
+        *TRIPLET, F.col("vote").alias("majority"), F.col("c").alias("votes"),
+    )
 
 
 def judge_stats(comparisons: DataFrame, judges: DataFrame) -> DataFrame:
     """Per judge of ``judges`` (judge): decisions, votes with the majority, ties, wins and the rates; zeros without votes."""
     votes = comparisons.withColumn("vote", vote()).where("vote is not null").join(majority(comparisons), TRIPLET)
     v = F.col("vote")
-    got = votes.groupBy(F.col("evaluating_model").alias("judge")).agg(F.count("*").alias("decisions"), F.count_if(v == F.col("majority")).alias("agreements"), F.count_if(v == "tie").alias("ties"), F.count_if(v == "win_a").alias("a_wins"), F.count_if(v == "win_b").alias("b_wins"))
+    got = votes.groupBy(F.col("evaluating_model").alias("judge")).agg(
+        F.count("*").alias("decisions"), F.count_if(v == F.col("majority")).alias("agreements"),
+        F.count_if(v == "tie").alias("ties"), F.count_if(v == "win_a").alias("a_wins"),
+        F.count_if(v == "win_b").alias("b_wins"),
+    )
     names = ["decisions", "agreements", "ties", "a_wins", "b_wins"]
     rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("decisions")), F.lit(0.0)), 6)
-    return judges.join(got, "judge", "left").select("judge", *[F.coalesce(c, F.lit(0)).alias(c) for c in names]).withColumns({"agreement_rate": rate("agreements"), "tie_rate": rate("ties")})
+    return judges.join(got, "judge", "left").select("judge", *[F.coalesce(c, F.lit(0)).alias(c) for c in names]).withColumns(
+        {"agreement_rate": rate("agreements"), "tie_rate": rate("ties")}
+    )
 
 
 def subsets(names: DataFrame, name: str) -> DataFrame:
     """All non-empty subsets of the few values of ``names``: (mask, size, members)."""
     order = F.array_sort(F.collect_set(name))
-    every = names.agg(order.alias("all")).where("size(all) > 0").withColumn("mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("all")) - 1).cast("int"))))
+    every = names.agg(order.alias("all")).where("size(all) > 0").withColumn(
+        "mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("all")) - 1).cast("int"))),
+    )
     members = F.filter("all", lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1)
     return every.select("mask", F.size(members).alias("size"), members.alias("members"))
 
@@ -132,8 +166,12 @@ def subsets(names: DataFrame, name: str) -> DataFrame:
 def subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
     """Pair counts of every subset of judges or categories. Facts are counted per value first, then added up by subset."""
     base = pair_counts(comparisons, by)
-    sets = subsets(comparisons.where(F.col(by) != SKIP_JUDGE).select(by).distinct(), by).select("mask", "size", F.explode("members").alias(by))
-    return base.join(F.broadcast(sets), by).groupBy("mask", "size", "i", "j").agg(*[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")])
+    sets = subsets(
+        comparisons.where(F.col(by) != SKIP_JUDGE).select(by).distinct(), by,
+    ).select("mask", "size", F.explode("members").alias(by))
+    return base.join(F.broadcast(sets), by).groupBy("mask", "size", "i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")]
+    )
 
 
 def amplified_subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
@@ -145,22 +183,35 @@ def amplified_subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
     names = [r[0] for r in known.select(by).distinct().orderBy(by).collect()]  # a few judges or categories
     if not names:
         return subset_counts(known, by)
-    votes = [F.count_if(F.col(won) & (F.col(by) == name)).alias(f"{won}_{k}") for k, name in enumerate(names) for won in ("a_success", "b_success", "identical")]
+    votes = [
+        F.count_if(F.col(won) & (F.col(by) == name)).alias(f"{won}_{k}") for k,
+        name in enumerate(names) for won in ("a_success", "b_success", "identical")
+    ]
     per = known.groupBy(*TRIPLET).agg(*votes)
 
     def weighed(mask: int) -> Column:
         of = [k for k in range(len(names)) if mask >> k & 1]
         a, b, t = (sum((F.col(f"{won}_{k}") for k in of), F.lit(0)) for won in ("a_success", "b_success", "identical"))
-        return F.struct(F.lit(mask).alias("mask"), F.lit(len(of)).alias("size"), a.alias("a"), b.alias("b"), t.alias("t"))
+        return F.struct(
+            F.lit(mask).alias("mask"), F.lit(len(of)).alias("size"), a.alias("a"), b.alias("b"), t.alias("t"),
+        )
 
-    rows = per.select(*TRIPLET, F.explode(F.array(*[weighed(m) for m in range(1, 1 << len(names))])).alias("x")).select(*TRIPLET, "x.*")
+    rows = per.select(
+        *TRIPLET, F.explode(F.array(*[weighed(m) for m in range(1, 1 << len(names))])).alias("x")
+    ).select(*TRIPLET, "x.*")
     even, weight = F.col("a") == F.col("b"), F.abs(F.col("a") * F.col("a") - F.col("b") * F.col("b"))
     outcome = F.when(even, "tie").when(F.col("a") > F.col("b"), "win_a").otherwise("win_b")
-    rows = rows.select("mask", "size", *TRIPLET, outcome.alias("outcome"), F.when(even, F.col("t") * F.col("t")).otherwise(weight).alias("weight"))
+    rows = rows.select(
+        "mask", "size", *TRIPLET, outcome.alias("outcome"),
+        F.when(even, F.col("t") * F.col("t")).otherwise(weight).alias("weight"),
+    )
     return amplified_counts(rows.where("weight > 0"), "mask", "size")
 
 
 def progress(comparisons: DataFrame, planned: int) -> DataFrame:
     """How far a run has come: comparisons, ties, share of ties and percent of what was planned."""
     n, ties = F.count("*"), F.count_if(vote() == "tie")
-    return comparisons.agg(n.alias("n"), ties.alias("ties"), F.round(F.try_divide(ties, n), 6).alias("tie_rate"), F.round(100 * n / planned, 2).alias("percent"))
+    return comparisons.agg(
+        n.alias("n"), ties.alias("ties"), F.round(F.try_divide(ties, n), 6).alias("tie_rate"),
+        F.round(100 * n / planned, 2).alias("percent"),
+    )

@@ -26,16 +26,22 @@ def _yes(x: Column) -> Column:
 
 def leaderboard(records: DataFrame, *by: str) -> DataFrame:
     """Best to worst: rank and line of ``davidson.records``."""
-    ci = F.concat(F.lit("["), number(F.col("intervals.low"), 2), F.lit(" - "), number(F.col("intervals.high"), 2), F.lit("]"))
+    ci = F.concat(
+        F.lit("["), number(F.col("intervals.low"), 2), F.lit(" - "), number(F.col("intervals.high"), 2), F.lit("]"),
+    )
     temp = F.coalesce(F.col("model.temp").cast("string"), F.lit("None"))
-    line = F.format_string(LEADERBOARD, "rank", F.coalesce("model.model_name", F.lit("N/A")), temp, number(F.col("intervals.mid"), 2, "nan"), ci)
+    line = F.format_string(
+        LEADERBOARD, "rank", F.coalesce("model.model_name", F.lit("N/A")), temp,
+        number(F.col("intervals.mid"), 2, "nan"), ci,
+    )
     return records.select(*by, "rank", line.alias("line")).orderBy(*by, "rank")
 
 
 def judges(analysis: DataFrame) -> DataFrame:
     """Judges by agreement: rank and line of ``davidson.judge_analysis``."""
     line = F.format_string(
-        JUDGES, "judge", percent(F.col("agreement_rate")), "decisions", percent(F.col("tie_rate")), number(F.col("pearson"), 3), number(F.col("spearman"), 3),
+        JUDGES, "judge", percent(F.col("agreement_rate")), "decisions", percent(F.col("tie_rate")),
+        number(F.col("pearson"), 3), number(F.col("spearman"), 3),
         _yes(F.col("model_fitted")),
     )
     return analysis.select("rank", line.alias("line")).orderBy("rank")
@@ -46,7 +52,8 @@ def categories(signal: DataFrame) -> DataFrame:
     zero = lambda c, digits: number(F.coalesce(c, F.lit(0.0)), digits)
     c = F.col
     line = F.format_string(
-        CATEGORIES, "sentence_category", zero(c("signal"), 3), zero(c("agreement"), 3), zero(c("decisiveness"), 3), zero(c("spread"), 4), zero(c("width"), 4),
+        CATEGORIES, "sentence_category", zero(c("signal"), 3), zero(c("agreement"), 3), zero(c("decisiveness"), 3),
+        zero(c("spread"), 4), zero(c("width"), 4),
         zero(c("significant"), 3), _yes(c("model_fitted")),
     )
     return signal.select("rank", line.alias("line")).orderBy("rank")

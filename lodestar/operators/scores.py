@@ -30,15 +30,19 @@ def summary(items: DataFrame, judges: list[str] | None = None, categories: list[
     upto = F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumns({"n": F.sum("c").over(w), "upto": upto})
     middle = (F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))
-    refused, total = F.col("score") == REFUSED_SCORE, lambda x, when=None: F.sum(F.when(when, x * F.col("c")) if when is not None else x * F.col("c"))
+    refused, total = F.col("score") == REFUSED_SCORE, lambda x, when=None: F.sum(
+        F.when(when, x * F.col("c")) if when is not None else x * F.col("c")
+    )
     sums = ranked.groupBy("tested_entry").agg(
         F.sum("c").alias("n"), total(F.col("score")).alias("s"), F.max(F.when(middle, F.col("score"))).alias("median"),
-        F.coalesce(F.sum(F.when(refused, F.col("c"))), F.lit(0)).alias("refusals"), total(F.col("score"), ~refused).alias("given"), F.collect_list(F.struct("score", "c")).alias("all"),
+        F.coalesce(F.sum(F.when(refused, F.col("c"))), F.lit(0)).alias("refusals"),
+        total(F.col("score"), ~refused).alias("given"), F.collect_list(F.struct("score", "c")).alias("all"),
     )
     mean = F.col("s") / F.col("n")
     square = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["c"] * (x["score"] - mean) * (x["score"] - mean))
     return sums.select(
-        "tested_entry", "n", F.round(mean, 6).alias("mean"), "median", F.round(F.sqrt(square / F.col("n")), 6).alias("std"), "refusals",
+        "tested_entry", "n", F.round(mean, 6).alias("mean"), "median",
+        F.round(F.sqrt(square / F.col("n")), 6).alias("std"), "refusals",
         F.round(F.try_divide(F.col("given"), F.col("n") - F.col("refusals")), 6).alias("mean_scored"),
     )
 
@@ -50,18 +54,32 @@ def score_counts(items: DataFrame) -> DataFrame:
 
 def refusal_rates(items: DataFrame) -> DataFrame:
     r = F.count_if(F.col("score") == REFUSED_SCORE)
-    return items.groupBy("language", "tested_entry").agg(F.count("*").alias("n"), r.alias("refusals"), F.round(r / F.count("*"), 6).alias("rate"))
+    return items.groupBy("language", "tested_entry").agg(
+        F.count("*").alias("n"), r.alias("refusals"), F.round(r / F.count("*"), 6).alias("rate"),
+    )
 
 
-def document(items: DataFrame, entries: DataFrame, judges: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+def document(
+    items: DataFrame, entries: DataFrame, judges: list[str] | None = None, categories: list[str] | None = None,
+) -> DataFrame:
     """One row per language: all systems of ``entries`` (tested_entry, model), each with its score groups, empty if none,
     and with the names of all ``judges`` and ``categories`` where they are given."""
-    groups = group_scores(items).groupBy("language", "tested_entry").agg(F.sort_array(F.collect_list(F.struct("sentence_category", "evaluating_model", "scores"))).alias("comparison_items"))
-    every = items.select("language").distinct().crossJoin(F.broadcast(entries.withColumn("id", F.row_number().over(Window.orderBy("tested_entry")) - 1)))
-    rows = every.join(groups, ["language", "tested_entry"], "left").withColumn("comparison_items", F.coalesce("comparison_items", F.array().cast(groups.schema["comparison_items"].dataType)))
+    groups = group_scores(items).groupBy("language", "tested_entry").agg(
+        F.sort_array(
+            F.collect_list(F.struct("sentence_category", "evaluating_model", "scores"))
+        ).alias("comparison_items")
+    )
+    every = items.select("language").distinct().crossJoin(
+        F.broadcast(entries.withColumn("id", F.row_number().over(Window.orderBy("tested_entry")) - 1))
+    )
+    rows = every.join(groups, ["language", "tested_entry"], "left").withColumn(
+        "comparison_items", F.coalesce("comparison_items", F.array().cast(groups.schema["comparison_items"].dataType)),
+    )
     lists = {"compare_models": judges, "sentence_types": categories}
     named = [F.array(*map(F.lit, v)).alias(k) for k, v in lists.items() if v is not None]
-    return rows.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("id", "model", "comparison_items", *named))).alias("models"))
+    return rows.groupBy("language").agg(
+        F.sort_array(F.collect_list(F.struct("id", "model", "comparison_items", *named))).alias("models")
+    )
 
 
 def parsed_scores(judged: DataFrame, blind: DataFrame) -> DataFrame:
@@ -75,12 +93,17 @@ def parsed_scores(judged: DataFrame, blind: DataFrame) -> DataFrame:
 def refused_scores(refusals: DataFrame, judged: DataFrame) -> DataFrame:
     """A -483 row for each refused (language, sentence, tested_entry) and judge whose response on the sentence parsed."""
     gate = judged.where("scores is not null").select("language", "sentence", "judge").distinct()
-    return refusals.join(gate, ["language", "sentence"]).select("language", "sentence", "judge", F.lit(None).cast("string").alias("translation"), F.lit(REFUSED_SCORE).alias("score"), "tested_entry")
+    return refusals.join(gate, ["language", "sentence"]).select(
+        "language", "sentence", "judge", F.lit(None).cast("string").alias("translation"),
+        F.lit(REFUSED_SCORE).alias("score"), "tested_entry",
+    )
 
 
 def same_texts(translations: DataFrame) -> DataFrame:
     """Systems that gave the same text for a sentence: judged once. Texts are compared exactly, refusals left out."""
-    return translations.where("not refused").groupBy("language", "sentence_id", "translation").agg(F.sort_array(F.collect_list("tested_entry")).alias("entries"), F.count("*").alias("n"))
+    return translations.where("not refused").groupBy("language", "sentence_id", "translation").agg(
+        F.sort_array(F.collect_list("tested_entry")).alias("entries"), F.count("*").alias("n"),
+    )
 
 
 def mann_whitney(items: DataFrame, system: str = "tested_entry", value: str = "score") -> DataFrame:
@@ -91,19 +114,31 @@ def mann_whitney(items: DataFrame, system: str = "tested_entry", value: str = "s
     """
     counts = items.groupBy(F.col(system).alias("e"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
     systems = counts.groupBy("e").agg(F.sum("c").alias("n"))
-    pairs = systems.select(F.col("e").alias("entry_a"), F.col("n").alias("n_a")).crossJoin(F.broadcast(systems.select(F.col("e").alias("entry_b"), F.col("n").alias("n_b"))))
-    side = lambda who, is_a: pairs.join(counts, F.col(who) == F.col("e")).select("entry_a", "entry_b", "n_a", "n_b", "x", F.when(F.lit(is_a), F.col("c")).otherwise(0).alias("a"), F.col("c").alias("t"))
-    both = side("entry_a", True).unionAll(side("entry_b", False)).groupBy("entry_a", "entry_b", "n_a", "n_b", "x").agg(F.sum("a").alias("a"), F.sum("t").alias("t"))
+    pairs = systems.select(F.col("e").alias("entry_a"), F.col("n").alias("n_a")).crossJoin(
+        F.broadcast(systems.select(F.col("e").alias("entry_b"), F.col("n").alias("n_b")))
+    )
+    side = lambda who, is_a: pairs.join(counts, F.col(who) == F.col("e")).select(
+        "entry_a", "entry_b", "n_a", "n_b", "x", F.when(F.lit(is_a), F.col("c")).otherwise(0).alias("a"),
+        F.col("c").alias("t"),
+    )
+    both = side("entry_a", True).unionAll(side("entry_b", False)).groupBy("entry_a", "entry_b", "n_a", "n_b", "x").agg(
+        F.sum("a").alias("a"), F.sum("t").alias("t"),
+    )
     below = Window.partitionBy("entry_a", "entry_b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = both.withColumn("mid", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2.0)
     t = F.col("t").cast("double")
-    sums = ranked.groupBy("entry_a", "entry_b", "n_a", "n_b").agg(F.sum(F.col("a") * F.col("mid")).alias("r"), F.sum(t * t * t - t).alias("ties"))
+    sums = ranked.groupBy("entry_a", "entry_b", "n_a", "n_b").agg(
+        F.sum(F.col("a") * F.col("mid")).alias("r"), F.sum(t * t * t - t).alias("ties"),
+    )
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n, u = na + nb, F.col("r") - na * (na + 1) / 2
     sigma = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (F.greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sigma
     small = (F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0)
     normal = F.when(sigma == 0, 1.0).otherwise(two_sided_p(F.greatest(z, F.lit(0.0))))
-    found = sums.select("entry_a", "entry_b", "n_a", "n_b", u.alias("u"), F.when(F.col("entry_a") == F.col("entry_b"), 1.0).when(~small, normal).alias("p"))
+    found = sums.select(
+        "entry_a", "entry_b", "n_a", "n_b", u.alias("u"),
+        F.when(F.col("entry_a") == F.col("entry_b"), 1.0).when(~small, normal).alias("p"),
+    )
     exact = exact_u_p(F.when(F.col("p").isNull(), F.col("u")), F.col("n_a"), F.col("n_b"))
     return found.withColumn("_x", exact).select("entry_a", "entry_b", "u", F.round(F.coalesce("p", "_x"), 6).alias("p"))

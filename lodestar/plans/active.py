@@ -12,7 +12,8 @@ from ..sources.shared import settle
 
 
 def learn(
-    comparisons: DataFrame, n: int, compare: Callable[[DataFrame], DataFrame], threshold: float = 1.09054, rounds: int | None = None,
+    comparisons: DataFrame, n: int, compare: Callable[[DataFrame], DataFrame], threshold: float = 1.09054,
+    rounds: int | None = None,
     keep: Callable[[DataFrame], DataFrame] = settle,
 ) -> tuple[DataFrame, int]:
     """(comparisons with those of all rounds, number of rounds that compared something).
@@ -34,12 +35,16 @@ def learn(
         comparisons = comparisons.unionByName(new)
         both = counts.unionByName(pairwise.pair_counts(new, "language"))
         counts = keep(both.groupBy("language", "i", "j").agg(*[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")]))
-        picked = chosen.select("language", F.col("i").alias("a_id"), F.col("j").alias("b_id"))  # even if nothing came of it
+        picked = chosen.select(  # even if nothing came of it
+            "language", F.col("i").alias("a_id"), F.col("j").alias("b_id"),
+        )
         tested = keep(tested.unionByName(pairing.tested(picked, "language")).distinct())
     return comparisons, most
 
 
-def round_trips(sentences: DataFrame, depth: int, forward: Callable[[DataFrame], DataFrame], back: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def round_trips(
+    sentences: DataFrame, depth: int, forward: Callable[[DataFrame], DataFrame], back: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """Texts after each of ``depth`` trips: ``forward`` and ``back`` map a column ``text``; a refusal (null) ends its chain,
     earlier depths stay."""
     out, now = None, sentences.withColumn("text", F.col("sentence"))

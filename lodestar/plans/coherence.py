@@ -26,14 +26,19 @@ def tasks(entries: DataFrame, sentences: DataFrame, first: int | None = None) ->
     return some.crossJoin(F.broadcast(entries))
 
 
-def trip(cache: DataFrame, make: Callable[[], Provider], source: str, target: str, log: list[DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def trip(
+    cache: DataFrame, make: Callable[[], Provider], source: str, target: str, log: list[DataFrame],
+) -> Callable[[DataFrame], DataFrame]:
     """A map of the column ``text`` from one language into another; refusals and failures end as null. ``log`` collects
     the calls."""
 
     def run(rows: DataFrame) -> DataFrame:
         key = translation_key(F.lit(source), F.lit(target), F.col("tested_entry"), F.col("text"))
         asked = rows.withColumns({"key": key, "source": F.lit(source), "target": F.lit(target)})
-        known = reduce(DataFrame.unionByName, [x.where("value is not null").select("key", "value") for x in log], cache.select("key", "value"))
+        known = reduce(
+            DataFrame.unionByName, [x.where("value is not null").select("key", "value") for x in log],
+            cache.select("key", "value"),
+        )
         done, calls = through_cache(asked.where("text is not null"), known, make)
         log.append(calls)
         usable = ~F.coalesce(is_refusal(F.col("value")), F.lit(True))
@@ -42,7 +47,9 @@ def trip(cache: DataFrame, make: Callable[[], Provider], source: str, target: st
     return run
 
 
-def rate(trips: DataFrame, evaluators: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = RATE) -> tuple[DataFrame, DataFrame]:
+def rate(
+    trips: DataFrame, evaluators: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = RATE,
+) -> tuple[DataFrame, DataFrame]:
     """(trips with evaluator and score, null if the answer has none; the calls made)."""
     rows = trips.crossJoin(F.broadcast(evaluators.select(F.col("judge").alias("evaluator"))))
     prompt = fill_prompt(template, text=F.col("sentence"), new=F.col("text"))
@@ -53,7 +60,8 @@ def rate(trips: DataFrame, evaluators: DataFrame, cache: DataFrame, make: Callab
 
 
 def batch(
-    work: DataFrame, evaluators: DataFrame, language: str, depth: int, cache: DataFrame, make: Callable[[], Provider], judge: Callable[[], Provider],
+    work: DataFrame, evaluators: DataFrame, language: str, depth: int, cache: DataFrame, make: Callable[[], Provider],
+    judge: Callable[[], Provider],
     source: str = "English",
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of sentence_cat, sentence, depth, staged_text, evaluator, score, tested_entry; all calls made).
@@ -65,7 +73,10 @@ def batch(
     there, back = trip(cache, make, source, language, log), trip(cache, make, language, source, log)
     trips = round_trips(work.select("tested_entry", "temperature", "sentence_category", "sentence"), depth, there, back)
     rated, judged = rate(trips, evaluators, cache, judge)
-    rows = rated.select(F.col("sentence_category").alias("sentence_cat"), "sentence", "depth", F.col("text").alias("staged_text"), "evaluator", "score", "tested_entry")
+    rows = rated.select(
+        F.col("sentence_category").alias("sentence_cat"), "sentence", "depth", F.col("text").alias("staged_text"),
+        "evaluator", "score", "tested_entry",
+    )
     return rows, reduce(DataFrame.unionByName, log, judged)
 
 

@@ -21,7 +21,9 @@ def pairs(translated: DataFrame, chosen: DataFrame) -> DataFrame:
     """Both texts of each chosen pair (a_id, b_id) on every sentence: ``translated`` has language, sentence,
     sentence_category, id and text, refusals included. Pairs of a system with itself are refused by ``facts``."""
     on = ["language", "sentence", "sentence_category"]
-    side = lambda x: translated.select(*on, F.col("id").alias(f"{x}_id"), F.col("text").alias(f"text_{x}"))
+    side = lambda x: translated.select(
+        *on, F.col("id").alias(f"{x}_id"), F.col("text").alias(f"text_{x}"),
+    )
     return side("a").join(F.broadcast(chosen.select("a_id", "b_id").distinct()), "a_id").join(side("b"), [*on, "b_id"])
 
 
@@ -33,7 +35,9 @@ def prompts(judged: DataFrame, template: str = COMPARE) -> DataFrame:
     return rows.withColumn("prompt", prompt).withColumn("key", comparison_key(F.col("prompt"), F.col("judge")))
 
 
-def compare(rows: DataFrame, judges: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = COMPARE) -> tuple[DataFrame, DataFrame]:
+def compare(
+    rows: DataFrame, judges: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = COMPARE,
+) -> tuple[DataFrame, DataFrame]:
     """(comparison facts; the calls made). Only pairs of two different texts are put to the judges, each prompt once."""
     every = rows.crossJoin(F.broadcast(judges.select("judge")))
     decided = outcome_without_judge().isNotNull()
@@ -45,4 +49,6 @@ def compare(rows: DataFrame, judges: DataFrame, cache: DataFrame, make: Callable
 
 def readable(calls: DataFrame, facts_of: DataFrame) -> DataFrame:
     """New cache rows: the answers that gave a verdict; others are asked again next time."""
-    return calls.join(facts_of.select(F.col("evaluating_response").alias("value")).distinct(), "value", "left_semi").select("key", "value")
+    return calls.join(
+        facts_of.select(F.col("evaluating_response").alias("value")).distinct(), "value", "left_semi",
+    ).select("key", "value")

@@ -18,14 +18,21 @@ SCORE = "Score each translation into {target} from 0 to 100; end with a fenced J
 def workload(languages: DataFrame, sentences: DataFrame, entries: DataFrame) -> DataFrame:
     """Every language, sentence (category, sentence) and system: the small tables are the broadcast ones."""
     rows = sentences.crossJoin(F.broadcast(languages.select("language"))).crossJoin(F.broadcast(entries))
-    return rows.withColumn("tested_entry", entry_id(F.col("model_name"), F.col("model_company"), F.col("service"), F.col("temp_key"), F.col("thinking")))
+    return rows.withColumn(
+        "tested_entry",
+        entry_id(F.col("model_name"), F.col("model_company"), F.col("service"), F.col("temp_key"), F.col("thinking")),
+    )
 
 
 def latency_log(asked: DataFrame, calls: DataFrame) -> DataFrame:
     """Log rows of the calls that gave a usable text: ``asked`` has key, model_id, sentence_cat and sentence."""
-    made = calls.where(F.col("value").isNotNull() & ~F.coalesce(is_refusal(F.col("value")), F.lit(True))).select("key", F.col("seconds").alias("duration"))
+    made = calls.where(
+        F.col("value").isNotNull() & ~F.coalesce(is_refusal(F.col("value")), F.lit(True))
+    ).select("key", F.col("seconds").alias("duration"))
     rows = asked.dropDuplicates(["key"]).join(made, "key")
-    return rows.select("model_id", "sentence_cat", "sentence", "duration", F.unix_timestamp().cast("double").alias("logged_at"))
+    return rows.select(
+        "model_id", "sentence_cat", "sentence", "duration", F.unix_timestamp().cast("double").alias("logged_at"),
+    )
 
 
 def failures(calls: DataFrame) -> DataFrame:
@@ -33,11 +40,17 @@ def failures(calls: DataFrame) -> DataFrame:
     return calls.where("value is null").select("key", "attempts", "error")
 
 
-def translate(work: DataFrame, cache: DataFrame, make: Callable[[], Provider], source: str = "English", **how) -> tuple[DataFrame, DataFrame]:
+def translate(
+    work: DataFrame, cache: DataFrame, make: Callable[[], Provider], source: str = "English", **how,
+) -> tuple[DataFrame, DataFrame]:
     """(work with translation, null if refused, and refused; the calls made). Failed calls are neither."""
     key = translation_key(F.lit(source), F.col("language"), F.col("tested_entry"), F.col("sentence"))
-    asked = work.withColumns({"key": key, "source": F.lit(source), "target": F.col("language"), "text": F.col("sentence")})
-    done, calls = through_cache(asked.withColumn("temperature", F.col("temp_key").try_cast("double")), cache, make, **how)
+    asked = work.withColumns(
+        {"key": key, "source": F.lit(source), "target": F.col("language"), "text": F.col("sentence")}
+    )
+    done, calls = through_cache(
+        asked.withColumn("temperature", F.col("temp_key").try_cast("double")), cache, make, **how,
+    )
     refused = F.coalesce(is_refusal(F.col("value")), F.lit(False))
     done = done.withColumn("refused", refused).withColumn("translation", F.when(~refused, F.col("value")))
     return done.drop("value", "source", "target", "text"), calls
@@ -45,24 +58,34 @@ def translate(work: DataFrame, cache: DataFrame, make: Callable[[], Provider], s
 
 def blind_lists(translated: DataFrame, judges: DataFrame) -> DataFrame:
     """Equal texts once, numbered in an order that depends on the texts and the judge only."""
-    texts = translated.where("translation is not null").groupBy("language", "sentence", "sentence_category", "translation")
+    texts = translated.where("translation is not null").groupBy(
+        "language", "sentence", "sentence_category", "translation",
+    )
     texts = texts.agg(F.sort_array(F.collect_set("tested_entry")).alias("entries"))
     whole = Window.partitionBy("language", "sentence", "judge")
     rows = texts.crossJoin(F.broadcast(judges.select("judge")))
-    seed = F.concat(F.array_join(F.array_sort(F.collect_list("translation").over(whole)), "|"), F.lit("-"), F.col("judge"))
+    seed = F.concat(
+        F.array_join(F.array_sort(F.collect_list("translation").over(whole)), "|"), F.lit("-"), F.col("judge"),
+    )
     rows = rows.withColumn("_o", seeded_order(seed, F.col("translation")))
     return rows.withColumn("id", F.row_number().over(whole.orderBy("_o")) - 1).drop("_o")
 
 
 def prompts(blind: DataFrame, template: str = SCORE) -> DataFrame:
     """(language, sentence, judge, prompt, key): one prompt for each judge of a sentence, with the whole blind list."""
-    lists = blind.groupBy("language", "sentence", "judge").agg(F.sort_array(F.collect_list(F.struct("id", "translation"))).alias("l"))
-    prompt = fill_prompt(template, target=F.col("language"), text=F.col("sentence"), list=numbered_blocks(F.col("l.translation")))
+    lists = blind.groupBy("language", "sentence", "judge").agg(
+        F.sort_array(F.collect_list(F.struct("id", "translation"))).alias("l")
+    )
+    prompt = fill_prompt(
+        template, target=F.col("language"), text=F.col("sentence"), list=numbered_blocks(F.col("l.translation")),
+    )
     rows = lists.select("language", "sentence", "judge", prompt.alias("prompt"))
     return rows.withColumn("key", comparison_key(F.col("prompt"), F.col("judge")))
 
 
-def judge(blind: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = SCORE) -> tuple[DataFrame, DataFrame]:
+def judge(
+    blind: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = SCORE,
+) -> tuple[DataFrame, DataFrame]:
     """(language, sentence, judge, scores; the calls made). A response that can't be read voids that judge's row only."""
     done, calls = through_cache(prompts(blind, template).withColumn("temperature", F.lit(0.0)), cache, make)
     return done.select("language", "sentence", "judge", json_scores("value").alias("scores")), calls
@@ -76,6 +99,10 @@ def score_facts(translated: DataFrame, blind: DataFrame, judged: DataFrame, judg
     good = judged.where("scores is not null")
     scored = parsed_scores(good, blind.select("language", "sentence", "judge", "id", "translation", "entries"))
     refused = translated.where("refused").select("language", "sentence", "tested_entry")
-    nothing = refused.select("language", "sentence").distinct().join(translated.where("translation is not null"), ["language", "sentence"], "left_anti")
-    silent = nothing.crossJoin(F.broadcast(judges.select("judge"))).withColumn("scores", F.array().cast(judged.schema["scores"].dataType))
+    nothing = refused.select("language", "sentence").distinct().join(
+        translated.where("translation is not null"), ["language", "sentence"], "left_anti",
+    )
+    silent = nothing.crossJoin(F.broadcast(judges.select("judge"))).withColumn(
+        "scores", F.array().cast(judged.schema["scores"].dataType),
+    )
     return scored.unionByName(refused_scores(refused, good.unionByName(silent)))

@@ -15,7 +15,9 @@ def latest(log: DataFrame) -> DataFrame:
     """The current state of an append-only log of (key, value, updated_at and, if there, seq): the last entry of a key
     counts, by time, then by seq; a null value deletes its key."""
     order = ["updated_at", "seq"] if "seq" in log.columns else ["updated_at"]
-    last = F.row_number().over(Window.partitionBy("key").orderBy(*[F.desc_nulls_last(c) for c in order], F.desc_nulls_last("value")))
+    last = F.row_number().over(
+        Window.partitionBy("key").orderBy(*[F.desc_nulls_last(c) for c in order], F.desc_nulls_last("value"))
+    )
     return log.withColumn("_n", last).where("_n = 1 and value is not null").drop("_n")
 
 
@@ -46,7 +48,11 @@ def probe_json(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """A hit needs entry, both languages, text and temperature to be equal (null temperatures are)."""
     c = cache.alias("c")
     r = requests.alias("r")
-    same = [F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in ("entry_id", "source_lang", "target_lang", "text", "temperature")]
+    same = [
+        F.col(f"r.{x}").eqNullSafe(F.col(f"c.{x}")) for x in (
+            "entry_id", "source_lang", "target_lang", "text", "temperature",
+        )
+    ]
     return r.join(c, same, "left").select("r.*", "c.response")
 
 
@@ -60,7 +66,9 @@ def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert_json(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """JSON_SCHEMA: an entry has one record, the last that was written for it; ``rows`` has a column seq for its order."""
-    both = cache.withColumn("seq", F.lit(-1).cast("long")).unionByName(rows.where("entry_id is not null").withColumn("seq", F.col("seq").cast("long")))
+    both = cache.withColumn("seq", F.lit(-1).cast("long")).unionByName(
+        rows.where("entry_id is not null").withColumn("seq", F.col("seq").cast("long"))
+    )
     record = F.struct(*[c.split()[0] for c in JSON_SCHEMA.split(", ")[1:]])
     return both.groupBy("entry_id").agg(F.max_by(record, "seq").alias("x")).select("entry_id", "x.*")
 
@@ -91,7 +99,9 @@ class KVTable:
         own, place = F.timestamp_micros(F.lit(self.last)), F.monotonically_increasing_id()
         at = F.coalesce("updated_at", own) if "updated_at" in rows.columns else own
         place = F.coalesce("seq", place) if "seq" in rows.columns else place
-        rows.select("key", "value", at.alias("updated_at"), place.cast("long").alias("seq")).write.mode("append").parquet(self.path)
+        rows.select(
+            "key", "value", at.alias("updated_at"), place.cast("long").alias("seq"),
+        ).write.mode("append").parquet(self.path)
 
     def set(self, rows: DataFrame) -> None:
         """Of rows that repeat a key the last counts: by ``seq`` if there is one, else in the order of the table."""

@@ -9,7 +9,10 @@ SCHEMA = "model_id string, sentence_cat string, sentence string, duration double
 
 
 def append(rows: DataFrame, path: str) -> None:
-    rows.select("model_id", "sentence_cat", "sentence", "duration", F.coalesce("logged_at", F.unix_timestamp().cast("double")).alias("logged_at")).write.mode("append").json(path)
+    rows.select(
+        "model_id", "sentence_cat", "sentence", "duration",
+        F.coalesce("logged_at", F.unix_timestamp().cast("double")).alias("logged_at"),
+    ).write.mode("append").json(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -17,4 +20,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summary(log: DataFrame) -> DataFrame:
-    return log.groupBy("model_id", "sentence_cat").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("total"), F.round(F.max("duration"), 4).alias("longest"))
+    return log.groupBy("model_id", "sentence_cat").agg(
+        F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("total"),
+        F.round(F.max("duration"), 4).alias("longest"),
+    )

@@ -15,14 +15,21 @@ def sentences(rows: DataFrame) -> DataFrame:
     """(category, sentences array) to sentence_category, category_pos, sentence_pos, sentence."""
     if "category_pos" not in rows.columns:
         rows = rows.withColumn("category_pos", F.lit(0))
-    return rows.select(F.col("category").alias("sentence_category"), "category_pos", F.posexplode("sentences").alias("sentence_pos", "sentence"))
+    return rows.select(
+        F.col("category").alias("sentence_category"), "category_pos",
+        F.posexplode("sentences").alias("sentence_pos", "sentence"),
+    )
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object of category: [sentences], in the order of the file."""
     whole = spark.read.text(path, wholetext=True)
-    listed = whole.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("category_pos", "x"))
-    return sentences(listed.select("category_pos", F.col("x.key").alias("category"), F.col("x.value").alias("sentences")))
+    listed = whole.select(
+        F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("category_pos", "x")
+    )
+    return sentences(
+        listed.select("category_pos", F.col("x.key").alias("category"), F.col("x.value").alias("sentences"))
+    )
 
 
 def entries(rows: DataFrame, list_name: str | None = None) -> DataFrame:
@@ -47,10 +54,15 @@ def read_judges(spark: SparkSession, path: str) -> DataFrame:
 
 def judges(rows: DataFrame) -> DataFrame:
     """A registry with each judge once, at its first position, and with an empty prefix instead of none."""
-    first = F.min_by(F.struct("pos", "service", "model", F.coalesce("prefix", F.lit("")).alias("prefix")), "pos").alias("x")
+    first = F.min_by(
+        F.struct("pos", "service", "model", F.coalesce("prefix", F.lit("")).alias("prefix")), "pos",
+    ).alias("x")
     return rows.where("judge is not null").groupBy("judge").agg(first).select("judge", "x.*")
 
 
 def entry_struct() -> F.Column:
     """What a result says about a system."""
-    return F.struct("model_name", "model_company", F.col("service").alias("inference_service_name"), F.col("temperature").alias("temp"))
+    return F.struct(
+        "model_name", "model_company", F.col("service").alias("inference_service_name"),
+        F.col("temperature").alias("temp"),
+    )

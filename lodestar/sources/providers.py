@@ -16,20 +16,27 @@ from .shared import settle
 
 #: Languages with the codes of two services; no code means the service lacks the language.
 LANGUAGES = [
-    ("English", "EN", "en_US"), ("German", "DE", "de_DE"), ("Chinese", "ZH", "zh-Hans_CN"), ("Hungarian", "HU", "hu_HU"), ("French", "FR", "fr_FR"), ("Japanese", "JA", "ja_JP"), ("Italian", "IT", "it_IT"),
-    ("EuropeanSpanish", "ES", "es_ES"), ("Ukrainian", "UK", "uk_UA"), ("Swedish", "SV", "sv_SE"), ("Korean", "KO", "ko_KR"), ("Thai", None, None), ("Welsh", None, None), ("Swahili", None, None), ("Esperanto", None, "eo_WORLD"),
+    ("English", "EN", "en_US"), ("German", "DE", "de_DE"), ("Chinese", "ZH", "zh-Hans_CN"),
+    ("Hungarian", "HU", "hu_HU"), ("French", "FR", "fr_FR"), ("Japanese", "JA", "ja_JP"), ("Italian", "IT", "it_IT"),
+    ("EuropeanSpanish", "ES", "es_ES"), ("Ukrainian", "UK", "uk_UA"), ("Swedish", "SV", "sv_SE"),
+    ("Korean", "KO", "ko_KR"), ("Thai", None, None), ("Welsh", None, None), ("Swahili", None, None),
+    ("Esperanto", None, "eo_WORLD"),
 ]
 LANGUAGE_SCHEMA = "language string, deepl_code string, lingvanex_code string"
 
 
 def languages(spark, targets_only: bool = False) -> DataFrame:
-    out = spark.createDataFrame(LANGUAGES, LANGUAGE_SCHEMA).withColumn("hybrid_code", F.when(F.col("language") == "EuropeanSpanish", "Spanish").otherwise(F.col("language")))
+    out = spark.createDataFrame(LANGUAGES, LANGUAGE_SCHEMA).withColumn(
+        "hybrid_code", F.when(F.col("language") == "EuropeanSpanish", "Spanish").otherwise(F.col("language")),
+    )
     return out.where("language != 'English'") if targets_only else out
 
 
 def supported(requests: DataFrame, codes: DataFrame, code: str) -> DataFrame:
     """Requests whose target language the service of column ``code`` has."""
-    return requests.join(F.broadcast(codes.where(F.col(code).isNotNull())), requests.target == codes.language, "left_semi")
+    return requests.join(
+        F.broadcast(codes.where(F.col(code).isNotNull())), requests.target == codes.language, "left_semi",
+    )
 
 
 class Provider(Protocol):
@@ -66,7 +73,9 @@ class OfflineProvider:
 ANSWER = "key string, value string, seconds double, attempts int, error string"
 
 
-def call(requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0, jitter: float = 0.0) -> DataFrame:
+def call(
+    requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0, jitter: float = 0.0,
+) -> DataFrame:
     """ANSWER for rows (key, prompt, temperature), or (key, source, target, text, temperature) to translate.
 
     One client a task; a call that fails is tried again after a wait that grows with each attempt, ``jitter`` is the
@@ -94,12 +103,16 @@ def call(requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, w
                             time.sleep(wait * (i + 1))
                 out.append((value, time.time() - began, i + 1, error))
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "value", "seconds", "attempts", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *columns], names=["key", "value", "seconds", "attempts", "error"],
+            )
 
     return requests.select("key", *asked).mapInArrow(run, ANSWER)
 
 
-def through_cache(requests: DataFrame, cache: DataFrame, make: Callable[[], Provider], **how) -> tuple[DataFrame, DataFrame]:
+def through_cache(
+    requests: DataFrame, cache: DataFrame, make: Callable[[], Provider], **how,
+) -> tuple[DataFrame, DataFrame]:
     """(all requests with value, the calls as ANSWER): each missing key is asked once, and the answers are written before
     anything reads them, so no later plan or lost executor asks again. New cache rows are the calls with a value."""
     asked = settle(call(requests.join(cache, "key", "left_anti").dropDuplicates(["key"]), make, **how))

@@ -69,15 +69,21 @@ TRANSLATORS = {
                 lambda c: F.to_json(F.struct(c("model").alias("model"), c("prompt").alias("prompt"), _long(c("text")).alias("max_tokens"),
                                              c("temperature").alias("temperature"))), "$.generations[0].text", strip=True),
         Service("deepl", "https://api.deepl.com/v2/translate",
-                lambda c: _form(text=c("text"), source_lang=c("source_code"), target_lang=c("target_code")), "$.translations[0].text",
+                lambda c: _form(
+                    text=c("text"), source_lang=c("source_code"), target_lang=c("target_code"),
+                ), "$.translations[0].text",
                 auth="Authorization: DeepL-Auth-Key {key}", as_json=False, codes="deepl_code"),
         Service("google", "https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent",
-                lambda c: _contents(c("prompt"), c("temperature"), c("thinking")), "$.candidates[0].content.parts[0].text",
+                lambda c: _contents(
+                    c("prompt"), c("temperature"), c("thinking"),
+                ), "$.candidates[0].content.parts[0].text",
                 auth="x-goog-api-key: {key}"),
         Service("groq", "https://api.groq.com/openai/v1/chat/completions",
                 lambda c: _chat(c("model"), c("prompt"), c("temperature")), "$.choices[0].message.content"),
         Service("lingvanex", "https://api-b2b.backenster.com/b1/api/v3/translate/",
-                lambda c: _form(**{"from": c("source_code"), "to": c("target_code"), "text": c("text"), "platform": F.lit("dp")}), "$.result",
+                lambda c: _form(
+                    **{"from": c("source_code"), "to": c("target_code"), "text": c("text"), "platform": F.lit("dp")}
+                ), "$.result",
                 as_json=False, codes="lingvanex_code", error_path="$.err"),
         Service("mistral", "https://api.mistral.ai/v1/chat/completions",
                 lambda c: _chat(c("model"), c("prompt"), c("temperature")), "$.choices[0].message.content"),
@@ -94,7 +100,9 @@ JUDGES = {
         Service("openrouter", "https://openrouter.ai/api/v1/chat/completions",
                 lambda c: _chat(c("model"), c("prompt"), c("temperature"), F.lit(9000)), "$.choices[0].message.content"),
         Service("google", "https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent",
-                lambda c: _contents(c("prompt"), c("temperature"), c("thinking")), "$.candidates[0].content.parts[0].text",
+                lambda c: _contents(
+                    c("prompt"), c("temperature"), c("thinking"),
+                ), "$.candidates[0].content.parts[0].text",
                 auth="x-goog-api-key: {key}"),
     )
 }
@@ -104,7 +112,12 @@ def _contents(prompt: Column, temperature: Column, thinking: Column) -> Column:
     """A generateContent body; without thinking its budget is 0, with it the service's own."""
     budget = F.when(~F.coalesce(thinking, F.lit(False)), F.struct(F.lit(0).alias("thinkingBudget")))
     said = F.array(F.struct(F.array(F.struct(prompt.alias("text"))).alias("parts")))
-    return F.to_json(F.struct(said.alias("contents"), F.struct(temperature.alias("temperature"), budget.alias("thinkingConfig")).alias("generationConfig")))
+    return F.to_json(
+        F.struct(
+            said.alias("contents"),
+            F.struct(temperature.alias("temperature"), budget.alias("thinkingConfig")).alias("generationConfig"),
+        )
+    )
 
 
 def requests(rows: DataFrame, service: Service, prefix: str = "") -> DataFrame:
@@ -116,7 +129,8 @@ def requests(rows: DataFrame, service: Service, prefix: str = "") -> DataFrame:
     known = F.col("source_code").isNotNull() & F.col("target_code").isNotNull() if service.codes else F.lit(True)
     kind = "application/json" if service.as_json else "application/x-www-form-urlencoded"
     return rows.withColumns({
-        "url": F.replace(F.lit(service.url), F.lit("{model}"), F.col("model")), "header": F.lit(service.auth), "kind": F.lit(kind),
+        "url": F.replace(F.lit(service.url), F.lit("{model}"), F.col("model")), "header": F.lit(service.auth),
+        "kind": F.lit(kind),
         "body": F.when(known, service.body(F.col)),
     })
 
@@ -143,7 +157,9 @@ def answer(service: Service, status: Column, reply: Column) -> tuple[Column, Col
     said = F.get_json_object(reply, service.error_path) if service.error_path else F.lit(None).cast("string")
     said = F.when(~F.coalesce(said, F.lit("")).isin("", "null", "false"), said)
     failed = F.coalesce(status, F.lit(0)) != 200
-    error = F.when(failed, F.concat(F.lit(f"{service.name}: status "), status.cast("string"))).when(said.isNotNull(), said)
+    error = F.when(
+        failed, F.concat(F.lit(f"{service.name}: status "), status.cast("string")),
+    ).when(said.isNotNull(), said)
     error = F.coalesce(error, F.when(text.isNull(), F.lit(f"{service.name}: no text in the reply")))
     return F.when(error.isNull(), text), error
 
@@ -190,7 +206,9 @@ def send(
                 out.append((status, reply, time.time() - began, tried, error if body is not None else "not supported"))
             types = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=[f.split()[0] for f in REPLY.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *columns], names=[f.split()[0] for f in REPLY.split(", ")]
+            )
 
     return rows.select("key", "url", "header", "kind", "body").mapInArrow(run, REPLY)
 

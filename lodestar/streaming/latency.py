@@ -15,4 +15,6 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def windowed(log: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Works on a stream (rows later than ``late`` are dropped, windows close) and on a table alike."""
     w = F.window("logged_at", window)
-    return log.withWatermark("logged_at", late).groupBy(w, "model_id").agg(F.count("*").alias("n"), F.sum("duration").alias("total")).select(F.col("window.start").alias("start"), "model_id", "n", F.round("total", 4).alias("total"))
+    return log.withWatermark("logged_at", late).groupBy(w, "model_id").agg(F.count("*").alias("n"), F.sum("duration").alias("total")).select(
+        F.col("window.start").alias("start"), "model_id", "n", F.round("total", 4).alias("total"),
+    )
