@@ -191,29 +191,52 @@ def dedup_chunks(
             z = slice(a, a + 100_000)
             m = keep[z]
             places = [pa.array(x[z][m], mask=~again[z][m]) for x in source]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[z][m]) for x in (d, k, u, i)), *places], names=["d", "k", "u", "i", "k0", "u0", "i0"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x[z][m]) for x in (d, k, u, i)), *places], names=["d", "k", "u", "i", "k0", "u0", "i0"],
+            )
 
     found = rows.mapInArrow(find, "d long, k long, u long, i long, k0 long, u0 long, i0 long")
     order = Window.partitionBy("d").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
-    later = found.withColumn("first", F.first(place).over(order)).where(F.col("k0").isNotNull() | (place != F.col("first")))
+    later = found.withColumn("first", F.first(place).over(order)).where(
+        F.col("k0").isNotNull() | (place != F.col("first"))
+    )
     at, at0 = F.shiftright("i", LENGTH), F.shiftright(F.coalesce("i0", F.col("first.i")), LENGTH)
     n = F.col("i").bitwiseAND((1 << LENGTH) - 1)
-    later = later.select("k", "u", *[F.coalesce(f"{c}0", F.col(f"first.{c}")).alias(f"{c}0") for c in "ku"], (at - at0).alias("away"), at.alias("at"), (at + n).alias("to"))
+    later = later.select(
+        "k", "u", *[F.coalesce(f"{c}0", F.col(f"first.{c}")).alias(f"{c}0") for c in "ku"], (at - at0).alias("away"),
+        at.alias("at"), (at + n).alias("to"),
+    )
     # what one document shares with one source at one distance is compared in slices
-    spans = later.groupBy("k", "u", "k0", "u0", "away", F.floor(F.col("at") / SLICE)).agg(F.min("at").alias("lo"), F.max("to").alias("hi"))
+    spans = later.groupBy(
+        "k", "u", "k0", "u0", "away", F.floor(F.col("at") / SLICE),
+    ).agg(F.min("at").alias("lo"), F.max("to").alias("hi"))
     block = F.floor((F.col("lo") - F.col("away")) / SLICE).alias("block")
     spans = scratch.write(spans.select("k", "u", "k0", "u0", "away", "lo", "hi", block))
     begin, stop = F.greatest(F.col("lo") - F.col("away") - CONTEXT, F.lit(0)), F.col("hi") - F.col("away") + CONTEXT
-    blocks = spans.groupBy("k0", "u0", "block").agg(F.min(begin).alias("begin"), F.max(stop).alias("stop"), F.count("*").alias("weight"))
-    wanted = blocks.groupBy("k0", "u0").agg(F.collect_list(F.struct("block", "begin", "stop", "weight")).alias("blocks"))
-    sources = rows.select(F.col("k").alias("k0"), F.col("u").alias("u0"), F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("t")).join(wanted, ["k0", "u0"]).dropDuplicates(["k0", "u0"])
-    sources = sources.select("k0", "u0", "t", F.explode("blocks").alias("b")).select("k0", "u0", "b.*", F.expr("substring(t, cast(b.begin as int) + 1, cast(b.stop - b.begin as int))").alias("bytes"))
+    blocks = spans.groupBy("k0", "u0", "block").agg(
+        F.min(begin).alias("begin"), F.max(stop).alias("stop"), F.count("*").alias("weight"),
+    )
+    wanted = blocks.groupBy("k0", "u0").agg(
+        F.collect_list(F.struct("block", "begin", "stop", "weight")).alias("blocks")
+    )
+    sources = rows.select(
+        F.col("k").alias("k0"), F.col("u").alias("u0"), F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("t"),
+    ).join(wanted, ["k0", "u0"]).dropDuplicates(["k0", "u0"])
+    sources = sources.select("k0", "u0", "t", F.explode("blocks").alias("b")).select(
+        "k0", "u0", "b.*",
+        F.expr("substring(t, cast(b.begin as int) + 1, cast(b.stop - b.begin as int))").alias("bytes"),
+    )
     sources = scratch.write(sources.drop("stop"))
     # slices of the source, from their place in the document
     start = F.greatest(F.greatest(F.col("lo") - CONTEXT, F.lit(0)), F.col("away"))
     joined = join_split(spans, sources, ["k0", "u0", "block"], "weight", spans.count()).withColumn("start", start)
-    pieces = joined.select("k", "u", "start", F.expr(f"substring(bytes, cast(start - away - begin as int) + 1, cast(hi + {CONTEXT} - start as int))").alias("piece"))
+    pieces = joined.select(
+        "k", "u", "start",
+        F.expr(
+            f"substring(bytes, cast(start - away - begin as int) + 1, cast(hi + {CONTEXT} - start as int))"
+        ).alias("piece"),
+    )
     pieces = scratch.write(pieces)
     scratch.drop(spans, sources)
     pieces = pieces.groupBy("k", "u").agg(F.collect_list(F.struct("start", "piece")).alias("pieces"))
@@ -240,9 +263,15 @@ def dedup_chunks(
                     keep.append(raw[at : int(o[j + 1])])
                     out.append(b"".join(keep))
                     facts.append((int(o[j + 1] - o[j]), chunks[j], sum(e - s for s, e in spans), len(spans)))
-            left_over = pa.array([x.decode("utf-8", "replace") if ok else None for x, ok in zip(out, texts.is_valid().to_pylist())], pa.string())
+            left_over = pa.array(
+                [x.decode("utf-8", "replace") if ok else None for x, ok in zip(out, texts.is_valid().to_pylist())],
+                pa.string(),
+            )
             if columns:
-                yield pa.RecordBatch.from_arrays([left_over if n == text else source.column(n) for n in source.schema.names], names=source.schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [left_over if n == text else source.column(n) for n in source.schema.names],
+                    names=source.schema.names,
+                )
             else:
                 yield pa.RecordBatch.from_arrays(
                     [source.column(key), *(pa.array([f[q] for f in facts], pa.int64()) for q in range(4)), left_over],

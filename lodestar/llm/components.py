@@ -16,15 +16,23 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges is not dealt by key: its minimum is broadcast to the edges. Edges never outnumber the links; stars converge in
     a logarithmic number of rounds.
     """
-    edges = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = scratch.write(
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    )
     seen, n = None, edges.count()
     while n:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("weight")))
-        large = join_split(both, low, ["u"], "weight", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = scratch.write(
+            both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("weight"))
+        )
+        large = join_split(both, low, ["u"], "weight", 2 * n).where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        )
         large = scratch.write(large.distinct())
         least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")))
-        small = join_split(large, least, ["u"], "weight", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_split(
+            large, least, ["u"], "weight", large.count(),
+        ).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.write(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         count, total = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(edges, low, large, least)
@@ -32,4 +40,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if (count, total) == seen:
             break
         seen = count, total
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

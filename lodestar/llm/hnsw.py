@@ -107,7 +107,9 @@ class Graph:
         beam = np.repeat(entry[None], len(queries), 0)
         hits = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for depth in range(len(layers) - 1, -1, -1):
-            beam, sims, hits = self._layer(queries, beam, layers[depth][1], ef if depth == 0 else 4, radius if depth == 0 else 2.0)
+            beam, sims, hits = self._layer(
+                queries, beam, layers[depth][1], ef if depth == 0 else 4, radius if depth == 0 else 2.0,
+            )
         return beam, sims, hits
 
     def _layer(self, queries, entry, links, ef, radius, opened_at_once: int = 4):
@@ -138,7 +140,9 @@ class Graph:
             nodes = np.where(ok, np.take_along_axis(bl, pick, 1), -1)
             r = np.broadcast_to(live[:, None], nodes.shape)
             closed[r[nodes >= 0], nodes[nodes >= 0]] = True
-            near = np.where(nodes[:, :, None] >= 0, links[np.maximum(nodes, 0)], -1).reshape(len(live), -1).astype(np.int64)
+            near = np.where(
+                nodes[:, :, None] >= 0, links[np.maximum(nodes, 0)], -1,
+            ).reshape(len(live), -1).astype(np.int64)
             r = np.broadcast_to(live[:, None], near.shape)
             new = (near >= 0) & ~seen[r, np.maximum(near, 0)]
             q, v = r[new], near[new]
@@ -165,13 +169,18 @@ class Graph:
                     allb, alls = np.take_along_axis(allb, top, 1), np.take_along_axis(alls, top, 1)
                 if allb.shape[1] > beam.shape[1]:
                     pad = allb.shape[1] - beam.shape[1]
-                    beam, bs = np.pad(beam, ((0, 0), (0, pad)), constant_values=-1), np.pad(bs, ((0, 0), (0, pad)), constant_values=-np.inf)
+                    beam, bs = np.pad(beam, ((0, 0), (0, pad)), constant_values=-1), np.pad(
+                        bs, ((0, 0), (0, pad)), constant_values=-np.inf,
+                    )
                 beam[live, : allb.shape[1]], bs[live, : allb.shape[1]] = allb, alls
             live = live[within[live] < ef]
         return beam, bs, (np.concatenate(hq), np.concatenate(hn))
 
 
-def near_pairs(graph: Graph, queries: np.ndarray, radius: float, recall: float = 0.99, ef: int = 32, step: int = 512, audit: int = 16, links: int = 32):
+def near_pairs(
+    graph: Graph, queries: np.ndarray, radius: float, recall: float = 0.99, ef: int = 32, step: int = 512,
+    audit: int = 16, links: int = 32,
+):
     """(query, node) with float similarity >= radius, and [audited links, those the beams met, queries scanned].
 
     The beams of a block double until its audited queries reach the recall; full beams double by themselves. Audited are
@@ -235,13 +244,22 @@ def near_duplicates(
     keys = Keys(embeddings, key, scratch)
     x = F.col("v")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = embeddings.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.col(f"`{label}`").cast("string").alias("g"))
+    rows = embeddings.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").cast("array<double>").alias("v"),
+        F.col(f"`{label}`").cast("string").alias("g"),
+    )
     usable = x.isNotNull() & F.col("g").isNotNull() & F.col("key").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda e: e != 0)
     rows = keys.numbered(rows).withColumnRenamed("k", "id").withColumn("usable", F.coalesce(usable, F.lit(False)))
-    nodes = rows.where("usable").groupBy("g", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.count("*").alias("rows"))
+    nodes = rows.where("usable").groupBy("g", "v").agg(
+        F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.count("*").alias("rows"),
+    )
     nodes = scratch.write(nodes.withColumn("h", F.xxhash64("g", "v")).withColumn("dim", F.size("v")))
-    of_label = nodes.groupBy("g", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.count("*").alias("weight"))
-    dealt = join_split(nodes, of_label, ["g", "dim"], "weight", nodes.count()).withColumn("shard", F.pmod(F.xxhash64("id", "h"), F.col("shards")).cast("int"))
+    of_label = nodes.groupBy("g", "dim").agg(
+        F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.count("*").alias("weight"),
+    )
+    dealt = join_split(nodes, of_label, ["g", "dim"], "weight", nodes.count()).withColumn(
+        "shard", F.pmod(F.xxhash64("id", "h"), F.col("shards")).cast("int"),
+    )
 
     def build(t: pa.Table) -> pa.Table:
         ids, hs, copies = (t.column(c).to_numpy() for c in ("id", "h", "copies"))
@@ -254,7 +272,8 @@ def near_duplicates(
         return pa.table({
             **{c: t.column(c)[:1] for c in ("g", "dim", "shard", "shards")},
             "ids": [ids[o].tobytes()], "hs": [hs[o].tobytes()], "copies": [copies[o].tobytes()],
-            "unit": [unit.tobytes()], "nodes": [[a.astype(np.int64).tobytes() for a, _ in layers]], "links": [[b[a].tobytes() for a, b in layers]],
+            "unit": [unit.tobytes()], "nodes": [[a.astype(np.int64).tobytes() for a, _ in layers]],
+            "links": [[b[a].tobytes() for a, b in layers]],
         })
 
     shards = dealt.select("g", "dim", "shard", "shards", "id", "h", "copies", "v").groupBy("g", "dim", "shard").applyInArrow(
@@ -263,7 +282,10 @@ def near_duplicates(
     shards = scratch.write(shards)
     # tiles of a few shards on either side; a shard goes to the tiles of its row and of its column
     side, last = F.floor(F.col("shard") / SIDE).cast("int"), F.floor((F.col("shards") - 1) / SIDE).cast("int")
-    queries = shards.select("g", "dim", side.alias("i"), F.explode(F.sequence(side, last)).alias("j"), *[F.col(c).alias(f"q_{c}") for c in ("shard", "ids", "hs", "copies", "unit")])
+    queries = shards.select(
+        "g", "dim", side.alias("i"), F.explode(F.sequence(side, last)).alias("j"),
+        *[F.col(c).alias(f"q_{c}") for c in ("shard", "ids", "hs", "copies", "unit")]
+    )
     others = shards.withColumn("j", side).withColumn("i", F.explode(F.sequence(F.lit(0), side)))
     meets = queries.join(others, ["g", "dim", "i", "j"]).where("q_shard <= shard")
 
@@ -276,14 +298,18 @@ def near_duplicates(
     def one(r):
         unit = np.frombuffer(r["unit"]).reshape(-1, r["dim"])
         q_unit = np.frombuffer(r["q_unit"]).reshape(-1, r["dim"])
-        ids, hs, copies, q_ids, q_hs, q_copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "hs", "copies", "q_ids", "q_hs", "q_copies"))
+        ids, hs, copies, q_ids, q_hs, q_copies = (
+            np.frombuffer(r[c], np.int64) for c in ("ids", "hs", "copies", "q_ids", "q_hs", "q_copies")
+        )
         layers = []
         for a, b in zip(r["nodes"], r["links"]):
             a = np.frombuffer(a, np.int64)
             full = np.full((len(ids), 24), -1, np.int32)
             full[a] = np.frombuffer(b, np.int32).reshape(len(a), -1)
             layers.append((a, full))
-        q, v, facts = near_pairs(Graph(unit.astype(np.float32), layers), q_unit.astype(np.float32), threshold - 1e-5, recall)
+        q, v, facts = near_pairs(
+            Graph(unit.astype(np.float32), layers), q_unit.astype(np.float32), threshold - 1e-5, recall,
+        )
         own = r["q_shard"] == r["shard"]
         if own:
             q, v = np.minimum(q, v), np.maximum(q, v)
@@ -292,7 +318,9 @@ def near_duplicates(
         q, v = code // max(1, len(ids)), code % max(1, len(ids))
         good = np.zeros(len(q), bool)
         for a in range(0, len(q), 50_000):
-            good[a : a + 50_000] = np.einsum("ij,ij->i", q_unit[q[a : a + 50_000]], unit[v[a : a + 50_000]]) >= threshold
+            good[a : a + 50_000] = np.einsum(
+                "ij,ij->i", q_unit[q[a : a + 50_000]], unit[v[a : a + 50_000]],
+            ) >= threshold
         q, v = q[good], v[good]
         q_links = np.bincount(q, copies[v], len(q_ids)).astype(np.int64)
         links = np.bincount(v, q_copies[q], len(ids)).astype(np.int64)
@@ -306,13 +334,20 @@ def near_duplicates(
         rank[o] = np.arange(len(o))
         low = o[lowest(len(o), rank[i], rank[j])[rank]]
         m = np.flatnonzero(counts > 0)
-        name = lambda z: pa.StructArray.from_arrays([pa.array(id_of[z]), pa.array(h_of[z])], names=["id", "h"])
+        name = lambda z: pa.StructArray.from_arrays(
+            [pa.array(id_of[z]), pa.array(h_of[z])], names=["id", "h"],
+        )
         some = len(m) > 0  # the audit's facts ride on the first row
         node, low_of = (m, low[m]) if some else (np.zeros(1, np.int64), np.zeros(1, np.int64))
         told = [pa.array([f] + [None] * (len(node) - 1), pa.int64()) for f in facts]
-        return pa.RecordBatch.from_arrays([name(node), pa.array(counts[node]), name(low_of), *told], names=["node", "links", "low", "audited", "met", "scanned"])
+        return pa.RecordBatch.from_arrays(
+            [name(node), pa.array(counts[node]), name(low_of), *told],
+            names=["node", "links", "low", "audited", "met", "scanned"],
+        )
 
-    found = scratch.write(meets.mapInArrow(meet, f"node {NODE}, links long, low {NODE}, audited long, met long, scanned long"))
+    found = scratch.write(
+        meets.mapInArrow(meet, f"node {NODE}, links long, low {NODE}, audited long, met long, scanned long")
+    )
     scratch.drop(shards)
     if audits is not None:
         audits.append(found.where("audited is not null").select("audited", "met", "scanned"))
@@ -320,11 +355,21 @@ def near_duplicates(
     parts = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), scratch)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     facts = nodes.withColumn("node", F.struct("id", "h")).join(linked, "node", "left").join(parts, "node", "left")
-    facts = facts.select("g", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component.id", "id").alias("component"), F.col("rows").alias("weight"))
+    facts = facts.select(
+        "g", "v", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("component.id", "id").alias("component"), F.col("rows").alias("weight"),
+    )
     # a group of copies may be a third of all rows
     valid = rows.where("usable")
-    out = join_split(valid, scratch.write(facts), ["g", "v"], "weight", valid.count()).select("id", (F.col("copies") - 1 + F.col("links")).alias("_links"), "component")
-    out = out.unionByName(rows.where("not usable").select("id", F.lit(0).cast("long").alias("_links"), F.col("id").alias("component")))
+    out = join_split(valid, scratch.write(facts), ["g", "v"], "weight", valid.count()).select(
+        "id", (F.col("copies") - 1 + F.col("links")).alias("_links"), "component",
+    )
+    out = out.unionByName(
+        rows.where("not usable").select("id", F.lit(0).cast("long").alias("_links"), F.col("id").alias("component"))
+    )
     out = out.withColumn("_kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
     out = keys.named(keys.named(out, "id", "_own"), "component", "_component")
-    return out.select(F.col("_own").alias(key), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
+    return out.select(
+        F.col("_own").alias(key), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"),
+        F.col("_kept").alias("kept"),
+    )

@@ -17,7 +17,7 @@ from .textbytes import LOWER, batch_bytes, slices, word_bounds
 
 #: Phrase: label (fixed values of the query's contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices of the fuzzy search: notice, label, most edits. What stands before ``~`` must be exact: an edit of a short word
+  #: Notices of the fuzzy search: notice, label, most edits. What stands before ``~`` must be exact: an edit of a short word
 #: is another word ("emit", "kit").
 NOTICES = [
     ("gnu general public license", "gpl", 3),
@@ -98,7 +98,10 @@ def _all(low: bytes, piece: bytes):
         at = low.find(piece, at + 1)
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, int]] = NOTICES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, int]] = NOTICES,
+    key: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Every row's ``key``, n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     ``spans`` lists (start, end, label, edits) in bytes of the lower-cased text, exact places first. Notices match whole
@@ -115,7 +118,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
         for batch in batches:
             data, offsets = batch_bytes(batch.column(1))
             for a, b in slices(offsets):
-                yield one(scanner, batch.column(0).slice(a, b - a), LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+                yield one(
+                    scanner, batch.column(0).slice(a, b - a), LOWER[data[offsets[a] : offsets[b]]],
+                    offsets[a : b + 1] - offsets[a],
+                )
 
     def one(scanner, keys, low, offsets):
         starts, _, first = word_bounds(IN_WORD[low], offsets)
@@ -144,9 +150,16 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
                 pa.array(get(lambda x: ",".join(sorted(x["base"])), ""), pa.string()),
                 pa.array(get(lambda x: ",".join(sorted(x["all"])), ""), pa.string()),
                 pa.array(get(lambda x: x["score"], 0.0), pa.float64()),
-                pa.array(get(lambda x: x["spans"], []), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("label", pa.string()), ("edits", pa.int32())]))),
+                pa.array(
+                    get(lambda x: x["spans"], []),
+                    pa.list_(
+                        pa.struct([("s", pa.int64()), ("e", pa.int64()), ("label", pa.string()), ("edits", pa.int32())])
+                    ),
+                ),
             ],
             names=["k", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
         )
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return docs.select(
+        F.col(key).alias("k"), F.col(text).cast("string").alias("t"),
+    ).mapInArrow(run, schema).withColumnRenamed("k", key)

@@ -30,39 +30,68 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
     full = Window.partitionBy()
     fill = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    w = F.element_at(
+        F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"),
+    )
     ranked = sizes.select("source", F.col("size").alias("source_size"), w.alias("w"))
     left = F.sum("source_size").over(full) - max_epochs * F.coalesce(F.sum("source_size").over(before), F.lit(0))
     weight_left = F.sum("w").over(full) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     capped = ranked.withColumn("capped", F.col("w") * left > F.lit(max_epochs) * F.col("source_size") * weight_left)
-    rest = F.sum("source_size").over(full) - max_epochs * F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)).over(full)
+    rest = F.sum("source_size").over(full) - max_epochs * F.sum(
+        F.when(F.col("capped"), F.col("source_size")).otherwise(0)
+    ).over(full)
     open_w = F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("w"))).over(full)
-    target = F.when(F.col("capped"), (max_epochs * F.col("source_size")).cast("double")).otherwise(F.col("w") * rest.cast("double") / open_w)
+    target = F.when(
+        F.col("capped"), (max_epochs * F.col("source_size")).cast("double"),
+    ).otherwise(F.col("w") * rest.cast("double") / open_w)
     return capped.select("source", "source_size", target.alias("target"))
 
 
-def _mixed(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: str, key: str, text: str, source: str, keep: dict[str, F.Column]) -> DataFrame:
+def _mixed(
+    docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: str, key: str, text: str, source: str,
+    keep: dict[str, F.Column],
+) -> DataFrame:
     """The columns ``keep`` of each row, with size, source_size, target and taken."""
     scratch = Scratch(docs.sparkSession)
-    own = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    sized = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{source}`").cast("string").alias("_source"), word_count(f"`{text}`").alias("_size"), F.md5(own).alias("_h"))
+    own = F.concat_ws(
+        "|", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")),
+        F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
+    )
+    sized = docs.select(
+        *[c.alias(n) for n, c in keep.items()], F.col(f"`{source}`").cast("string").alias("_source"),
+        word_count(f"`{text}`").alias("_size"), F.md5(own).alias("_h"),
+    )
     sized = scratch.write(sized)
-    sized = sized.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).withColumn("_b", F.substring("_h", 1, 3))
+    sized = sized.withColumn(
+        "_s", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")),
+    ).withColumn("_b", F.substring("_h", 1, 3))
     buckets = sized.groupBy("_s", "_source", "_b").agg(F.sum("_size").alias("size"))
-    targets = source_targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("size")), weights, max_epochs)
-    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), "source_size", "target")
+    targets = source_targets(
+        buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("size")), weights, max_epochs,
+    )
+    targets = targets.select(
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), "source_size", "target",
+    )
     earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("_s", "_b", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start")).join(targets, "_s")
+    starts = buckets.select(
+        "_s", "_b", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start"),
+    ).join(targets, "_s")
     inside = Window.partitionBy("_s", "_b").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     before = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     extra = F.round("target").cast("long") - F.col("_whole") * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), extra - F.col("_before")))
     found = sized.join(starts, ["_s", "_b"]).withColumn("_before", before).withColumn("_whole", whole.cast("long"))
-    return found.select(*keep, F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") * F.col("_size") + part).cast("long").alias("taken"))
+    return found.select(
+        *keep, F.col("_size").alias("size"), "source_size", "target",
+        (F.col("_whole") * F.col("_size") + part).cast("long").alias("taken"),
+    )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1",
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """How many words of each row a mix takes: ``key``, size, source_size, target, taken.
 
     A row is repeated whole ``floor(target / source_size)`` times; the fraction that remains is taken whole from the
@@ -77,9 +106,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epo
     return mixed.select(F.col("_key").alias(key), "size", "source_size", "target", "taken")
 
 
-def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def repeat_rows(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix-1",
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """``docs`` with each row as often as the mix takes it whole; a row of which a part is taken counts as one more, a
     row without words is kept once. Each row has its own count, rows that repeat a key too."""
-    mixed = _mixed(docs, weights, max_epochs, seed, key, text, source, {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
+    mixed = _mixed(
+        docs, weights, max_epochs, seed, key, text, source, {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}
+    )
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")

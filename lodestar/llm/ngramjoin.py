@@ -77,13 +77,19 @@ class Scheme:
             ones = need + spare - 2 * twos
             z = self.low[band] / (need + spare)
             mean = ones * math.exp(-z)
-            over = max(0.0, 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1))) if mean > 0 else 0.0
+            over = max(
+                0.0, 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1))
+            ) if mean > 0 else 0.0
             equal = lambda z: math.exp(-(1 - self.share) * z) - math.exp(-z)
             false = over**2 + ones * equal(z) + twos * (equal(2 * z) * (1 + 2 * z) + math.exp(-4 * z))
             return ones + twos * (1 + 2 * z) + self.verify * self.rows / 8 * false
 
-        spares = sorted({k for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64) if k <= need} | {need // 8, need // 4})
-        spare, twos = min(((e, t) for e in spares for t in sorted({(need + e) // 2 * k // 8 for k in range(9)})), key=cost)
+        spares = sorted(
+            {k for k in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64) if k <= need} | {need // 8, need // 4}
+        )
+        spare, twos = min(
+            ((e, t) for e in spares for t in sorted({(need + e) // 2 * k // 8 for k in range(9)})), key=cost,
+        )
         return need + spare - 2 * twos, twos, spare
 
     def signatures(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +106,13 @@ class Scheme:
             y = mix(y)
             m = ones + twos
             high = np.bincount(seg, (y >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-            total = (high << np.uint64(32)) + np.bincount(seg, (y & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
+            total = (high << np.uint64(32)) + np.bincount(
+                seg, (y & np.uint64(0xFFFFFFFF)).astype(np.float64), m,
+            ).astype(np.uint64)
             count = np.bincount(seg, minlength=m).astype(np.uint64)
-            name = lambda s, t, c, salt=salt: mix(t + mix(s.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + salt + (c << np.uint64(40))))
+            name = lambda s, t, c, salt=salt: mix(
+                t + mix(s.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + salt + (c << np.uint64(40)))
+            )
             full = name(np.arange(m), total, count)
             empty = np.flatnonzero(count[:ones] == 0)
             least = 1 + spare - len(empty) if len(empty) <= spare else 1
@@ -123,7 +133,11 @@ def _digests(sets: list[np.ndarray]) -> list[bytes]:
     for x in sets:
         a, b = mix(x ^ np.uint64(0x1234567)), mix(x + np.uint64(0x7654321))
         n = np.array([len(x)], np.uint64)
-        out.append(np.concatenate((mix(a.sum(dtype=np.uint64, keepdims=True) + n), mix(b.sum(dtype=np.uint64, keepdims=True) ^ n))).tobytes()[:12])
+        out.append(
+            np.concatenate(
+                (mix(a.sum(dtype=np.uint64, keepdims=True) + n), mix(b.sum(dtype=np.uint64, keepdims=True) ^ n))
+            ).tobytes()[:12]
+        )
     return out
 
 
@@ -217,13 +231,21 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 z = pick[a : a + 100_000]
                 name = sig[z].astype(np.int64)
                 if kind:  # known to share its signature: travels under a key of its own
-                    yield _rows(1, mix(sig[z] ^ mix(k[z].astype(np.uint64))).astype(np.int64), k[z], sig=name, need=need[z])
+                    yield _rows(
+                        1, mix(sig[z] ^ mix(k[z].astype(np.uint64))).astype(np.int64), k[z], sig=name, need=need[z],
+                    )
                 else:
                     yield _rows(0, name, k[z], need=need[z])
 
     def _rows(kind, p, k, sig=None, need=None, id=None, node=None, n=None):
         column = lambda x, t: pa.nulls(len(p), t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(k), column(sig, pa.int64()), column(need, pa.int32()), column(id, pa.int64()), column(node, pa.binary()), column(n, pa.int32())], names=["kind", "p", "k", "sig", "need", "id", "node", "n"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(p), kind, np.int8)), pa.array(p), pa.array(k), column(sig, pa.int64()),
+                column(need, pa.int32()), column(id, pa.int64()), column(node, pa.binary()), column(n, pa.int32()),
+            ],
+            names=["kind", "p", "k", "sig", "need", "id", "node", "n"],
+        )
 
     found = docs.mapInArrow(sign, "kind byte, p long, k long, sig long, need int, id long, node binary, n int")
     nodes_here = F.count(F.when(F.col("kind") == 0, 1)).over(Window.partitionBy("p"))
@@ -235,14 +257,18 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
     """(a, b), labels: for every node linked in a tile of its group, the first node of the tile that it reaches."""
     members = scratch.write(groups.join(sets, "node").select("lead", "node", "label", "x"))
     size = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum(F.length("x") / 8).alias("e"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    blocks = F.greatest(
+        F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("e") / BLOCK_ELEMENTS),
+    ).cast("int").alias("blocks")
     size = scratch.write(size.where("m > 1").select("lead", "m", blocks))
     total = members.count()
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
 
     def tiles(rows: DataFrame, compare) -> DataFrame:
         dealt = rows.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j", "label")
-        return dealt.select("lead", "i", "j", "label", "x", "first").mapInArrow(_by_tile(compare), f"a {LABEL}, b {LABEL}")
+        return dealt.select("lead", "i", "j", "label", "x", "first").mapInArrow(
+            _by_tile(compare), f"a {LABEL}, b {LABEL}",
+        )
 
     def all_pairs(labels, held, first):
         return [(labels[a], labels[b]) for a, b in enumerate(lowest(len(labels), *links_of(held, num, den)).tolist()) if a != b]
@@ -269,9 +295,13 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
         scratch.drop(members, size, many)
         return small
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    large = join_split(members.where("lead <> node"), many.select("lead", "m", "blocks", "centre"), ["lead"], "m", total).withColumn("i", block)
+    large = join_split(
+        members.where("lead <> node"), many.select("lead", "m", "blocks", "centre"), ["lead"], "m", total,
+    ).withColumn("i", block)
     tile = [F.col(c) for c in ("lead", "label", "x")]
-    star = large.select(*tile, "i", F.lit(False).alias("first")).unionByName(many.select(*tile, each.alias("i"), F.lit(True).alias("first")))
+    star = large.select(*tile, "i", F.lit(False).alias("first")).unionByName(
+        many.select(*tile, each.alias("i"), F.lit(True).alias("first"))
+    )
     star = scratch.write(tiles(star.withColumn("j", F.lit(0)), with_first))
     near, one = star.select(F.col("a").alias("label"), F.col("b").alias("centre")), ["label", "centre"]
     apart = large.join(near, one, "left_anti")
@@ -281,10 +311,14 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
     # blocks of the nodes apart meet each other and the blocks of the others
     copies = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
     others = large.join(near, one, "left_semi").select("lead", "label", "x", "i").withColumn("first", F.lit(False))
-    others = join_split(others, per.select("lead", "m", "rest"), ["lead"], "m", total).select(*tile, "first", "i", copies.alias("j"))
+    others = join_split(
+        others, per.select("lead", "m", "rest"), ["lead"], "m", total,
+    ).select(*tile, "first", "i", copies.alias("j"))
     deal = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int")
     apart = join_split(apart, per.select("lead", "rest", "few"), ["lead"], "few", total).withColumn("mine", deal)
-    among = apart.withColumn("other", copies).select(*tile, "first", (-1 - F.greatest("mine", "other")).alias("i"), F.least("mine", "other").alias("j"))
+    among = apart.withColumn("other", copies).select(
+        *tile, "first", (-1 - F.greatest("mine", "other")).alias("i"), F.least("mine", "other").alias("j"),
+    )
     facing = apart.select(*tile, "first", each.alias("i"), F.col("mine").alias("j"))
     out = scratch.write(tiles(others.unionByName(among).unionByName(facing), across))
     scratch.drop(members, size, many)
@@ -323,7 +357,9 @@ def _by_tile(compare):
         yield pairs(compare(labels, held, marks) if len(labels) > 1 else [])
 
     def pairs(out):
-        half = lambda q: pa.StructArray.from_arrays([pa.array([p[q][i] for p in out], pa.int64()) for i in (0, 1)], names=["k", "u"])
+        half = lambda q: pa.StructArray.from_arrays(
+            [pa.array([p[q][i] for p in out], pa.int64()) for i in (0, 1)], names=["k", "u"],
+        )
         return pa.RecordBatch.from_arrays([half(0), half(1)], names=["a", "b"])
 
     return run
@@ -334,21 +370,32 @@ def _components_of_rows(rows: DataFrame, scratch: Scratch, words: int, num: int,
     scheme = Scheme(num, den, count)
     texts = rows.select(F.xxhash64("k", "u").alias("r"), "t", "k", "u")
     table = scratch.write(_candidates(texts, words, scheme))
-    enough = lambda rows, who: rows.groupBy(who, "need").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need").bitwiseAND(0xFFFF)).select(who, "need")
+    enough = lambda rows, who: rows.groupBy(who, "need").agg(F.count("*").alias("have")).where(
+        F.col("have") >= F.col("need").bitwiseAND(0xFFFF)
+    ).select(who, "need")
     own = table.where("kind = 2").select("k", F.col("id"), F.col("sig").alias("u"), "node", "n")
     # a node's label is its first row; exact copies are one node
-    labels = own.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").alias("k"), "u")).alias("label"), F.min(F.struct("id", "u", "k")).getField("k").alias("r"), F.count("*").alias("copies"))
+    labels = own.where("n > 0").groupBy("node").agg(
+        F.min(F.struct(F.col("id").alias("k"), "u")).alias("label"),
+        F.min(F.struct("id", "u", "k")).getField("k").alias("r"), F.count("*").alias("copies"),
+    )
     labels = scratch.write(labels)
     sharing = table.where("kind < 2").select("sig", "k", "need")
     sharing = sharing.join(enough(sharing, "k"), ["k", "need"])
-    sharing = scratch.write(sharing.join(own.select("k", "node").distinct(), "k").select("sig", "node", "need").distinct())
+    sharing = scratch.write(
+        sharing.join(own.select("k", "node").distinct(), "k").select("sig", "node", "need").distinct()
+    )
     times = sharing.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").withColumn("weight", F.col("c"))
     counted = scratch.write(join_split(sharing, times, ["sig"], "weight", sharing.count()))
     scratch.drop(sharing)
     counted = counted.join(enough(counted, "node"), ["node", "need"]).select("sig", "node", "c")
     central = counted.groupBy("node").agg(F.sum("c").alias("weight"))
-    leads = counted.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).getField("node").alias("lead"), F.count("*").alias("weight"))
-    groups = scratch.write(join_split(counted, scratch.write(leads), ["sig"], "weight", counted.count()).select("lead", "node").distinct())
+    leads = counted.join(central, "node").groupBy("sig").agg(
+        F.max(F.struct("weight", "node")).getField("node").alias("lead"), F.count("*").alias("weight"),
+    )
+    groups = scratch.write(
+        join_split(counted, scratch.write(leads), ["sig"], "weight", counted.count()).select("lead", "node").distinct()
+    )
     wanted = labels.join(groups.select("node").distinct(), "node").select("r", "node", "label")
 
     def build(batches):
@@ -359,20 +406,32 @@ def _components_of_rows(rows: DataFrame, scratch: Scratch, words: int, num: int,
                 nodes = batch.column(1).slice(a, b - a).to_pylist()
                 real = np.flatnonzero([d == w for d, w in zip(_digests(sets), nodes)])
                 part = batch.slice(a, b - a).take(pa.array(real))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([sets[i].tobytes() for i in real], pa.binary())], names=["node", "label", "x"])
-
-    sets = texts.select("r", "t").join(wanted, "r").select("t", "node", "label").mapInArrow(build, f"node binary, label {LABEL}, x binary")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), part.column(2), pa.array([sets[i].tobytes() for i in real], pa.binary())],
+                    names=["node", "label", "x"],
+                )
+
+    sets = texts.select("r", "t").join(wanted, "r").select("t", "node", "label").mapInArrow(
+        build, f"node binary, label {LABEL}, x binary",
+    )
     sets = scratch.write(sets.dropDuplicates(["node"]))
     links = _linked(groups, sets, num, den, scratch)
     scratch.drop(sets)
     parts = components(links, scratch).select(F.col("node").alias("label"), "component")
     facts = labels.join(parts, "label", "left").select("node", F.coalesce("component", "label").alias("c"), "copies")
     # copies of a text may be a third of all rows
-    with_words = join_split(own.where("n > 0"), scratch.write(facts), ["node"], "copies", own.count()).select(F.col("id").alias("k"), "u", "n", "c")
-    return with_words.unionByName(own.where("n = 0").select(F.col("id").alias("k"), "u", "n", F.lit(None).cast(LABEL).alias("c")))
-
-
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
+    with_words = join_split(
+        own.where("n > 0"), scratch.write(facts), ["node"], "copies", own.count(),
+    ).select(F.col("id").alias("k"), "u", "n", "c")
+    return with_words.unionByName(
+        own.where("n = 0").select(F.col("id").alias("k"), "u", "n", F.lit(None).cast(LABEL).alias("c"))
+    )
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text",
+    rows: int | None = None,
+) -> DataFrame:
     """Components of rows linked at Jaccard >= num / den of distinct ``words``-word shingles: ``key``, n_shingles, component_id.
 
     Words are runs of bytes other than space and 0x09 to 0x0D, A-Z in lower case. A text with fewer words is one shingle
@@ -383,13 +442,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     """
     scratch = Scratch(docs.sparkSession)
     known = Identified(docs, key, text, scratch)
-    out = _components_of_rows(known.rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows)
-    out = out.select("k", "u", F.col("n").cast("long").alias("_n"), F.coalesce("c.k", "k").alias("_ck"), F.coalesce("c.u", "u").alias("_cu"))
+    out = _components_of_rows(
+        known.rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows,
+    )
+    out = out.select(
+        "k", "u", F.col("n").cast("long").alias("_n"), F.coalesce("c.k", "k").alias("_ck"),
+        F.coalesce("c.u", "u").alias("_cu"),
+    )
     out = known.named(known.named(out, "k", "u", "_own"), "_ck", "_cu", "_component")
-    return out.select(F.col("_own").alias(key), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
+    return out.select(
+        F.col("_own").alias(key), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"),
+    )
 
 
-def keep_one_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", rows: int | None = None) -> DataFrame:
+def keep_one_each(
+    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text",
+    rows: int | None = None,
+) -> DataFrame:
     """One row of ``docs`` of each component, the first by key (null keys last); all rows without words.
 
     Every row is judged by its own text: rows that share a key, or have none, are separate documents unless their texts
@@ -398,7 +467,9 @@ def keep_one_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10,
     scratch = Scratch(docs.sparkSession)
     all_rows = Identified(docs, key, text, scratch).rows
     worded = F.coalesce(F.col("t").rlike(WORD), F.lit(False))
-    parts = _components_of_rows(all_rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows)
+    parts = _components_of_rows(
+        all_rows.select("k", "u", "t"), scratch, words, num, den, docs.count() if rows is None else rows,
+    )
     first = parts.where((F.col("n") > 0) & (F.struct("k", "u") == F.col("c"))).select("k", "u").distinct()
     columns = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     one = all_rows.where(worded).groupBy("k", "u").agg(F.min_by("row", F.xxhash64(*columns)).alias("row"))

@@ -123,7 +123,9 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        own = tiktoken.Encoding(
+            "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)},
+        )
         return lambda text: own.encode_to_numpy(text, allowed_special="all")
     from tokenizers import Tokenizer
 
@@ -131,7 +133,9 @@ def encoder(path: str):
     return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Pieces of all rows in sequences of at most ``window`` tokens, without padding.
 
     Returns per piece ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset. Tokens of a row are the ids of
@@ -150,7 +154,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, k
                 ids = np.append(encode(t.as_py() or ""), end_id).astype("<u4")
                 k, rest = divmod(len(ids), window)
                 out["n"].append(len(ids))
-                out["crcs"].append(np.array([zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(k)], "<u4").tobytes())
+                out["crcs"].append(
+                    np.array(
+                        [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(k)], "<u4",
+                    ).tobytes()
+                )
                 out["full"].append(full)
                 out["rest"].append(rest)
                 out["rank"].append(ranks[rest])
@@ -160,24 +168,41 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, k
                 ranks[rest] += 1
             n = len(out["n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * n, pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["crcs"], pa.binary()), pa.array(out["full"], pa.int64()), pa.array(out["rest"], pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["ids"], pa.binary())],
+                [
+                    batch.column(0), pa.array([part] * n, pa.int32()), pa.array(out["n"], pa.int64()),
+                    pa.array(out["crcs"], pa.binary()), pa.array(out["full"], pa.int64()),
+                    pa.array(out["rest"], pa.int32()), pa.array(out["rank"], pa.int64()),
+                    pa.array(out["ids"], pa.binary()),
+                ],
                 names=["k", "part", "n", "crcs", "full", "rest", "rank", "ids"],
             )
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    table = scratch.write(rows.mapInArrow(tokens, f"k {kind}, part int, n long, crcs binary, full long, rest int, rank long, ids binary"))
-    cells = scratch.write(table.groupBy("part", "rest").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / window)).alias("fulls")))
-    places, sequences = plan({r["rest"]: r["c"] for r in cells.groupBy("rest").agg(F.sum("c").alias("c")).collect()}, window)
+    table = scratch.write(
+        rows.mapInArrow(tokens, f"k {kind}, part int, n long, crcs binary, full long, rest int, rank long, ids binary")
+    )
+    cells = scratch.write(
+        table.groupBy("part", "rest").agg(F.count("*").alias("c"), F.sum(F.floor(F.col("n") / window)).alias("fulls"))
+    )
+    places, sequences = plan(
+        {r["rest"]: r["c"] for r in cells.groupBy("rest").agg(F.sum("c").alias("c")).collect()}, window,
+    )
     earlier = lambda *by: Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = cells.groupBy("part").agg(F.sum("fulls").alias("fulls"))
     bases = cells.select("part", "rest", F.coalesce(F.sum("c").over(earlier("rest")), F.lit(0)).alias("base"))
-    bases = bases.join(parts.select("part", F.coalesce(F.sum("fulls").over(earlier()), F.lit(0)).alias("full_base")), "part")
+    bases = bases.join(
+        parts.select("part", F.coalesce(F.sum("fulls").over(earlier()), F.lit(0)).alias("full_base")), "part",
+    )
     lookup = {k: ([x[0] for x in v], v) for k, v in places.items()}
 
     def place(batches):
         for batch in batches:
             out = {x: [] for x in ("k", "start", "length", "crc", "n", "seq", "off")}
-            cols = [batch.column(x).to_pylist() for x in ("k", "n", "crcs", "full", "rest", "rank", "ids", "base", "full_base")]
+            cols = [
+                batch.column(x).to_pylist() for x in (
+                    "k", "n", "crcs", "full", "rest", "rank", "ids", "base", "full_base",
+                )
+            ]
             for k, n, crcs, full, rest, rank, ids, base, full_base in zip(*cols):
                 for i, crc in enumerate(np.frombuffer(crcs, "<u4").tolist()):
                     for x, v in zip(out, (k, i * window, window, crc, n, sequences + full_base + full + i, 0)):
@@ -190,6 +215,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, k
                     for x, v in zip(out, (k, n - rest + cut, size, zlib.crc32(tail[cut : cut + size].tobytes()), n, seq + r - a, off)):
                         out[x].append(v)
                     cut += size
-            yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("k").type if x == "k" else pa.int64()) for x, v in out.items()], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, batch.schema.field("k").type if x == "k" else pa.int64()) for x, v in out.items()],
+                names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
-    return table.join(bases, ["part", "rest"]).mapInArrow(place, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return table.join(bases, ["part", "rest"]).mapInArrow(
+        place,
+        f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+    )

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, bound_batches
 from .textbytes import NOT_SPACE, RangeHash, batch_bytes, slices, word_bounds
 
-FEATURES = ["words", "word_length", "upper", "digits", "symbols", "bars", "wide", "distinct", "repeats", "top_word", "pairs", "stops", "lines", "marked"]
+FEATURES = [
+    "words", "word_length", "upper", "digits", "symbols", "bars", "wide", "distinct", "repeats", "top_word", "pairs",
+    "stops", "lines", "marked",
+]
 _class = lambda s: np.isin(np.arange(256), list(s))
 #: Words' worth of the usual statistics that every document is given.
 PRIOR_WORDS = 20.0
@@ -36,7 +39,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     if not len(data):
         data = np.full(1, 32, np.uint8)
-    total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))[np.minimum(offsets, len(data))])
+    total = lambda mask: np.diff(
+        np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))[np.minimum(offsets, len(data))]
+    )
     s, e, first = word_bounds(NOT_SPACE[data] if len(data) else np.zeros(0, bool), np.minimum(offsets, len(data)))
     words, size = np.diff(first), np.diff(offsets)
     letters, wide = total(LETTER[data]), total(WIDE[data])
@@ -61,8 +66,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 pairs[i] = np.count_nonzero(y[1:] != y[:-1]) + 1
     log = np.log1p
     cols = [
-        log(words), log(letters / np.maximum(words, 1)), _share(total(UPPER[data]), letters), _share(total(DIGIT[data]), size), _share(total(SYMBOL[data]), size), _share(total(BAR[data]), words), _share(wide, size),
-        log(distinct) - 0.8 * log(words), _share(repeats, words), _share(top, words), log(pairs) - log(np.maximum(words - 1, 0)), _share(total(STOP[data]), words), _share(total(data == 10), words), _share(ends, words),
+        log(words), log(letters / np.maximum(words, 1)), _share(total(UPPER[data]), letters),
+        _share(total(DIGIT[data]), size), _share(total(SYMBOL[data]), size), _share(total(BAR[data]), words),
+        _share(wide, size),
+        log(distinct) - 0.8 * log(words), _share(repeats, words), _share(top, words),
+        log(pairs) - log(np.maximum(words - 1, 0)), _share(total(STOP[data]), words), _share(total(data == 10), words),
+        _share(ends, words),
     ]
     return np.stack(cols, axis=1)
 
@@ -86,7 +95,9 @@ class Discriminant:
         if self.constant is not None:
             return np.full(len(x), self.constant)
         words = np.expm1(x[:, :1])
-        x = np.concatenate((x[:, :1], self.center[1:] + (x[:, 1:] - self.center[1:]) * words / (words + PRIOR_WORDS)), axis=1)
+        x = np.concatenate(
+            (x[:, :1], self.center[1:] + (x[:, 1:] - self.center[1:]) * words / (words + PRIOR_WORDS)), axis=1,
+        )
         density = [-0.5 * np.square((x - m) @ f.T).sum(axis=1) - d for m, f, d in zip(self.means, self.factors, self.log_dets)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -30, 30)))
 
@@ -121,11 +132,14 @@ def fit(labelled: DataFrame, columns: list[str], shrink: float = 0.15, ridge: fl
         lower = np.linalg.cholesky(c)
         factors.append(np.linalg.inv(lower))
         dets.append(float(np.log(np.diag(lower)).sum()))
-    return Discriminant(np.array([center[c] for c in columns]), [means[0], means[1]], factors, dets, float(np.log(n[1] / n[0])))
+    return Discriminant(
+        np.array([center[c] for c in columns]), [means[0], means[1]], factors, dets, float(np.log(n[1] / n[0])),
+    )
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, train: F.Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, keep: bool = False,
+    docs: DataFrame, labels: DataFrame, train: F.Column | None = None, key: str = "doc_id", text: str = "text",
+    label: str = "quality", threshold: float = 0.7, keep: bool = False,
     sample_rows: int = 50_000, **regular,
 ) -> DataFrame:
     """Score of every row: ``key``, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold).
@@ -148,10 +162,17 @@ def score_quality(
     def measure(batches):
         for batch in batches:
             for a, b, x in features(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["y", *cols])
-
-    marks = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    marks = marks.where(train if train is not None else F.lit(True)).orderBy(F.md5(F.col("k").cast("string")), "k", "y").limit(sample_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *(pa.array(x[:, i]) for i in range(x.shape[1]))],
+                    names=["y", *cols],
+                )
+
+    marks = labels.select(
+        F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y"),
+    ).where("k is not null and y in (0, 1)")
+    marks = marks.where(
+        train if train is not None else F.lit(True)
+    ).orderBy(F.md5(F.col("k").cast("string")), "k", "y").limit(sample_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
     # bounded by sample_rows
     known = rows.join(F.broadcast(scratch.write(marks)), "k").select("y", "t")
@@ -169,7 +190,9 @@ def score_quality(
     def scores(batches):
         for batch in batches:
             for a, b, x in features(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(x))], names=["k", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(model.score(x))], names=["k", "score"],
+                )
 
     if keep:
         return docs.mapInArrow(accepted, docs.schema)

@@ -60,10 +60,14 @@ class Identified:
     def __init__(self, docs: DataFrame, key: str, text: str, scratch: Scratch):
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         self.keys = Keys(docs, key, scratch)
-        rows = docs.select(whole.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
+        rows = docs.select(
+            whole.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"),
+        )
         u, half = F.xxhash64("t"), F.shiftrightunsigned(F.xxhash64("t"), 1)
         last = F.when(F.col("key").isNull(), half).when(F.col("k") == LARGEST, -1 - half).otherwise(u)
-        self.rows = self.keys.numbered(rows).select("row", "t", F.coalesce("k", F.lit(LARGEST)).alias("k"), last.alias("u"))
+        self.rows = self.keys.numbered(rows).select(
+            "row", "t", F.coalesce("k", F.lit(LARGEST)).alias("k"), last.alias("u"),
+        )
 
     def named(self, df: DataFrame, k: str, u: str, name: str) -> DataFrame:
         """``df`` with the key that its columns k and u stand for."""

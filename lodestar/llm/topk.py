@@ -21,7 +21,12 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
             ids = np.concatenate([x for x, _ in held[dim]])
             vectors = np.concatenate([y for _, y in held.pop(dim)])
             o = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[o].tobytes()], pa.binary()), "vectors": pa.array([vectors[o].tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict(
+                {
+                    "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[o].tobytes()], pa.binary()),
+                    "vectors": pa.array([vectors[o].tobytes()], pa.binary()),
+                }
+            )
 
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
@@ -29,7 +34,9 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
             dims = np.diff(starts)
             for dim in np.unique(dims).tolist():
                 pick = np.flatnonzero(dims == dim)
-                mat = flat[(starts[pick][:, None] + np.arange(dim)).ravel()].reshape(len(pick), dim) if dim else np.zeros((len(pick), 0), np.int64)
+                mat = flat[
+                    (starts[pick][:, None] + np.arange(dim)).ravel()
+                ].reshape(len(pick), dim) if dim else np.zeros((len(pick), 0), np.int64)
                 for a in range(0, len(pick), rows):
                     if sum(len(x) for x, _ in held.get(dim, [])) + len(pick[a : a + rows]) > rows:
                         yield out(dim)
@@ -66,7 +73,10 @@ def _best(q_ids, q, c_ids, c, k):
     return rows[keep], cols[keep], keys[rows[keep], cols[keep]]
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_id", vector: str = "vector",
+    block: int = BLOCK,
+) -> DataFrame:
     """The k highest integer inner products of every query with every other row: query_id, rank, vec_id, score.
 
     ``vector`` is an array of longs without nulls. Query tiles meet every candidate block exactly once, dealt by
@@ -77,16 +87,29 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_i
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     groups = max(1, -(-vectors.count() // (2 * block)))
-    queries = _pack(vectors.where(is_query).select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")), TILE)
-    tiles = queries.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    queries = _pack(
+        vectors.where(is_query).select(
+            F.col(key).alias("id"), F.col(vector).alias("v"),
+        ).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")),
+        TILE,
+    )
+    tiles = queries.select(
+        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
+    )
     blocks = _pack(rows, block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
 
     def products(batches):
         for batch in batches:
             for dim, q_ids, q, c_ids, c, g in zip(*(batch.column(x).to_pylist() for x in ("dim", "q_ids", "q", "ids", "vectors", "g"))):
                 q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                r, s, score = _best(q_ids, np.frombuffer(q, np.int64).reshape(-1, dim), c_ids, np.frombuffer(c, np.int64).reshape(-1, dim), k)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[r], "vec_id": c_ids[s], "score": score, "g": np.full(len(r), g, np.int32)})
+                r, s, score = _best(
+                    q_ids, np.frombuffer(q, np.int64).reshape(-1, dim), c_ids,
+                    np.frombuffer(c, np.int64).reshape(-1, dim), k,
+                )
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": q_ids[r], "vec_id": c_ids[s], "score": score, "g": np.full(len(r), g, np.int32)}
+                )
 
     part = tiles.join(blocks, ["g", "dim"]).mapInArrow(products, "query_id long, vec_id long, score long, g int")
     for keys in (["query_id", "g"], ["query_id"]):
@@ -99,4 +122,7 @@ def quantised(embeddings: DataFrame, scale: int = 1024, key: str = "vec_id", vec
     """floor(scale * x) of every component as longs; rows with null or non-finite components, or null, are left out."""
     x = F.col(vector)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return embeddings.where(x.isNotNull() & ~bad).select(F.col(key), F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long")).alias("vector"))
+    return embeddings.where(x.isNotNull() & ~bad).select(
+        F.col(key),
+        F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long")).alias("vector"),
+    )

@@ -102,7 +102,9 @@ def fit_boosted(
     Without labels, or with one class, the model is a constant.
     """
     scratch = Scratch(labelled.sparkSession)
-    sample = scratch.write(labelled.orderBy(F.md5("url_key"), "url_key", "label").limit(sample_rows).repartition(4, "url_key"))
+    sample = scratch.write(
+        labelled.orderBy(F.md5("url_key"), "url_key", "label").limit(sample_rows).repartition(4, "url_key")
+    )
     model = Boosted()
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or not ones or ones == n:
@@ -111,12 +113,18 @@ def fit_boosted(
         return model
     p0 = ones / n
     model.base, model.other = math.log(p0 / (1 - p0)), p0
-    by = sample.groupBy("suffix").agg(F.count("*").alias("c"), F.sum("label").alias("y")).orderBy(F.desc("c"), "suffix").limit(suffixes).collect()
+    by = sample.groupBy("suffix").agg(
+        F.count("*").alias("c"), F.sum("label").alias("y"),
+    ).orderBy(F.desc("c"), "suffix").limit(suffixes).collect()
     model.suffix_rate = {r["suffix"]: (r["y"] + 10 * p0) / (r["c"] + 10) for r in by}
     values = {f: F.col(f) for f in features} | {"suffix_rate": _rate(F.col("suffix"), model.suffix_rate, p0)}
-    quantiles = sample.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(f) for f, c in values.items()]).first()
+    quantiles = sample.agg(
+        *[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(f) for f, c in values.items()]
+    ).first()
     model.edges = {f: sorted(set(quantiles[f])) for f in values}
-    binned = sample.select("label", *[c.alias(f) for f, c in values.items()]).select("label", *[c.alias(f"b_{f}") for f, c in model.binned({f: F.col(f) for f in values}).items()])
+    binned = sample.select("label", *[c.alias(f) for f, c in values.items()]).select(
+        "label", *[c.alias(f"b_{f}") for f, c in model.binned({f: F.col(f) for f in values}).items()]
+    )
     counted = binned.groupBy(*binned.columns).agg(F.count("*").alias("n")).orderBy(*binned.columns).collect()  # at most sample_rows rows
     scratch.drop(sample)
     table = np.array([list(r) for r in counted])
@@ -161,7 +169,10 @@ def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, l2: float) -> tuple[
     return best[1]
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", threshold: float = 0.5, **fit) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", threshold: float = 0.5,
+    **fit,
+) -> DataFrame:
     """Verdict of every row: ``key``, host, path, rule, verdict (allow or block), score (the trees' block probability).
 
     URLs that a rule decides are the labelled URLs that the trees learn from; every other URL gets the trees' verdict.
@@ -169,15 +180,24 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     are judged alike, an empty table gives an empty result, other columns are ignored.
     """
     host, path = host_and_path(F.col("u"))
-    parts = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u")).withColumns({"host": host, "path": path})
+    parts = pages.select(
+        F.col(key).alias("k"), F.col(url).cast("string").alias("u"),
+    ).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
     values = lexical_features(F.col("u"), F.col("host"), F.col("path"))
     rows = ruled.withColumns(values).withColumn("suffix", _suffix(F.col("host")))
-    labelled = rows.where("rule is not null").select(F.coalesce("u", F.lit("")).alias("url_key"), "suffix", (F.col("ruled") == "block").cast("int").alias("label"), *values)
+    labelled = rows.where("rule is not null").select(
+        F.coalesce("u", F.lit("")).alias("url_key"), "suffix", (F.col("ruled") == "block").cast("int").alias("label"),
+        *values,
+    )
     model = fit_boosted(labelled, list(values), **fit)
     rated = rows.withColumn("suffix_rate", _rate(F.col("suffix"), model.suffix_rate, model.other))
     cols = {f: F.col(f) for f in (*values, "suffix_rate")}
-    scored = rated.withColumns({"b_" + f: c for f, c in model.binned(cols).items()}).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    scored = rated.withColumns(
+        {"b_" + f: c for f, c in model.binned(cols).items()}
+    ).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     tree = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("ruled", tree).alias("verdict"), "score")
+    return scored.select(
+        F.col("k").alias(key), "host", "path", "rule", F.coalesce("ruled", tree).alias("verdict"), "score",
+    )
