@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: longest texts, and shuffle files go when their query ends.
 WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 

@@ -147,7 +147,7 @@ def _ranges(k, u, a, b):
     return k[cut], u[cut], a[cut], np.maximum.reduceat(b, cut) if len(cut) else b[cut]
 
 
-#: A row of segments; place is the first window times 2**32, plus the last; shape the anchor's distance times 4, plus the kind.
+  #: A row of segments; place is the first window times 2**32, plus the last; shape the anchor's distance times 4, plus the kind.
 FOUND = "gram long, seg long, more long, k long, u long, place long, shape int"
 
 
@@ -155,8 +155,12 @@ def _found(**c):
     n = len(c["k"])
     names = ["gram", "seg", "more", "k", "u"]
     columns = [pa.array(c[x] if x in c else np.zeros(n, np.int64), pa.int64()) for x in names]
-    place, shape = (c["a"].astype(np.int64) << 32) + c["b"], (c["off"] * 4 if "off" in c else np.zeros(n, np.int64)) + c["kind"]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int64()), pa.array(shape.astype(np.int32))], names=[*names, "place", "shape"])
+    place, shape = (c["a"].astype(np.int64) << 32) + c["b"], (
+        c["off"] * 4 if "off" in c else np.zeros(n, np.int64)
+    ) + c["kind"]
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.array(place, pa.int64()), pa.array(shape.astype(np.int32))], names=[*names, "place", "shape"],
+    )
 
 
 def _unpacked(batch: pa.RecordBatch) -> dict:
@@ -176,7 +180,9 @@ def _first_of_each(rows: dict) -> tuple[dict, np.ndarray]:
     return {x: v[once] for x, v in rows.items()}, lead[once]
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, gram: int = 24, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier (smaller key, or same row before).
 
     Returns ``key``, n_bytes, n_removed, n_spans, kept (the bytes that are left). Strings never cross rows and are
@@ -201,7 +207,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                     doc, a, b, off, *codes = anchors(data[c:d], o, length, gram)
                     g, seg, more = (v.view(np.int64) for v in codes)
                     shift = int(c - offsets[x])
-                    held.append({"gram": g, "seg": seg, "more": more, "k": ids[x:y][doc], "u": us[x:y][doc], "a": a + shift, "b": b + shift, "off": off})
+                    held.append(
+                        {
+                            "gram": g, "seg": seg, "more": more, "k": ids[x:y][doc], "u": us[x:y][doc], "a": a + shift,
+                            "b": b + shift, "off": off,
+                        }
+                    )
                     n += len(doc)
             if n > 1_000_000:
                 yield from once(held)
@@ -229,8 +240,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         again, lead = _first_of_each({c: v[multi] for c, v in rows.items()})
         for m, part in ((np.ones(len(alone), bool), {c: v[alone] for c, v in rows.items()}), (lead, again)):
             got = {c: v[m] for c, v in part.items()}
-            for z in range(0, len(got["k"]), 50_000):
-                sub = {c: v[z : z + 50_000] for c, v in got.items()}
+            for z in range(0, len(got["k"]), 25_000):
+                sub = {c: v[z : z + 25_000] for c, v in got.items()}
                 yield _found(kind=0, **sub)
         k, u, a, b = _ranges(*(again[c][~lead] for c in ("k", "u", "a", "b")))
         if len(k):
@@ -289,7 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
     a, b = F.shiftright("place", 32).cast("int").alias("a"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("b")
     kind, off = F.col("shape").bitwiseAND(3).alias("kind"), F.shiftright("shape", 2).alias("off")
     table = table.select("gram", F.col("seg").alias("block"), "k", "u", a, b, kind, off)
-    wanted = table.where("kind > 1").groupBy("k", "u").agg(F.collect_list(F.struct("gram", "block", "a", "b", "kind", "off")).alias("wanted"))
+    wanted = table.where("kind > 1").groupBy("k", "u").agg(
+        F.collect_list(F.struct("gram", "block", "a", "b", "kind", "off")).alias("wanted")
+    )
 
     def extract(batches):
         for batch in batches:
@@ -301,7 +314,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                 for w in want:
                     for c, v in zip(out, (w["gram"], w["block"], k, u, w["a"], w["kind"], w["off"], raw[o + w["a"] : o + w["b"] + length])):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()])], names=list(out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out.values(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()])],
+                names=list(out),
+            )
 
     def compare(batches):
         held, ready = [], []
@@ -324,7 +340,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
         if not rows:
             return []
         blocked = np.array([r[5] == 3 for r in rows])
-        keep = blocked | may_repeat([r[7] for r in rows], [r[0] for r in rows], np.array([r[6] for r in rows]), length, gram)
+        keep = blocked | may_repeat(
+            [r[7] for r in rows], [r[0] for r in rows], np.array([r[6] for r in rows]), length, gram,
+        )
         return [r for r, ok in zip(rows, keep.tolist()) if ok]
 
     def equal(rows):
@@ -355,17 +373,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
             s = base[seg[keep]] + sizes[seg[keep]] - left[keep]
             h = RangeHash(data)
             one, two = h(s, s + length), h(s, s + length, 1)
-            yield _windows(k[seg[keep]], u[seg[keep]], start[keep], start[keep], one.astype(np.int64), two.astype(np.int64), 3)
+            yield _windows(
+                k[seg[keep]], u[seg[keep]], start[keep], start[keep], one.astype(np.int64), two.astype(np.int64), 3,
+            )
 
     def _windows(k, u, a, b, one, two, kind):
-        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (k, u, one, two)), *(pa.array(x.astype(np.int32)) for x in (a, b, np.full(len(k), kind)))], names=["k", "u", "one", "two", "a", "b", "kind"])
-
-    pieces = texts.join(wanted, ["k", "u"]).mapInArrow(extract, "gram long, block long, k long, u long, a int, kind int, off int, x binary")
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(x.astype(np.int64)) for x in (k, u, one, two)),
+                *(pa.array(x.astype(np.int32)) for x in (a, b, np.full(len(k), kind)))
+            ],
+            names=["k", "u", "one", "two", "a", "b", "kind"],
+        )
+
+    pieces = texts.join(wanted, ["k", "u"]).mapInArrow(
+        extract, "gram long, block long, k long, u long, a int, kind int, off int, x binary",
+    )
     pieces = pieces.repartition(F.col("gram"), F.col("block")).sortWithinPartitions("gram", "block", "k", "u", "a")
     windows = scratch.write(pieces.mapInArrow(compare, "k long, u long, one long, two long, a int, b int, kind int"))
     order = Window.partitionBy("one", "two").orderBy("k", "u", "a")
     later = windows.where("kind = 3").withColumn("r", F.row_number().over(order)).where("r > 1")
-    flags = table.where("kind = 1").select("k", "u", "a", "b").union(windows.where("kind = 1").select("k", "u", "a", "b")).union(later.select("k", "u", "a", "b"))
+    flags = table.where("kind = 1").select("k", "u", "a", "b").union(
+        windows.where("kind = 1").select("k", "u", "a", "b")
+    ).union(later.select("k", "u", "a", "b"))
     flags = flags.groupBy("k", "u").agg(F.collect_list(F.struct("a", "b")).alias("flags"))
 
     def strip(batches):
@@ -385,9 +415,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, key: str
                 kept.append(b"".join(out))
                 facts.append((n, removed, spans))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([f[q] for f in facts], pa.int64()) for q in range(3)), pa.array(kept, pa.binary())],
+                [
+                    batch.column(0), *(pa.array([f[q] for f in facts], pa.int64()) for q in range(3)),
+                    pa.array(kept, pa.binary()),
+                ],
                 names=[key, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     out = whole.join(flags, ["k", "u"], "left").select("key", "t", "flags")
-    return out.mapInArrow(strip, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(
+        strip, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept binary",
+    )

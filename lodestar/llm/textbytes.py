@@ -14,7 +14,9 @@ import pyarrow as pa
 
 #: Odd constants of the places of a range, and of a second, independent hash; ranges of more words are digested whole.
 PLACES = 64
-_MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PLACES + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(20240229).integers(
+    1, 1 << 63, (2, PLACES + 2), dtype=np.uint64,
+) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +39,9 @@ def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    o = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    o = np.frombuffer(offsets, np.int64 if wide else np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64)
     d = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None else np.zeros(0, np.uint8)
     return d, o - o[0]
 
