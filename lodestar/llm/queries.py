@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, hnsw, licenses, mixing, ngramjoin, packing, quality, suffixes, topk, urls
+from . import chunks, fim, hnsw, licenses, mixing, naming, ngramjoin, packing, quality, suffixes, topk, urls
 
 URL_RULES = [
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"),
@@ -71,6 +71,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(table(spark, sf_dir, "documents")).drop("n_points")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(x, 256).alias(f"{x}_sha256") for x in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op7 that SQL can say: exact places of the phrases."""
     return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -87,7 +97,7 @@ def urls_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_hnsw, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes,
-        op10_urls, licenses_base, urls_rules,
+        op10_urls, op11_naming, op13_fim, licenses_base, urls_rules,
     )
 }
 
@@ -200,5 +210,27 @@ t AS (SELECT k.doc_id, string_agg(substr(x, 2 * start + 1, 2 * (stop - start)),
 SELECT h.doc_id, n AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans,
   sha256(unhex(any_value(kept))) AS kept_sha256
 FROM h JOIN t ON h.doc_id = t.doc_id LEFT JOIN p ON h.doc_id = p.doc_id GROUP BY h.doc_id, n
+""",
+    "op11_naming": """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST)
+""",
+    "op13_fim": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+  ('0x' || substr(h, 17, 8))::BIGINT % 100 AS g, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS s FROM d),
+f AS (SELECT doc_id, n, t, least(x, y) AS a, greatest(x, y) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g >= 90 THEN 'plain'
+    WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """,
 }
