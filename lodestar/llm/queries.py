@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, fim, hnsw, licenses, mixing, naming, ngramjoin, packing, quality, suffixes, topk, urls
+from . import chunks, fim, hardneg, hnsw, licenses, mixing, naming, ngramjoin, packing, quality, suffixes, topk, urls
 
 URL_RULES = [
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"),
@@ -75,6 +75,12 @@ def op11_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(table(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(table(spark, sf_dir, "embeddings"), scale=256, keep=("label",))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
     digests = [F.sha2(x, 256).alias(f"{x}_sha256") for x in ("output", "restored")]
@@ -97,7 +103,7 @@ def urls_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_hnsw, op3_mixing, op4_jaccard, op5_quality, op6_chunks, op7_licenses, op8_topk, op9_suffixes,
-        op10_urls, op11_naming, op13_fim, licenses_base, urls_rules,
+        op10_urls, op11_naming, op12_negatives, op13_fim, licenses_base, urls_rules,
     )
 }
 
@@ -217,6 +223,23 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
   row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST)
+""",
+    "op12_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a
+    JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (
+  SELECT s.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+    s.score AS negative_score,
+    row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.r <= 5 AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
     "op13_fim": """
 WITH d AS (

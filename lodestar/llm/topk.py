@@ -7,67 +7,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
+from .scratch import Scratch
 
-TILE, BLOCK = 512, 4096
 
-
-def _pack(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of one dimension: dim, ids and vectors as binary columns, ids ascending."""
-
-    def pack(batches):
-        held: dict[int, list] = {}
-
-        def out(dim):
-            ids = np.concatenate([x for x, _ in held[dim]])
-            vectors = np.concatenate([y for _, y in held.pop(dim)])
-            o = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pydict(
-                {
-                    "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[o].tobytes()], pa.binary()),
-                    "vectors": pa.array([vectors[o].tobytes()], pa.binary()),
-                }
-            )
-
-        for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
-            starts, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
-            dims = np.diff(starts)
-            for dim in np.unique(dims).tolist():
-                pick = np.flatnonzero(dims == dim)
-                mat = flat[
-                    (starts[pick][:, None] + np.arange(dim)).ravel()
-                ].reshape(len(pick), dim) if dim else np.zeros((len(pick), 0), np.int64)
-                for a in range(0, len(pick), rows):
-                    if sum(len(x) for x, _ in held.get(dim, [])) + len(pick[a : a + rows]) > rows:
-                        yield out(dim)
-                    held.setdefault(dim, []).append((ids[pick[a : a + rows]], np.ascontiguousarray(mat[a : a + rows])))
-        for dim in list(held):
-            yield out(dim)
-
-    return df.mapInArrow(pack, "dim int, ids binary, vectors binary")
-
-
-def _best(q_ids, q, c_ids, c, k):
+def _best(q: grid.Vectors, c: grid.Vectors, k: int):
     """Row and column numbers and scores of each query's k best candidates of a block, ties to the smaller id."""
-    n = len(c_ids)
-    largest = lambda x: max(1, *(abs(int(v)) for v in (x.max(initial=0), x.min(initial=0))))
-    score = largest(q) * largest(c) * max(1, q.shape[1])
-    bound = score * (n + 1)
-    if bound < 1 << 52:
-        keys = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    elif score < 1 << 63:
-        keys = q @ c.T
-    else:
-        keys = np.clip(q.astype(object) @ c.astype(object).T, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
-    own = q_ids[:, None] == c_ids[None, :]
-    if bound < 1 << 62:
+    n = len(c.ids)
+    keys = grid.exact_products(q, c)
+    own = q.rows[:, None] == c.rows[None, :]
+    if q.largest * c.largest * max(1, q.mat.shape[1]) * (n + 1) < 1 << 62:
         ranked = keys * n + (n - 1 - np.arange(n))
         ranked[own] = np.iinfo(np.int64).min
         m = min(k, n)
-        top = np.argpartition(ranked, n - m, axis=1)[:, n - m :] if m < n else np.tile(np.arange(n), (len(q_ids), 1))
+        top = np.argpartition(ranked, n - m, axis=1)[:, n - m :] if m < n else np.tile(np.arange(n), (len(q.ids), 1))
     else:
         top = np.stack([np.lexsort((np.arange(n), -row))[: k + 1] for row in keys])
-    rows = np.repeat(np.arange(len(q_ids)), top.shape[1])
+    rows = np.repeat(np.arange(len(q.ids)), top.shape[1])
     cols = top.ravel()
     keep = ~own[rows, cols]
     return rows[keep], cols[keep], keys[rows[keep], cols[keep]]
@@ -75,54 +31,57 @@ def _best(q_ids, q, c_ids, c, k):
 
 def top_k(
     vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_id", vector: str = "vector",
-    block: int = BLOCK,
+    block: int = grid.BLOCK,
 ) -> DataFrame:
-    """The k highest integer inner products of every query with every other row: query_id, rank, vec_id, score.
+    """The k highest integer inner products of every query row with every other row: query_id, rank, vec_id, score.
 
-    ``vector`` is an array of longs without nulls. Query tiles meet every candidate block exactly once, dealt by
-    groups of blocks; each tile keeps k rows a query, and lists merge per group before they merge per query. Ties go
-    to the smaller key. Rows of other dimensions take no part in a query; queries that repeat a key are one query
-    (the smallest vector), candidates that repeat count each time. Scores beyond 64 bits count as the largest or smallest
-    number of 64 bits. An empty table gives no rows.
+    ``vector`` is an array of longs without nulls. Every tile of queries meets every block of candidates in one cell of
+    a grid, which selects k rows a query; the lists of a query's cells merge by rank. Ties go to the smaller key. Rows
+    are known by a number, not by their key: rows that repeat a query's key are queries and candidates each, and only
+    the query's own row is left out. Rows with a null key or vector take no part, rows of other dimensions none in a
+    query. Scores beyond 64 bits count as the largest or smallest number of 64 bits. An empty table gives no rows.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    groups = max(1, -(-vectors.count() // (2 * block)))
-    queries = _pack(
-        vectors.where(is_query).select(
-            F.col(key).alias("id"), F.col(vector).alias("v"),
-        ).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")),
-        TILE,
-    )
-    tiles = queries.select(
-        "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
+    scratch = Scratch(vectors.sparkSession)
+    rows = scratch.write(
+        vectors.select(
+            F.col(f"`{key}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
+            F.col(f"`{vector}`").alias("v"), F.lit(None).cast("string").alias("label"),
+            F.coalesce(is_query, F.lit(False)).alias("asks"),
+        ).where("id is not null and v is not null")
     )
-    blocks = _pack(rows, block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-
-    def products(batches):
-        for batch in batches:
-            for dim, q_ids, q, c_ids, c, g in zip(*(batch.column(x).to_pylist() for x in ("dim", "q_ids", "q", "ids", "vectors", "g"))):
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                r, s, score = _best(
-                    q_ids, np.frombuffer(q, np.int64).reshape(-1, dim), c_ids,
-                    np.frombuffer(c, np.int64).reshape(-1, dim), k,
-                )
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": q_ids[r], "vec_id": c_ids[s], "score": score, "g": np.full(len(r), g, np.int32)}
-                )
-
-    part = tiles.join(blocks, ["g", "dim"]).mapInArrow(products, "query_id long, vec_id long, score long, g int")
-    for keys in (["query_id", "g"], ["query_id"]):
-        best = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-        part = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    tiles = scratch.write(grid.pack(rows.where("asks").coalesce(1 + rows.count() // (1 << 22)), grid.TILE))
+    blocks = scratch.write(grid.pack(rows, block))
+    r, c = grid.cells(tiles.count(), blocks.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+
+    def products(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {x: [] for x in ("query_row", "query_id", "row", "vec_id", "score")}
+        queries = list(grid.unpacked(left))
+        for candidates in grid.unpacked(right):
+            for q in queries:
+                at, cols, score = _best(q, candidates, k)
+                for name, x in zip(found, (q.rows[at], q.ids[at], candidates.rows[cols], candidates.ids[cols], score)):
+                    found[name].append(x)
+        if not found["row"]:
+            return schema.empty_table()
+        out = {name: np.concatenate(x) for name, x in found.items()}
+        top = grid.first_of_groups(out["query_row"], out["score"], out["vec_id"], out["row"], k)
+        return pa.table({name: x[top] for name, x in out.items()}, schema=schema)
+
+    schema = pa.schema([(x, pa.int64()) for x in ("query_row", "query_id", "row", "vec_id", "score")])
+    part = grid.meet(tiles, blocks, products, "query_row long, query_id long, row long, vec_id long, score long", r, c)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    part = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return part.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def quantised(embeddings: DataFrame, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """floor(scale * x) of every component as longs; rows with null or non-finite components, or null, are left out."""
-    x = F.col(vector)
+def quantised(
+    embeddings: DataFrame, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """The key, the columns ``keep``, and floor(scale * x) of every component as longs; rows with null or non-finite
+    components, or null, are left out."""
+    x = F.col(f"`{vector}`")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     return embeddings.where(x.isNotNull() & ~bad).select(
-        F.col(key),
+        F.col(key), *[F.col(f"`{c}`") for c in keep],
         F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long")).alias("vector"),
     )
