@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import random
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,31 +61,37 @@ def seeded_order(key: Column, text: Column) -> Column:
     return F.sha2(F.concat(key, F.lit("\u0001"), text), 256)
 
 
-SCORES = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+def json_scores(responses: Column) -> Column:
+    """Scores in the last part between fences that is JSON, or in the whole response; else null: array of id and score.
 
+    A part is read without the word json. Ids may be written 'ID 2', scores as strings. Null if what is found is not a list, or has an
+    entry without an id that is a whole number or a score that is a number.
+    """
+    response = F.col(responses) if isinstance(responses, str) else responses
+    parts = F.concat(F.reverse(F.split(response, "```")), F.array(response))
+    # in brackets, so that what follows a value is an error: a part holds one value or isn't JSON
+    value = lambda x: F.try_parse_json(F.concat(F.lit("["), F.replace(x, F.lit("json"), F.lit("")), F.lit("]")))
+    read = F.transform(parts, lambda x: F.try_variant_get(value(x), "$", "array<variant>"))
+    whole = F.try_element_at(F.filter(read, lambda x: F.size(x) == 1), F.lit(1))
+    listed = F.try_variant_get(F.try_element_at(whole, F.lit(1)), "$", "array<variant>")
+    number = lambda x: F.btrim(F.replace(F.try_variant_get(x, "$.id", "string"), F.lit("ID"), F.lit("")), F.lit(WHITE))
+    entry = lambda x: F.struct(
+        F.when(F.regexp_like(number(x), F.lit(r"^[+-]?[0-9]+$")), number(x).try_cast("int")).alias("id"),
+        F.btrim(F.try_variant_get(x, "$.score", "string"), F.lit(WHITE)).try_cast("double").alias("score"),
+    )
+    entries = F.transform(listed, entry)
+    return F.when(~F.exists(entries, lambda x: x["id"].isNull() | x["score"].isNull()), entries)
 
-@F.pandas_udf(SCORES)
-def json_scores(responses: pd.Series) -> pd.Series:
-    """Scores in the last fenced block of a response that parses as a JSON list, or in the whole response; else null.
 
-    Ids may be written 'ID 2', scores as strings. An entry that can't be read voids the response.
-    """
+def sampled_places(key: Column, n: Column) -> Column:
+    """``random.Random(key).sample(range(n), n)`` of Python's standard library: the blind order of judgements that were stored
+    under that generator. Arrow batches go to a Python worker, as Spark has no Mersenne Twister; ``seeded_order`` needs none."""
+    return _sampled(key, n)
+
 
-    def parse(response):
-        if response is None:
-            return None
-        for part in [*reversed(response.split("```")), response]:
-            try:
-                found = json.loads(part.replace("json", "").strip())
-            except ValueError:
-                continue
-            try:
-                return [{"id": int(str(x["id"]).replace("ID", "")), "score": float(x["score"])} for x in found]
-            except (TypeError, KeyError, ValueError):
-                return None
-        return None
-
-    return responses.map(parse)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _sampled(key: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if k is None or pd.isna(m) else random.Random(k).sample(range(int(m)), int(m)) for k, m in zip(key, n)])
 
 
 def entry_id(name: Column, company: Column, service: Column, temperature: Column, thinking: Column) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import two_sided_p
+from ..functions.stats import normal_quantile, two_sided_p
 from ..sources.shared import settle
 
+#: The most systems of a fit in one task: its matrices of MOST ** 2 numbers take 32 MB each.
+MOST = 2000
 FIT = "i int, theta double, strength double, tie double, cov array<double>, log_likelihood double, converged boolean"
 
 
@@ -22,32 +22,41 @@ def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100, strengths=None
 
     Outcomes of a pair have logits theta_i, theta_j and tau + (theta_i + theta_j) / 2: the likelihood is concave.
     Without a finite maximum (someone never loses, parts never meet) the steps are halved and bounded, and
-    ``converged`` is false.
+    ``converged`` is false. Sums go over the pairs that met; besides them memory holds (n + 1) ** 2 numbers. A row of the
+    covariance ends with that of the tie parameter.
     """
     x = np.append(np.zeros(n) if strengths is None else np.log(np.asarray(strengths, float)), np.log(tie))
     i, j = np.asarray(i, int), np.asarray(j, int)
     counts = np.stack([w_ij, w_ji, t_ij], axis=1).astype(float) if len(i) else np.zeros((0, 3))
-    rows = np.zeros((len(i), 3, n + 1))
-    k = np.arange(len(i))
-    rows[k, 0, i] = rows[k, 1, j] = 1
-    rows[k, 2, i] = rows[k, 2, j] = 0.5
-    rows[:, 2, n] = 1
+    total = counts.sum(axis=1)
+    at = (i, j, np.full(len(i), n))  # the only parameters that a pair's outcomes depend on
+
+    def spread(*values):
+        """Sums of each pair's values for its three parameters."""
+        return sum(np.bincount(k, v, n + 1) for k, v in zip(at, values))
 
     def state(x):
-        z = rows @ x
+        z = np.stack([x[i], x[j], x[n] + (x[i] + x[j]) / 2], axis=1)
         z = z - z.max(axis=1, keepdims=True) if len(z) else z
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True) if len(p) else 1
         return (counts * np.log(np.maximum(p, 1e-300))).sum(), p
 
+    def information(p):
+        mean = (p[:, 0] + p[:, 2] / 2, p[:, 1] + p[:, 2] / 2, p[:, 2])
+        square = ((mean[0] - p[:, 2] / 4, p[:, 2] / 4, p[:, 2] / 2), (p[:, 2] / 4, mean[1] - p[:, 2] / 4, p[:, 2] / 2), (p[:, 2] / 2, p[:, 2] / 2, p[:, 2]))
+        out = np.zeros((n + 1) ** 2)
+        for a in range(3):
+            for b in range(3):
+                out += np.bincount(at[a] * (n + 1) + at[b], total * (square[a][b] - mean[a] * mean[b]), len(out))
+        return out.reshape(n + 1, n + 1)
+
+    won = spread(counts[:, 0] + counts[:, 2] / 2, counts[:, 1] + counts[:, 2] / 2, counts[:, 2])
     value, p = state(x)
     done = False
-    total = counts.sum(axis=1)
     for _ in range(rounds):
-        mean = np.einsum("pk,pkd->pd", p, rows)
-        gradient = np.einsum("pk,pkd->d", counts, rows) - total @ mean
-        info = np.einsum("p,pk,pkd,pke->de", total, p, rows, rows) - np.einsum("p,pd,pe->de", total, mean, mean)
-        step = np.linalg.pinv(info, hermitian=True) @ gradient
+        gradient = won - spread(total * (p[:, 0] + p[:, 2] / 2), total * (p[:, 1] + p[:, 2] / 2), total * p[:, 2])
+        step = np.linalg.pinv(information(p), hermitian=True) @ gradient
         if np.abs(step).max(initial=0) < 1e-10:
             done = True
             break
@@ -59,18 +68,21 @@ def fit_counts(i, j, w_ij, w_ji, t_ij, n: int, rounds: int = 100, strengths=None
             step /= 2
         x, value, p = x + step, new, q
     x[:n] -= x[:n].mean()
-    mean = np.einsum("pk,pkd->pd", p, rows)
-    info = np.einsum("p,pk,pkd,pke->de", total, p, rows, rows) - np.einsum("p,pd,pe->de", total, mean, mean)
     strength = np.exp(x[:n])
     return {
         "theta": x[:n], "strength": strength / strength.sum(), "tie": float(np.exp(x[n])),
-        "cov": np.linalg.pinv(info, hermitian=True)[:n, :n], "value": float(value),
+        "cov": np.linalg.pinv(information(p), hermitian=True)[:n], "value": float(value),
         "converged": done and np.abs(x).max() < 15,
     }
 
 
 def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -> DataFrame:
-    """One fit per group of pair counts (i, j, w_ij, w_ji, t_ij with 0 <= i < j < n): a row per system, see FIT."""
+    """One fit per group of pair counts (i, j, w_ij, w_ji, t_ij with 0 <= i < j < n): a row per system, see FIT.
+
+    A group is fitted by one task with an n by n matrix, so n is bounded by MOST; ``many.fit_many`` has no bound.
+    """
+    if n > MOST:
+        raise ValueError(f"{n} systems: over {MOST} are fitted by many.fit_many")
     keys = list(by)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in keys)
 
@@ -90,15 +102,16 @@ def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -
     return grouped.applyInPandas(run, f"{kinds}, {FIT}" if keys else FIT)
 
 
-def intervals(fitted: DataFrame, conf_level: float = 0.95) -> DataFrame:
-    """low, mid and high of exp(theta) at ``conf_level``, which is part of the result."""
+def intervals(fitted: DataFrame, conf_level: float | str = 0.95) -> DataFrame:
+    """low, mid and high of exp(theta) at ``conf_level`` (a number, or a column of them), which is part of the result."""
     se = F.sqrt(F.element_at("cov", F.col("i") + 1))
-    z = NormalDist().inv_cdf((1 + conf_level) / 2)
+    level = F.col(conf_level) if isinstance(conf_level, str) else F.lit(conf_level)
+    z = normal_quantile((1 + level) / 2)
     e = lambda x: F.round(F.exp(x), 4)
     return fitted.withColumns(
         {
             "low": e(F.col("theta") - z * se), "mid": e(F.col("theta")), "high": e(F.col("theta") + z * se),
-            "conf_level": F.lit(conf_level),
+            "conf_level": level,
         }
     ).drop("cov")
 
@@ -138,6 +151,29 @@ def moments(counts: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def information_times_covariance(counts: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
+    """Rows and columns of the observed information times the fit's covariance, for all systems that met others: i, k,
+    product. At a fit of connected systems that is 1 - 1 / n where i = k, else -1 / n, n being the number of systems."""
+    s = lambda x: fitted.select(*by, F.col("i").alias(x), F.col("strength").alias(f"s_{x}"))
+    tie = fitted.groupBy(*by).agg(F.first("tie").alias("tie")) if by else fitted.agg(F.first("tie").alias("tie"))
+    rows = counts.join(s("i"), [*by, "i"]).join(s("j"), [*by, "j"])
+    rows = rows.join(F.broadcast(tie), list(by)) if by else rows.crossJoin(F.broadcast(tie))
+    m, t = F.col("w_ij") + F.col("w_ji") + F.col("t_ij"), F.col("tie") * F.sqrt(F.col("s_i") * F.col("s_j"))
+    d = F.col("s_i") + F.col("s_j") + t
+    a, b, p = (F.col("s_i") + t / 2) / d, (F.col("s_j") + t / 2) / d, t / d
+    entry = lambda x, y, v: F.struct(F.col(x).alias("i"), y.alias("l"), (m * v).alias("v"))
+    i, j, last = F.col("i"), F.col("j"), F.lit(-1)
+    entries = F.array(
+        entry("i", i, a - p / 4 - a * a), entry("j", j, b - p / 4 - b * b), entry("i", j, p / 4 - a * b),
+        entry("j", i, p / 4 - a * b), entry("i", last, p / 2 - a * p), entry("j", last, p / 2 - b * p),
+    )
+    info = rows.select(*by, F.explode(entries).alias("x")).groupBy(*by, "x.i", "x.l").agg(F.sum("x.v").alias("v"))
+    cells = fitted.select(*by, F.col("i").alias("k"), F.posexplode("cov").alias("l", "c"))
+    n = F.max("l").over(Window.partitionBy(*by))  # the tie parameter comes last
+    cells = cells.withColumn("l", F.when(F.col("l") == n, -1).otherwise(F.col("l")))
+    return info.join(cells, [*by, "l"]).groupBy(*by, "i", "k").agg(F.round(F.sum(F.col("v") * F.col("c")), 6).alias("product"))
+
+
 def p_values(fitted: DataFrame, *by: str) -> DataFrame:
     """Wald p-values of theta_i = theta_j for all ordered pairs of a group, and whether its fit converged."""
     a = fitted.select(*by, "i", F.col("theta").alias("ti"), F.col("cov").alias("ci"), "converged")

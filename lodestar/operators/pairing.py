@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def chain(entries: DataFrame, *by: str) -> DataFrame:
     """Neighbours in the order of ``pos``, each pair once: entry_a, entry_b."""
+    return _neighbours(entries, *by).select(*by, "entry_a", "entry_b").dropDuplicates()
+
+
+def _neighbours(entries: DataFrame, *by: str) -> DataFrame:
     nxt = F.lead("entry").over(Window.partitionBy(*by).orderBy("pos"))
     return entries.select(
-        *by, F.col("entry").alias("entry_a"), nxt.alias("entry_b"),
-    ).where("entry_b is not null").dropDuplicates()
+        *by, "pos", F.col("entry").alias("entry_a"), nxt.alias("entry_b"),
+    ).where("entry_b is not null")
+
+
+def chain_in_order(entries: DataFrame, *by: str) -> DataFrame:
+    """The pairs of ``chain`` with their places in the order in which they were first seen, from 0 in each group."""
+    first = _neighbours(entries, *by).groupBy(*by, "entry_a", "entry_b").agg(F.min("pos").alias("pos"))
+    return numbered(first, ["pos", "entry_a", "entry_b"], by=by).drop("pos")
 
 
 def strided(entries: DataFrame, start: int, interval: int, limit: int, *by: str) -> DataFrame:
@@ -52,6 +64,5 @@ def dense_ids(pairs: DataFrame) -> DataFrame:
     seen = pairs.select(
         F.col("entry_a").alias("entry"), (F.col("pos") * 2).alias("p"),
     ).union(pairs.select("entry_b", F.col("pos") * 2 + 1))
-    return seen.groupBy("entry").agg(F.min("p").alias("p")).select(
-        "entry", (F.row_number().over(Window.orderBy("p")) - 1).alias("id"),
-    )
+    first = seen.groupBy("entry").agg(F.min("p").alias("p"))
+    return numbered(first, ["p", "entry"], "id").select("entry", F.col("id").cast("int").alias("id"))

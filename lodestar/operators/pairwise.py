@@ -124,12 +124,16 @@ def agreement(comparisons: DataFrame, by: str = "sentence_category") -> DataFram
     )
 
 
-def majority(comparisons: DataFrame) -> DataFrame:
-    """The most frequent vote of each triplet; equal counts go to win_a, then win_b, then tie."""
-    votes = comparisons.withColumn("vote", vote()).where("vote is not null").groupBy(*TRIPLET, "vote").agg(F.count("*").alias("c"))
+def majority(comparisons: DataFrame, seen: str | None = None) -> DataFrame:
+    """The most frequent vote of each triplet; equal counts go to the vote seen first in the order of the column ``seen``,
+    and without one, or if that is equal too, to win_a, then win_b, then tie."""
+    at = F.min(seen) if seen else F.lit(0)
+    votes = comparisons.withColumn("vote", vote()).where("vote is not null").groupBy(*TRIPLET, "vote").agg(
+        F.count("*").alias("c"), at.alias("first"),
+    )
     first = F.row_number().over(
         Window.partitionBy(*TRIPLET).orderBy(
-            F.desc("c"), F.when(F.col("vote") == "win_a", 0).when(F.col("vote") == "win_b", 1).otherwise(2),
+            F.desc("c"), "first", F.when(F.col("vote") == "win_a", 0).when(F.col("vote") == "win_b", 1).otherwise(2),
         )
     )
     return votes.withColumn("_n", first).where("_n = 1").select(
@@ -138,13 +142,21 @@ def majority(comparisons: DataFrame) -> DataFrame:
 
 
 def judge_stats(comparisons: DataFrame, judges: DataFrame) -> DataFrame:
-    """Per judge of ``judges`` (judge): decisions, votes with the majority, ties, wins and the rates; zeros without votes."""
-    votes = comparisons.withColumn("vote", vote()).where("vote is not null").join(majority(comparisons), TRIPLET)
-    v = F.col("vote")
+    """Per judge of ``judges`` (judge): decisions, votes with the majority, ties, wins and the rates; zeros without votes.
+
+    Comparisons are counted once by triplet, judge and vote; the majority of a triplet (ties as in ``majority``) is found
+    among these counts.
+    """
+    by = [*TRIPLET, "evaluating_model"]
+    votes = comparisons.withColumn("vote", vote()).where("vote is not null").groupBy(*by, "vote").agg(F.count("*").alias("c"))
+    v, triplet = F.col("vote"), Window.partitionBy(*TRIPLET)
+    a, b, t = (F.sum(F.when(v == x, F.col("c")).otherwise(0)).over(triplet) for x in ("win_a", "win_b", "tie"))
+    votes = votes.withColumns({"a": a, "b": b, "t": t})
+    most = F.when(F.col("a") >= F.greatest("b", "t"), "win_a").when(F.col("b") >= F.col("t"), "win_b").otherwise("tie")
+    of = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
     got = votes.groupBy(F.col("evaluating_model").alias("judge")).agg(
-        F.count("*").alias("decisions"), F.count_if(v == F.col("majority")).alias("agreements"),
-        F.count_if(v == "tie").alias("ties"), F.count_if(v == "win_a").alias("a_wins"),
-        F.count_if(v == "win_b").alias("b_wins"),
+        F.sum("c").alias("decisions"), of(v == most).alias("agreements"), of(v == "tie").alias("ties"),
+        of(v == "win_a").alias("a_wins"), of(v == "win_b").alias("b_wins"),
     )
     names = ["decisions", "agreements", "ties", "a_wins", "b_wins"]
     rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("decisions")), F.lit(0.0)), 6)
@@ -153,52 +165,69 @@ def judge_stats(comparisons: DataFrame, judges: DataFrame) -> DataFrame:
     )
 
 
+#: The most values whose subsets are formed: 2 ** MEMBERS - 1 of them.
+MEMBERS = 16
+
+
 def subsets(names: DataFrame, name: str) -> DataFrame:
-    """All non-empty subsets of the few values of ``names``: (mask, size, members)."""
-    order = F.array_sort(F.collect_set(name))
-    every = names.agg(order.alias("all")).where("size(all) > 0").withColumn(
-        "mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("all")) - 1).cast("int"))),
-    )
+    """All non-empty subsets of the values of ``names``, MEMBERS at most: (mask, size, members)."""
+    every = names.agg(F.array_sort(F.collect_set(name)).alias("all")).where("size(all) > 0")
+    few = F.when(F.size("all") <= MEMBERS, F.size("all")).otherwise(F.raise_error(F.lit(f"over {MEMBERS} values of {name}")).cast("int"))
+    every = every.withColumn("mask", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), few) - 1).cast("int"))))
     members = F.filter("all", lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1)
     return every.select("mask", F.size(members).alias("size"), members.alias("members"))
 
 
+def _members(comparisons: DataFrame, by: str) -> list[str]:
+    """The judges or categories whose subsets count, in order; over MEMBERS of them are refused."""
+    known = comparisons.where((F.col(by) != SKIP_JUDGE) & F.col(by).isNotNull()).select(by).distinct()
+    names = [r[0] for r in known.orderBy(by).limit(MEMBERS + 1).collect()]
+    if len(names) > MEMBERS:
+        raise ValueError(f"over {MEMBERS} values of {by}: their subsets are too many")
+    return names
+
+
+def _subset_sums(names: list[str], per_name: str, fields: tuple[str, ...]) -> Column:
+    """Sums of ``fields`` over every subset of ``names``, the map ``per_name`` giving those of each: an array by mask.
+
+    Sums double with each name: those without it, then those with it added. That is one addition for each subset and field.
+    """
+    zero = F.array(F.struct(*[F.lit(0).cast("long").alias(f) for f in fields]))
+    each = F.array(*[F.element_at(per_name, F.lit(name)) for name in names])
+    plus = lambda x, one: F.struct(*[(x[f] + F.coalesce(one[f], F.lit(0))).alias(f) for f in fields])
+    return F.aggregate(each, zero, lambda sums, one: F.concat(sums, F.transform(sums, lambda x: plus(x, one))))
+
+
+def _by_subset(gathered: DataFrame, keys: list[str], names: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """``gathered`` (keys, _name, fields; one row for keys and value) to (mask, size, keys, fields) of every non-empty subset."""
+    value = F.struct(*[F.col(f).cast("long").alias(f) for f in fields])
+    names = names or [""]  # then no subset has anything
+    per = gathered.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_name"), value))).alias("_per"))
+    rows = per.select(*keys, F.posexplode(_subset_sums(names, "_per", fields)).alias("mask", "_x")).where("mask > 0")
+    return rows.select("mask", F.bit_count("mask").cast("int").alias("size"), *keys, "_x.*")
+
+
 def subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
-    """Pair counts of every subset of judges or categories. Facts are counted per value first, then added up by subset."""
-    base = pair_counts(comparisons, by)
-    sets = subsets(
-        comparisons.where(F.col(by) != SKIP_JUDGE).select(by).distinct(), by,
-    ).select("mask", "size", F.explode("members").alias(by))
-    return base.join(F.broadcast(sets), by).groupBy("mask", "size", "i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("w_ij", "w_ji", "t_ij")]
-    )
+    """Pair counts of every subset of judges or categories; MEMBERS of them at most, else ValueError.
+
+    Facts are counted once by pair and value; a pair's counts of all subsets are then formed in place.
+    """
+    names = _members(comparisons, by)
+    fields = ("w_ij", "w_ji", "t_ij")
+    base = pair_counts(comparisons.where(F.col(by).isin(names)), by).withColumnRenamed(by, "_name")
+    rows = _by_subset(base, ["i", "j"], names, fields)
+    return rows.where("w_ij + w_ji + t_ij > 0")
 
 
 def amplified_subset_counts(comparisons: DataFrame, by: str) -> DataFrame:
     """Amplified pair counts of every subset of judges or categories, the votes of a triplet being those of the subset.
 
-    Triplets gather the votes of each value once; every subset then weighs them in place, so facts never multiply.
+    Triplets gather the votes of each value once; every subset then weighs them in place, so facts never multiply before
+    they are counted by pair. MEMBERS values at most, else ValueError.
     """
-    known = comparisons.where(F.col(by) != SKIP_JUDGE)
-    names = [r[0] for r in known.select(by).distinct().orderBy(by).collect()]  # a few judges or categories
-    if not names:
-        return subset_counts(known, by)
-    votes = [
-        F.count_if(F.col(won) & (F.col(by) == name)).alias(f"{won}_{k}") for k,
-        name in enumerate(names) for won in ("a_success", "b_success", "identical")
-    ]
-    per = known.groupBy(*TRIPLET).agg(*votes)
-
-    def weighed(mask: int) -> Column:
-        of = [k for k in range(len(names)) if mask >> k & 1]
-        a, b, t = (sum((F.col(f"{won}_{k}") for k in of), F.lit(0)) for won in ("a_success", "b_success", "identical"))
-        return F.struct(
-            F.lit(mask).alias("mask"), F.lit(len(of)).alias("size"), a.alias("a"), b.alias("b"), t.alias("t"),
-        )
-
-    rows = per.select(
-        *TRIPLET, F.explode(F.array(*[weighed(m) for m in range(1, 1 << len(names))])).alias("x")
-    ).select(*TRIPLET, "x.*")
+    names = _members(comparisons, by)
+    votes = triplets(comparisons.where(F.col(by).isin(names)), by).withColumnRenamed(by, "_name")
+    rows = _by_subset(votes, TRIPLET, names, ("a", "b", "t"))
     even, weight = F.col("a") == F.col("b"), F.abs(F.col("a") * F.col("a") - F.col("b") * F.col("b"))
     outcome = F.when(even, "tie").when(F.col("a") > F.col("b"), "win_a").otherwise("win_b")
     rows = rows.select(
@@ -215,3 +244,9 @@ def progress(comparisons: DataFrame, planned: int) -> DataFrame:
         n.alias("n"), ties.alias("ties"), F.round(F.try_divide(ties, n), 6).alias("tie_rate"),
         F.round(100 * n / planned, 2).alias("percent"),
     )
+
+
+def watched(comparisons: DataFrame, name: str = "progress") -> DataFrame:
+    """``comparisons`` whose counts a running plan reports: metrics n and ties under ``name``, in the progress of a stream
+    and, with an Observation as ``name``, of a batch."""
+    return comparisons.observe(name, F.count(F.lit(1)).alias("n"), F.count_if(vote() == "tie").alias("ties"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import exact_u_p, two_sided_p
 from ..functions.text import REFUSED_SCORE
+from .numbering import numbered
 
 #: The largest sample that is tested exactly.
 EXACT = 8
@@ -18,6 +19,16 @@ def group_scores(items: DataFrame) -> DataFrame:
     return items.groupBy(*KEYS).agg(F.sort_array(F.collect_list("score")).alias("scores"))
 
 
+def group_scores_as_seen(items: DataFrame, seen: str) -> DataFrame:
+    """Scores of each (language, system, category, judge) in the order of ``seen``, and place: groups count from 0 in the
+    order of their first rows. ``seen`` sorts and tells rows apart (a number, or a struct of them)."""
+    groups = items.groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(seen).alias("seen"), "score"))).alias("all"), F.min(seen).alias("first"),
+    )
+    placed = numbered(groups.select(*KEYS, "first", F.col("all.score").alias("scores")), ["first", *KEYS])
+    return placed.drop("first")
+
+
 def summary(items: DataFrame, judges: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
     """Per system: mean, upper median and population deviation with refusals as -483, and the mean without them."""
     if judges is not None:
@@ -70,7 +81,7 @@ def document(
         ).alias("comparison_items")
     )
     every = items.select("language").distinct().crossJoin(
-        F.broadcast(entries.withColumn("id", F.row_number().over(Window.orderBy("tested_entry")) - 1))
+        F.broadcast(numbered(entries, ["tested_entry"], "id").withColumn("id", F.col("id").cast("int")))
     )
     rows = every.join(groups, ["language", "tested_entry"], "left").withColumn(
         "comparison_items", F.coalesce("comparison_items", F.array().cast(groups.schema["comparison_items"].dataType)),

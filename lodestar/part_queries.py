@@ -24,14 +24,21 @@ def refusal_rules(s: SparkSession, d: str) -> DataFrame:
 
 
 def target_languages(s, d):
-    return providers.languages(s, targets_only=True)
+    """The languages that are translated into, with the orders that ask for each."""
+    asked = _asked_languages(s, d).groupBy(F.col("target").alias("language")).agg(F.count("*").alias("n"))
+    rows = providers.languages(s, targets_only=True).join(asked, "language", "left")
+    return rows.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def language_support(s, d):
+def _asked_languages(s, d):
     names = F.array(*[F.lit(x[0]) for x in providers.LANGUAGES])
-    asked = table(s, d, "orders").select(
+    return table(s, d, "orders").select(
         F.element_at(names, (F.col("o_custkey") % len(providers.LANGUAGES) + 1).cast("int")).alias("target")
     )
+
+
+def language_support(s, d):
+    asked = _asked_languages(s, d)
     codes = providers.languages(s)
     of = lambda code: providers.supported(asked, codes, code).select(F.lit(code).alias("service"), "target")
     return of("deepl_code").unionByName(of("lingvanex_code")).unionByName(of("hybrid_code")).groupBy("service", "target").agg(F.count("*").alias("n"))
@@ -244,9 +251,10 @@ def oracle(rank: str, coherence: str, translations: str, comparisons: str, phi:
     """The SQL; the arguments are the shared definitions of the fact tables and of the normal distribution."""
     return {
         "refusal_rules": r"SELECT lang, count_if(length(text) < 3 OR contains(text, '483'))::BIGINT AS refused, count_if(contains(text, '483'))::BIGINT AS marked, count_if(regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') = '')::BIGINT AS blank FROM documents GROUP BY lang",
-        "target_languages": f"""SELECT language, deepl_code, lingvanex_code, CASE WHEN language = 'EuropeanSpanish' THEN 'Spanish'
-  ELSE language END AS hybrid_code FROM (VALUES {_CODES}) x(language, deepl_code, lingvanex_code)
-  WHERE language <> 'English'""",
+        "target_languages": f"""WITH c AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_CODES}) x(language, deepl_code, lingvanex_code)),
+q AS (SELECT o_custkey % {len(providers.LANGUAGES)} AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT language, deepl_code, lingvanex_code, CASE WHEN language = 'EuropeanSpanish' THEN 'Spanish'
+  ELSE language END AS hybrid_code, coalesce(n, 0) AS n FROM c LEFT JOIN q ON c.k = q.k WHERE language <> 'English'""",
         "language_support": f"""WITH c AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_CODES}) x(language, deepl_code, lingvanex_code)), q AS (SELECT language AS target, deepl_code, lingvanex_code FROM orders JOIN c ON o_custkey % {len(providers.LANGUAGES)} = k)
 SELECT 'deepl_code' AS service, target, count(*) AS n FROM q WHERE deepl_code IS NOT NULL GROUP BY target UNION ALL
   SELECT 'lingvanex_code', target, count(*) FROM q WHERE lingvanex_code IS NOT NULL GROUP BY target UNION ALL

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +20,8 @@ from .plans import active, coherence, scoring
 from .plans import pairwise as pairwise_plan_of
 from .sources import cache, fixtures, latency, lists, providers, services, sinks
 from .sources.shared import settle, shared_dir
-from .streaming.latency import windowed
+from .streaming.board import Steps
+from .streaming.latency import replace_windows, windowed
 
 table = fixtures.table
 
@@ -387,13 +387,49 @@ def coherence_nested(s, d):
 
 def coherence_chart(s, d):
     """The chart of the coherence facts, read back: whether each point stands where its mean belongs."""
-    means = coh.by_depth(fixtures.coherence(s, d))
-    lines = re.findall(r'points="([^"]*)"', charts.by_depth(means))
-    of = {(r.tested_entry, r.depth): r.coherence for r in means.collect()}
-    inner = charts.HEIGHT - 2 * charts.EDGE
-    height = lambda point: (charts.HEIGHT - charts.EDGE - float(point.split(",")[1])) / inner * 100
-    rows = [(e, k, abs(height(p) - of[e, k]) < 0.01) for e, line in zip(sorted({e for e, _ in of}), lines) for k, p in enumerate(line.split())]
-    return s.createDataFrame(rows, "tested_entry string, depth int, placed boolean")
+    means, path = settle(coh.by_depth(fixtures.coherence(s, d))), _path(s, "chart") + ".svg"
+    sinks.write_text(s, charts.by_depth(means), path)
+    lines = _names_of(s, path).withColumn("points", F.element_at(_all("points", r'points="([^"]*)"'), F.col("k") + 1))
+    drawn = lines.select("tested_entry", F.posexplode(F.split("points", " ")).alias("depth", "p"))
+    y = F.split("p", ",")[1].cast("double")
+    return drawn.join(means, ["tested_entry", "depth"], "full").select(
+        "tested_entry", "depth", F.coalesce(F.abs(_share(y) - F.col("coherence")) < 0.01, F.lit(False)).alias("placed"),
+    )
+
+
+def _all(name: str, pattern: str) -> F.Column:
+    return F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias(name)
+
+
+def _share(y: F.Column) -> F.Column:
+    """The value, in percent, that stands at a height of a chart."""
+    return (charts.HEIGHT - charts.EDGE - y) / (charts.HEIGHT - 2 * charts.EDGE) * 100
+
+
+def _names_of(s, path):
+    """The systems of a chart's legend with their number k, and the chart's text."""
+    legend = _all("names", rf'<text x="{charts.WIDTH - 134}"[^>]*>([^<]*)</text>')
+    return s.read.text(path, wholetext=True).select("value", F.posexplode(legend).alias("k", "tested_entry"))
+
+
+def category_chart(s, d):
+    """The bar chart of coherence by category, written and read back: whether each bar is as high as its mean."""
+    means, path = settle(coh.by_category(fixtures.coherence(s, d), 2)), _path(s, "chart") + ".svg"
+    sinks.write_text(s, charts.by_category(means), path)
+    named = _names_of(s, path)
+    titles = rf'<text x="[^"]*" y="{charts.HEIGHT - charts.EDGE + 18}"[^>]*>([^<]*)</text>'
+    bars = r'<rect x="[^"]*" y="[^"]*" width="[^"]*" height="([^"]*)"'
+    systems = named.groupBy("value").agg(F.count("*").alias("systems"))
+    every = systems.select("systems", _all("titles", titles), F.posexplode(_all("bars", bars)).alias("at", "height"))
+    of = every.where(F.col("at") < F.col("systems") * F.size("titles")).select(  # the legend's marks come last
+        F.element_at("titles", (F.floor(F.col("at") / F.col("systems")) + 1).cast("int")).alias("sentence_cat"),
+        (F.col("at") % F.col("systems")).alias("k"), F.col("height").cast("double").alias("height"),
+    )
+    value = F.col("height") / (charts.HEIGHT - 2 * charts.EDGE) * 100
+    drawn = of.join(named.select("k", "tested_entry"), "k")
+    return drawn.join(means, ["tested_entry", "sentence_cat"], "full").select(
+        "tested_entry", "sentence_cat", F.coalesce(F.abs(value - F.col("coherence")) < 0.05, F.lit(False)).alias("placed"),
+    )
 
 
 def active_learning(s, d):
@@ -417,10 +453,9 @@ def latency_stream(s, d):
         F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string")).alias("model_id"), F.col("value").alias("duration"),
         F.col("ts").cast("timestamp").alias("logged_at"),
     )
-    name = f"latency_{uuid.uuid4().hex}"
-    q = windowed(log, "1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "model_id", "n", "total")
+    path = _path(s, "windows")
+    replace_windows(windowed(log, "1 hour"), path, _path(s, "progress"), availableNow=True).awaitTermination()
+    return Steps(s, path).last().select(F.col("start").cast("timestamp_ntz").alias("start"), "model_id", "n", "total")
 
 
 # round trips through files
@@ -507,13 +542,12 @@ def list_files(s, d):
 
 
 def report_file(s, d):
-    """A leaderboard's lines written as text and read back in the order of the file."""
+    """The leaderboards of all languages written as text, a file each, and read back in the order of the files."""
     path = _path(s, "report")
-    one = reports.leaderboard(_duel_records(s, d), "language").where("language = 'ASIA'")
-    sinks.write_lines(one, path)
-    return s.read.text(path).select(
-        (F.monotonically_increasing_id() + 1).cast("int").alias("rank"), F.rtrim("value").alias("line"),
-    )
+    sinks.write_lines(reports.leaderboard(_duel_records(s, d), "language"), path, "language")
+    rows = s.read.text(path).select("language", "value", F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("language").orderBy("at"))
+    return rows.select("language", place.alias("rank"), F.rtrim("value").alias("line"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -521,7 +555,7 @@ QUERIES = {f.__name__: f for f in (
     connector_requests, connector_replies, entry_lists, judge_registry, sentence_corpus, json_cache_write, duel_fit,
     duel_from_outcomes, duel_leaderboard, leaderboard_report, strengths_ranked, duel_categories,
     category_report, duel_judges, judge_report, comparison_progress, score_counts, mannwhitney_exact, pairwise_plan,
-    pairwise_cache, scoring_plan, translation_log, coherence_plan, coherence_nested, coherence_chart,
+    pairwise_cache, scoring_plan, translation_log, coherence_plan, coherence_nested, coherence_chart, category_chart,
     active_learning, latency_stream,
 )}
 
@@ -757,13 +791,15 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON
 SELECT s_name || 'Cosvc' || CASE WHEN s_suppkey % 2 = 0 THEN '0.5' ELSE 'None' END || 'None' AS tested_entry,
   r_name AS sentence_category, category_pos, count(*) AS n, max(n_name) AS last FROM supplier CROSS JOIN c
   GROUP BY ALL""",
-        "report_file": ranked + """ SELECT rank, rtrim(rpad(rank::VARCHAR, 5, ' ') || ' ' || rpad('side ' || i::VARCHAR, 35, ' ') || ' ' || rpad(CASE WHEN i = 1 THEN '0.5' ELSE 'None' END, 6, ' ') || ' ' || lpad(printf('%.2f', round(mid, 2)), 10, ' ') || ' '
-  || '[' || printf('%.2f', round(low, 2)) || ' - ' || printf('%.2f', round(high, 2)) || ']') AS line FROM board
-    WHERE language = 'ASIA'""",
+        "report_file": ranked + """ SELECT language, rank, rtrim(rpad(rank::VARCHAR, 5, ' ') || ' ' || rpad('side ' || i::VARCHAR, 35, ' ') || ' ' || rpad(CASE WHEN i = 1 THEN '0.5' ELSE 'None' END, 6, ' ') || ' ' || lpad(printf('%.2f', round(mid, 2)), 10, ' ') || ' '
+  || '[' || printf('%.2f', round(low, 2)) || ' - ' || printf('%.2f', round(high, 2)) || ']') AS line FROM board""",
         "translation_log": work + """ SELECT e AS model_id, cat AS sentence_cat, count_if(NOT failed AND NOT refused)::BIGINT AS logged, count_if(NOT failed AND NOT refused)::BIGINT AS timed, count_if(failed)::BIGINT AS failed, coalesce(max(CASE WHEN failed THEN 3 END), 0)::INT AS attempts FROM t GROUP BY ALL
 HAVING count_if(failed) > 0 OR count_if(NOT failed AND NOT refused) > 0""",
         "coherence_plan": trips + " SELECT * FROM rated",
         "coherence_nested": trips + """ SELECT sentence_cat, sentence, depth, staged_text, tested_entry, '[' || string_agg('{"evaluator":"' || evaluator || '"' || CASE WHEN score IS NULL THEN '' ELSE ',"score":' || score::VARCHAR END || '}', ',' ORDER BY evaluator) || ']' AS evaluations FROM rated GROUP BY ALL""",
+        "category_chart": """WITH a AS (SELECT DISTINCT 'm' || (l_suppkey % 8)::VARCHAR AS e, l_returnflag AS c FROM lineitem
+  WHERE l_linenumber = 2)
+SELECT x.e AS tested_entry, y.c AS sentence_cat, true AS placed FROM (SELECT DISTINCT e FROM a) x CROSS JOIN (SELECT DISTINCT c FROM a) y""",
         "coherence_chart": """WITH e AS (SELECT DISTINCT 'm' || (l_suppkey % 8)::VARCHAR AS tested_entry, l_linenumber AS depth FROM lineitem) SELECT tested_entry, depth, true AS placed FROM e UNION SELECT tested_entry, 0, true FROM e""",
         "active_learning": f"""WITH {comparisons} SELECT language, (a_id // 2)::INT AS a_id, (b_id // 2)::INT AS b_id, count(*) AS n FROM comp
   WHERE a_id // 2 <> b_id // 2 GROUP BY ALL""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import comparison_key, entry_id, fill_prompt, is_refusal, json_scores, numbered_blocks, seeded_order, translation_key
+from ..functions.text import comparison_key, entry_id, fill_prompt, is_refusal, json_scores, numbered_blocks, sampled_places, seeded_order, translation_key
 from ..operators.scores import parsed_scores, refused_scores
 from ..sources.providers import Provider, through_cache
 
@@ -56,8 +56,11 @@ def translate(
     return done.drop("value", "source", "target", "text"), calls
 
 
-def blind_lists(translated: DataFrame, judges: DataFrame) -> DataFrame:
-    """Equal texts once, numbered in an order that depends on the texts and the judge only."""
+def blind_lists(translated: DataFrame, judges: DataFrame, sampled: bool = False) -> DataFrame:
+    """Equal texts once, numbered in an order that depends on the texts and the judge only.
+
+    With ``sampled`` that is the order of ``sampled_places`` over the sorted texts, for judgements stored under it.
+    """
     texts = translated.where("translation is not null").groupBy(
         "language", "sentence", "sentence_category", "translation",
     )
@@ -67,8 +70,17 @@ def blind_lists(translated: DataFrame, judges: DataFrame) -> DataFrame:
     seed = F.concat(
         F.array_join(F.array_sort(F.collect_list("translation").over(whole)), "|"), F.lit("-"), F.col("judge"),
     )
-    rows = rows.withColumn("_o", seeded_order(seed, F.col("translation")))
-    return rows.withColumn("id", F.row_number().over(whole.orderBy("_o")) - 1).drop("_o")
+    if not sampled:
+        rows = rows.withColumn("_o", seeded_order(seed, F.col("translation")))
+        return rows.withColumn("id", F.row_number().over(whole.orderBy("_o")) - 1).drop("_o")
+    lists = rows.withColumn("_seed", seed).groupBy("language", "sentence", "judge", "_seed").agg(
+        F.sort_array(F.collect_list(F.struct("translation", "sentence_category", "entries"))).alias("_all")
+    )
+    drawn = lists.withColumn("_places", sampled_places(F.col("_seed"), F.size("_all")))
+    one = drawn.select("language", "sentence", "judge", "_all", F.posexplode("_places").alias("id", "_at"))
+    return one.select("language", "sentence", "judge", "id", F.col("_all")[F.col("_at")].alias("_x")).select(
+        "language", "sentence", "_x.sentence_category", "_x.translation", "_x.entries", "judge", "id",
+    )
 
 
 def prompts(blind: DataFrame, template: str = SCORE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.stats import normal_cdf, phi_sql
 from .functions.text import coin_flip, json_scores, seeded_order, tail_score, verdict
-from . import part_queries, plan_queries
+from . import model_queries, part_queries, plan_queries, store_queries
 from .operators import coherence as coh
 from .operators import davidson as dv
 from .operators import pairing, pairwise, scores
@@ -28,10 +28,17 @@ def _votes_key() -> F.Column:
     )
 
 
+def _joined(c: str) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
+
+
 def rank_group_scores(s: SparkSession, d: str) -> DataFrame:
-    return scores.group_scores(fixtures.rank_items(s, d)).select(
-        *scores.KEYS, F.array_join(F.transform("scores", lambda x: x.cast("int").cast("string")), ",").alias("scores"),
-    )
+    """Groups and scores in the order in which they are seen first."""
+    return scores.group_scores_as_seen(fixtures.rank_items(s, d), "seen").select(*scores.KEYS, _joined("scores"), "place")
+
+
+def rank_group_scores_sorted(s: SparkSession, d: str) -> DataFrame:
+    return scores.group_scores(fixtures.rank_items(s, d)).select(*scores.KEYS, _joined("scores"))
 
 
 def rank_summary_stats(s, d):
@@ -156,6 +163,12 @@ def majority_vote(s, d):
     return pairwise.majority(fixtures.comparisons(s, d))
 
 
+def majority_seen_first(s, d):
+    """Ties go to the vote that was seen first; judges answer in the order of their names backwards."""
+    order = F.when(F.col("evaluating_model") == "jC", 0).when(F.col("evaluating_model") == "jB", 1).otherwise(2)
+    return pairwise.majority(fixtures.comparisons(s, d).withColumn("seen", order), "seen")
+
+
 def judge_stats(s, d):
     judges = s.createDataFrame([("jA",), ("jB",), ("jC",), ("jZ",)], "judge string")
     return pairwise.judge_stats(fixtures.comparisons(s, d), judges)
@@ -179,6 +192,14 @@ def chain_pairs(s, d):
     return pairing.chain(_entries(s, d), "grp")
 
 
+def chain_places(s, d):
+    """Neighbouring customers of the orders of a nation's customers, in the order in which the pairs are seen first."""
+    rows = fixtures.table(s, d, "orders").select(
+        (F.col("o_custkey") % 3).alias("grp"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 7).alias("entry"),
+    )
+    return pairing.chain_in_order(rows, "grp")
+
+
 def strided_pairs(s, d):
     return pairing.strided(_entries(s, d), 1, 3, 4, "grp")
 
@@ -338,7 +359,7 @@ def scored_document(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    rank_group_scores, rank_summary_stats, rank_refusal_rates, rank_mannwhitney, translation_dedup, blind_order,
+    rank_group_scores, rank_group_scores_sorted, majority_seen_first, chain_places, rank_summary_stats, rank_refusal_rates, rank_mannwhitney, translation_dedup, blind_order,
     coin_flips, score_tail_parse, verdict_parse, json_score_rows, comparison_facts, pair_counts, triplet_votes,
     amplify_counts, amplify_rows, consensus_by_category, judge_agreement, majority_vote, judge_stats, judge_subsets,
     category_subsets, chain_pairs, strided_pairs, untested_pairs, first_k_per_category, coherence_by_depth,
@@ -352,7 +373,8 @@ QUERIES = {f.__name__: f for f in (
 _RANK = """rank_items AS (
   SELECT r.r_name AS language, 'm' || (l.l_suppkey % 8)::VARCHAR AS tested_entry,
     o.o_orderpriority AS sentence_category, l.l_returnflag AS evaluating_model,
-    CASE WHEN l.l_discount = 0 THEN -483::DOUBLE ELSE l.l_quantity * 2 END AS score
+    CASE WHEN l.l_discount = 0 THEN -483::DOUBLE ELSE l.l_quantity * 2 END AS score,
+    l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 _ES = """es AS (SELECT l_orderkey, (l_suppkey % 8)::INT AS entry_id, max(l_quantity) + 2 * max(l_suppkey % 8) AS q,
@@ -406,7 +428,20 @@ en AS (SELECT i, j, si / d AS p_i, sj / d AS p_j,
   t / d AS p_tie, -(si / d) * ln(si / d + 1e-12) - (sj / d) * ln(sj / d + 1e-12) - (t / d) * ln(t / d + 1e-12) AS entropy FROM pr)"""
 
 ORACLE = {
-    "rank_group_scores": f"""WITH {_RANK} SELECT language, tested_entry, sentence_category, evaluating_model, string_agg(score::INT::VARCHAR, ','
+    "rank_group_scores": f"""WITH {_RANK}, g AS (SELECT language, tested_entry, sentence_category, evaluating_model,
+  string_agg(score::INT::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS scores,
+  min([l_orderkey, l_linenumber, l_partkey, l_suppkey]) AS first FROM rank_items GROUP BY ALL)
+SELECT language, tested_entry, sentence_category, evaluating_model, scores, row_number() OVER (ORDER BY first, language,
+  tested_entry, sentence_category, evaluating_model) - 1 AS place FROM g""",
+    "majority_seen_first": f"""WITH {_COMP}, c AS (SELECT sentence, a_id, b_id, vote, count(*) AS c, min(CASE evaluating_model WHEN 'jC' THEN 0
+  WHEN 'jB' THEN 1 ELSE 2 END) AS f FROM votes WHERE vote IS NOT NULL GROUP BY ALL)
+SELECT sentence, a_id, b_id, vote AS majority, c AS votes FROM (SELECT *, row_number() OVER (PARTITION BY sentence, a_id, b_id
+  ORDER BY c DESC, f, CASE vote WHEN 'win_a' THEN 0 WHEN 'win_b' THEN 1 ELSE 2 END) AS k FROM c) WHERE k = 1""",
+    "chain_places": """WITH x AS (SELECT o_custkey % 3 AS grp, o_orderkey AS pos, o_custkey % 7 AS entry_a, lead(o_custkey % 7) OVER (PARTITION BY
+  o_custkey % 3 ORDER BY o_orderkey) AS entry_b FROM orders), f AS (SELECT grp, entry_a, entry_b, min(pos) AS p FROM x
+  WHERE entry_b IS NOT NULL GROUP BY ALL)
+SELECT grp, entry_a, entry_b, row_number() OVER (PARTITION BY grp ORDER BY p) - 1 AS place FROM f""",
+    "rank_group_scores_sorted": f"""WITH {_RANK} SELECT language, tested_entry, sentence_category, evaluating_model, string_agg(score::INT::VARCHAR, ','
   ORDER BY score) AS scores FROM rank_items GROUP BY ALL""",
     "rank_summary_stats": f"""WITH {_RANK}, k AS (SELECT *, row_number() OVER (PARTITION BY tested_entry ORDER BY score) AS rn,
   count(*) OVER (PARTITION BY tested_entry) AS m FROM rank_items) SELECT tested_entry, count(*) AS n,
@@ -560,5 +595,7 @@ m AS (SELECT language, '[' || string_agg('{{"id":' || id::VARCHAR || ',"model":{
   ORDER BY id) || ']' AS models FROM c GROUP BY language)
 SELECT language, length(models)::INT AS size, sha256(models) AS models_sha256 FROM m""",
 }
-QUERIES |= part_queries.QUERIES | plan_queries.QUERIES
+QUERIES |= part_queries.QUERIES | plan_queries.QUERIES | model_queries.QUERIES | store_queries.QUERIES
 ORACLE |= part_queries.oracle(_RANK, _COH, _TR, _COMP, _PHI) | plan_queries.oracle(_COMP, _PHI)
+ORACLE |= model_queries.oracle(_COMP)
+ORACLE |= store_queries.oracle(_COMP, ORACLE["pair_counts"], ORACLE["davidson_moments"])

@@ -57,9 +57,10 @@ def probe_json(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A missing or corrupt file counts as an empty cache."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    """A missing or corrupt file counts as an empty cache; after a writer that died while it exchanged them, the old one counts."""
+    there = lambda p: (lambda x: x.getFileSystem(spark._jsc.hadoopConfiguration()).exists(x))(spark._jvm.org.apache.hadoop.fs.Path(p))
+    path = path if there(path) else path + ".old"
+    if not there(path):
         return spark.createDataFrame([], JSON_SCHEMA)
     return spark.read.schema(JSON_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
@@ -75,12 +76,15 @@ def upsert_json(cache: DataFrame, rows: DataFrame) -> DataFrame:
 
 def write_json_cache(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Read, change and write the whole cache; a missing or corrupt one is replaced. The new one is complete beside the
-    old before it takes its place."""
+    old, which is moved aside before and deleted after the new one has its place: one of them can be read at any time."""
     upsert_json(read_json_cache(spark, path), rows).write.mode("overwrite").json(path + ".new")
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new")]
-    files = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(paths[0], True)
-    files.rename(paths[1], paths[0])
+    now, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".new", ".old"))
+    files = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(now):
+        files.delete(old, True)
+        files.rename(now, old)
+    files.rename(new, now)
+    files.delete(old, True)
 
 
 class KVTable:

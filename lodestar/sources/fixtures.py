@@ -32,6 +32,7 @@ def rank_items(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("sentence"), "sentence_category",
         F.col("l_returnflag").alias("evaluating_model"), F.col("l_partkey").cast("string").alias("translation"),
         F.when(F.col("l_discount") == 0, REFUSED_SCORE).otherwise(F.col("l_quantity") * 2).alias("score"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seen"),
     )
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .overlap import Pace, overlapped
 from .shared import settle
 
 #: Languages with the codes of two services; no code means the service lacks the language.
@@ -75,33 +76,39 @@ ANSWER = "key string, value string, seconds double, attempts int, error string"
 
 def call(
     requests: DataFrame, make: Callable[[], Provider], attempts: int = 3, wait: float = 0.0, jitter: float = 0.0,
+    at_once: int = 1, rate: float | None = None,
 ) -> DataFrame:
     """ANSWER for rows (key, prompt, temperature), or (key, source, target, text, temperature) to translate.
 
     One client a task; a call that fails is tried again after a wait that grows with each attempt, ``jitter`` is the
-    longest random wait before a first one. The number of partitions is the number of parallel calls.
+    longest random wait before a first one. ``at_once`` calls of a task overlap, so the client must allow that many
+    threads, and a task starts at most ``rate`` calls a second, repeated ones included: a service sees both times the tasks that run.
+    Answers keep the order of the rows.
     """
     translates = "prompt" not in requests.columns
     asked = ["source", "target", "text", "temperature"] if translates else ["prompt", "temperature"]
 
     def run(batches):
-        client = make()
+        client, pace = make(), Pace(rate)
         ask = client.translate if translates else client.infer
+
+        def one(*row):
+            value, error, began, i = None, None, time.time(), 0
+            time.sleep(random.uniform(0, jitter))
+            for i in range(attempts):
+                pace.wait()
+                try:
+                    began = time.time()
+                    value, error = ask(*row), None
+                    break
+                except Exception as e:  # a provider may raise anything
+                    error = f"{type(e).__name__}: {e}"
+                    if i + 1 < attempts:
+                        time.sleep(wait * (i + 1))
+            return value, time.time() - began, i + 1, error
+
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in asked)):
-                value, error, began, i = None, None, time.time(), 0
-                time.sleep(random.uniform(0, jitter))
-                for i in range(attempts):
-                    try:
-                        began = time.time()
-                        value, error = ask(*row), None
-                        break
-                    except Exception as e:  # a provider may raise anything
-                        error = f"{type(e).__name__}: {e}"
-                        if i + 1 < attempts:
-                            time.sleep(wait * (i + 1))
-                out.append((value, time.time() - began, i + 1, error))
+            out = list(overlapped(one, zip(*(batch.column(c).to_pylist() for c in asked)), at_once))
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *columns], names=["key", "value", "seconds", "attempts", "error"],

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .overlap import Pace, overlapped
+
 REPLY = "key string, status int, reply string, seconds double, attempts int, error string"
 
 
@@ -174,36 +176,42 @@ def post(url: str, headers: dict[str, str], body: str, timeout: float) -> tuple[
 
 
 def send(
-    rows: DataFrame, key: Callable[[], str], attempts: int = 3, wait: float = 5.0, jitter: float = 2.0, timeout: float = 300.0, transport: Callable = post
+    rows: DataFrame, key: Callable[[], str], attempts: int = 3, wait: float = 5.0, jitter: float = 2.0, timeout: float = 300.0, transport: Callable = post,
+    at_once: int = 1, rate: float | None = None,
 ) -> DataFrame:
     """Send rows (key, url, header, kind, body): REPLY, one row each; a null body is not sent.
 
     ``key`` gives the credential inside the task. A call starts after a random wait of up to ``jitter`` seconds, and a
-    failed one is tried again after a wait that grows with each attempt. Parallel calls are as many as partitions.
+    failed one is tried again after a wait that grows with each attempt. ``at_once`` calls of a task overlap, and a task starts at most
+    ``rate`` calls a second, repeated ones included; a service sees both times the tasks that run. Replies keep the order of the rows.
     """
 
     def run(batches):
-        secret = key()
+        secret, pace = key(), Pace(rate)
+
+        def one(url, header, kind, body):
+            status, reply, error, began, tried = None, None, None, time.time(), 0
+            if body is not None:
+                time.sleep(random.uniform(0, jitter))
+                headers = dict(line.split(": ", 1) for line in header.replace("{key}", secret).splitlines())
+                body = body.replace('"{key}"', json.dumps(secret))
+            for i in range(attempts if body is not None else 0):
+                pace.wait()
+                began, tried = time.time(), i + 1
+                try:
+                    status, reply = transport(url, headers | {"Content-Type": kind}, body, timeout)
+                    error = None
+                except Exception as e:  # a transport may raise anything
+                    error = f"{type(e).__name__}: {e}"
+                if status == 200:
+                    break
+                if i + 1 < attempts:
+                    time.sleep(wait * (i + 1))
+            return status, reply, time.time() - began, tried, error if body is not None else "not supported"
+
         for batch in batches:
-            out = []
-            for url, header, kind, body in zip(*(batch.column(c).to_pylist() for c in ("url", "header", "kind", "body"))):
-                status, reply, error, began, tried = None, None, None, time.time(), 0
-                if body is not None:
-                    time.sleep(random.uniform(0, jitter))
-                    headers = dict(line.split(": ", 1) for line in header.replace("{key}", secret).splitlines())
-                    body = body.replace('"{key}"', json.dumps(secret))
-                for i in range(attempts if body is not None else 0):
-                    began, tried = time.time(), i + 1
-                    try:
-                        status, reply = transport(url, headers | {"Content-Type": kind}, body, timeout)
-                        error = None
-                    except Exception as e:  # a transport may raise anything
-                        error = f"{type(e).__name__}: {e}"
-                    if status == 200:
-                        break
-                    if i + 1 < attempts:
-                        time.sleep(wait * (i + 1))
-                out.append((status, reply, time.time() - began, tried, error if body is not None else "not supported"))
+            asked = zip(*(batch.column(c).to_pylist() for c in ("url", "header", "kind", "body")))
+            out = list(overlapped(one, asked, at_once))
             types = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(

@@ -19,13 +19,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _write(df: DataFrame):
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.parquet(path.toString())
+    files.deleteOnExit(path)
+    return files, path, spark.read.schema(df.schema).parquet(path.toString())
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, and a lost executor costs no second call of a service.
 
     The table goes when the application ends.
     """
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    df.write.parquet(path.toString())
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    return _write(df)[2]
+
+
+class Settled:
+    """Settled tables of a loop, which go as soon as the loop has made the next ones."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.files = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        files, path, out = _write(df)
+        self.files[id(out)] = (files, path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Nothing that is still to run may read them."""
+        for df in tables:
+            files, path, _ = self.files.pop(id(df))
+            files.delete(path, True)
+
+    def swap(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """``new``, written, in the place of ``old``, which it may read."""
+        out = self.write(new)
+        self.drop(old)
+        return out

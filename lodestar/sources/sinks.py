@@ -16,9 +16,14 @@ def as_json(document: DataFrame, nested: str) -> DataFrame:
     return document.withColumn(nested, F.to_json(nested))
 
 
-def write_lines(report: DataFrame, path: str) -> None:
-    """The lines of a report in its order, as one text file: reports have a row per system, judge or category."""
-    report.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_lines(report: DataFrame, path: str, by: str | None = None) -> None:
+    """The lines of a report in its order, as one text file, or one for each value of ``by``, in folders: reports have a row per
+    system, judge or category."""
+    if by is None:
+        report.orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        rows = report.repartition(by).sortWithinPartitions(by, "rank").select(by, "line")
+        rows.write.partitionBy(by).mode("overwrite").text(path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
