@@ -7,6 +7,10 @@ inserts one symbol of every segment a round, from the back, updates the collecti
 common prefixes in one sequential pass each, and so sorts all suffixes; windows are equal where the common prefix is
 ``length`` or more. Copies of a segment are known by two independent digests of 64 bits and only their first goes on.
 
+The segments of a gram that has over MOST are cut again: each of their windows has a second anchor, the least gram by another
+hash, and equal windows agree in both. So what meets in a collection stays small however often a gram occurs, and a
+frequent gram is dealt to many tasks; should even a second anchor have too many segments, its task cuts them by a third.
+
 Inserting symbols of whole documents would take as many passes over the corpus as its longest text has bytes;
 segments bound that number and the size of a collection, and collections are independent tasks.
 """
@@ -15,32 +19,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, bound_batches
 from .skew import Identified
 from .textbytes import RangeHash, batch_bytes, mix, slices
 
-#: Segments of a collection, at least, and of one gram in one collection, at most about twice.
-COLLECTION, BLOCK = 1000, 1000
+#: Segments of a collection, at least; and of one anchor in a collection, at most. A round of a collection handles all its
+#: segments at once, so small ones cost as many rounds as large ones: hence the first number. The second bounds what one key brings
+#: to a task at a few hundred rows, the size of a collection.
+COLLECTION, MOST = 1000, 500
 #: Bytes of the parts that longer texts are read in (at most 2**24, the room for a place).
 LONG = 1 << 21
 
 
-def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collection(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All non-empty suffixes of the segments in order: segment numbers, suffix lengths, common prefixes with the one before.
 
     Round j adds the suffixes of length j. The transform holds, for every suffix so far, the symbol before it (0 at a
     segment's start); those of one symbol keep their order when it is put before them. That gives each new suffix its
     place, and its common prefixes with both neighbours are 1 + the least between theirs a symbol later.
     """
-    m = len(segments)
-    sizes = np.array([len(x) for x in segments])
-    width = int(sizes.max())
+    sizes = np.diff(offsets)
+    m, width = len(sizes), int(sizes.max(initial=0))
     text = np.zeros((m, width), np.uint8)  # column j: the symbol j + 1 from the end; UTF-8 has no 0xFF, so + 1 fits
-    for i, x in enumerate(segments):
-        text[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1] + 1
+    text[np.repeat(np.arange(m), sizes), np.repeat(offsets[1:], sizes) - 1 - np.arange(len(data))] = data + 1
     kind = np.uint8 if width < 255 else np.uint32
     before, common = np.zeros(m, np.uint8), np.zeros(m + 1, kind)
     names = np.arange(m) << 16
@@ -87,18 +91,16 @@ def collection(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return names[m:] >> 16, names[m:] & 0xFFFF, common[m:-1]
 
 
-def may_repeat(segments: list[bytes], grams: list, distances: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Segments that can share a window with another of their gram.
+def may_repeat(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, distances: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Segments that can share a window with another of their anchor.
 
     Of the bytes that a window adds to its gram at least half stand on one side of it, so such a segment shares that
     many bytes before or after the gram with another one.
     """
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    sizes = np.array([len(x) for x in segments])
-    base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    base, sizes = offsets[:-1], np.diff(offsets)
     h, side = RangeHash(data), (length - gram + 1) // 2
-    group = np.unique(np.array(grams), return_inverse=True)[1].astype(np.uint64)
-    out = np.zeros(len(segments), bool)
+    group = np.unique(anchor, return_inverse=True)[1].astype(np.uint64)
+    out = np.zeros(len(base), bool)
     at = base + distances
     for a, b in ((at - side, at + gram), (at, at + gram + side)):
         have = np.flatnonzero((a >= base) & (b <= base + sizes))
@@ -108,9 +110,9 @@ def may_repeat(segments: list[bytes], grams: list, distances: np.ndarray, length
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level: int = 0):
     """Segments of a buffer of LONG bytes at most: document, first and last window, distance of the anchor, digests of
-    its gram and two of the segment."""
+    its gram and two of the segment. Each ``level`` picks anchors by another hash."""
     n = len(data)
     none, codes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < length:
@@ -118,7 +120,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     h = RangeHash(data)
     i = np.arange(n - gram + 1)
     g = h.fixed(gram) if gram % 8 == 0 else h(i, i + gram)
-    low = (g & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)
+    by = mix(g ^ np.uint64(level)) if level else g
+    low = (by & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)
     w, have = length - gram + 1, 1
     while have * 2 <= w:
         low = np.minimum(low[:-have], low[have:])
@@ -180,6 +183,103 @@ def _first_of_each(rows: dict) -> tuple[dict, np.ndarray]:
     return {x: v[once] for x, v in rows.items()}, lead[once]
 
 
+#: A segment with its bytes; off is the distance of its anchor. Rows of kind 1 are windows a to off that are known to be later.
+PIECE = "gram long, k long, u long, a int, kind int, off int, x binary"
+#: Anchors by which segments are cut at most; with the last all segments of a task meet, however many.
+LEVELS = 8
+
+
+def _pieces(batch: pa.RecordBatch) -> dict:
+    """PIECE rows as arrays: numbers, the bytes of all as x, and at (where each begins, and the end)."""
+    names = batch.schema.names
+    rows = {c: batch.column(names.index(c)).to_numpy().astype(np.int64) for c in ("gram", "k", "u", "a", "off")}
+    rows["x"], rows["at"] = batch_bytes(batch.column(names.index("x")))
+    return rows
+
+
+def _taken(rows: dict, pick: np.ndarray) -> dict:
+    """The rows at ``pick``, in that order."""
+    out = {c: v[pick] for c, v in rows.items() if c not in ("x", "at")}
+    sizes = np.diff(rows["at"])[pick]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out["x"] = rows["x"][np.arange(at[-1]) + np.repeat(rows["at"][:-1][pick] - at[:-1], sizes)]
+    return out | {"at": at}
+
+
+def _joined(parts: list[dict]) -> dict:
+    out = {c: np.concatenate([p[c] for p in parts]) for c in parts[0] if c != "at"}
+    sizes = np.concatenate([np.diff(p["at"]) for p in parts])
+    return out | {"at": np.concatenate(([0], np.cumsum(sizes)))}
+
+
+def _firsts(rows: dict, length: int) -> tuple[dict, tuple]:
+    """One row of those with the same anchor and bytes, the first by place, sorted by anchor; and the windows (k, u, from, to)
+    of the others. A row that is listed twice is one."""
+    h = RangeHash(rows["x"])(rows["at"][:-1], rows["at"][1:])
+    rows = _taken(rows, np.lexsort((rows["a"], rows["u"], rows["k"], h, rows["gram"])))
+    same = _copies(rows)
+    listed = same.copy()
+    for c in ("k", "u", "a"):
+        listed[1:] &= np.diff(rows[c]) == 0
+    again = np.flatnonzero(same & ~listed)
+    k, u, first = (rows[c][again] for c in ("k", "u", "a"))
+    return _taken(rows, np.flatnonzero(~same)), (k, u, first, first + np.diff(rows["at"])[again] - length)
+
+
+def _passed(k, u, a, b) -> pa.RecordBatch:
+    """Windows that are known to be later, on their way to the flags."""
+    n = len(k)
+    spread = mix(k.view(np.uint64) * np.uint64(31) + a.astype(np.uint64)).view(np.int64)
+    rows = {"gram": spread, "k": k, "u": u, "a": a, "off": b, "x": np.zeros(0, np.uint8), "at": np.zeros(n + 1, np.int64)}
+    return _batch(rows, 1)
+
+
+def _batch(rows: dict, kind: int = 2) -> pa.RecordBatch:
+    n = len(rows["gram"])
+    x = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(rows["at"].astype(np.int32)), pa.py_buffer(rows["x"])])
+    numbers = [pa.array(rows[c].astype(t)) for c, t in (("gram", np.int64), ("k", np.int64), ("u", np.int64), ("a", np.int32))]
+    return pa.RecordBatch.from_arrays(
+        [*numbers, pa.array(np.full(n, kind, np.int32)), pa.array(rows["off"].astype(np.int32)), x],
+        names=["gram", "k", "u", "a", "kind", "off", "x"],
+    )
+
+
+def _cut_again(rows: dict, level: int, length: int, gram: int):
+    """The segments cut into those of their windows' anchors of a further level; anchors that differ before stay apart."""
+    for i, j in slices(rows["at"], LONG // 2):
+        at = rows["at"][i : j + 1] - rows["at"][i]
+        x = rows["x"][rows["at"][i] : rows["at"][j]]
+        row, a, b, off, code, _, _ = anchors(x, at, length, gram, level)
+        both = mix(rows["gram"][i:j][row].view(np.uint64) ^ mix(code + np.uint64(level)))
+        sizes = b - a + length
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        yield {
+            "gram": both.view(np.int64), "k": rows["k"][i:j][row], "u": rows["u"][i:j][row], "a": rows["a"][i:j][row] + a,
+            "off": off, "x": x[np.arange(ends[-1]) + np.repeat(at[:-1][row] + a - ends[:-1], sizes)], "at": ends,
+        }
+
+
+def _copies(rows: dict) -> np.ndarray:
+    """Rows with the anchor and the bytes of the row before."""
+    sizes = np.diff(rows["at"])
+    same = np.zeros(len(sizes), bool)
+    same[1:] = (np.diff(rows["gram"]) == 0) & (np.diff(sizes) == 0)
+    i = np.flatnonzero(same)
+    if len(i):
+        n = sizes[i]
+        ends = np.cumsum(n)
+        inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        differs = rows["x"][np.repeat(rows["at"][i], n) + inner] != rows["x"][np.repeat(rows["at"][i - 1], n) + inner]
+        same[i] = np.add.reduceat(differs, ends - n) == 0
+    return same
+
+
+def _flags(k, u, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k), pa.array(u), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["k", "u", "a", "b"],
+    )
+
+
 def remove_repeats(
     docs: DataFrame, length: int = 100, gram: int = 24, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -188,8 +288,7 @@ def remove_repeats(
     Returns ``key``, n_bytes, n_removed, n_spans, kept (the bytes that are left). Strings never cross rows and are
     judged on the input. Rows equal in key and text are one document and get the same result; null keys come last; keys
     may be of any type that sorts; null text is empty; texts shorter than ``length`` stay whole; an empty table gives an
-    empty result. Copies of a segment are taken as equal by 128 bits of digest, other windows by the order of suffixes,
-    except where a gram has over 2 * BLOCK segments: its blocks are settled by 128 bits of digest of each window.
+    empty result. Copies of a segment are taken as equal by 128 bits of digest, all other windows by the order of suffixes.
     """
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
@@ -249,8 +348,9 @@ def remove_repeats(
             yield _found(gram=spread, kind=1, k=k, u=u, a=a, b=b)
 
     def firsts(batches):
-        """Per gram: repeats of a segment are flagged (1); if it has several segments, their firsts go on (2, 3 in blocks)."""
-        tail, block = None, 0
+        """Per gram: repeats of a segment are flagged (1); if it has several segments, their firsts go on: 2, and 3 where there
+        are more than MOST. Of an unfinished gram one row a segment is held, and MOST of them at most."""
+        tail, many = None, False
         for batch in batches:
             rows = _unpacked(batch)
             passed = rows["kind"] == 1
@@ -264,138 +364,132 @@ def remove_repeats(
             last = int(np.searchsorted(rows["gram"], rows["gram"][-1]))
             done, tail = {c: v[:last] for c, v in rows.items()}, {c: v[last:] for c, v in rows.items()}
             if last:
-                yield from judged(done, block)
-                block = 0
-            while len(tail["k"]) > 2 * BLOCK:  # one gram with very many segments goes on in blocks
-                stop = BLOCK
-                while stop < len(tail["k"]) and tail["seg"][stop] == tail["seg"][stop - 1] and tail["more"][stop] == tail["more"][stop - 1]:
-                    stop += 1
-                if stop == len(tail["k"]):
-                    break
-                block += 1
-                yield from judged({c: v[:stop] for c, v in tail.items()}, block)
-                tail = {c: v[stop:] for c, v in tail.items()}
+                yield from judged(done, many)
+                many = False
+            if len(tail["k"]) > MOST:
+                tail, lead = _first_of_each(tail)
+                yield from repeated(tail, lead)
+                tail = {c: v[lead] for c, v in tail.items()}
+                if len(tail["k"]) > MOST:  # all but the last, which may have copies still to come
+                    many = True
+                    yield from judged({c: v[:-1] for c, v in tail.items()}, many)
+                    tail = {c: v[-1:] for c, v in tail.items()}
         if tail is not None and len(tail["k"]):
-            yield from judged(tail, block)
+            yield from judged(tail, many)
 
-    def judged(rows, block):
-        rows, lead = _first_of_each(rows)
+    def repeated(rows, lead):
         if not lead.all():
             k, u, a, b = _ranges(*(rows[c][~lead] for c in ("k", "u", "a", "b")))
             yield _found(kind=1, k=k, u=u, a=a, b=b)
+
+    def judged(rows, many):
+        """Rows of whole grams, but that ``many`` says the first gram had more rows before."""
+        rows, lead = _first_of_each(rows)
+        yield from repeated(rows, lead)
         heads = {c: v[lead] for c, v in rows.items()}
         g = heads["gram"]
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
-        several = np.add.reduceat(np.ones(len(g), np.int64), np.flatnonzero(new))[np.cumsum(new) - 1] > 1
-        in_blocks = (g == g[0]) & (block > 0)  # the gram whose earlier rows went on in blocks
-        for pick, kind in ((several & ~in_blocks, 2), (in_blocks, 3)):
+        n = np.add.reduceat(np.ones(len(g), np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        over = (n > MOST) | ((g == g[0]) & many)
+        for pick, kind in (((n > 1) & ~over, 2), (over, 3)):
             if pick.any():
-                part = {c: v[pick] for c, v in heads.items() if c in ("gram", "k", "u", "a", "b", "off")}
-                yield _found(seg=np.full(int(pick.sum()), block), kind=kind, **part)
+                yield _found(kind=kind, **{c: v[pick] for c, v in heads.items() if c in ("gram", "k", "u", "a", "b", "off")})
 
     found = texts.mapInArrow(segments, FOUND)
     sorted_in = found.repartition(F.col("gram")).sortWithinPartitions("gram", "seg", "more", "k", "u", "place")
     table = scratch.write(sorted_in.mapInArrow(firsts, FOUND))
     a, b = F.shiftright("place", 32).cast("int").alias("a"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("b")
     kind, off = F.col("shape").bitwiseAND(3).alias("kind"), F.shiftright("shape", 2).alias("off")
-    table = table.select("gram", F.col("seg").alias("block"), "k", "u", a, b, kind, off)
+    table = table.select("gram", "k", "u", a, b, kind, off)
     wanted = table.where("kind > 1").groupBy("k", "u").agg(
-        F.collect_list(F.struct("gram", "block", "a", "b", "kind", "off")).alias("wanted")
+        F.collect_list(F.struct("gram", "a", "b", "kind", "off")).alias("wanted")
     )
+    # the bytes of the segments, cut out where the texts are
+    cut = lambda w: F.struct(
+        w["gram"].alias("gram"), w["a"].alias("a"), w["kind"].alias("kind"), w["off"].alias("off"),
+        F.substring(F.col("x"), w["a"] + 1, w["b"] - w["a"] + length).alias("x"),
+    )
+    met = texts.select("k", "u", F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("x")).join(wanted, ["k", "u"])
+    pieces = met.select("k", "u", F.explode(F.transform("wanted", cut)).alias("w")).select("w.gram", "k", "u", "w.a", "w.kind", "w.off", "w.x")
 
-    def extract(batches):
+    def spread(batches):
+        """Segments of grams that have too many of them, cut by their second anchors; the others as they are."""
         for batch in batches:
-            out = {c: [] for c in ("gram", "block", "k", "u", "a", "kind", "off", "x")}
-            data, offsets = batch_bytes(batch.column(2))
-            raw = data.tobytes()
-            for i, (k, u, want) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                o = int(offsets[i])
-                for w in want:
-                    for c, v in zip(out, (w["gram"], w["block"], k, u, w["a"], w["kind"], w["off"], raw[o + w["a"] : o + w["b"] + length])):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out.values(), [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()])],
-                names=list(out),
-            )
+            rows = _pieces(batch)
+            many = batch.column(4).to_numpy() == 3
+            if not many.all():
+                yield _batch(_taken(rows, np.flatnonzero(~many)))
+            if many.any():
+                for part in _cut_again(_taken(rows, np.flatnonzero(many)), 1, length, gram):
+                    part, later = _firsts(part, length)  # what the batch has more than once goes on once
+                    yield _batch(part)
+                    yield _passed(*_ranges(*later))
 
     def compare(batches):
-        held, ready = [], []
+        held, n, wait = [], 0, 4 * COLLECTION
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if held and held[-1][:5] == row[:5]:  # a row of the input listed twice
-                    continue
-                if len(held) >= 4 * COLLECTION and held[-1][:2] != row[:2]:
-                    ready += pruned(held)
-                    held = []
-                    if len(ready) >= COLLECTION:
-                        yield from equal(ready)
-                        ready = []
-                held.append(row)
-        ready += pruned(held)
-        if ready:
-            yield from equal(ready)
-
-    def pruned(rows):
-        if not rows:
-            return []
-        blocked = np.array([r[5] == 3 for r in rows])
-        keep = blocked | may_repeat(
-            [r[7] for r in rows], [r[0] for r in rows], np.array([r[6] for r in rows]), length, gram,
-        )
-        return [r for r, ok in zip(rows, keep.tolist()) if ok]
+            known = batch.column(4).to_numpy() == 1
+            rows = _pieces(batch)
+            if known.any():
+                yield _flags(*(rows[c][known] for c in ("k", "u", "a", "off")))
+                rows = _taken(rows, np.flatnonzero(~known))
+            held.append(rows)
+            n += len(rows["gram"])
+            if n > wait:
+                rows = _joined(held)
+                last = int(np.searchsorted(rows["gram"], rows["gram"][-1]))
+                if last:
+                    yield from flagged(_taken(rows, np.arange(last)), 1)
+                rows, later = _firsts(_taken(rows, np.arange(last, n)), length)
+                yield _flags(*_ranges(*later))
+                held, n = [rows], len(rows["gram"])
+                wait = max(4 * COLLECTION, 2 * n)
+        if n:
+            yield from flagged(_joined(held), 1)
+
+    def flagged(rows, level):
+        """Flags of copies, then of windows that a collection finds earlier."""
+        rows, later = _firsts(rows, length)
+        yield _flags(*_ranges(*later))
+        rows = _taken(rows, np.flatnonzero(may_repeat(rows["x"], rows["at"], rows["gram"], rows["off"], length, gram)))
+        if not len(rows["gram"]):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(rows["gram"]) != 0)))
+        stops = np.append(starts[1:], len(rows["gram"]))
+        first = 0
+        for a, b in zip(starts.tolist(), stops.tolist()):
+            if b - a > MOST and level < LEVELS:
+                if a > first:
+                    yield equal(_taken(rows, np.arange(first, a)))
+                parts = _joined(list(_cut_again(_taken(rows, np.arange(a, b)), level + 1, length, gram)))
+                yield from flagged(parts, level + 1)
+                first = b
+            elif b - first >= COLLECTION or b == len(rows["gram"]):
+                yield equal(_taken(rows, np.arange(first, b)))
+                first = b
+        if first < len(rows["gram"]):
+            yield equal(_taken(rows, np.arange(first, len(rows["gram"]))))
 
     def equal(rows):
-        """Flags windows that another row of the collection has earlier; windows of grams in blocks also get a digest."""
-        seg, left, common = collection([r[7] for r in rows])
-        k, u, a = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+        """Flags windows that another row of the collection has earlier."""
+        seg, left, common = collection(rows["x"], rows["at"])
+        k, u, a = (rows[c] for c in ("k", "u", "a"))
         o = np.lexsort((u, k))
-        rank = np.zeros(len(rows), np.int64)
+        rank = np.zeros(len(k), np.int64)
         rank[o] = np.cumsum(np.concatenate(([0], ((np.diff(k[o]) != 0) | (np.diff(u[o]) != 0)).astype(np.int64))))
-        sizes = np.array([len(r[7]) for r in rows])
         long = left >= length
-        start = a[seg] + sizes[seg] - left
+        start = a[seg] + np.diff(rows["at"])[seg] - left
         place = (rank[seg] << 32) | start
         head = np.ones(len(seg), bool)
         head[1:] = ~((common[1:] >= length) & long[1:] & long[:-1])
-        group = np.cumsum(head) - 1
-        least = np.minimum.reduceat(place, np.flatnonzero(head))[group]
+        least = np.minimum.reduceat(place, np.flatnonzero(head))[np.cumsum(head) - 1]
         flag = long & (place > least)
-        s, x = seg[flag], start[flag]
-        kk, uu, aa, bb = _ranges(k[s], u[s], x, x)
-        none = np.zeros(len(kk), np.int64)
-        yield _windows(kk, uu, aa, bb, none, none, 1)
-        blocked = np.array([r[5] == 3 for r in rows])
-        keep = np.flatnonzero(long & ~flag & blocked[seg])
-        if len(keep):
-            data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-            base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            s = base[seg[keep]] + sizes[seg[keep]] - left[keep]
-            h = RangeHash(data)
-            one, two = h(s, s + length), h(s, s + length, 1)
-            yield _windows(
-                k[seg[keep]], u[seg[keep]], start[keep], start[keep], one.astype(np.int64), two.astype(np.int64), 3,
-            )
+        return _flags(*_ranges(k[seg[flag]], u[seg[flag]], start[flag], start[flag]))
 
-    def _windows(k, u, a, b, one, two, kind):
-        return pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(x.astype(np.int64)) for x in (k, u, one, two)),
-                *(pa.array(x.astype(np.int32)) for x in (a, b, np.full(len(k), kind)))
-            ],
-            names=["k", "u", "one", "two", "a", "b", "kind"],
-        )
-
-    pieces = texts.join(wanted, ["k", "u"]).mapInArrow(
-        extract, "gram long, block long, k long, u long, a int, kind int, off int, x binary",
-    )
-    pieces = pieces.repartition(F.col("gram"), F.col("block")).sortWithinPartitions("gram", "block", "k", "u", "a")
-    windows = scratch.write(pieces.mapInArrow(compare, "k long, u long, one long, two long, a int, b int, kind int"))
-    order = Window.partitionBy("one", "two").orderBy("k", "u", "a")
-    later = windows.where("kind = 3").withColumn("r", F.row_number().over(order)).where("r > 1")
-    flags = table.where("kind = 1").select("k", "u", "a", "b").union(
-        windows.where("kind = 1").select("k", "u", "a", "b")
-    ).union(later.select("k", "u", "a", "b"))
+    dealt = pieces.mapInArrow(spread, PIECE).repartition(F.col("gram")).sortWithinPartitions("gram")
+    windows = scratch.write(dealt.mapInArrow(compare, "k long, u long, a int, b int"))
+    flags = table.where("kind = 1").select("k", "u", "a", "b").union(windows)
     flags = flags.groupBy("k", "u").agg(F.collect_list(F.struct("a", "b")).alias("flags"))
 
     def strip(batches):

@@ -148,7 +148,8 @@ def test_collection_order_and_common_prefixes(seed):
     rng = random.Random(seed)
     for _ in range(15):
         segments = [bytes(rng.choice(b"ab\x00\xf4") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 12))]
-        seg, left, common = suffixes.collection(segments)
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        seg, left, common = suffixes.collection(data, np.concatenate(([0], np.cumsum([len(x) for x in segments]))))
         got = [segments[a][len(segments[a]) - b :] for a, b in zip(seg, left)]
         assert got == sorted(x[i:] for x in segments for i in range(len(x)))
         for i in range(1, len(got)):
@@ -174,10 +175,10 @@ def removed(rows, length):
     return marks
 
 
-@pytest.mark.parametrize("block,long", [(1000, 1 << 24), (5, 1000)])
-def test_remove_repeats_against_all_windows(docs_of, monkeypatch, block, long):
-    monkeypatch.setattr(suffixes, "BLOCK", block)
-    monkeypatch.setattr(suffixes, "LONG", long)
+@pytest.mark.parametrize("most,levels,together,long", [(500, 8, 1000, 1 << 21), (3, 8, 4, 1000), (2, 3, 1, 1 << 21)])
+def test_remove_repeats_against_all_windows(docs_of, monkeypatch, most, levels, together, long):
+    for name, value in (("MOST", most), ("LEVELS", levels), ("COLLECTION", together), ("LONG", long)):
+        monkeypatch.setattr(suffixes, name, value)
     rng = random.Random(9)
     prose = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     shared = [prose(n) for n in (30, 60, 100, 101, 150, 400)]
@@ -185,6 +186,10 @@ def test_remove_repeats_against_all_windows(docs_of, monkeypatch, block, long):
     for i in range(150):
         rows.append((i, "".join(rng.choice([prose(rng.randrange(0, 90)), rng.choice(shared), rng.choice(shared)[rng.randrange(30) :]]) for _ in range(rng.randrange(0, 6)))))
     rows += [(200, rows[7][1]), (200, rows[7][1]), (201, None), (202, ""), (203, "z" * 3000), (204, "ab" * 700), (None, shared[5]), (205, "y" * 99), (206, "q" * 100), (207, "q" * 101)]
+    base = prose(300)
+    for i in range(70):  # near copies: most anchors have many different segments
+        at = rng.randrange(300)
+        rows.append((300 + i, base[:at] + prose(rng.randrange(0, 3)) + base[at + 1 :]))
     rng.shuffle(rows)
     marks = removed(rows, 60)
     got = suffixes.remove_repeats(docs_of(rows), length=60, gram=20).collect()
