@@ -429,7 +429,7 @@ en AS (SELECT i, j, si / d AS p_i, sj / d AS p_j,
 
 ORACLE = {
     "rank_group_scores": f"""WITH {_RANK}, g AS (SELECT language, tested_entry, sentence_category, evaluating_model,
-  string_agg(score::INT::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS scores,
+  string_agg(score::INT::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, score) AS scores,
   min([l_orderkey, l_linenumber, l_partkey, l_suppkey]) AS first FROM rank_items GROUP BY ALL)
 SELECT language, tested_entry, sentence_category, evaluating_model, scores, row_number() OVER (ORDER BY first, language,
   tested_entry, sentence_category, evaluating_model) - 1 AS place FROM g""",
