@@ -1,9 +1,9 @@
 """Substring deduplication by content-defined chunks: a gear rolling hash cuts, digests find chunks seen before.
 
-Chunks alone miss the ends of a passage, and short passages whole. So windows of ``SEED`` bytes, the least by gear hash of
-each ``SPREAD`` consecutive ones, are looked up too: any repeat of SEED + SPREAD - 1 bytes holds one. A digest only says
-where to look: chunks and windows found are compared byte by byte with the text where they occur first, and extended to
-the borders of what is equal.
+A chunk ends where the gear hash of the last HASHED bytes is the least of all within ``near`` bytes on either side. No cut
+depends on another, so after an insertion the chunks are the same again as soon as these bytes are, and a repeat that is
+a few chunks long holds one whole. A digest only says where to look: chunks found are compared byte by byte with the text where
+they occur first, and extended to the borders of what is equal.
 """
 
 from __future__ import annotations
@@ -18,95 +18,88 @@ from .skew import Identified, join_split
 from .textbytes import RangeHash, batch_bytes, blocks, mix, slices
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-SEED, SPREAD = 64, 64
+#: Bytes that a gear hash covers.
+HASHED = 16
 #: The least range of equal bytes that counts.
 EQUAL = 32
-#: Bytes compared beside what a digest found (more than SPREAD, the most to a border or the next window), and the most
+#: Bytes compared beside what a digest found (more than nearly all chunks have, which is the most to a border), and the most
 #: bytes between finds of a slice.
 CONTEXT, SLICE = 128, 4096
-#: A place is its byte times 2**LENGTH, plus the bytes of its chunk or window.
+#: A place is its byte times 2**LENGTH, plus the bytes of its chunk.
 LENGTH = 20
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[data[i - j]] << j for j < 32: the rolling gear hash, by doubling the window five times."""
+    """h[i] = sum of GEAR[data[i - j]] << j for j < HASHED: the rolling gear hash, by doubling the window four times."""
     h = GEAR[data]
-    for w in (1, 2, 4, 8, 16):
+    for w in (1, 2, 4, 8):
         g = h.copy()
         g[w:] += h[:-w] << np.uint32(w)
         h = g
     return h
 
 
-def gear_blocks(data: np.ndarray, more: int = 0):
-    """(start, gear hashes from there on) of parts of the buffer, each with ``more`` hashes beyond its end."""
+def gear_blocks(data: np.ndarray):
+    """(start, end, gear hashes) of parts of the buffer."""
     for a, b in blocks(len(data)):
-        before = min(a, 31)
-        yield a, b, gear_hashes(data[a - before : b + more])[before:]
+        before = min(a, HASHED - 1)
+        yield a, b, gear_hashes(data[a - before : b])[before:]
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def least_places(h: np.ndarray, near: int) -> np.ndarray:
+    """Places whose number is less than all within ``near`` before and not greater than any within ``near`` after;
+    FREE counts as greater than any."""
+    found = []
+    for a, b in blocks(len(h)):
+        low, high = max(0, a - near), min(len(h), b + near)
+        part = (h[low:high].astype(np.uint64) << np.uint64(32)) + np.arange(high - low, dtype=np.uint64)
+        part = np.concatenate((np.full(near - (a - low), NOWHERE), part, np.full(near - (high - b), NOWHERE)))
+        least, w = part, 1
+        while 2 * w <= 2 * near + 1:
+            least = np.minimum(least[:-w], least[w:])
+            w *= 2
+        least = np.minimum(least[: len(least) - (2 * near + 1 - w)], least[2 * near + 1 - w :])
+        found.append(a + np.flatnonzero((least == part[near : len(part) - near]) & (h[a:b] != FREE)))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+#: No gear hash: what stands where a text has none.
+FREE, NOWHERE = np.uint32(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, near: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends in the buffer and each document's number of the first; every non-empty document ends a chunk.
 
-    A chunk ends where the top ``bits`` bits of the gear hash are 0 and a character ends, at least ``least`` (32 or
-    more: the hash then sees this document only) and about ``most`` bytes after the last.
+    A chunk ends before the first character after a byte whose gear hash is the least within ``near`` bytes, of hashes
+    that lie in the document; where that leaves over ``most`` bytes, about every ``most`` bytes.
     """
-    whole = np.ones(len(data), bool)
-    whole[:-1] = (data[1:] & 0xC0) != 0x80
-    zero = [a + np.flatnonzero(h >> np.uint32(32 - bits) == 0) for a, _, h in gear_blocks(data)]
-    at = np.concatenate(zero) if zero else np.zeros(0, np.int64)
-    at = (at[whole[at]] + 1).tolist()
-    ends, first, i = [], [0], 0
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        last = a
-        while i < len(at) and at[i] < b:
-            p = at[i]
-            while p - last > most:
-                last += most
-                while not whole[last - 1]:
-                    last += 1
-                ends.append(last)
-            if p - last >= least:
-                ends.append(p)
-                last = p
-            i += 1
-        while b - last > most:
+    sizes = np.diff(offsets)
+    room = np.arange(len(sizes)) * near  # documents stand apart, so no hash of another one is near
+    h = np.full(len(data) + len(sizes) * near, FREE)
+    for a, b, part in gear_blocks(data):
+        of = np.searchsorted(offsets, np.arange(a, b), "right") - 1
+        inside = np.arange(a, b) - offsets[of] >= HASHED - 1
+        h[np.arange(a, b)[inside] + room[of[inside]]] = np.minimum(part[inside], FREE - np.uint32(1))
+    at = least_places(h, near)
+    at = at - room[np.searchsorted(offsets[:-1] + room, at, "right") - 1] + 1 if len(at) else at
+    whole = np.ones(len(data) + 1, bool)
+    whole[:-1] = (data & 0xC0) != 0x80
+    for _ in range(3):
+        at = at + ~whole[at]
+    ends = np.unique(np.concatenate((at, offsets[1:][sizes > 0])))
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    more = []
+    for i in np.flatnonzero(ends - starts > most).tolist():
+        last, stop = int(starts[i]), int(ends[i])
+        while stop - last > most:
             last += most
-            while last < b and not whole[last - 1]:
+            while last < stop and not whole[last]:
                 last += 1
-            ends.append(last)
-        if b > last:
-            ends.append(b)
-        while i < len(at) and at[i] <= b:
-            i += 1
-        first.append(len(ends))
-    return np.array(ends, np.int64), np.array(first, np.int64)
-
-
-def seeds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the windows that are looked up: for each SPREAD consecutive windows of a document that with the least hash."""
-    n = len(data) - SEED - SPREAD + 2
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    inside = np.zeros(n + 1, np.int8)  # documents don't overlap, so a place is inside one at most
-    for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - SEED - SPREAD + 2).tolist()):
-        if b > a:
-            inside[a] += 1
-            inside[b] -= 1
-    inside = np.cumsum(inside[:n], dtype=np.int8) > 0
-    found = []
-    for a, b, h in gear_blocks(data, SEED + SPREAD - 2):
-        h = h[SEED - 1 :]  # of the windows that start at a and after it
-        least = (h.astype(np.uint64) << np.uint64(32)) + np.arange(a, a + len(h), dtype=np.uint64)
-        w = 1
-        while w < SPREAD and len(least):
-            least = np.minimum(least[:-w], least[w:])
-            w *= 2
-        m = min(b, n) - a
-        if m > 0:
-            found.append((least[:m][inside[a : a + m]] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    at = np.concatenate(found)
-    return at[np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1]))]
+            if last < stop:
+                more.append(last)
+    if more:
+        ends = np.sort(np.concatenate((ends, more)))
+    return ends, np.searchsorted(ends, offsets, "right")
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -116,30 +109,23 @@ def equal_runs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= EQUAL]
 
 
-def places_of(part: np.ndarray, o: np.ndarray, bits: int, least: int, most: int):
-    """Chunks and windows of a buffer: document, place and digest."""
-    ends, first = cut(part, o, bits, least, most)
-    if not len(ends):
-        return None
-    starts, at, h = np.concatenate(([0], ends[:-1])), seeds(part, o), RangeHash(part)
-    of = np.searchsorted(o, at, "right") - 1
-    seed = mix(h(at, at + SEED) ^ np.uint64(0x5EED5EED))
-    # of windows that recur within SPREAD bytes, the first and last say all
-    inner = np.zeros(len(at), bool)
-    inner[1:-1] = (seed[1:-1] == seed[:-2]) & (seed[1:-1] == seed[2:]) & (of[:-2] == of[2:])
-    inner[1:-1] &= (at[2:] - at[1:-1] < SPREAD) & (at[1:-1] - at[:-2] < SPREAD)
-    at, of, seed = at[~inner], of[~inner], seed[~inner]
-    doc = np.concatenate((np.repeat(np.arange(len(o) - 1), np.diff(first)), of))
-    s, e = np.concatenate((starts, at)), np.concatenate((ends, at + SEED))
-    return doc, (s - o[doc] << LENGTH) + e - s, np.concatenate((h(starts, ends), seed)).view(np.int64)
+def places_of(part: np.ndarray, o: np.ndarray, near: int, most: int, least: int):
+    """Chunks of ``least`` bytes or more of a buffer: document, place and two digests."""
+    ends, first = cut(part, o, near, most)
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    doc = np.repeat(np.arange(len(o) - 1), np.diff(first))
+    long = np.flatnonzero(ends - starts >= least)
+    starts, ends, doc = starts[long], ends[long], doc[long]
+    h = RangeHash(part)
+    one, two = h(starts, ends).view(np.int64), (h(starts, ends, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return doc, (starts - o[doc] << LENGTH) + ends - starts, one, two
 
 
 def dedup_chunks(
-    docs: DataFrame, bits: int = 6, least: int = 32, most: int = 1024, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
+    docs: DataFrame, near: int = 12, most: int = 1024, least: int = 16, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
 ) -> DataFrame:
     """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in
-    equal ranges of EQUAL bytes or more around a chunk or window; a repeat of SEED + SPREAD bytes is found whatever
-    surrounds it.
+    equal ranges of EQUAL bytes or more around a chunk that occurs earlier, of ``least`` bytes or more.
 
     Returns ``key``, n_bytes, n_chunks, n_removed, n_spans, text (what is left); with ``columns`` the rows of ``docs``
     with the text replaced instead. Each map task forwards a digest once (its other places are known to be later), so a
@@ -159,11 +145,11 @@ def dedup_chunks(
             ids, us = (batch.column(i).to_numpy() for i in (0, 1))
             data, offsets = batch_bytes(batch.column(2))
             for a, b in slices(offsets):
-                got = places_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits, least, most)
-                if got:
-                    doc, place, digest = got
-                    held.append((digest, ids[a + doc], us[a + doc], place))
-                    n += len(doc)
+                doc, place, one, two = places_of(
+                    data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], near, most, least,
+                )
+                held.append((one, two, ids[a + doc], us[a + doc], place))
+                n += len(doc)
             if n > 1_500_000:
                 yield from once(held)
                 held, n = [], 0
@@ -172,11 +158,11 @@ def dedup_chunks(
     def once(held):
         if not held:
             return
-        d, k, u, i = (np.concatenate(x) for x in zip(*held))
-        o = np.lexsort((i, u, k, d))
-        d, k, u, i = d[o], k[o], u[o], i[o]
+        d, e, k, u, i = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((i, u, k, e, d))
+        d, e, k, u, i = d[o], e[o], k[o], u[o], i[o]
         again = np.zeros(len(d), bool)
-        equal = d[1:] == d[:-1]
+        equal = (d[1:] == d[:-1]) & (e[1:] == e[:-1])
         again[1:] = equal & ~((k[1:] == k[:-1]) & (u[1:] == u[:-1]) & (i[1:] == i[:-1]))
         same = np.zeros(len(d), bool)
         same[1:] = equal & ~again[1:]
@@ -186,17 +172,17 @@ def dedup_chunks(
         head = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(len(d)), 0))
         source = [x[head] for x in (k, u, i)]
         own = mix(d.view(np.uint64) ^ mix(k.view(np.uint64) * np.uint64(31) + i.view(np.uint64)))
-        d = np.where(again, own.view(np.int64), d)
+        d, e = np.where(again, own.view(np.int64), d), np.where(again, np.int32(0), e)
         for a in range(0, len(d), 100_000):
             z = slice(a, a + 100_000)
             m = keep[z]
             places = [pa.array(x[z][m], mask=~again[z][m]) for x in source]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[z][m]) for x in (d, k, u, i)), *places], names=["d", "k", "u", "i", "k0", "u0", "i0"],
+                [*(pa.array(x[z][m]) for x in (d, e, k, u, i)), *places], names=["d", "e", "k", "u", "i", "k0", "u0", "i0"],
             )
 
-    found = rows.mapInArrow(find, "d long, k long, u long, i long, k0 long, u0 long, i0 long")
-    order = Window.partitionBy("d").orderBy("k", "u", "i")
+    found = rows.mapInArrow(find, "d long, e int, k long, u long, i long, k0 long, u0 long, i0 long")
+    order = Window.partitionBy("d", "e").orderBy("k", "u", "i")
     place = F.struct("k", "u", "i")
     later = found.withColumn("first", F.first(place).over(order)).where(
         F.col("k0").isNotNull() | (place != F.col("first"))
@@ -252,7 +238,7 @@ def dedup_chunks(
             out, facts = [], []
             for a, b in slices(offsets):
                 part, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                chunks = np.diff(cut(part, o, bits, least, most)[1]).tolist() if not columns else [0] * (b - a)
+                chunks = np.diff(cut(part, o, near, most)[1]).tolist() if not columns else [0] * (b - a)
                 raw = part.tobytes()
                 for j in range(b - a):
                     spans = repeats(part, raw, int(o[j]), int(o[j + 1]), pieces[a + j] or (), min_bytes)

@@ -140,25 +140,64 @@ def test_blocks_change_nothing(monkeypatch):
     data, o = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     s = np.array([rng.randrange(len(data)) for _ in range(200)])
     e = np.minimum(s + np.array([rng.randrange(700) for _ in range(200)]), len(data))
-    of = lambda: (*chunks.cut(data, o, 3, 32, 100), chunks.seeds(data, o), textbytes.RangeHash(data).fixed(24), textbytes.RangeHash(data)(s, e), textbytes.RangeHash(data)(s, e, 1))
+    of = lambda: (*chunks.cut(data, o, 6, 100), textbytes.RangeHash(data).fixed(24), textbytes.RangeHash(data)(s, e), textbytes.RangeHash(data)(s, e, 1))
     whole = of()
-    low = [(int(h) << 32) + i for i, h in enumerate(chunks.gear_hashes(data)[63:])]
-    want = {min(low[i : i + 64]) & 0xFFFFFFFF for a, b in zip(o[:-1], o[1:]) for i in range(a, b - 126)}
-    assert sorted(want) == whole[2].tolist()
-    assert textbytes.RangeHash(data)(np.arange(50), np.arange(50) + 24).tolist() == whole[3][:50].tolist()
+    assert textbytes.RangeHash(data)(np.arange(50), np.arange(50) + 24).tolist() == whole[2][:50].tolist()
     monkeypatch.setattr(textbytes, "AT_ONCE", 50)
     assert all((x == y).all() for x, y in zip(whole, of()))
 
 
+@given(st.lists(st.text("ab é漢", max_size=90), max_size=6), st.integers(4, 12), st.integers(14, 60))
+@settings(max_examples=150, deadline=None)
+def test_cuts_are_the_least_hashes_nearby(texts, near, most):
+    raw = [t.encode() for t in texts]
+    data, o = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
+    ends, first = chunks.cut(data, o, near, most)
+    for d, t in enumerate(raw):
+        h = [None] * len(t)
+        for i in range(15, len(t)):
+            x = 0
+            for b in t[i - 15 : i + 1]:
+                x = (x << 1) + int(chunks.GEAR[b]) & 0xFFFFFFFF
+            h[i] = (x, i)
+        free = lambda i: h[i] is None
+        cuts = {i + 1 for i in range(len(t)) if not free(i) and all(free(j) or h[i] <= h[j] for j in range(max(0, i - near), min(len(t), i + near + 1)))}
+        forward = set()
+        for c in cuts:
+            while c < len(t) and t[c] & 0xC0 == 0x80:
+                c += 1
+            forward.add(c)
+        want, last = [], 0
+        for c in sorted(forward | ({len(t)} if t else set())):
+            while c - last > most:
+                last += most
+                while last < c and t[last] & 0xC0 == 0x80:
+                    last += 1
+                if last < c:
+                    want.append(last)
+            want.append(c)
+            last = c
+        assert (ends[first[d] : first[d + 1]] - o[d]).tolist() == want
+
+
 def test_gear_hash_is_the_rolling_one():
     data = np.frombuffer(random.Random(1).randbytes(300), np.uint8)
-    h, want = 0, []
-    for b in data.tolist():
-        h = (h << 1) + int(chunks.GEAR[b]) & 0xFFFFFFFF
-        want.append(h)
+    want = [sum(int(chunks.GEAR[data[i - j]]) << j for j in range(min(i + 1, 16))) & 0xFFFFFFFF for i in range(300)]
     assert chunks.gear_hashes(data).tolist() == want
 
 
+def test_chunks_alone_find_repeats_whatever_surrounds_them(docs_of):
+    """Passages of 20 words and more, in two documents each; shorter ones than min_bytes stay."""
+    rng = random.Random(21)
+    for words, least in ((20, 0.97), (25, 1.0), (51, 1.0), (60, 1.0)):
+        passages = [_prose(rng, words) for _ in range(60)]
+        passages = [p if len(p.encode()) >= 130 else p + _prose(rng, 6) for p in passages]
+        rows = [(2 * i + j, _prose(rng, 60) + " " + p + " " + _prose(rng, 60)) for i, p in enumerate(passages) for j in range(2)]
+        got = {r.doc_id: r for r in chunks.dedup_chunks(docs_of(rows)).collect()}
+        gone = [got[2 * i + 1].n_removed >= len(p.encode()) for i, p in enumerate(passages)]
+        assert sum(gone) >= least * 60 and all(got[2 * i].n_removed == 0 for i in range(60)), words
+
+
 def _license_brute(t):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
