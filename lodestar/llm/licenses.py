@@ -80,9 +80,15 @@ class Scanner:
                     a, b = (int(ends[d - 1]) if d else 0), int(ends[d])
                     # a byte more on either side shows whether a word goes on there
                     s, e = max(a, guess - edits - 1), min(b, guess + len(notice) + edits + 1)
-                    m = pattern.search(low[s:e]) if e - s >= len(notice) - edits else None
-                    if m and (m.start() or s == a) and (m.end() < e - s or e == b):
-                        found.add((sum(m.fuzzy_counts), s + m.start(), s + m.end(), d))
+                    if e - s < len(notice) - edits:
+                        continue
+                    around = low[s:e]
+                    # from every word's edge: a search would never begin with an inserted byte
+                    for at in range(max(a, guess - edits), min(b, guess + edits + 1)):
+                        if at == a or not IN_WORD[low[at - 1]]:
+                            m = pattern.match(around, at - s)
+                            if m and (m.end() < e - s or e == b):
+                                found.add((sum(m.fuzzy_counts), at, s + m.end(), d))
             taken: list[tuple[int, int]] = []
             for n, s, e, d in sorted(found):
                 at = bisect_left(taken, (s, e))

@@ -427,3 +427,71 @@ def test_topk_scores_beyond_64_bits_saturate(spark):
     rows = [(0, [big, big]), (1, [big, big]), (2, [-big, -big]), (3, [1, 0]), (4, [big, 0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (4, 2**63 - 1), (3, big), (2, 1 - 2**63)]
+
+
+def _edits(notice, text):
+    """Edits of ``notice`` against every prefix of ``text``."""
+    row = list(range(len(text) + 1))  # of the empty notice
+    for i, c in enumerate(notice, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != t)))
+        row = new
+    return row
+
+
+def _best_spans(low, notices):
+    """label: the fewest edits of a notice over all spans that words don't go on around, and the lengths of such spans."""
+    inside = [c.isdigit() or "a" <= c <= "z" for c in low]
+    edge = [i == 0 or i == len(low) or not (inside[i - 1]) for i in range(len(low) + 1)]
+    stop = [i == len(low) or not inside[i] for i in range(len(low) + 1)]
+    found = {}
+    for notice, label, most in notices:
+        exact, _, loose = notice.rpartition("~")
+        for s in range(len(low)):
+            if not edge[s] or not low.startswith(exact, s):
+                continue
+            at = s + len(exact)
+            for j, n in enumerate(_edits(loose, low[at : at + len(loose) + most])):
+                if n <= most and stop[at + j] and at + j > s:
+                    found.setdefault(label, []).append((n, at + j - s))
+    return {label: (min(x)[0], {size for n, size in x if n == min(x)[0]}) for label, x in found.items()}
+
+
+def test_fuzzy_licenses_against_every_span(docs_of):
+    rng = random.Random(31)
+    notices = [("apache license", "apache", 1), ("mit~ license", "mit", 1), ("mozilla public license", "mpl", 2), ("general public", "gp", 3)]
+
+    def damaged(t):
+        t = list(t)
+        for _ in range(rng.randrange(0, 4)):
+            i, kind = rng.randrange(len(t) or 1), rng.randrange(3)
+            t[i : i + (kind < 2)] = [rng.choice("abcelit  .")] if kind else []
+        return "".join(t)
+
+    parts = [n.replace("~", "") for n, _, _ in notices] + ["the", "commit", "a", "license", "x.", "apache", "publ"]
+    texts = []
+    for _ in range(160):
+        text = rng.choice([" ", ", ", ""]).join(damaged(rng.choice(parts)) for _ in range(rng.randrange(1, 4)))
+        texts.append(text.upper() if rng.random() < 0.2 else text)
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(list(enumerate(texts))), phrases={}, notices=notices).collect()}
+    seen = Counter()
+    for i, t in enumerate(texts):
+        low, r = t.lower(), got[i]
+        want = _best_spans(low, notices)
+        assert r.labels == ",".join(sorted(want)) and r.base_labels == "" and r.n_base == 0, (t, want)
+        best = Counter()
+        for s in r.spans:
+            notice = next(n for n, label, _ in notices if label == s.label)
+            exact, _, loose = notice.rpartition("~")
+            assert low[s.s : s.e].startswith(exact) and _edits(loose, low[s.s + len(exact) : s.e])[-1] <= s.edits, (t, s)
+            best[s.label] = min(best.get(s.label, 99), s.edits)
+        for label, (n, sizes) in want.items():
+            assert best[label] == n, (t, label, n, r.spans)
+            seen[label, n] += 1
+        scores = [0.99 * (1 - s.edits / (s.e - s.s)) for s in r.spans]
+        assert r.score == max(scores, default=0.0)
+        assert max(scores, default=0.0) <= max((0.99 * (1 - n / max(sizes)) for n, sizes in want.values()), default=0.0) + 1e-9
+        for a in r.spans:
+            assert not any(a != b and a.label == b.label and a.s < b.e and b.s < a.e for b in r.spans)
+    assert len(seen) >= 9, seen
