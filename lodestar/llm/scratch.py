@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_dir
+
 #: Settings while a table is written. An Arrow batch of whole texts is bounded, so that Python memory doesn't follow the
 #: longest texts, and shuffle files go when their query ends.
 WRITING = {
@@ -17,17 +18,6 @@ WRITING = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. Only in local mode is one made where the setting is absent."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for a while; the former ones come back."""
