@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fit_sql import fit_sql
 from .functions.stats import normal_cdf, phi_sql
 from .functions.text import coin_flip, json_scores, seeded_order, tail_score, verdict
 from . import model_queries, part_queries, plan_queries, store_queries
@@ -292,8 +293,14 @@ def _fit(s, d, *by):
     return dv.fit(pairwise.pair_counts(fixtures.comparisons(s, d), *by), N, *by)
 
 
+def _bounded(fitted):
+    """Intervals of a fit, its figures to the digits that don't depend on how it was found."""
+    digits = {"theta": 6, "strength": 6, "tie": 6, "log_likelihood": 4}
+    return dv.intervals(fitted).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def davidson_strengths(s, d):
-    return dv.intervals(_fit(s, d, "language"))
+    return _bounded(_fit(s, d, "language"))
 
 
 def davidson_pvalues(s, d):
@@ -301,7 +308,9 @@ def davidson_pvalues(s, d):
 
 
 def leaderboard(s, d):
-    return dv.leaderboard(_fit(s, d, "language"), "language").drop("cov")
+    board = dv.leaderboard(_fit(s, d, "language"), "language")
+    against = F.transform(F.array_sort(F.map_entries("p_vals")), lambda x: F.format_string("%s:%.4f", x["key"], x["value"]))
+    return board.select("language", "i", "rank", "low", "mid", "high", "converged", F.array_join(against, ",").alias("p_vals"))
 
 
 def _moments(counts, *by):
@@ -335,15 +344,16 @@ def amplified_category_subset_fits(s, d):
 
 
 def leaderboard_subsets(s, d):
-    return dv.intervals(dv.fit(judge_subsets(s, d), N, "mask"))
+    return _bounded(dv.fit(judge_subsets(s, d), N, "mask"))
 
 
 def leaderboard_amplified(s, d):
-    return dv.intervals(dv.fit(amplify_counts(s, d), N, "language"))
+    return _bounded(dv.fit(amplify_counts(s, d), N, "language"))
 
 
 def category_signal(s, d):
-    return dv.category_signal(fixtures.comparisons(s, d), N)
+    found = dv.category_signal(fixtures.comparisons(s, d), N)
+    return found.withColumns({c: F.round(c, 6) for c in ("spread", "width", "significant")})
 
 
 def judge_correlation(s, d):
@@ -599,3 +609,53 @@ QUERIES |= part_queries.QUERIES | plan_queries.QUERIES | model_queries.QUERIES |
 ORACLE |= part_queries.oracle(_RANK, _COH, _TR, _COMP, _PHI) | plan_queries.oracle(_COMP, _PHI)
 ORACLE |= model_queries.oracle(_COMP)
 ORACLE |= store_queries.oracle(_COMP, ORACLE["pair_counts"], ORACLE["davidson_moments"])
+
+
+def _fitted(sql: str, by: str, rest: str) -> str:
+    """``rest`` over the fit (see ``fit_sql``) of a query of pair counts by its column ``by``."""
+    head = sql if ", counts AS (" in sql else _counts(sql)
+    keyed = f", keyed AS (SELECT {by} AS g, i, j, w_ij, w_ji, t_ij FROM counts), "
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + keyed + fit_sql(N) + rest
+
+
+def _counts_by(by: str) -> str:
+    return f"""WITH {_COMP}, counts AS (SELECT {by}, a_id AS i, b_id AS j, count_if(vote = 'win_a')::BIGINT AS w_ij,
+  count_if(vote = 'win_b')::BIGINT AS w_ji, count_if(vote = 'tie')::BIGINT AS t_ij FROM votes WHERE vote IS NOT NULL GROUP BY ALL)"""
+
+
+_Z = "1.959963984540054::DOUBLE"
+_LOW, _HIGH = (f"round(exp(theta {sign} {_Z} * sqrt(var)), 4)" for sign in "-+")
+_BOUNDS = f"{_LOW} AS low, round(exp(theta), 4) AS mid, {_HIGH} AS high"
+_INTERVALS = f""" SELECT g AS {{0}}, i, round(theta, 6) AS theta, round(strength, 6) AS strength, round(tie, 6) AS tie,
+  round(log_likelihood, 4) AS log_likelihood, true AS converged, {_BOUNDS}, 0.95::DOUBLE AS conf_level FROM fit"""
+_WALD = f""", zs AS (SELECT *, abs(delta) / sqrt(var) AS z FROM between_them), {_PHI},
+wald AS (SELECT g, i, j, round(least(1, 2 * tail), 4) AS p FROM phi)"""
+ORACLE |= {
+    "davidson_strengths": _fitted(ORACLE["pair_counts"], "language", _INTERVALS.format("language")),
+    "leaderboard_amplified": _fitted(ORACLE["amplify_counts"], "language", _INTERVALS.format("language")),
+    "leaderboard_subsets": _fitted(ORACLE["judge_subsets"], "mask", _INTERVALS.format("mask")),
+    "davidson_pvalues": _fitted(
+        ORACLE["pair_counts"], "language", _WALD + " SELECT g AS language, i, j, p, true AS converged FROM wald",
+    ),
+    "leaderboard": _fitted(ORACLE["pair_counts"], "language", _WALD + f""",
+against AS (SELECT g, i, string_agg(j::VARCHAR || ':' || printf('%.4f', p), ',' ORDER BY j) AS p_vals FROM wald GROUP BY g, i)
+SELECT f.g AS language, f.i, (row_number() OVER (PARTITION BY f.g ORDER BY theta DESC, f.i))::INT AS rank, {_BOUNDS},
+  true AS converged, p_vals FROM fit f JOIN against a ON f.g = a.g AND f.i = a.i"""),
+    "category_signal": _fitted(_counts_by("sentence_category"), "sentence_category", _WALD + f""",
+of AS (SELECT g, stddev_pop(strength) AS spread, avg({_HIGH} - {_LOW}) AS width FROM fit GROUP BY g),
+sig AS (SELECT g, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS significant FROM wald WHERE i < j GROUP BY g),
+agreed AS (SELECT sentence_category, round(avg(greatest(a, b, t) / n), 6) AS agreement,
+  round(avg((a + b) / n), 6) AS decisiveness, count(*) AS n FROM trip GROUP BY ALL),
+x AS (SELECT agreed.*, spread, width, significant, round(0.3::DOUBLE * agreement + 0.1::DOUBLE * decisiveness + 0.25::DOUBLE * 10 * spread
+  + 0.15::DOUBLE / (width + 1e-6::DOUBLE) + 0.2::DOUBLE * significant, 6) AS signal
+  FROM agreed JOIN of ON of.g = sentence_category JOIN sig ON sig.g = sentence_category)
+SELECT sentence_category, agreement, decisiveness, n, round(spread, 6) AS spread, true AS converged, round(width, 6) AS width,
+  round(significant, 6) AS significant, true AS model_fitted, signal,
+  (row_number() OVER (ORDER BY signal DESC, sentence_category))::INT AS rank FROM x"""),
+    "judge_correlation": _fitted(
+        _counts_by("evaluating_model").replace(", counts AS (", ", each AS (", 1) + """, counts AS (SELECT * FROM each UNION ALL
+  SELECT '', i, j, sum(w_ij)::BIGINT, sum(w_ji)::BIGINT, sum(t_ij)::BIGINT FROM each GROUP BY i, j)""", "evaluating_model", """,
+placed AS (SELECT g, i, strength, row_number() OVER (PARTITION BY g ORDER BY strength DESC, i) - 1 AS place FROM fit)
+SELECT a.g AS evaluating_model, round(corr(a.strength, b.strength), 6) AS pearson, round(corr(a.place, b.place), 6) AS spearman,
+  count(*) AS n FROM placed a JOIN placed b ON a.i = b.i AND b.g = '' AND a.g <> '' GROUP BY a.g"""),
+}
