@@ -237,7 +237,8 @@ def near_duplicates(
     nor are vectors of other dimensions. Equal vectors of a label are one node: a row's links are the other keys of its
     node and those of linked nodes, so groups of copies cost one row. Rows equal in all are one vector; a key with
     several vectors is one node for each, and its rows' links are those of their own. An empty table gives an empty
-    result. ``component_id`` is the smallest key reachable, ``kept`` whether it is the row's own. Keys and labels may be
+    result. ``component_id`` is the smallest key reachable, ``kept`` whether it is the row's own; for a null key the first is null
+    and the second false. Keys and labels may be
     of any type that sorts. ``audits`` receives a table (audited, met, scanned) with a row for each pair of shards.
     """
     scratch = Scratch(embeddings.sparkSession)

@@ -6,7 +6,8 @@ such a pair some segment of allocation 1 is equal, or some of allocation 2 diffe
 segment's own signature and those of its one-deletion neighbourhood find. Up to ``spare`` empty segments of allocation 1
 can be left out, as those that are equal are empty in both sets. The allocation is the cheapest by a cost model of entries
 and false candidates. More than one segment of a linked pair must agree if fewer are empty than were spared; sets that
-share less than that are no candidates. Candidates are verified exactly on whole sets.
+share less than that are no candidates. Candidates are verified exactly on whole sets of 64-bit hashes of shingles, which stand
+for their texts but for collisions.
 
 Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
 whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A small

@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestar.llm import chunks, licenses, mixing, packing, quality, scratch, skew, textbytes, topk, urls
 from lodestar.llm.queries import URL_RULES, tokenizer_path
@@ -79,6 +81,15 @@ def test_encoders_agree():
         assert list(a(t or "")) == list(b(t or ""))
 
 
+def test_encoders_agree_on_all_documents():
+    """The rank file gives the ids that ``tokenizers`` gives with the contract's JSON."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    fast = packing.encoder(tokenizer_path())
+    for t in texts:
+        assert whole.encode(t or "", add_special_tokens=False).ids == list(fast(t or ""))
+
+
 def test_pack_empty(docs_of):
     assert packing.pack(docs_of([]), tokenizer_path()).count() == 0
 
