@@ -7,9 +7,11 @@ inserts one symbol of every segment a round, from the back, updates the collecti
 common prefixes in one sequential pass each, and so sorts all suffixes; windows are equal where the common prefix is
 ``length`` or more. Copies of a segment are known by two independent digests of 64 bits and only their first goes on.
 
-The segments of a gram that has over MOST are cut again: each of their windows has a second anchor, the least gram by another
-hash, and equal windows agree in both. So what meets in a collection stays small however often a gram occurs, and a
-frequent gram is dealt to many tasks; should even a second anchor have too many segments, its task cuts them by a third.
+The segments of a gram that has over MOST are cut in two: of what a window adds to its gram, half or more stands before it or
+else more than half behind it, and equal windows agree in which and in these bytes. So gram and bytes are a longer anchor, which
+fewer segments share, and cutting on makes it longer until it is the window itself. Such grams are dealt to
+tasks by anchors that are cut CUTS times; a task cuts on what still has too many segments. What meets in a collection stays
+small however often a gram occurs.
 
 Inserting symbols of whole documents would take as many passes over the corpus as its longest text has bytes;
 segments bound that number and the size of a collection, and collections are independent tasks.
@@ -110,9 +112,9 @@ def may_repeat(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, distan
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level: int = 0):
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Segments of a buffer of LONG bytes at most: document, first and last window, distance of the anchor, digests of
-    its gram and two of the segment. Each ``level`` picks anchors by another hash."""
+    its gram and two of the segment."""
     n = len(data)
     none, codes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < length:
@@ -120,8 +122,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level
     h = RangeHash(data)
     i = np.arange(n - gram + 1)
     g = h.fixed(gram) if gram % 8 == 0 else h(i, i + gram)
-    by = mix(g ^ np.uint64(level)) if level else g
-    low = (by & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)
+    low = (g & ~np.uint64(0xFFFFFF)) | i.astype(np.uint64)
     w, have = length - gram + 1, 1
     while have * 2 <= w:
         low = np.minimum(low[:-have], low[have:])
@@ -183,16 +184,22 @@ def _first_of_each(rows: dict) -> tuple[dict, np.ndarray]:
     return {x: v[once] for x, v in rows.items()}, lead[once]
 
 
-#: A segment with its bytes; off is the distance of its anchor. Rows of kind 1 are windows a to off that are known to be later.
+#: A segment with its bytes; off is the distance of its gram, kind holds the bytes of its anchor before and behind the gram too
+#: (see ``_state``). Rows of kind 1 are windows a to off that are known to be later.
 PIECE = "gram long, k long, u long, a int, kind int, off int, x binary"
-#: Anchors by which segments are cut at most; with the last all segments of a task meet, however many.
-LEVELS = 8
+#: How often segments of frequent grams are cut before they are dealt: two cuts give anchors of four fifths of a window.
+CUTS = 2
+
+
+def _state(kind, left, right):
+    """Kind and the bytes of the anchor before and behind the gram (under 2**14 each) as one number."""
+    return kind + (left << 2) + (right << 16)
 
 
 def _pieces(batch: pa.RecordBatch) -> dict:
     """PIECE rows as arrays: numbers, the bytes of all as x, and at (where each begins, and the end)."""
     names = batch.schema.names
-    rows = {c: batch.column(names.index(c)).to_numpy().astype(np.int64) for c in ("gram", "k", "u", "a", "off")}
+    rows = {c: batch.column(names.index(c)).to_numpy().astype(np.int64) for c in ("gram", "k", "u", "a", "kind", "off")}
     rows["x"], rows["at"] = batch_bytes(batch.column(names.index("x")))
     return rows
 
@@ -230,33 +237,45 @@ def _passed(k, u, a, b) -> pa.RecordBatch:
     """Windows that are known to be later, on their way to the flags."""
     n = len(k)
     spread = mix(k.view(np.uint64) * np.uint64(31) + a.astype(np.uint64)).view(np.int64)
-    rows = {"gram": spread, "k": k, "u": u, "a": a, "off": b, "x": np.zeros(0, np.uint8), "at": np.zeros(n + 1, np.int64)}
-    return _batch(rows, 1)
+    rows = {"gram": spread, "k": k, "u": u, "a": a, "kind": np.ones(n, np.int64), "off": b}
+    return _batch(rows | {"x": np.zeros(0, np.uint8), "at": np.zeros(n + 1, np.int64)})
 
 
-def _batch(rows: dict, kind: int = 2) -> pa.RecordBatch:
+def _batch(rows: dict) -> pa.RecordBatch:
     n = len(rows["gram"])
     x = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(rows["at"].astype(np.int32)), pa.py_buffer(rows["x"])])
-    numbers = [pa.array(rows[c].astype(t)) for c, t in (("gram", np.int64), ("k", np.int64), ("u", np.int64), ("a", np.int32))]
-    return pa.RecordBatch.from_arrays(
-        [*numbers, pa.array(np.full(n, kind, np.int32)), pa.array(rows["off"].astype(np.int32)), x],
-        names=["gram", "k", "u", "a", "kind", "off", "x"],
-    )
+    numbers = [pa.array(rows[c].astype(np.int64 if c in ("gram", "k", "u") else np.int32)) for c in ("gram", "k", "u", "a", "kind", "off")]
+    return pa.RecordBatch.from_arrays([*numbers, x], names=["gram", "k", "u", "a", "kind", "off", "x"])
+
+
+def _cut_in_two(rows: dict, length: int, gram: int) -> dict:
+    """The segments cut by longer anchors, which take in half of the bytes that a window still has beside its anchor: those
+    before it where they are half or more, else those behind. Anchors that differ before stay apart; one that is a whole
+    window stays as it is."""
+    left, right = rows["kind"] >> 2 & 0x3FFF, rows["kind"] >> 16
+    rest = length - gram - left - right
+    half = (rest + 1) // 2
+    sizes = np.diff(rows["at"])
+    split = np.where(rest > 0, np.clip(rows["off"] - left - half + 1, 0, sizes - length + 1), sizes - length + 1)  # windows of the first part
+    first, second = np.flatnonzero(split > 0), np.flatnonzero(split <= sizes - length)
+    head, tail = _taken(rows, first), _taken(rows, second)
+    head = _sliced(head, np.zeros(len(first), np.int64), split[first] - 1 + length)
+    head["kind"] = _state(2, (left + half)[first], right[first])
+    tail = _sliced(tail, split[second], np.diff(tail["at"]) - split[second])
+    tail["kind"] = _state(2, left[second], (right + rest - half + 1)[second])
+    out = _joined([head, tail])
+    left, right = out["kind"] >> 2 & 0x3FFF, out["kind"] >> 16
+    p = out["at"][:-1] + out["off"]
+    h = RangeHash(out["x"])(p - left, p + gram + right)
+    out["gram"] = mix(out["gram"].view(np.uint64) ^ mix(h + out["kind"].view(np.uint64))).view(np.int64)
+    return out
 
 
-def _cut_again(rows: dict, level: int, length: int, gram: int):
-    """The segments cut into those of their windows' anchors of a further level; anchors that differ before stay apart."""
-    for i, j in slices(rows["at"], LONG // 2):
-        at = rows["at"][i : j + 1] - rows["at"][i]
-        x = rows["x"][rows["at"][i] : rows["at"][j]]
-        row, a, b, off, code, _, _ = anchors(x, at, length, gram, level)
-        both = mix(rows["gram"][i:j][row].view(np.uint64) ^ mix(code + np.uint64(level)))
-        sizes = b - a + length
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        yield {
-            "gram": both.view(np.int64), "k": rows["k"][i:j][row], "u": rows["u"][i:j][row], "a": rows["a"][i:j][row] + a,
-            "off": off, "x": x[np.arange(ends[-1]) + np.repeat(at[:-1][row] + a - ends[:-1], sizes)], "at": ends,
-        }
+def _sliced(rows: dict, start: np.ndarray, size: np.ndarray) -> dict:
+    """Segments from the window ``start`` on, of ``size`` bytes."""
+    at = np.concatenate(([0], np.cumsum(size)))
+    x = rows["x"][np.arange(at[-1]) + np.repeat(rows["at"][:-1] + start - at[:-1], size)]
+    return rows | {"a": rows["a"] + start, "off": rows["off"] - start, "x": x, "at": at}
 
 
 def _copies(rows: dict) -> np.ndarray:
@@ -414,23 +433,26 @@ def remove_repeats(
     pieces = met.select("k", "u", F.explode(F.transform("wanted", cut)).alias("w")).select("w.gram", "k", "u", "w.a", "w.kind", "w.off", "w.x")
 
     def spread(batches):
-        """Segments of grams that have too many of them, cut by their second anchors; the others as they are."""
+        """Segments of grams that have too many of them, cut; the others as they are."""
         for batch in batches:
             rows = _pieces(batch)
-            many = batch.column(4).to_numpy() == 3
+            many = rows["kind"] == 3
             if not many.all():
                 yield _batch(_taken(rows, np.flatnonzero(~many)))
             if many.any():
-                for part in _cut_again(_taken(rows, np.flatnonzero(many)), 1, length, gram):
-                    part, later = _firsts(part, length)  # what the batch has more than once goes on once
-                    yield _batch(part)
-                    yield _passed(*_ranges(*later))
+                part = _taken(rows, np.flatnonzero(many))
+                part["kind"] = np.full(len(part["k"]), 2)
+                for _ in range(CUTS):
+                    part = _cut_in_two(part, length, gram)
+                part, later = _firsts(part, length)  # what the batch has more than once goes on once
+                yield _batch(part)
+                yield _passed(*_ranges(*later))
 
     def compare(batches):
         held, n, wait = [], 0, 4 * COLLECTION
         for batch in batches:
-            known = batch.column(4).to_numpy() == 1
             rows = _pieces(batch)
+            known = rows["kind"] == 1
             if known.any():
                 yield _flags(*(rows[c][known] for c in ("k", "u", "a", "off")))
                 rows = _taken(rows, np.flatnonzero(~known))
@@ -440,15 +462,15 @@ def remove_repeats(
                 rows = _joined(held)
                 last = int(np.searchsorted(rows["gram"], rows["gram"][-1]))
                 if last:
-                    yield from flagged(_taken(rows, np.arange(last)), 1)
+                    yield from flagged(_taken(rows, np.arange(last)))
                 rows, later = _firsts(_taken(rows, np.arange(last, n)), length)
                 yield _flags(*_ranges(*later))
                 held, n = [rows], len(rows["gram"])
                 wait = max(4 * COLLECTION, 2 * n)
         if n:
-            yield from flagged(_joined(held), 1)
+            yield from flagged(_joined(held))
 
-    def flagged(rows, level):
+    def flagged(rows):
         """Flags of copies, then of windows that a collection finds earlier."""
         rows, later = _firsts(rows, length)
         yield _flags(*_ranges(*later))
@@ -459,11 +481,10 @@ def remove_repeats(
         stops = np.append(starts[1:], len(rows["gram"]))
         first = 0
         for a, b in zip(starts.tolist(), stops.tolist()):
-            if b - a > MOST and level < LEVELS:
+            if b - a > MOST:  # different segments, so their anchor isn't a whole window yet
                 if a > first:
                     yield equal(_taken(rows, np.arange(first, a)))
-                parts = _joined(list(_cut_again(_taken(rows, np.arange(a, b)), level + 1, length, gram)))
-                yield from flagged(parts, level + 1)
+                yield from flagged(_cut_in_two(_taken(rows, np.arange(a, b)), length, gram))
                 first = b
             elif b - first >= COLLECTION or b == len(rows["gram"]):
                 yield equal(_taken(rows, np.arange(first, b)))

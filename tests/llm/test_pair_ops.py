@@ -175,9 +175,9 @@ def removed(rows, length):
     return marks
 
 
-@pytest.mark.parametrize("most,levels,together,long", [(500, 8, 1000, 1 << 21), (3, 8, 4, 1000), (2, 3, 1, 1 << 21)])
-def test_remove_repeats_against_all_windows(docs_of, monkeypatch, most, levels, together, long):
-    for name, value in (("MOST", most), ("LEVELS", levels), ("COLLECTION", together), ("LONG", long)):
+@pytest.mark.parametrize("most,cuts,together,long", [(500, 2, 1000, 1 << 21), (3, 2, 4, 1000), (1, 0, 1, 1 << 21), (2, 9, 5, 1 << 21)])
+def test_remove_repeats_against_all_windows(docs_of, monkeypatch, most, cuts, together, long):
+    for name, value in (("MOST", most), ("CUTS", cuts), ("COLLECTION", together), ("LONG", long)):
         monkeypatch.setattr(suffixes, name, value)
     rng = random.Random(9)
     prose = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
