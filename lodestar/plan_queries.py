@@ -412,6 +412,28 @@ def _names_of(s, path):
     return s.read.text(path, wholetext=True).select("value", F.posexplode(legend).alias("k", "tested_entry"))
 
 
+def overlapped_calls(s, d):
+    """A rating of every part, eight calls of a task at once."""
+    asked = table(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("Rate "), "p_name").alias("prompt"),
+        F.lit(0.0).alias("temperature"),
+    )
+    return providers.call(asked, DigestProvider, at_once=8).select("key", "value", "attempts")
+
+
+def sampled_order(s, d):
+    """The blind order of stored judgements: the texts of every sentence and language in the order that the standard
+    library's generator draws."""
+    t = fixtures.translations(s, d).where("not refused").select(
+        "language", F.col("sentence_id").cast("string").alias("sentence"), F.lit("c").alias("sentence_category"),
+        F.md5("translation").alias("translation"), "tested_entry",
+    )
+    judges = s.createDataFrame([("jA",), ("jB",)], "judge string")
+    return scoring.blind_lists(t, judges, sampled=True).select(
+        "language", "sentence", "judge", "id", "translation", F.array_join("entries", ",").alias("entries"),
+    )
+
+
 def category_chart(s, d):
     """The bar chart of coherence by category, written and read back: whether each bar is as high as its mean."""
     means, path = settle(coh.by_category(fixtures.coherence(s, d), 2)), _path(s, "chart") + ".svg"
@@ -555,7 +577,7 @@ QUERIES = {f.__name__: f for f in (
     connector_requests, connector_replies, entry_lists, judge_registry, sentence_corpus, json_cache_write, duel_fit,
     duel_from_outcomes, duel_leaderboard, leaderboard_report, strengths_ranked, duel_categories,
     category_report, duel_judges, judge_report, comparison_progress, score_counts, mannwhitney_exact, pairwise_plan,
-    pairwise_cache, scoring_plan, translation_log, coherence_plan, coherence_nested, coherence_chart, category_chart,
+    pairwise_cache, scoring_plan, translation_log, coherence_plan, coherence_nested, coherence_chart, category_chart, overlapped_calls, sampled_order,
     active_learning, latency_stream,
 )}
 
@@ -797,6 +819,8 @@ SELECT s_name || 'Cosvc' || CASE WHEN s_suppkey % 2 = 0 THEN '0.5' ELSE 'None' E
 HAVING count_if(failed) > 0 OR count_if(NOT failed AND NOT refused) > 0""",
         "coherence_plan": trips + " SELECT * FROM rated",
         "coherence_nested": trips + """ SELECT sentence_cat, sentence, depth, staged_text, tested_entry, '[' || string_agg('{"evaluator":"' || evaluator || '"' || CASE WHEN score IS NULL THEN '' ELSE ',"score":' || score::VARCHAR END || '}', ',' ORDER BY evaluator) || ']' AS evaluations FROM rated GROUP BY ALL""",
+        "overlapped_calls": """SELECT p_partkey::VARCHAR AS key, 'thoughts' || chr(10) || (('0x' || substr(sha256('Rate ' || p_name), 1, 2))::INT % 120)::VARCHAR
+  AS value, 1::INT AS attempts FROM part""",
         "category_chart": """WITH a AS (SELECT DISTINCT 'm' || (l_suppkey % 8)::VARCHAR AS e, l_returnflag AS c FROM lineitem
   WHERE l_linenumber = 2)
 SELECT x.e AS tested_entry, y.c AS sentence_cat, true AS placed FROM (SELECT DISTINCT e FROM a) x CROSS JOIN (SELECT DISTINCT c FROM a) y""",

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fit_sql import fit_sql
-from .functions.stats import normal_cdf, phi_sql
+from .functions.stats import normal_cdf, normal_quantile, phi_sql
 from .functions.text import coin_flip, json_scores, seeded_order, tail_score, verdict
 from . import model_queries, part_queries, plan_queries, store_queries
 from .operators import coherence as coh
@@ -270,6 +271,12 @@ def normal_probabilities(s, d):
     return fixtures.table(s, d, "lineitem").select("l_quantity", F.round(normal_cdf(z), 6).alias("phi")).distinct()
 
 
+def normal_quantiles(s, d):
+    """The quantile of each quantity's share of 51, which is a number of its own in every row."""
+    p = F.col("l_quantity") / 51.0
+    return fixtures.table(s, d, "lineitem").select("l_quantity", F.round(normal_quantile(p), 9).alias("z")).distinct()
+
+
 def _strengths(s, d):
     """Made of the suppliers: each of eight systems is as strong as it has suppliers and the last of them says."""
     k = F.col("s_suppkey")
@@ -374,7 +381,7 @@ QUERIES = {f.__name__: f for f in (
     amplify_counts, amplify_rows, consensus_by_category, judge_agreement, majority_vote, judge_stats, judge_subsets,
     category_subsets, chain_pairs, strided_pairs, untested_pairs, first_k_per_category, coherence_by_depth,
     coherence_by_category, cache_probe, cache_upsert, cache_delete, latency_summary, latency_windows,
-    normal_probabilities, pair_entropy, pair_entropy_top1, davidson_strengths, davidson_pvalues, leaderboard,
+    normal_probabilities, normal_quantiles, pair_entropy, pair_entropy_top1, davidson_strengths, davidson_pvalues, leaderboard,
     leaderboard_subsets,
     leaderboard_amplified, category_signal, judge_correlation, scored_document, davidson_moments, judge_subset_fits,
     category_subset_fits, amplified_fits, amplified_judge_subset_fits, amplified_category_subset_fits,
@@ -430,6 +437,7 @@ SELECT mask, size, a_id AS i, b_id AS j, count_if(vote = 'win_a')::BIGINT AS w_i
 _KNOWN = ", ".join(
     f"({q}::DOUBLE, {round(math.erfc(-(q - 25) / 8 / math.sqrt(2)) / 2, 6)!r}::DOUBLE)" for q in range(1, 51)
 )
+_QUANTILES = ", ".join(f"({q}::DOUBLE, {round(NormalDist().inv_cdf(q / 51), 9)!r}::DOUBLE)" for q in range(1, 51))
 _ENT = """st AS (SELECT (s_suppkey % 8)::INT AS i,
   (count(*) + max(s_suppkey) % 7 + any_value(s_suppkey % 8))::DOUBLE + 0.5::DOUBLE AS s FROM supplier GROUP BY 1),
 pr AS (SELECT a.i, b.i AS j, a.s AS si, b.s AS sj, 0.75::DOUBLE * sqrt(a.s * b.s) AS t,
@@ -555,6 +563,8 @@ SELECT j.judge, coalesce(decisions, 0) AS decisions, coalesce(agreements, 0) AS
   round(sum(value), 4) AS total FROM events GROUP BY ALL""",
     "normal_probabilities": f"""SELECT l_quantity, phi FROM (SELECT DISTINCT l_quantity FROM lineitem) JOIN (VALUES {_KNOWN}) k(q,
   phi) ON l_quantity = q""",
+    "normal_quantiles": f"""SELECT l_quantity, z FROM (SELECT DISTINCT l_quantity FROM lineitem) JOIN (VALUES {_QUANTILES}) k(q,
+  z) ON l_quantity = q""",
     "pair_entropy": f"""WITH {_ENT} SELECT i, j, round(p_i, 6) AS p_i, round(p_j, 6) AS p_j, round(p_tie, 6) AS p_tie,
   round(entropy, 6) AS entropy FROM en""",
     "pair_entropy_top1": f"""WITH {_ENT} SELECT language, i, j, round(entropy, 6) AS entropy FROM (SELECT *, i % 2 AS language,
