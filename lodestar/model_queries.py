@@ -49,6 +49,14 @@ def fits_agree(s, d):
     )
 
 
+def intervals_as_searched(s, d):
+    """Intervals at 50 % with the covariance of a quasi-Newton search, and what its rows sum to."""
+    fitted = dv.as_searched(dv.fit(pairwise.pair_counts(fixtures.comparisons(s, d), "language"), N, "language"), N)
+    total = F.aggregate(F.slice("cov", 1, N), F.lit(0.0), lambda a, x: a + x)
+    rows = dv.intervals(fitted.withColumn("row_sum", F.round(total, 6)), 0.5)
+    return rows.select("language", "i", "low", "mid", "high", "conf_level", "covariance", "row_sum")
+
+
 def covariance_check(s, d):
     """Information times covariance of every language's fit: what intervals and p-values rest on."""
     counts = settle(pairwise.pair_counts(fixtures.comparisons(s, d), "language"))
@@ -76,7 +84,7 @@ def _proof(counts, *by):
 
 
 QUERIES = {f.__name__: f for f in (
-    supplier_strengths, many_by_language, fits_agree, covariance_check, covariance_check_amplified,
+    supplier_strengths, many_by_language, fits_agree, intervals_as_searched, covariance_check, covariance_check_amplified,
     covariance_check_judges, covariance_check_categories,
 )}
 

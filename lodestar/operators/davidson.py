@@ -102,6 +102,17 @@ def fit(counts: DataFrame, n: int, *by: str, strengths=None, tie: float = 1.0) -
     return grouped.applyInPandas(run, f"{kinds}, {FIT}" if keys else FIT)
 
 
+def as_searched(fitted: DataFrame, n: int) -> DataFrame:
+    """``fitted`` with the covariance that a quasi-Newton search from the identity tends to, as column ``covariance`` says.
+
+    Such a search never moves along the flat direction (all strengths times one factor), so its inverse Hessian keeps the
+    identity there: each row of the n systems sums to 1, where the information's pseudo-inverse sums to 0. Intervals get wider by it;
+    p-values, which only see differences, stay.
+    """
+    cov = F.transform("cov", lambda c, l: c + F.when(l < n, 1.0 / n).otherwise(0.0))
+    return fitted.withColumns({"cov": cov, "covariance": F.lit("searched")})
+
+
 def intervals(fitted: DataFrame, conf_level: float | str = 0.95) -> DataFrame:
     """low, mid and high of exp(theta) at ``conf_level`` (a number, or a column of them), which is part of the result."""
     se = F.sqrt(F.element_at("cov", F.col("i") + 1))

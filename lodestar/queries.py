@@ -644,6 +644,12 @@ ORACLE |= {
     "davidson_strengths": _fitted(ORACLE["pair_counts"], "language", _INTERVALS.format("language")),
     "leaderboard_amplified": _fitted(ORACLE["amplify_counts"], "language", _INTERVALS.format("language")),
     "leaderboard_subsets": _fitted(ORACLE["judge_subsets"], "mask", _INTERVALS.format("mask")),
+    "intervals_as_searched": _fitted(ORACLE["pair_counts"], "language", f""",
+sums AS (SELECT g, i, round(sum(c + 1.0::DOUBLE / {N}), 6) AS row_sum FROM cov GROUP BY g, i),
+wide AS (SELECT f.g, f.i, theta, sqrt(var + 1.0::DOUBLE / {N}) * 0.6744897501960817::DOUBLE AS half, row_sum FROM fit f
+  JOIN sums s ON f.g = s.g AND f.i = s.i)
+SELECT g AS language, i, round(exp(theta - half), 4) AS low, round(exp(theta), 4) AS mid, round(exp(theta + half), 4) AS high,
+  0.5::DOUBLE AS conf_level, 'searched' AS covariance, row_sum FROM wide"""),
     "davidson_pvalues": _fitted(
         ORACLE["pair_counts"], "language", _WALD + " SELECT g AS language, i, j, p, true AS converged FROM wald",
     ),

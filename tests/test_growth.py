@@ -387,3 +387,14 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     assert state() == want
     run(f"{tmp_path}/cp2").awaitTermination()  # without a checkpoint all batches run again, under the same numbers
     assert state() == want
+
+
+def test_covariance_of_a_search(spark):
+    df = spark.createDataFrame(_random_counts(random.Random(3), 5, ("x",)), COUNTS).drop("g")
+    fitted = davidson.fit(df, 5)
+    wide = davidson.as_searched(fitted, 5)
+    rows = wide.collect()
+    assert all(sum(r.cov[:5]) == pytest.approx(1, abs=1e-9) and r.covariance == "searched" for r in rows)
+    assert all(sum(r.cov[:5]) == pytest.approx(0, abs=1e-9) for r in fitted.collect())
+    p = lambda f: {(r.i, r.j): r.p for r in davidson.p_values(f).collect()}
+    assert p(fitted) == p(wide)
