@@ -122,7 +122,7 @@ def places_of(part: np.ndarray, o: np.ndarray, near: int, most: int, least: int)
 
 
 def dedup_chunks(
-    docs: DataFrame, near: int = 12, most: int = 1024, least: int = 16, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
+    docs: DataFrame, near: int = 16, most: int = 1024, least: int = 16, min_bytes: int = 128, key: str = "doc_id", text: str = "text", columns: bool = False
 ) -> DataFrame:
     """Remove runs of bytes, ``min_bytes`` long or more, that all occur earlier (smaller key, or same row before), in
     equal ranges of EQUAL bytes or more around a chunk that occurs earlier, of ``least`` bytes or more.
