@@ -12,8 +12,11 @@ for their texts but for collisions.
 Copies of a set are one node (a 96-bit digest). The nodes of a signature form a group with its most central node, the one
 whose signatures have the most nodes; groups with one centre are joined, so near copies of a text meet once. A small
 group is one tile. Of a large one every node meets the centre first: nodes linked with it are in its component, so only
-nodes that aren't have to meet the others. Tiles have bounded size and compare by products of incidence matrices, which
-give all intersections exactly; a tile returns one row for each linked node, never its pairs.
+nodes that aren't have to meet the others. One minus Jaccard is a metric: a node more than two link distances from the centre
+is linked with none that the centre is linked with, so it needn't meet these. Nodes that stand apart from the centre, if they
+are too many for a tile, form new groups by their prefixes: linked sets share an element among the rarest of each, as many as
+a set can lack of the other and one more. These groups are handled in the same way. Tiles have bounded size and compare by products of
+incidence matrices, which give all intersections exactly; a tile returns one row for each linked node, never its pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .textbytes import batch_bytes, mix, shingle_hashes, slices
 RATIO = 1.25
 #: Most nodes and elements of a block; a tile compares two blocks.
 BLOCK_NODES, BLOCK_ELEMENTS = 1000, 1_000_000
+#: How often the nodes that stand apart form new groups; after that blocks of them meet each other.
+ROUNDS = 4
 #: Type of a node's label: the key and text hash of its first row (see ``Identified``).
 LABEL = "struct<k:long,u:long>"
 
@@ -254,8 +259,13 @@ def _candidates(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
     return shared.select("kind", F.coalesce("sig", "p").alias("sig"), "k", "need", "id", "node", "n")
 
 
-def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(a, b), labels: for every node linked in a tile of its group, the first node of the tile that it reaches."""
+def _linked(
+    groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, done: int = 0, met: list | None = None,
+) -> DataFrame:
+    """(a, b), labels: for every node linked in a tile of its group, the first node of the tile that it reaches.
+
+    ``done`` counts the rounds before this one; ``met`` receives the number of rows that each step deals to tiles.
+    """
     members = scratch.write(groups.join(sets, "node").select("lead", "node", "label", "x"))
     size = members.groupBy("lead").agg(F.count("*").alias("m"), F.sum(F.length("x") / 8).alias("e"))
     blocks = F.greatest(
@@ -267,17 +277,22 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
 
     def tiles(rows: DataFrame, compare) -> DataFrame:
         dealt = rows.repartition(F.col("lead"), F.col("i"), F.col("j")).sortWithinPartitions("lead", "i", "j", "label")
+        if met is not None:
+            met.append(rows.count())
         return dealt.select("lead", "i", "j", "label", "x", "first").mapInArrow(
-            _by_tile(compare), f"a {LABEL}, b {LABEL}",
+            _by_tile(compare), f"a {LABEL}, b {LABEL}, near boolean",
         )
 
     def all_pairs(labels, held, first):
         return [(labels[a], labels[b]) for a, b in enumerate(lowest(len(labels), *links_of(held, num, den)).tolist()) if a != b]
 
     def with_first(labels, held, first):
-        """Links (node, centre) of the centre, which is in every tile of its group."""
+        """Links (node, centre) of the centre, which is in every tile of its group, and (node, centre, True) of nodes
+        that aren't linked with it but within two link distances."""
         c = first.index(True)
-        return [(labels[x], labels[c]) for x in linked_with(held, c, num, den).tolist()]
+        linked = set(linked_with(held, c, num, den).tolist())
+        near = set(linked_with(held, c, 2 * num - den, den).tolist()) - linked
+        return [(labels[x], labels[c]) for x in sorted(linked)] + [(labels[x], labels[c], True) for x in sorted(near)]
 
     def across(labels, held, first):
         """All links of nodes that aren't linked with the centre."""
@@ -289,7 +304,7 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
 
     dealt = join_split(members, size, ["lead"], "m", total).withColumn("i", block)
     small = dealt.where("blocks = 1").withColumns({"j": F.lit(0), "first": F.lit(False)})
-    small = scratch.write(tiles(small, all_pairs))
+    small = scratch.write(tiles(small, all_pairs)).drop("near")
     many = members.where("lead = node").join(size.where("blocks > 1"), "lead")
     many = scratch.write(many.select("lead", "node", "label", "x", "m", "blocks", F.col("label").alias("centre")))
     if many.isEmpty():
@@ -304,26 +319,74 @@ def _linked(groups: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
         many.select(*tile, each.alias("i"), F.lit(True).alias("first"))
     )
     star = scratch.write(tiles(star.withColumn("j", F.lit(0)), with_first))
-    near, one = star.select(F.col("a").alias("label"), F.col("b").alias("centre")), ["label", "centre"]
-    apart = large.join(near, one, "left_anti")
-    apart = scratch.write(apart.select("lead", "node", "label", "x", "blocks", "i").withColumn("first", F.lit(True)))
+    of, one = [F.col("a").alias("label"), F.col("b").alias("centre")], ["label", "centre"]
+    linked, near = star.where("not near").select(*of), star.where("near").select(*of)
+    apart = scratch.write(
+        large.join(linked, one, "left_anti").select("lead", "node", "label", "x", "blocks", "i", "centre").withColumn("first", F.lit(True))
+    )
     per = apart.groupBy("lead").agg(F.count("*").alias("few")).join(many.select("lead", "m"), "lead")
     per = scratch.write(per.select("lead", "m", "few", F.ceil(F.col("few") / BLOCK_NODES).cast("int").alias("rest")))
-    # blocks of the nodes apart meet each other and the blocks of the others
+    out = [small, star.where("not near").drop("near")]
+    # nodes apart, in blocks, and the nodes linked with the centre, if they may be linked with these
     copies = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
-    others = large.join(near, one, "left_semi").select("lead", "label", "x", "i").withColumn("first", F.lit(False))
-    others = join_split(
-        others, per.select("lead", "m", "rest"), ["lead"], "m", total,
-    ).select(*tile, "first", "i", copies.alias("j"))
     deal = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int")
-    apart = join_split(apart, per.select("lead", "rest", "few"), ["lead"], "few", total).withColumn("mine", deal)
-    among = apart.withColumn("other", copies).select(
+    apart_of = join_split(apart, per.select("lead", "rest", "few"), ["lead"], "few", total).withColumn("mine", deal)
+    facing = apart_of.join(near, one, "left_semi").select(*tile, "first", each.alias("i"), F.col("mine").alias("j"))
+    if not near.isEmpty():
+        others = large.join(linked, one, "left_semi").select("lead", "label", "x", "i").withColumn("first", F.lit(False))
+        others = join_split(
+            others, per.select("lead", "m", "rest"), ["lead"], "m", total,
+        ).select(*tile, "first", "i", copies.alias("j"))
+        out.append(scratch.write(tiles(others.unionByName(facing), across)).drop("near"))
+    # nodes apart meet each other: in a tile, by their prefixes, or at last in all pairs of blocks
+    again = F.col("rest") > 1 if done < ROUNDS else F.lit(False)
+    among = apart_of.where(~again).withColumn("other", copies).select(
         *tile, "first", (-1 - F.greatest("mine", "other")).alias("i"), F.least("mine", "other").alias("j"),
     )
-    facing = apart.select(*tile, "first", each.alias("i"), F.col("mine").alias("j"))
-    out = scratch.write(tiles(others.unionByName(among).unionByName(facing), across))
+    out.append(scratch.write(tiles(among, across)).drop("near"))
+    if done < ROUNDS and not per.where("rest > 1").isEmpty():
+        groups = scratch.write(_by_prefix(apart_of.where("rest > 1").select("lead", "node", "x"), num, den, scratch))
+        out.append(_linked(groups, sets, num, den, scratch, done + 1, met))
     scratch.drop(members, size, many)
-    return small.union(star).union(out)
+    links = out[0]
+    for x in out[1:]:
+        links = links.union(x)
+    return links
+
+
+def _by_prefix(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(lead, node): groups of the nodes of a group of ``rows`` (lead, node, x) that share an element of their prefixes.
+
+    The elements of a group's sets are ordered by how many of its sets have them. Sets with Jaccard >= num / den share
+    num / den of the elements of each at least, so the first elements of each, as many as it can lack and one more, have
+    one in common. The lead is the least node of a new group.
+    """
+
+    def elements(batches):
+        for batch in batches:
+            data, offsets = batch_bytes(batch.column(2))
+            n = np.diff(offsets) // 8
+            row = np.repeat(np.arange(len(n)), n)
+            flat = np.frombuffer(data.tobytes(), np.int64)
+            for a in range(0, len(flat), 100_000):
+                z = slice(a, a + 100_000)
+                at = pa.array(row[z])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row[z]]), pa.array(flat[z])],
+                    names=["lead", "node", "n", "h"],
+                )
+
+    each = scratch.write(rows.mapInArrow(elements, "lead binary, node binary, n long, h long"))
+    times = each.groupBy("lead", "h").agg(F.count("*").alias("weight"), F.count("*").alias("c")).where("c > 1")
+    met = join_split(each, scratch.write(times), ["lead", "h"], "weight", each.count())
+    own = Window.partitionBy("lead", "node")
+    alone = F.col("n") - F.count("*").over(own)  # elements of no other set come first
+    place = F.row_number().over(own.orderBy("c", "h")) + alone
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    first = scratch.write(met.withColumns({"place": place, "prefix": prefix}).where("place <= prefix").select("lead", "h", "node"))
+    leads = first.groupBy("lead", "h").agg(F.min("node").alias("least"), F.count("*").alias("weight")).where("weight > 1")
+    out = join_split(first, scratch.write(leads), ["lead", "h"], "weight", first.count())
+    return out.select(F.col("least").alias("lead"), "node").distinct()
 
 
 def linked_with(sets: list[np.ndarray], c: int, num: int, den: int) -> np.ndarray:
@@ -358,10 +421,11 @@ def _by_tile(compare):
         yield pairs(compare(labels, held, marks) if len(labels) > 1 else [])
 
     def pairs(out):
+        near = pa.array([len(p) > 2 for p in out], pa.bool_())
         half = lambda q: pa.StructArray.from_arrays(
             [pa.array([p[q][i] for p in out], pa.int64()) for i in (0, 1)], names=["k", "u"],
         )
-        return pa.RecordBatch.from_arrays([half(0), half(1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([half(0), half(1), near], names=["a", "b", "near"])
 
     return run
 

@@ -302,3 +302,28 @@ def test_near_duplicates_of_string_keys_repeated_keys_and_clashing_columns(spark
     got = sorted(map(str, map(tuple, hnsw.near_duplicates(df, audits=audits).collect())))
     assert got == sorted(map(str, [("b", 1, "b", True), ("b", 1, "b", True), ("a", 1, "a", True), ("c", 0, "c", True), ("d", 1, "a", False), ("d", 1, "a", False), (None, 0, None, False)]))
     assert audits[0].count() == 2
+
+
+def test_a_large_group_of_mostly_unlinked_sets_costs_no_square(spark, monkeypatch):
+    """Sets that share a few elements and hardly a link: rows dealt to tiles stay near their number, links are found."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_NODES", 40)
+    rng = np.random.default_rng(8)
+    common = rng.integers(1, 1 << 62, 8).astype(np.uint64)
+    sets = [np.unique(np.concatenate((common, rng.integers(1, 1 << 62, 42).astype(np.uint64)))) for _ in range(1500)]
+    for i in range(0, 300, 3):  # near copies of sets that are far from the centre
+        sets.append(np.unique(np.concatenate((sets[i][1:], rng.integers(1, 1 << 62, 1).astype(np.uint64)))))
+    for i in range(60):  # and of the centre, in steps that lead away from it
+        sets.append(np.unique(np.concatenate((sets[0][i % 9 :], rng.integers(1, 1 << 62, i % 9).astype(np.uint64)))))
+    node = lambda i: i.to_bytes(12, "big")
+    data = [(node(i), (i, 0), x.tobytes()) for i, x in enumerate(sets)]
+    groups = spark.createDataFrame([(node(0), node(i)) for i in range(len(sets))], "lead binary, node binary")
+    table = spark.createDataFrame(data, f"node binary, label {ngramjoin.LABEL}, x binary")
+    met = []
+    scratch = ngramjoin.Scratch(spark)
+    links = ngramjoin._linked(scratch.write(groups), scratch.write(table), 8, 10, scratch, met=met)
+    parts = {r.node.k: r.component.k for r in ngramjoin.components(links, scratch).collect()}
+    held = [set(x.tolist()) for x in sets]
+    pairs = [(i, j) for i, a in enumerate(held) for j in range(i) if 10 * len(a & held[j]) >= 8 * len(a | held[j])]
+    want = groups_of(list(range(len(sets))), pairs)
+    assert {i: parts.get(i, i) for i in want} == want and len(pairs) > 150
+    assert sum(met) < 6 * len(sets), met
