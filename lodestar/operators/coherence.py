@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import few, settle
+
 
 def _iterations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("tested_entry", "sentence_cat", "sentence", "depth").agg(F.avg("score").alias("m"))
@@ -26,7 +28,7 @@ def by_category(rows: DataFrame, depth: int = 1, systems: DataFrame | None = Non
     systems = at.select("tested_entry").distinct() if systems is None else systems.select("tested_entry").distinct()
     at = at.join(systems, "tested_entry", "left_semi")
     means = _iterations(at).groupBy("tested_entry", "sentence_cat").agg(F.avg("m").alias("m"))
-    every = systems.crossJoin(F.broadcast(at.select("sentence_cat").distinct()))
+    every = systems.crossJoin(few(settle(at.select("sentence_cat").distinct())))
     return every.join(means, ["tested_entry", "sentence_cat"], "left").select(
         "tested_entry", "sentence_cat", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("coherence"),
     )

@@ -168,7 +168,7 @@ def information_times_covariance(counts: DataFrame, fitted: DataFrame, *by: str)
     s = lambda x: fitted.select(*by, F.col("i").alias(x), F.col("strength").alias(f"s_{x}"))
     tie = fitted.groupBy(*by).agg(F.first("tie").alias("tie")) if by else fitted.agg(F.first("tie").alias("tie"))
     rows = counts.join(s("i"), [*by, "i"]).join(s("j"), [*by, "j"])
-    rows = rows.join(F.broadcast(tie), list(by)) if by else rows.crossJoin(F.broadcast(tie))
+    rows = rows.join(tie, list(by)) if by else rows.crossJoin(F.broadcast(tie))
     m, t = F.col("w_ij") + F.col("w_ji") + F.col("t_ij"), F.col("tie") * F.sqrt(F.col("s_i") * F.col("s_j"))
     d = F.col("s_i") + F.col("s_j") + t
     a, b, p = (F.col("s_i") + t / 2) / d, (F.col("s_j") + t / 2) / d, t / d
@@ -186,7 +186,8 @@ def information_times_covariance(counts: DataFrame, fitted: DataFrame, *by: str)
 
 
 def p_values(fitted: DataFrame, *by: str) -> DataFrame:
-    """Wald p-values of theta_i = theta_j for all ordered pairs of a group, and whether its fit converged."""
+    """Wald p-values of theta_i = theta_j for all ordered pairs of a group, and whether its fit converged. A fit of one
+    task has MOST systems at most, so a side of the pairs is broadcast."""
     a = fitted.select(*by, "i", F.col("theta").alias("ti"), F.col("cov").alias("ci"), "converged")
     b = fitted.select(*by, F.col("i").alias("j"), F.col("theta").alias("tj"), F.col("cov").alias("cj"))
     pairs = (a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))).where("i <> j")
@@ -212,7 +213,7 @@ def log_likelihood(counts: DataFrame, strengths: DataFrame, *by: str) -> DataFra
     """Log likelihood of pair counts (i, j, w_ij, w_ji, t_ij) under ``strengths`` (i, strength, tie; few rows), per group."""
     si = strengths.select("i", F.col("strength").alias("si"), "tie")
     sj = strengths.select(F.col("i").alias("j"), F.col("strength").alias("sj"))
-    rows = counts.join(F.broadcast(si), "i").join(F.broadcast(sj), "j")
+    rows = counts.join(si, "i").join(sj, "j")
     t = F.col("tie") * F.sqrt(F.col("si") * F.col("sj"))
     d = F.col("si") + F.col("sj") + t
     value = F.col("w_ij") * F.ln(F.col("si") / d) + F.col("w_ji") * F.ln(F.col("sj") / d) + F.col("t_ij") * F.ln(t / d)
@@ -243,7 +244,7 @@ def records(board: DataFrame, entries: DataFrame, *by: str) -> DataFrame:
 
     position counts from 1 in that order; intervals hold low, mid, high and the level that they are for.
     """
-    named = board.join(F.broadcast(entries.select("i", "model")), "i", "left")
+    named = board.join(entries.select("i", "model"), "i", "left")
     order = F.row_number().over(Window.partitionBy(*by).orderBy("theta", F.desc("i")))
     interval = F.struct("low", "mid", "high", "conf_level").alias("intervals")
     return named.select(
@@ -255,7 +256,7 @@ def strengths_by_rank(fitted: DataFrame, entries: DataFrame, *by: str) -> DataFr
     """Strengths with their systems, strongest first."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("strength"), "i"))
     return fitted.join(
-        F.broadcast(entries.select("i", "model")), "i", "left",
+        entries.select("i", "model"), "i", "left",
     ).select(*by, place.alias("rank"), "i", "model", "strength")
 
 
@@ -266,7 +267,7 @@ def ordinal_ranks(fitted: DataFrame, *by: str) -> DataFrame:
 def correlations(overall: DataFrame, per_judge: DataFrame, by: str = "evaluating_model") -> DataFrame:
     """Pearson of strengths and Spearman of places of each judge's fit with the overall one; null without variation."""
     o = ordinal_ranks(overall).select("i", F.col("strength").alias("s"), F.col("place").alias("r"))
-    both = ordinal_ranks(per_judge, by).join(F.broadcast(o), "i")
+    both = ordinal_ranks(per_judge, by).join(o, "i")
     guarded = lambda x, y: F.when((F.count_distinct(x) > 1) & (F.count_distinct(y) > 1), F.corr(x, y))
     return both.groupBy(by).agg(
         F.round(guarded("strength", "s"), 6).alias("pearson"), F.round(guarded("place", "r"), 6).alias("spearman"),
@@ -291,7 +292,7 @@ def judge_analysis(
     stats = judge_stats(comparisons, judges)
     good = n >= least_systems and (counts.agg(m.alias("m")).first()["m"] or 0) >= least_comparisons
     enough = counts.groupBy(by).agg(m.alias("m")).where((F.col("m") >= least_comparisons) & F.lit(good)).select(by)
-    fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
+    fitted = settle(fit(counts.join(enough, by), n, by))
     close = correlations(fit(everyone, n), fitted).withColumnRenamed(by, "judge").drop("n")
     has = fitted.groupBy(F.col(by).alias("judge")).agg(F.every("converged").alias("converged"))
     rows = stats.join(close, "judge", "left").join(has, "judge", "left").withColumn(
@@ -317,7 +318,7 @@ def category_signal(
         F.size(F.array_union(F.collect_set("i"), F.collect_set("j"))).alias("systems"),
     )
     enough = size.where((F.col("m") >= least_comparisons) & (F.col("systems") >= least_systems)).select(by)
-    fitted = settle(fit(counts.join(F.broadcast(enough), by), n, by))
+    fitted = settle(fit(counts.join(enough, by), n, by))
     spread = fitted.groupBy(by).agg(F.stddev_pop("strength").alias("spread"), F.every("converged").alias("converged"))
     width = intervals(fitted).groupBy(by).agg(F.avg(F.col("high") - F.col("low")).alias("width"))
     ratio = p_values(fitted, by).where("i < j").groupBy(by).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import few
 from .numbering import numbered
 
 
@@ -42,7 +43,7 @@ def all_pairs(entries: DataFrame, *by: str) -> DataFrame:
     """i < j of the few systems of ``entries`` (id)."""
     on = list(by)
     a, b = entries.select(*on, F.col("id").alias("i")), entries.select(*on, F.col("id").alias("j"))
-    return (a.join(b, on) if on else a.crossJoin(F.broadcast(b))).where("i < j")
+    return (a.join(b, on) if on else a.crossJoin(few(b))).where("i < j")
 
 
 def tested(comparisons: DataFrame, *by: str) -> DataFrame:

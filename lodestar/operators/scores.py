@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import exact_u_p, two_sided_p
 from ..functions.text import REFUSED_SCORE
+from ..sources.shared import few, settle
 from .numbering import numbered
 
 #: The largest sample that is tested exactly.
@@ -81,7 +82,7 @@ def document(
         ).alias("comparison_items")
     )
     every = items.select("language").distinct().crossJoin(
-        F.broadcast(numbered(entries, ["tested_entry"], "id").withColumn("id", F.col("id").cast("int")))
+        few(numbered(entries, ["tested_entry"], "id").withColumn("id", F.col("id").cast("int")))
     )
     rows = every.join(groups, ["language", "tested_entry"], "left").withColumn(
         "comparison_items", F.coalesce("comparison_items", F.array().cast(groups.schema["comparison_items"].dataType)),
@@ -123,10 +124,10 @@ def mann_whitney(items: DataFrame, system: str = "tested_entry", value: str = "s
     p is exact where a sample has ``EXACT`` values at most and none is tied, else normal, tie-corrected and continuous.
     Values are counted per system first, so pairs meet on value counts and not on rows; a system against itself has p 1.
     """
-    counts = items.groupBy(F.col(system).alias("e"), F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    counts = settle(items.groupBy(F.col(system).alias("e"), F.col(value).alias("x")).agg(F.count("*").alias("c")))
     systems = counts.groupBy("e").agg(F.sum("c").alias("n"))
     pairs = systems.select(F.col("e").alias("entry_a"), F.col("n").alias("n_a")).crossJoin(
-        F.broadcast(systems.select(F.col("e").alias("entry_b"), F.col("n").alias("n_b")))
+        few(systems.select(F.col("e").alias("entry_b"), F.col("n").alias("n_b")))
     )
     side = lambda who, is_a: pairs.join(counts, F.col(who) == F.col("e")).select(
         "entry_a", "entry_b", "n_a", "n_b", "x", F.when(F.lit(is_a), F.col("c")).otherwise(0).alias("a"),

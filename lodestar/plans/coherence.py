@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import coherence_key, fill_prompt, is_refusal, tail_score, translation_key
 from ..operators.pairing import first_k
 from ..sources.providers import Provider, through_cache
+from ..sources.shared import few
 from .active import round_trips
 
 RATE = (
@@ -23,7 +24,7 @@ def tasks(entries: DataFrame, sentences: DataFrame, first: int | None = None) ->
     """Every system with every sentence, or with the first so many of each category: ``sentences`` has sentence_category,
     sentence_pos and sentence."""
     some = sentences if first is None else first_k(sentences, "sentence_category", ["sentence_pos"], first).drop("n")
-    return some.crossJoin(F.broadcast(entries))
+    return some.crossJoin(few(entries))
 
 
 def trip(
@@ -51,7 +52,7 @@ def rate(
     trips: DataFrame, evaluators: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = RATE,
 ) -> tuple[DataFrame, DataFrame]:
     """(trips with evaluator and score, null if the answer has none; the calls made)."""
-    rows = trips.crossJoin(F.broadcast(evaluators.select(F.col("judge").alias("evaluator"))))
+    rows = trips.crossJoin(few(evaluators.select(F.col("judge").alias("evaluator"))))
     prompt = fill_prompt(template, text=F.col("sentence"), new=F.col("text"))
     key = coherence_key(F.col("prompt"), F.col("evaluator"), F.lit(0))
     asked = rows.withColumn("prompt", prompt).withColumns({"key": key, "temperature": F.lit(0.0)})

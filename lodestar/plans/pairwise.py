@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import coin_flip, comparison_key, fill_prompt
 from ..operators.pairwise import facts, flip_key, outcome_without_judge
 from ..sources.providers import Provider, through_cache
+from ..sources.shared import few
 
 COMPARE = (
     "Compare two translations of one sentence by accuracy, words, grammar, tone, consistency and idiom; style is free. Think in few words.\n"
@@ -24,7 +25,7 @@ def pairs(translated: DataFrame, chosen: DataFrame) -> DataFrame:
     side = lambda x: translated.select(
         *on, F.col("id").alias(f"{x}_id"), F.col("text").alias(f"text_{x}"),
     )
-    return side("a").join(F.broadcast(chosen.select("a_id", "b_id").distinct()), "a_id").join(side("b"), [*on, "b_id"])
+    return side("a").join(chosen.select("a_id", "b_id").distinct(), "a_id").join(side("b"), [*on, "b_id"])
 
 
 def prompts(judged: DataFrame, template: str = COMPARE) -> DataFrame:
@@ -39,7 +40,7 @@ def compare(
     rows: DataFrame, judges: DataFrame, cache: DataFrame, make: Callable[[], Provider], template: str = COMPARE,
 ) -> tuple[DataFrame, DataFrame]:
     """(comparison facts; the calls made). Only pairs of two different texts are put to the judges, each prompt once."""
-    every = rows.crossJoin(F.broadcast(judges.select("judge")))
+    every = rows.crossJoin(few(judges.select("judge")))
     decided = outcome_without_judge().isNotNull()
     asked = prompts(every.where(~decided), template).withColumn("temperature", F.lit(0.0))
     answered, calls = through_cache(asked, cache, make)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import comparison_key, entry_id, fill_prompt, is_refusal, json_scores, numbered_blocks, sampled_places, seeded_order, translation_key
 from ..operators.scores import parsed_scores, refused_scores
 from ..sources.providers import Provider, through_cache
+from ..sources.shared import few
 
 TRANSLATE = "Translate from {source} into natural {target}. Answer 483 to refuse.\nText: `{text}`"
 SCORE = "Score each translation into {target} from 0 to 100; end with a fenced JSON list of id and score.\nOriginal: ```{text}```\n{list}"
 
 
 def workload(languages: DataFrame, sentences: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every language, sentence (category, sentence) and system: the small tables are the broadcast ones."""
-    rows = sentences.crossJoin(F.broadcast(languages.select("language"))).crossJoin(F.broadcast(entries))
+    """Every language, sentence (category, sentence) and system: lists of FEW rows at most are broadcast."""
+    rows = sentences.crossJoin(few(languages.select("language"))).crossJoin(few(entries))
     return rows.withColumn(
         "tested_entry",
         entry_id(F.col("model_name"), F.col("model_company"), F.col("service"), F.col("temp_key"), F.col("thinking")),
@@ -66,7 +67,7 @@ def blind_lists(translated: DataFrame, judges: DataFrame, sampled: bool = False)
     )
     texts = texts.agg(F.sort_array(F.collect_set("tested_entry")).alias("entries"))
     whole = Window.partitionBy("language", "sentence", "judge")
-    rows = texts.crossJoin(F.broadcast(judges.select("judge")))
+    rows = texts.crossJoin(few(judges.select("judge")))
     seed = F.concat(
         F.array_join(F.array_sort(F.collect_list("translation").over(whole)), "|"), F.lit("-"), F.col("judge"),
     )
@@ -114,7 +115,7 @@ def score_facts(translated: DataFrame, blind: DataFrame, judged: DataFrame, judg
     nothing = refused.select("language", "sentence").distinct().join(
         translated.where("translation is not null"), ["language", "sentence"], "left_anti",
     )
-    silent = nothing.crossJoin(F.broadcast(judges.select("judge"))).withColumn(
+    silent = nothing.crossJoin(few(judges.select("judge"))).withColumn(
         "scores", F.array().cast(judged.schema["scores"].dataType),
     )
     return scored.unionByName(refused_scores(refused, good.unionByName(silent)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KV_SCHEMA = "key string, value string, updated_at timestamp, seq long"
+from .versions import VersionedTable
+
 JSON_SCHEMA = "entry_id string, source_lang string, target_lang string, text string, temperature double, response string"
 
 
@@ -88,37 +87,25 @@ def write_json_cache(spark: SparkSession, path: str, rows: DataFrame) -> None:
 
 
 class KVTable:
-    """A cache in a folder of Parquet files: appends are log entries, reads give the latest values.
-
-    Entries of one append have one time; ``seq`` counts appends and rows, so the last of repeated keys wins.
-    """
+    """A cache in a folder: writes are versions of a ``VersionedTable``, so their order is that of commits and no clock's."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.last = 0
-
-    def append(self, rows: DataFrame) -> None:
-        """Log entries (key, value, updated_at, seq), each of the last two null where it isn't known."""
-        self.last = max(self.last + 1, time.time_ns() // 1000)
-        own, place = F.timestamp_micros(F.lit(self.last)), F.monotonically_increasing_id()
-        at = F.coalesce("updated_at", own) if "updated_at" in rows.columns else own
-        place = F.coalesce("seq", place) if "seq" in rows.columns else place
-        rows.select(
-            "key", "value", at.alias("updated_at"), place.cast("long").alias("seq"),
-        ).write.mode("append").parquet(self.path)
+        self.versions = VersionedTable(spark, path)
 
     def set(self, rows: DataFrame) -> None:
-        """Of rows that repeat a key the last counts: by ``seq`` if there is one, else in the order of the table."""
-        self.append(rows.where("key is not null and value is not null").drop("updated_at"))
+        """Of rows that repeat a key the last counts: by ``seq`` if there is one, else in the order of the table. Null keys and
+        values are refused."""
+        self.versions.set(rows)
 
     def delete(self, keys: DataFrame) -> None:
-        self.append(keys.select("key", F.lit(None).cast("string").alias("value")))
+        self.versions.delete(keys)
 
     def read(self) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], KV_SCHEMA)
-        return latest(self.spark.read.schema(KV_SCHEMA).parquet(self.path))
+        """key and value."""
+        return self.versions.read()
+
+    def probe(self, requests: DataFrame) -> DataFrame:
+        return self.versions.probe(requests)
 
-    def compact(self, path: str) -> None:
-        self.read().write.parquet(path)
+    def compact(self) -> None:
+        self.versions.compact()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,16 @@ def settle(df: DataFrame) -> DataFrame:
     return _write(df)[2]
 
 
+#: The most rows of a side that goes whole to every task.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, such as a list of systems, judges or languages, marked for broadcast if it has FEW rows at most, which are
+    counted; else as it is, for Spark to decide."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 class Settled:
     """Settled tables of a loop, which go as soon as the loop has made the next ones."""
 
