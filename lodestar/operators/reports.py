@@ -12,8 +12,12 @@ CATEGORIES = "%-20s | %12s | %12s | %10s | %10s | %12s | %12s | %-6s"
 
 
 def number(x: Column, digits: int, missing: str = "N/A") -> Column:
-    """With so many digits, or a word where there is no number."""
-    return F.when(x.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", F.round(x, digits)))
+    """With so many digits, or a word where there is no number.
+
+    The scaled double is rounded, as SQL engines do: 1.005 is a little less than it reads, and gives 1.00.
+    """
+    scale = 10.0 ** digits
+    return F.when(x.isNull(), missing).otherwise(F.format_string(f"%.{digits}f", F.round(x * scale) / scale))
 
 
 def percent(x: Column) -> Column:

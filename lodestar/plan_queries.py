@@ -241,7 +241,7 @@ def duel_categories(s, d):
 
 
 def category_report(s, d):
-    return reports.categories(dv.category_signal(_duels(s, d), 2, least_systems=2))
+    return reports.categories(dv.category_signal(_duels(s, d), 2, least_systems=2, in_turn=True))
 
 
 def _judge_analysis(s, d):
